@@ -89,3 +89,147 @@ def approval_sla(audit: DataFrame, limit: int | None = 200) -> DataFrame:
                     / F.lit(1e6)).alias("approval_latency_seconds"))
            .orderBy(F.desc("requested_at"), F.asc("request_id")))
     return out.limit(limit) if limit is not None else out
+
+
+# ---------------------------------------------------------------- G1-G8
+def storage_stats(vectors: DataFrame, approx: bool = False) -> DataFrame:
+    """G1: vector count, distinct tenants and scopes, oldest/newest.
+
+    ``approx`` switches to HyperLogLog distinct counts (no per-key state)."""
+    cd = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
+    return vectors.agg(F.count(F.lit(1)).alias("total_vectors"),
+                       cd("tenant_id").alias("unique_tenants"),
+                       cd("scope").alias("unique_scopes"),
+                       F.min("created_at").alias("oldest_vector"),
+                       F.max("created_at").alias("newest_vector"))
+
+
+def top_scopes(vectors: DataFrame, n: int = 10) -> DataFrame:
+    """Scopes with the most vectors, first/last seen (top-n report)."""
+    return (vectors.groupBy("scope")
+            .agg(F.count(F.lit(1)).alias("vector_count"),
+                 F.min("created_at").alias("first_seen"),
+                 F.max("created_at").alias("last_seen"))
+            .orderBy(F.desc("vector_count"), F.asc_nulls_last("scope"))
+            .limit(n))
+
+
+def recent_vectors(vectors: DataFrame, as_of: _dt.datetime = AS_OF, hours: int = 24) -> DataFrame:
+    """Vectors created strictly after ``as_of - hours``."""
+    since = days_before(as_of, 0) - F.make_dt_interval(hours=F.lit(hours))
+    return vectors.where(F.col("created_at") > since).agg(F.count(F.lit(1)).alias("vectors_last_24h"))
+
+
+def hourly_ingest(vectors: DataFrame, as_of: _dt.datetime = AS_OF, days: int = 7, n: int = 24) -> DataFrame:
+    """Vectors per hour over the trailing window, newest ``n`` hours."""
+    return (vectors.where(F.col("created_at") > days_before(as_of, days))
+            .groupBy(F.date_trunc("hour", "created_at").alias("hour"))
+            .agg(F.count(F.lit(1)).alias("vectors_ingested"))
+            .orderBy(F.desc("hour")).limit(n))
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """Events, distinct targets and last event per action."""
+    return (audit.groupBy("action")
+            .agg(F.count(F.lit(1)).alias("event_count"),
+                 F.countDistinct("target").alias("unique_targets"),
+                 F.max("created_at").alias("last_event"))
+            .orderBy(F.desc("event_count"), "action"))
+
+
+def _guarded_pct(num, den):
+    return F.when(den > 0, F.round(F.lit(100.0) * num.cast("double") / den.cast("double"), 2)).otherwise(F.lit(0.0))
+
+
+def table_health(stats: DataFrame) -> DataFrame:
+    """Dead-tuple, cache-hit and index-usage percentages, guarded for 0."""
+    c = F.col
+    return stats.select(
+        c("relname").alias("table_name"),
+        c("n_live_tup").alias("live_tuples"), c("n_dead_tup").alias("dead_tuples"),
+        _guarded_pct(c("n_dead_tup"), c("n_live_tup")).alias("dead_tuple_pct"),
+        _guarded_pct(c("heap_blks_hit"), c("heap_blks_hit") + c("heap_blks_read")).alias("cache_hit_ratio_pct"),
+        _guarded_pct(c("idx_scan"), c("seq_scan") + c("idx_scan")).alias("index_usage_pct"))
+
+
+def health_alerts(stats: DataFrame) -> DataFrame:
+    """The three alert checks per relation, one pass + ``stack``."""
+    c = F.col
+    dead = F.when(c("n_dead_tup") > c("n_live_tup") * 0.2,
+                  "WARNING: Dead tuples exceed 20% of live tuples - consider VACUUM").otherwise("OK")
+    unused = F.when((c("idx_scan") == 0) & (c("n_live_tup") > 1000),
+                    "WARNING: Index not being used despite large table - check queries").otherwise("OK")
+    blks = c("heap_blks_hit") + c("heap_blks_read")
+    cache = F.when((blks > 0) & (c("heap_blks_hit").cast("double") / blks < 0.95),
+                   "WARNING: Cache hit ratio below 95% - consider more RAM").otherwise("OK")
+    checks = F.array(
+        F.struct(F.lit("dead_tuples_high").alias("alert_type"), dead.alias("status")),
+        F.struct(F.lit("index_not_used").alias("alert_type"), unused.alias("status")),
+        F.struct(F.lit("cache_hit_low").alias("alert_type"), cache.alias("status")))
+    return (stats.select(c("relname").alias("table_name"), F.inline(checks)))
+
+
+def top_indexes(index_stats: DataFrame, like: str = "%embedding%", n: int = 10) -> DataFrame:
+    """Most used indexes whose name matches ``like`` (top-n report)."""
+    return (index_stats.where(F.col("index_name").like(like))
+            .orderBy(F.desc("index_scans"), "index_name").limit(n))
+
+
+# ---------------------------------------------------------------- L1-L5
+def rolling_mean(daily: DataFrame, col: str = "sales", rows: int = 7) -> DataFrame:
+    """L1: ``rows``-row rolling mean, null until the window is full.
+
+    The input is one row per calendar day (already aggregated), so the
+    ordered window is bounded by the calendar, not by the data volume."""
+    w = Window.orderBy("date").rowsBetween(-(rows - 1), 0)
+    return daily.select("date", col,
+                        F.when(F.count(F.lit(1)).over(w) == rows, F.avg(col).over(w))
+                        .alias(f"{col}_ma"))
+
+
+def summary_stats(daily: DataFrame, cols=("sales", "revenue", "customers")) -> DataFrame:
+    """L2: count, mean, sample std, min, quartiles (linear), max per column."""
+    parts = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        parts.append(daily.agg(
+            F.lit(c).alias("metric"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+            F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
+            F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def headline_totals(daily: DataFrame) -> DataFrame:
+    """L3: total revenue with thousands separators, mean daily sales to 1 dp."""
+    return daily.agg(F.format_number(F.sum("revenue"), 2).alias("total_revenue"),
+                     F.round(F.avg("sales"), 1).alias("avg_daily_sales"))
+
+
+def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """L4: equal-width histogram, last bin closed; empty bins are kept.
+
+    ``min``/``max`` are scalar subqueries (one partial aggregate each, the
+    value is inlined into the projection), so no join is needed to bin."""
+    x = F.col(col).cast("double")
+    lo = df.agg(F.min(x)).scalar()
+    hi = df.agg(F.max(x)).scalar()
+    idx = F.least(F.floor((x - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(bins - 1)).cast("int")
+    idx = F.when(hi == lo, F.lit(0)).otherwise(idx)
+    counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    spark = df.sparkSession
+    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    width = (hi - lo) / F.lit(float(bins))
+    return (edges.join(counts, "bin", "left")
+            .where(lo.isNotNull())
+            .select("bin", (lo + F.col("bin") * width).alias("lower"),
+                    (lo + (F.col("bin") + 1) * width).alias("upper"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+
+
+def mean_and_pop_std(df: DataFrame, col: str) -> DataFrame:
+    """Sample mean and population standard deviation (ddof=0)."""
+    return df.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std_pop"))

@@ -46,3 +46,65 @@ def _f4(t): return an.policy_unavailable_by_day(_audit(t))
 
 @register("f5_approval_sla")
 def _f5(t): return an.approval_sla(_audit(t))
+
+
+def _vectors(t: Tables) -> DataFrame:
+    return si.memory_vectors(t.embeddings, t.documents)
+
+
+# ---------------------------------------------------------------- G
+@register("g1_storage_stats")
+def _g1(t): return an.storage_stats(_vectors(t))
+
+
+@register("g2_top_scopes")
+def _g2(t): return an.top_scopes(_vectors(t))
+
+
+@register("g3_recent_vectors")
+def _g3(t): return an.recent_vectors(_vectors(t))
+
+
+@register("g4_hourly_ingest")
+def _g4(t): return an.hourly_ingest(_vectors(t))
+
+
+@register("g5_audit_summary")
+def _g5(t): return an.audit_summary(_audit(t))
+
+
+@register("g6_table_health")
+def _g6(t): return an.table_health(si.table_stats(t.events))
+
+
+@register("g7_health_alerts")
+def _g7(t): return an.health_alerts(si.table_stats(t.events))
+
+
+@register("g8_top_indexes")
+def _g8(t): return an.top_indexes(si.index_stats(t.events))
+
+
+# ---------------------------------------------------------------- L
+@register("l1_rolling_mean")
+def _l1(t): return an.rolling_mean(si.daily_sales(t.orders))
+
+
+@register("l2_summary_stats")
+def _l2(t): return an.summary_stats(si.daily_sales(t.orders))
+
+
+@register("l3_headline_totals")
+def _l3(t): return an.headline_totals(si.daily_sales(t.orders))
+
+
+@register("l4_histogram_price_30")
+def _l4a(t): return an.histogram(t.lineitem, "l_extendedprice", 30)
+
+
+@register("l4_histogram_acctbal_20")
+def _l4b(t): return an.histogram(t.customer, "c_acctbal", 20)
+
+
+@register("l5_mean_pop_std")
+def _l5(t): return an.mean_and_pop_std(t.lineitem, "l_quantity")

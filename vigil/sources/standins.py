@@ -84,3 +84,42 @@ def memory_documents(documents: DataFrame, as_of: _dt.datetime = AS_OF) -> DataF
         F.col("source"),
         (ts_ntz(as_of) - F.make_dt_interval(mins=F.col("doc_id"))).alias("created_at"),
     )
+
+
+def table_stats(events: DataFrame) -> DataFrame:
+    """A metrics snapshot (one row per relation) derived from ``events``.
+
+    Stands in for the Postgres statistics views that the monitoring report
+    reads; the catalogs themselves are engine internals and are not built.
+    """
+    k = _k(events)
+    return (events.select("event_type", "value", k.alias("k"))
+            .groupBy(F.concat(F.col("event_type"), F.lit("_events")).alias("relname"))
+            .agg(F.count(F.lit(1)).alias("n_live_tup"),
+                 F.count_if(F.col("value") < 5).alias("n_dead_tup"),
+                 F.sum("k").cast("long").alias("heap_blks_hit"),
+                 F.count_if(F.col("k") < 5).alias("heap_blks_read"),
+                 F.count_if(F.col("k") % 2 == 0).alias("seq_scan"),
+                 F.count_if((F.col("k") % 2 == 1) & (F.col("k") < 40)).alias("idx_scan")))
+
+
+def index_stats(events: DataFrame) -> DataFrame:
+    """Per-index usage counters derived from ``events``."""
+    k = _k(events)
+    suffix = (F.when(F.col("user_id") % 3 == 0, "_embedding")
+              .when(F.col("user_id") % 3 == 1, "_tenant_scope").otherwise("_content_hash"))
+    return (events.select(F.concat(F.lit("idx_"), F.col("event_type"), suffix).alias("index_name"),
+                          k.alias("k"))
+            .groupBy("index_name")
+            .agg(F.sum("k").cast("long").alias("index_scans"),
+                 F.count(F.lit(1)).alias("tuples_read"),
+                 F.count_if(F.col("k") > 50).alias("tuples_fetched")))
+
+
+def daily_sales(orders: DataFrame) -> DataFrame:
+    """Daily sales from ``orders``: Sales = orders, Revenue = total price,
+    Customers = distinct customers."""
+    return (orders.groupBy(F.to_date("o_orderdate").alias("date"))
+            .agg(F.count(F.lit(1)).alias("sales"),
+                 F.round(F.sum("o_totalprice"), 2).alias("revenue"),
+                 F.countDistinct("o_custkey").alias("customers")))
