@@ -108,3 +108,70 @@ def _l4b(t): return an.histogram(t.customer, "c_acctbal", 20)
 
 @register("l5_mean_pop_std")
 def _l5(t): return an.mean_and_pop_std(t.lineitem, "l_quantity")
+
+
+# ---------------------------------------------------------------- C
+from ..operators import policy as pol  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _decisions(t: Tables) -> DataFrame:
+    return pol.evaluate(si.policy_requests(t.events, t.nation), si.policy_workflows(t.nation))
+
+
+@register("c1_c5_policy_decision")
+def _c1(t):
+    return _decisions(t).select("request_id", "risk_score", F.array_join("reasons", ",").alias("reasons"),
+                                "requires_approval", "allow", "decision", "policy_id", "policy_version")
+
+
+def _normalized(t: Tables) -> DataFrame:
+    return pol.normalize_result(si.policy_results(t.events))
+
+
+@register("c6_normalize_result")
+def _c6(t):
+    return _normalized(t).select("request_id", "policy_id", "policy_version", "decision", "allow",
+                                 "requires_approval", "risk_score",
+                                 F.array_join("reasons", ",").alias("reasons"))
+
+
+def _with_fallback(t: Tables, mode: str) -> DataFrame:
+    n = _normalized(t)
+    # a missing reply has no result: blank the normalised fields so C7 applies
+    miss = F.col("result_json").isNull()
+    cols = ["policy_id", "policy_version", "decision", "allow", "requires_approval", "risk_score", "reasons"]
+    n = n.select("request_id", "task_type", "latency_ms", "result_json",
+                 *[F.when(~miss, F.col(c)).alias(c) for c in cols])
+    return pol.fallback(n, mode)
+
+
+@register("c7_fallback_closed")
+def _c7(t):
+    return _with_fallback(t, "closed").select(
+        "request_id", "policy_id", "decision", "allow", "requires_approval", "risk_score",
+        F.array_join("reasons", ",").alias("reasons"), "policy_unavailable")
+
+
+@register("c8_workflow_gate")
+def _c8(t):
+    n = _normalized(t)
+    n = n.withColumn("decision", F.when(F.col("result_json").isNotNull(), F.col("decision")))
+    return pol.workflow_gate(n).select("request_id", "gate_decision", "status", "message",
+                                       "approval_endpoint", "gate_reason")
+
+
+@register("c9_enforce_mode")
+def _c9(t):
+    return pol.enforce(_with_fallback(t, "open"), "enforce").select("request_id", "decision")
+
+
+@register("c10_runtime_gate")
+def _c10(t):
+    d = _decisions(t)
+    return pol.runtime_gate(pol.enforce(d, "enforce")).select("request_id", "task_type", "runtime_accepted")
+
+
+@register("c11_decision_counters")
+def _c11(t):
+    return pol.decision_counters(_with_fallback(t, "open"))

@@ -123,3 +123,74 @@ def daily_sales(orders: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("sales"),
                  F.round(F.sum("o_totalprice"), 2).alias("revenue"),
                  F.countDistinct("o_custkey").alias("customers")))
+
+
+def policy_requests(events: DataFrame, nation: DataFrame) -> DataFrame:
+    """Policy-input rows from ``events`` (FIXTURES §2.2): task type from the
+    event type (``click`` as ``ping``; ``error`` carries a nation name so the
+    registry allow-list takes part; ``signup`` has none), admin scope for
+    every 7th user, network on when k%5=0, payload k*2000 bytes."""
+    e = events.select("event_id", "user_id", "event_type", "value", _k(events).alias("k"))
+    n = nation.select("n_nationkey", "n_name")
+    j = e.join(n, (F.col("user_id") % 25) == F.col("n_nationkey"), "left")
+    uid, et, k = F.col("user_id"), F.col("event_type"), F.col("k")
+    user_scope = F.concat(F.lit("user:"), _s(uid % 20))
+    rscope = (F.when(uid % 7 == 0, F.concat(F.lit("admin:"), _s(uid % 20)))
+              .when(uid % 11 == 0, F.lit(""))
+              .when(uid % 13 == 0, F.concat(F.lit("user:"), _s((uid + 1) % 20)))
+              .otherwise(user_scope))
+    task = (F.when(et == "click", "ping").when(et == "error", F.col("n_name"))
+            .when(et == "signup", "").otherwise(et))
+    return j.select(
+        F.concat(F.lit("req-"), _s("event_id")).alias("request_id"),
+        F.concat(F.lit("t"), _s(uid % 5)).alias("tenant_id"),
+        user_scope.alias("subject_scope"),
+        F.lit("workflow").alias("role"),
+        (uid % 3 == 0).alias("network_admin"),
+        rscope.alias("resource_scope"),
+        task.alias("task_type"),
+        F.when(et == "purchase", "memory.ingest").otherwise("executor.execute").alias("action"),
+        (k % 5 == 0).alias("network_enabled"),
+        (k * 2000).cast("long").alias("payload_size"),
+        F.col("value").alias("latency_ms"),
+    )
+
+
+def policy_workflows(nation: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    """Registry rules from ``nation``: one rule per nation of regions 0-2,
+    task type = nation name, every 4th disabled."""
+    nk = F.col("n_nationkey")
+    return (nation.where(F.col("n_regionkey").isin(0, 1, 2))
+            .select(nk.cast("long").alias("id"),
+                    F.concat(F.lower(F.regexp_replace("n_name", " ", "_")), F.lit("_v1")).alias("workflow_id"),
+                    F.col("n_name").alias("task_type"),
+                    F.lit("*").alias("tenant_id"), F.lit("*").alias("scope_pattern"),
+                    F.concat(F.lit('{"max_runtime_s":'), _s(nk * 10), F.lit("}")).alias("constraints"),
+                    (nk % 4 != 0).alias("enabled"),
+                    (ts_ntz(as_of) - F.make_dt_interval(days=nk + 30)).alias("created_at"),
+                    (ts_ntz(as_of) - F.make_dt_interval(days=nk)).alias("updated_at")))
+
+
+def policy_results(events: DataFrame) -> DataFrame:
+    """Raw policy-service replies (JSON text) per request, from ``events``:
+    complete results, results missing fields, scalar reasons, and missing
+    replies (k%25=0) for the fallback path."""
+    k = F.col("k")
+    ks = _s(k)
+    full = F.concat(
+        F.lit('{"result":{"policy_id":"executor-core-v1","policy_version":"2026-02-20","decision":"'),
+        F.when(k < 10, "deny").otherwise("allow"), F.lit('","allow":'),
+        F.when(k < 10, "false").otherwise("true"),
+        F.lit(',"requires_approval":false,"risk_score":'), ks, F.lit(',"reasons":'),
+        F.when(k < 10, '["task_type_not_allowed","scope_mismatch"]').otherwise("[]"), F.lit("}}"))
+    sparse = F.concat(F.lit('{"result":{"decision":"allow","risk_score":'), ks, F.lit("}}"))
+    scalar = F.lit('{"result":{"policy_id":"executor-core-v1","policy_version":"2026-02-20",'
+                   '"decision":"requires_approval","risk_score":45,"reasons":"high_risk_requires_approval"}}')
+    odd = F.lit('{"result":{"decision":"maybe"}}')
+    rj = (F.when(k % 25 == 0, F.lit(None).cast("string")).when(k % 7 == 0, sparse)
+          .when(k % 3 == 0, scalar).when(k % 11 == 0, odd).otherwise(full))
+    return events.select(
+        F.concat(F.lit("req-"), _s("event_id")).alias("request_id"),
+        F.when(F.col("event_type") == "click", "ping").otherwise(F.col("event_type")).alias("task_type"),
+        F.col("value").alias("latency_ms"),
+        _k(events).alias("k")).select("request_id", "task_type", "latency_ms", rj.alias("result_json"))
