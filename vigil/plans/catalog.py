@@ -175,3 +175,168 @@ def _c10(t):
 @register("c11_decision_counters")
 def _c11(t):
     return pol.decision_counters(_with_fallback(t, "open"))
+
+
+# ---------------------------------------------------------------- B
+from ..operators import validate as va  # noqa: E402
+
+
+@register("b1_validate_ingest")
+def _b1(t):
+    return va.validate_ingest(si.ingest_requests(t.documents)).select(
+        "doc_id", "error", "source_norm", "request_id_norm")
+
+
+@register("b2_validate_search")
+def _b2(t):
+    return va.validate_search(si.search_requests(t.benchmark)).select("item_id", "error", "k_norm")
+
+
+@register("b3_validate_audit")
+def _b3(t):
+    return va.validate_audit(si.audit_append_requests(t.events)).select("id", "error")
+
+
+@register("b4_validate_dispatch")
+def _b4(t):
+    return va.validate_dispatch(si.dispatch_requests(t.events)).select("event_id", "error")
+
+
+@register("b5_validate_approval")
+def _b5(t):
+    return va.validate_approval(si.approval_requests(t.events)).select(
+        "event_id", "error", "audit_decision", "audit_actor", "comment_norm", "policy_id_norm",
+        "policy_version_norm")
+
+
+@register("b6_normalize_rule_upsert")
+def _b6(t):
+    r = si.rule_upserts(t.supplier, t.nation)
+    n = va.normalize_rule_upsert(r.withColumn("actor", F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string"))))
+    return n
+
+
+@register("b7_validate_rule_key")
+def _b7(t):
+    s = t.supplier
+    k = F.col("s_suppkey")
+    req = s.select(k, F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.lower("s_name")).alias("workflow_id"),
+                   F.when(k % 6 == 0, F.lit(" ")).otherwise(F.lit("ping")).alias("task_type"))
+    return va.validate_rule_key(req).select("s_suppkey", "workflow_id_norm", "task_type_norm", "error")
+
+
+@register("b8_candidate_seed_defaults")
+def _b8(t):
+    return va.candidate_seed_defaults(si.candidate_seeds(t.part))
+
+
+@register("b9_normalize_router_input")
+def _b9(t):
+    return va.normalize_router_input(si.conversation_requests(t.conversations)).select(
+        "conv_id", "turn", "tenant_norm", "scope_norm", F.length("message_norm").alias("message_chars"),
+        "provider_norm", "model_norm", "temperature_norm", "validation_errors")
+
+
+@register("b10_chat_input_guard")
+def _b10(t):
+    return va.chat_input_guard(si.conversation_requests(t.conversations)).select(
+        "conv_id", "turn", "error", "tenant_norm", "scope_norm",
+        F.length("message_norm").alias("message_chars"), "k_norm")
+
+
+@register("b11_parse_form_body")
+def _b11(t):
+    q = t.pages.select("page_id", F.regexp_extract("url", r"\?([^#]*)", 1).alias("body"))
+    return va.parse_form_body(q).select("page_id", "params")
+
+
+@register("b12_slack_scope")
+def _b12(t):
+    req = si.conversation_requests(t.conversations).select("conv_id", "turn", "user_id")
+    return va.slack_scope(req).select("conv_id", "turn", "tenant_id", "scope", "user_id_norm")
+
+
+@register("b13_secret_rejection")
+def _b13(t):
+    return va.secret_rejections(t.documents, "doc_id")
+
+
+@register("b14_fact_filter")
+def _b14(t):
+    facts = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("subject"),
+        F.col("l_returnflag").alias("predicate"), F.col("l_linestatus").alias("object"),
+        (F.lit(1.0) - F.col("l_discount") * 5).alias("confidence"),
+        F.when(F.col("l_orderkey") % 10 == 0, "explicit").otherwise("api").alias("request_source"))
+    return va.filter_facts(facts).select("l_orderkey", "l_linenumber", "subject", "predicate", "object",
+                                         F.round("confidence", 6).alias("confidence"))
+
+
+@register("b15_redact_injection")
+def _b15(t):
+    c = t.conversations
+    return c.select("conv_id", "turn", va.redact_injection("text").alias("redacted"))
+
+
+@register("b16_secret_line_scan")
+def _b16(t): return va.secret_line_scan(t.documents, "doc_id", "text")
+
+
+@register("b17_credential_key_scan")
+def _b17(t): return va.credential_key_scan(t.pages, "page_id", "html")
+
+
+@register("b18_sensitive_file_scan")
+def _b18(t):
+    return va.sensitive_file_scan(si.file_manifest(t.pages)).select("page_id", "path", "secret_like", "env_file")
+
+
+@register("b19_suspicious_diff_scan")
+def _b19(t): return va.suspicious_diff_scan(t.documents, "doc_id", "text")
+
+
+@register("b20_path_safety")
+def _b20(t): return va.path_safety(si.file_manifest(t.pages)).select("page_id", "path", "path_error")
+
+
+@register("b21_size_quotas")
+def _b21(t):
+    return va.size_quotas(si.file_manifest(t.pages)).select(
+        "page_id", "sandbox", "size_bytes", "file_ok", "running_total", "accepted")
+
+
+@register("b22_sanitize_error")
+def _b22(t):
+    c = t.conversations
+    first = F.element_at(F.split("text", "\n"), 1)
+    return c.select("conv_id", "turn", va.sanitize_error(first).alias("sanitized"))
+
+
+@register("b23_template_errors")
+def _b23(t): return va.template_errors(si.template_rows(t.part)).select("p_partkey", "errors", "valid")
+
+
+@register("b24_rule_search")
+def _b24(t):
+    return va.rule_search(si.policy_workflows(t.nation), "Nation_1", enabled_only=True).select(
+        "id", "workflow_id", "task_type")
+
+
+@register("b25_split_recipients")
+def _b25(t):
+    r = si.recipient_lists(t.customer)
+    return r.select("c_custkey", va.split_recipients("recipient").alias("recipients"))
+
+
+@register("b26_html_escape")
+def _b26(t):
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return t.pages.select("page_id", va.html_escape_mail(title).alias("mail_escaped"),
+                          va.html_escape_full(title).alias("full_escaped"))
+
+
+@register("b27_mime_subject")
+def _b27(t):
+    first = F.element_at(F.split("text", "\n"), 1)
+    return t.documents.select("doc_id", va.mime_subject(first).alias("subject"),
+                              va.base64url(first).alias("first_line_b64url"))

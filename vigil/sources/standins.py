@@ -194,3 +194,142 @@ def policy_results(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "click", "ping").otherwise(F.col("event_type")).alias("task_type"),
         F.col("value").alias("latency_ms"),
         _k(events).alias("k")).select("request_id", "task_type", "latency_ms", rj.alias("result_json"))
+
+
+# ------------------------------------------------------------------ request tables
+def ingest_requests(documents: DataFrame) -> DataFrame:
+    """Memory-ingest requests from ``documents`` with missing fields mixed in."""
+    d = F.col("doc_id")
+    return documents.select(
+        d,
+        F.when(d % 50 == 0, F.lit("")).when(d % 45 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("t"), _s(d % 3))).alias("tenant_id"),
+        F.when(d % 40 == 0, F.lit("")).otherwise(F.col("lang")).alias("scope"),
+        F.col("text"),
+        F.when(d % 10 == 0, F.lit("explicit")).when(d % 9 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("source")).alias("source"),
+        F.when(d % 4 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("req-doc-"), _s(d))).alias("request_id"))
+
+
+def search_requests(benchmark: DataFrame) -> DataFrame:
+    i = F.col("item_id")
+    return benchmark.select(
+        i, F.concat(F.lit("t"), _s(i % 3)).alias("tenant_id"),
+        F.when(i % 9 == 0, F.lit("")).otherwise(F.lit("en")).alias("scope"),
+        F.col("text").alias("query"),
+        F.when(i % 4 == 0, F.lit(None).cast("int")).when(i % 4 == 1, F.lit(0))
+        .otherwise((i % 12).cast("int")).alias("k"))
+
+
+def audit_append_requests(events: DataFrame) -> DataFrame:
+    a = audit_events(events)
+    i = F.col("id")
+    uid = F.regexp_extract(F.col("payload"), r'"request_id":"([^"]*)"', 1)
+    payload = (F.when(i % 3 == 0, F.concat(F.lit('{"request_id":"'), uid, F.lit('"}')))
+               .otherwise(F.concat(F.lit('{"request_id":"'), uid,
+                                   F.lit('","policy_id":"executor-core-v1","policy_version":"2026-02-20"}'))))
+    return a.select(i, F.when(i % 19 == 0, F.lit("")).otherwise(F.col("actor")).alias("actor"),
+                    "action", "target", "decision", payload.alias("payload"))
+
+
+def dispatch_requests(events: DataFrame) -> DataFrame:
+    k = F.col("k")
+    task = (F.when(k % 4 == 0, F.lit('"ping"')).when(k % 4 == 1, F.lit("[1,2]"))
+            .when(k % 13 == 0, F.lit("{not json"))
+            .otherwise(F.concat(F.lit('{"type":"'), F.col("event_type"), F.lit('"}'))))
+    return (events.select("event_id", "user_id", "event_type", _k(events).alias("k"))
+            .select("event_id", F.concat(F.lit("t"), _s(F.col("user_id") % 5)).alias("tenant_id"),
+                    F.when(F.col("user_id") % 23 == 0, F.lit("")).otherwise(F.lit("ops")).alias("scope"),
+                    task.alias("task")))
+
+
+def approval_requests(events: DataFrame) -> DataFrame:
+    k = F.col("k")
+    e = events.where(F.col("event_type") == "signup").select("event_id", "user_id", _k(events).alias("k"))
+    return e.select(
+        "event_id",
+        F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("req-"), _s("user_id")))
+        .alias("request_id"),
+        F.when(k % 3 == 0, "approved").when(k % 3 == 1, "rejected").otherwise("maybe").alias("decision"),
+        F.when(k % 17 == 0, F.lit("")).otherwise(F.lit("alice")).alias("approver"),
+        F.when(k % 2 == 0, F.lit("ok")).alias("comment"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("executor-core-v1")).alias("policy_id"),
+        F.lit(None).cast("string").alias("policy_version"))
+
+
+def rule_upserts(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    s = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
+    k = F.col("s_suppkey")
+    return s.select(
+        k,
+        F.when(k % 10 == 0, F.lit("  ")).otherwise(F.col("n_name")).alias("task_type"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.lower("s_name"), F.lit(" ")))
+        .alias("workflow_id"),
+        F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("workflow"))
+        .when(k % 4 == 2, F.lit("task_type_only")).otherwise(F.lit("")).alias("policy_scope"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit(" t1 ")).alias("tenant_id"),
+        F.when(k % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("user:*")).alias("scope_pattern"),
+        F.when(k % 3 == 0, F.lit(False)).when(k % 3 == 1, F.lit(None).cast("boolean"))
+        .otherwise(F.lit(True)).alias("enabled"),
+        F.lit(None).cast("string").alias("actor"))
+
+
+def conversation_requests(conversations: DataFrame) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    return conversations.select(
+        c, t, F.col("role"),
+        F.when(c % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("t"), _s(c % 3))).alias("tenant_id"),
+        F.when(t == 0, F.lit("")).otherwise(F.concat(F.lit("conv:"), _s(c))).alias("scope"),
+        F.when(t % 3 == 2, F.lit(None).cast("string")).otherwise(F.col("text")).alias("message"),
+        F.when(F.col("role") == "user", F.col("text")).alias("text"),
+        F.when(t % 4 == 0, F.lit("OpenAI")).when(t % 4 == 1, F.lit(None).cast("string"))
+        .when(t % 4 == 2, F.lit("bogus")).otherwise(F.lit("none")).alias("provider"),
+        F.when(t % 5 == 0, F.lit("custom/model")).alias("model"),
+        F.when(t % 2 == 0, F.lit(0.7)).alias("temperature"),
+        F.when((t % 5 == 0), F.lit(None).cast("int")).when(t % 5 == 1, F.lit(0))
+        .when(t % 5 == 2, F.lit(25)).otherwise(t.cast("int")).alias("k"),
+        F.when(c % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("U"), _s(c))).alias("user_id"))
+
+
+def file_manifest(pages: DataFrame) -> DataFrame:
+    """Sandbox file writes from ``pages``: path = URL tail, size = HTML bytes."""
+    return pages.select(
+        "page_id",
+        F.regexp_extract(F.col("url"), r"^[a-z]+://[^/]+/(.*)$", 1).alias("path"),
+        (F.col("page_id") % 8).alias("sandbox"),
+        F.col("page_id").alias("seq"),
+        F.octet_length("html").cast("long").alias("size_bytes"))
+
+
+def template_rows(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    return part.select(
+        k,
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.col("p_name")).alias("name"),
+        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.lit("python:3.11-slim")).alias("base_image"),
+        F.when(k % 4 == 0, F.concat(_s("p_size"), F.lit("m"))).when(k % 4 == 1, F.concat(_s("p_size"), F.lit("G")))
+        .when(k % 4 == 2, F.concat(_s("p_size"), F.lit("mb"))).otherwise(F.lit("lots")).alias("memory_limit"),
+        (F.col("p_size") * 80).alias("timeout"))
+
+
+def candidate_seeds(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    return part.select(
+        k,
+        F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("task_type"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("tenant_id"),
+        F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("size:"), _s("p_size")))
+        .alias("scope"),
+        F.lit(None).cast("string").alias("summary"),
+        F.when(k % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("ok")).alias("outcome"))
+
+
+def recipient_lists(customer: DataFrame) -> DataFrame:
+    k = F.col("c_custkey")
+    raw = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@mail.example.com;"),
+                   F.when(k % 3 == 0, F.lit(" bad-address, ")).otherwise(F.lit(",")),
+                   F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("ops"), _s("c_nationkey"),
+                                                                     F.lit("@corp.example.org"))))
+    raw = F.when(k % 11 == 0, F.lit("nobody, ;")).otherwise(raw)
+    return customer.select(k, raw.alias("recipient"))
