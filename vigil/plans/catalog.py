@@ -340,3 +340,132 @@ def _b27(t):
     first = F.element_at(F.split("text", "\n"), 1)
     return t.documents.select("doc_id", va.mime_subject(first).alias("subject"),
                               va.base64url(first).alias("first_line_b64url"))
+
+
+# ---------------------------------------------------------------- D
+from ..operators import vectors as vx  # noqa: E402
+from ..functions.vectors import l2_norm as _l2  # noqa: E402
+
+TOPK = 5
+
+
+@register("d1_content_hash")
+def _d1(t): return vx.content_hash(t.documents, "text").select("doc_id", "content_hash")
+
+
+@register("d2_cache_lookup")
+def _d2(t):
+    docs = vx.content_hash(si.memory_documents(t.documents))
+    return vx.first_seen_cache(docs).select("id", "tenant_id", "scope", "content_hash", "cached")
+
+
+@register("d3_idempotent_insert")
+def _d3(t):
+    batch = vx.content_hash(si.memory_documents(t.documents))
+    return vx.idempotent_insert(batch, _vectors(t)).select("id", "tenant_id", "scope", "content_hash")
+
+
+@register("d4_truncate")
+def _d4(t):
+    e = vx.truncate(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), 16)
+    return e.select("vec_id", F.size("embedding").alias("dims"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_values"))
+
+
+@register("d9_l2_normalize")
+def _d9(t):
+    e = vx.normalize(t.embeddings.select("vec_id", (F.col("embedding").cast("array<double>")).alias("embedding")))
+    return e.select("vec_id", (F.round(_l2("embedding"), 6) + F.lit(0.0)).alias("norm"),
+                    (F.round(F.element_at("embedding", 1), 6) + F.lit(0.0)).alias("x1"))
+
+
+def _self_queries(mv: DataFrame) -> DataFrame:
+    return mv.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
+
+
+def _exact_matches(t: Tables) -> DataFrame:
+    mv = _vectors(t)
+    return vx.blocked_topk(_self_queries(mv), mv, TOPK)
+
+
+@register("d10_d11_topk_exact")
+def _d11(t):
+    return _exact_matches(t).select("query_id", "rank", "id",
+                                    (F.round("cosine_distance", 6) + F.lit(0.0)).alias("cosine_distance"))
+
+
+@register("d12_ivf_recall")
+def _d12(t):
+    mv = _vectors(t)
+    n = mv.count()
+    lists = max(2, min(vx.ivf_lists(n), n // 10))
+    probes = vx.ivf_probes(lists, n)
+    assigned, cents = vx.ivf_build(mv, lists)
+    approx = vx.ivf_search(_self_queries(mv), assigned, cents, TOPK, probes)
+    exact = vx.blocked_topk(_self_queries(mv), mv, TOPK)
+    return vx.recall_at_k(approx, exact, TOPK).withColumn("lists", F.lit(lists)).withColumn("probes", F.lit(probes))
+
+
+@register("d13_keyword_search")
+def _d13(t):
+    return vx.keyword_search(_vectors(t), "t1", "en", "ing", 5).select("id", "tenant_id", "scope", "created_at")
+
+
+@register("d14_dimension_check")
+def _d14(t): return vx.dimension_check(t.embeddings, 64)
+
+
+@register("d15_vector_text")
+def _d15(t):
+    return vx.vector_text(t.embeddings.select("vec_id", "embedding")).select("vec_id", "embedding_text")
+
+
+@register("d16_dimension_reject")
+def _d16(t):
+    ok, bad = vx.split_by_dimension(t.embeddings.select("vec_id", "embedding"), 64)
+    return bad.select("vec_id", "reject_reason")
+
+
+def _matches_with_content(t: Tables) -> DataFrame:
+    mv = _vectors(t)
+    m = _exact_matches(t)
+    return m.join(mv.select("id", "content"), "id", "inner")
+
+
+@register("d17_context_assembly")
+def _d17(t):
+    m = _matches_with_content(t).withColumn("content", va.redact_injection("content"))
+    c = vx.assemble_context(m)
+    return c.select("query_id", "context_count", F.length("context_text").alias("context_chars"),
+                    F.sha2("context_text", 256).alias("context_sha256"))
+
+
+@register("b28_search_response")
+def _b28(t):
+    r = vx.search_response(_exact_matches(t))
+    return r.select("query_id", "results_count",
+                    F.array_join(F.transform("results", lambda e: e["id"].cast("string")), ",").alias("result_ids"))
+
+
+@register("d5_d7_pca_fit")
+def _d5(t):
+    mv = t.embeddings.select(F.col("embedding").cast("array<double>").alias("embedding"))
+    mean, model = vx.pca_fit(mv, 16, expected_dims=64)
+    spark = t.spark
+    return spark.createDataFrame([(16, len(mean), vx.explained_variance_total(model))],
+                                 "components int, input_dims int, explained_variance_total double")
+
+
+@register("d6_pca_transform")
+def _d6(t):
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    mean, model = vx.pca_fit(e, 16)
+    return vx.pca_transform(e, mean, model).select("vec_id", F.size("reduced").alias("dims"),
+                                                   _l2("reduced").alias("norm"))
+
+
+@register("d8_compare_methods")
+def _d8(t):
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    mean, model = vx.pca_fit(e, 16)
+    return vx.compare_methods(e, mean, model, 16)
