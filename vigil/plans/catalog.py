@@ -469,3 +469,68 @@ def _d8(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     mean, model = vx.pca_fit(e, 16)
     return vx.compare_methods(e, mean, model, 16)
+
+
+# ---------------------------------------------------------------- E / A17
+from ..operators import audit as au  # noqa: E402
+
+
+def _chain(t: Tables) -> DataFrame:
+    return au.build_chain(au.with_hash_columns(_audit(t)))
+
+
+@register("e1_event_hash")
+def _e1(t):
+    a = au.with_hash_columns(_audit(t)).withColumn("prev_hash", F.lit(""))
+    return a.select("id", au.event_hash().alias("event_hash"))
+
+
+@register("e2_chain_append")
+def _e2(t): return _chain(t).select("id", "tenant_id", "prev_hash", "event_hash")
+
+
+@register("e3_chain_verify")
+def _e3(t): return au.verify_summary(au.verify_chain(_chain(t)))
+
+
+def _tampered(chain: DataFrame) -> DataFrame:
+    """A later snapshot: every 97th event deleted, every 89th edited."""
+    i = F.col("id")
+    return (chain.where(i % 97 != 0)
+            .withColumn("decision", F.when(i % 89 == 0, F.lit("allowed")).otherwise(F.col("decision"))))
+
+
+@register("a17_append_only_guard")
+def _a17(t):
+    c = _chain(t)
+    return au.append_only_violations(c, _tampered(c))
+
+
+@register("e4_audit_row_build")
+def _e4(t):
+    d = _decisions(t)
+    return au.build_audit_rows(d, "workflow:executor_dispatch", "executor_run").select(
+        "request_id", "actor", "action", "target", "decision", "payload")
+
+
+def _packed(t: Tables) -> DataFrame:
+    e = t.events.where(F.col("event_type") != "error").select(
+        "event_id", "user_id", "value", F.col("ts").alias("created_at"))
+    prov = F.when(F.col("user_id") % 2 == 0, F.lit("kimi")).otherwise(F.lit("openai"))
+    model = F.when(F.col("user_id") % 3 == 0, F.lit("moonshot:v1-8k")).otherwise(F.lit("gpt-4o-mini"))
+    attempt = F.when(F.col("user_id") % 5 == 0, F.lit(2)).otherwise(F.lit(1))
+    h = F.sha2(F.col("event_id").cast("string"), 256)
+    dec = au.pack_decision(prov, model, attempt, h, (F.col("event_id") % 997).cast("long"),
+                           F.floor("value").cast("int"))
+    return e.select("event_id", "created_at", prov.alias("provider_w"), dec.alias("decision"))
+
+
+@register("e5_packed_decision")
+def _e5(t):
+    return au.unpack_decision(_packed(t)).select("event_id", "provider", "model", "attempt", "answer_length",
+                                                 "latency_ms")
+
+
+@register("e6_decision_vocabulary")
+def _e6(t):
+    return au.normalize_decision_vocabulary(_decisions(t).select("request_id", "decision"))
