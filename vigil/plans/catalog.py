@@ -534,3 +534,185 @@ def _e5(t):
 @register("e6_decision_vocabulary")
 def _e6(t):
     return au.normalize_decision_vocabulary(_decisions(t).select("request_id", "decision"))
+
+
+# ---------------------------------------------------------------- H / A
+import datetime as _dt  # noqa: E402
+
+from ..functions.common import AS_OF, ts_ntz  # noqa: E402
+from ..operators import registry as rg  # noqa: E402
+from ..sources import snapshots as sn  # noqa: E402
+
+
+def _rules(t: Tables) -> DataFrame:
+    return si.policy_workflows(t.nation)
+
+
+@register("h1_list_rules")
+def _h1(t): return rg.list_rules(_rules(t))
+
+
+def _upsert_requests(t: Tables) -> DataFrame:
+    """Incoming upserts: normalised supplier requests plus edits of every
+    second registry rule (so both insert and conflict paths run)."""
+    n = va.normalize_rule_upsert(si.rule_upserts(t.supplier, t.nation).withColumn(
+        "actor", F.col("s_suppkey").cast("string"))).where(F.col("error").isNull())
+    n = n.select(*sn.RULE_KEY, F.lit("{}").alias("constraints"), "enabled",
+                 F.col("actor").cast("long").alias("seq"))
+    edits = _rules(t).where(F.col("id") % 2 == 0).select(
+        *sn.RULE_KEY, F.lit('{"max_runtime_s":0}').alias("constraints"), (~F.col("enabled")).alias("enabled"),
+        F.lit(-1).cast("long").alias("seq"))
+    return n.unionByName(edits)
+
+
+def _rule_history(t: Tables) -> DataFrame:
+    up = _upsert_requests(t)
+    hist = up.select((F.col("seq") + 1000).alias("id"), *sn.RULE_KEY, "constraints", "enabled",
+                     (ts_ntz(AS_OF) - F.make_dt_interval(hours=F.col("seq") + 2)).alias("created_at"),
+                     (ts_ntz(AS_OF) - F.make_dt_interval(hours=F.col("seq") + 2)).alias("updated_at"))
+    return _rules(t).unionByName(hist)
+
+
+@register("h2_latest_rule")
+def _h2(t):
+    return rg.latest_rule(_rule_history(t)).select("workflow_id", "task_type", "id", "tenant_id", "scope_pattern",
+                                                   "constraints", "enabled", "updated_at")
+
+
+@register("h3_unregistered_workflows")
+def _h3(t): return rg.unregistered_workflows(si.workflow_entity(t.supplier, t.nation), _rules(t))
+
+
+@register("h4_unregistered_task_types")
+def _h4(t): return rg.unregistered_task_types(si.candidate_events(t.supplier, t.nation), _rules(t))
+
+
+@register("h5_policy_task_types")
+def _h5(t): return rg.policy_task_types(_rules(t))
+
+
+@register("h6_merge_candidates")
+def _h6(t):
+    m = rg.merge_candidates(rg.unregistered_workflows(si.workflow_entity(t.supplier, t.nation), _rules(t)),
+                            rg.unregistered_task_types(si.candidate_events(t.supplier, t.nation), _rules(t)),
+                            rg.policy_task_types(_rules(t)))
+    return m.select("status", F.array_join("workflow_ids", ",").alias("workflow_ids"),
+                    F.array_join("task_types_workflow", ",").alias("task_types_workflow"),
+                    F.array_join("task_types_policy", ",").alias("task_types_policy"),
+                    "n_workflow_ids", "n_task_types_workflow", "n_task_types_policy")
+
+
+@register("h7_publish_rows")
+def _h7(t): return rg.publish_rows(_rules(t), "rev-20240131")
+
+
+@register("h8_payload_roundtrip")
+def _h8(t):
+    p = rg.publish_payload(_rules(t)).select(F.lit("rev-20240131").alias("revision_id"), "payload")
+    return rg.load_payload(p)
+
+
+@register("h9_upsert_log_rows")
+def _h9(t):
+    n = va.normalize_rule_upsert(si.rule_upserts(t.supplier, t.nation).withColumn(
+        "actor", F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string"))))
+    return rg.log_rows(n, "draft", "upsert", detail_cols=("workflow_id", "task_type", "tenant_id", "scope_pattern",
+                                                          "enabled", "actor", "policy_scope"))
+
+
+@register("h10_bundle_merge")
+def _h10(t):
+    spark = t.spark
+    static = spark.createDataFrame(
+        [(list(pol.STATIC_ALLOWED_TASK_TYPES), 40, 80, None, "")],
+        "allowed_task_types array<string>, requires_approval int, deny int, revision_id string, generated_at string")
+    active = si.revisions(t.region).where("is_active").select("revision_id")
+    return rg.bundle_merge(static, active)
+
+
+@register("h11_runtime_publish_validation")
+def _h11(t):
+    k = F.col("n_nationkey")
+    body = (F.when(k % 5 == 0, F.lit('{"workflows":"oops"}')).when(k % 7 == 0, F.lit("not json"))
+            .when(k % 3 == 0, F.concat(F.lit('{"workflows":[{"task_type":"'), F.col("n_name"), F.lit('"}]}')))
+            .otherwise(F.concat(F.lit('{"revision_id":" rev-'), k.cast("string"),
+                                F.lit(' ","workflows":[{"task_type":"'), F.col("n_name"), F.lit('"},{}]}'))))
+    req = t.nation.select("n_nationkey", body.alias("body"), ts_ntz(AS_OF).alias("received_at"))
+    return rg.validate_runtime_publish(req).select("n_nationkey", "error", "revision_id", "count")
+
+
+@register("h13_enabled_reflection")
+def _h13(t):
+    cur = si.revisions(t.region).where("is_active")
+    return rg.enabled_count_and_reflection(_rules(t), cur, "rev-2")
+
+
+@register("h14_revision_history")
+def _h14(t):
+    counts = si.revision_rows(t.nation).groupBy("revision_id").agg(F.count(F.lit(1)).alias("rules"))
+    return rg.revision_history(si.revisions(t.region).join(counts, "revision_id", "left"))
+
+
+@register("h14_rollback")
+def _h14b(t):
+    return rg.rollback(_rules(t), si.revision_rows(t.nation), "rev-1", "rev-rollback-1", AS_OF)
+
+
+@register("a1_scan_projection")
+def _a1(t): return _vectors(t).where(F.col("scope") == "en").select("id", "tenant_id", "scope", "source", "created_at")
+
+
+@register("a2_newest_sample")
+def _a2(t):
+    mv = _vectors(t)
+    s = mv.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(5000)
+    return s.select("id", "created_at")
+
+
+@register("a3_parse_vector_text")
+def _a3(t):
+    mv = _vectors(t).select("id", F.to_json("embedding").alias("embedding_text"))
+    p = mv.select("id", vx.parse_vector_text("embedding_text").alias("v"))
+    return p.select("id", F.size("v").alias("dims"),
+                    F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_values"))
+
+
+@register("a10_h12_upsert_rules")
+def _a10(t):
+    return sn.upsert_rules(_rules(t), _upsert_requests(t), AS_OF, order_col="seq").select(
+        *sn.RULE_KEY, "constraints", "enabled", "created_at", "updated_at")
+
+
+def _cursor(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("inbox", 250000, _dt.datetime(2024, 1, 30)), ("archive", 5, _dt.datetime(2024, 1, 1))],
+                                   "key string, last_seen_internal_date long, updated_at timestamp_ntz")
+
+
+@register("a11_upsert_cursor")
+def _a11(t):
+    items = si.mail_items(t.conversations)
+    return sn.advance_cursor(items, _cursor(t), AS_OF)
+
+
+@register("a12_seed_if_absent")
+def _a12(t):
+    return sn.seed_if_absent(_rules(t), pol.STATIC_ALLOWED_TASK_TYPES, AS_OF).drop("id")
+
+
+@register("a13_delete_by_key")
+def _a13(t):
+    sup, nat = t.supplier, t.nation
+    s = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
+    dels = s.where(F.col("s_suppkey") % 3 == 0).select(
+        F.concat(F.lower(F.regexp_replace("n_name", " ", "_")), F.lit("_v1")).alias("workflow_id"),
+        F.col("n_name").alias("task_type"), F.lit("*").alias("tenant_id"), F.lit("*").alias("scope_pattern"))
+    return sn.delete_by_key(_rules(t), dels).select("id", *sn.RULE_KEY)
+
+
+@register("a14_j3_new_since_cursor")
+def _a14(t):
+    return sn.new_since_cursor(si.mail_items(t.conversations), _cursor(t)).select("id", "internal_date", "status")
+
+
+@register("a16_metrics_exposition")
+def _a16(t): return sn.metrics_exposition(pol.decision_counters(_with_fallback(t, "open")))

@@ -333,3 +333,57 @@ def recipient_lists(customer: DataFrame) -> DataFrame:
                                                                      F.lit("@corp.example.org"))))
     raw = F.when(k % 11 == 0, F.lit("nobody, ;")).otherwise(raw)
     return customer.select(k, raw.alias("recipient"))
+
+
+# ------------------------------------------------------------------ registry side tables
+def workflow_entity(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """Workflow definitions known to the orchestrator: one per supplier,
+    named after the supplier's nation."""
+    k = F.col("s_suppkey")
+    s = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
+    return s.select(F.concat(F.lower(F.regexp_replace("n_name", " ", "_")), F.lit("_v1")).alias("name"),
+                    F.when(k % 9 == 0, F.lit(False)).when(k % 4 == 0, F.lit(None).cast("boolean"))
+                    .otherwise(F.lit(True)).alias("active"))
+
+
+def candidate_events(supplier: DataFrame, nation: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
+    return s.select(k.alias("id"),
+                    F.when(k % 8 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("task_type"),
+                    F.concat(F.lit("t"), _s(k % 3)).alias("tenant_id"), F.lit("*").alias("scope"),
+                    F.lit("seed").alias("source"),
+                    (ts_ntz(as_of) - F.make_dt_interval(hours=k)).alias("created_at"))
+
+
+def revision_rows(nation: DataFrame) -> DataFrame:
+    """Published revisions in row form: revision ``rev-<region>`` holds the
+    rules of that region's nations."""
+    rules = policy_workflows(nation).join(nation.select(F.col("n_nationkey").cast("long").alias("id"),
+                                                        "n_regionkey"), "id")
+    return rules.select(F.concat(F.lit("rev-"), _s("n_regionkey")).alias("revision_id"),
+                        "workflow_id", "task_type", "tenant_id", "scope_pattern", "constraints", "enabled")
+
+
+def revisions(region: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    r = F.col("r_regionkey")
+    return region.where(r.isin(0, 1, 2)).select(
+        F.concat(F.lit("rev-"), _s(r)).alias("revision_id"), F.lit("published").alias("status"),
+        (ts_ntz(as_of) - F.make_dt_interval(days=F.lit(5) - r)).alias("published_at"),
+        (r == 2).alias("is_active"))
+
+
+def mail_items(conversations: DataFrame) -> DataFrame:
+    """Mail metadata from ``conversations``: id = conv_id-turn, internalDate
+    in turn order, headers as an array of structs."""
+    c, t = F.col("conv_id"), F.col("turn")
+    first_line = F.element_at(F.split("text", "\n"), 1)
+    headers = F.array(
+        F.struct(F.lit("From").alias("name"), F.concat(F.col("role"), F.lit("@example.com")).alias("value")),
+        F.struct(F.when(t % 2 == 0, F.lit("subject")).otherwise(F.lit("Subject")).alias("name"),
+                 F.substring(first_line, 1, 80).alias("value")),
+        F.struct(F.lit("Date").alias("name"), F.concat(F.lit("2024-01-"), F.lpad(_s(c % 28 + 1), 2, "0")).alias("value")))
+    headers = F.when(t % 7 == 3, F.slice(headers, 1, 1)).otherwise(headers)
+    return conversations.select(
+        F.concat(_s(c), F.lit("-"), _s(t)).alias("id"), F.concat(F.lit("thr-"), _s(c)).alias("thread_id"),
+        (c * 1000 + t).alias("internal_date"), F.col("text").alias("snippet_source"), headers.alias("headers"))
