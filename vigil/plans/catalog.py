@@ -716,3 +716,189 @@ def _a14(t):
 
 @register("a16_metrics_exposition")
 def _a16(t): return sn.metrics_exposition(pol.decision_counters(_with_fallback(t, "open")))
+
+
+# ---------------------------------------------------------------- I
+from ..operators import routing as ro  # noqa: E402
+from ..operators import feeds as fd  # noqa: E402
+
+LOOKBACK_MIN = 24 * 60
+
+
+@register("i1_select_model")
+def _i1(t):
+    r = si.conversation_requests(t.conversations)
+    c = F.col("conv_id")
+    r = r.withColumn("use_case", F.when(c % 4 == 0, F.lit("daily_digest")).when(c % 4 == 1, F.lit(None).cast("string"))
+                     .otherwise(F.lit("chat")))
+    return ro.select_model(r).select("conv_id", "turn", "provider_norm", "selected_model", "selected_by")
+
+
+def _parsed(t: Tables) -> DataFrame:
+    return ro.parse_response(si.router_responses(t.conversations))
+
+
+@register("i2_parse_response")
+def _i2(t):
+    return _parsed(t).select("conv_id", "turn", "http_status", "router_status",
+                             F.length("answer").alias("answer_chars"), F.sha2("answer", 256).alias("answer_sha256"))
+
+
+@register("i3_primary_fallback")
+def _i3(t):
+    p = _parsed(t)
+    prim = p.select("conv_id", "turn", F.col("content").alias("primary_content"))
+    fb = p.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("fallback_content"))
+    j = ro.choose_primary_fallback(prim.join(fb, ["conv_id", "turn"], "left"))
+    return j.select("conv_id", "turn", "is_fallback", "attempt", "failed",
+                    F.sha2("content", 256).alias("content_sha256"))
+
+
+@register("i4_breaker_guard")
+def _i4(t):
+    a = si.router_audit(t.events).where(F.col("action") == "chat_router_v1_brain_failure")
+    return ro.breaker_guard(a).select("id", "tenant_id", "fails", "breaker_open")
+
+
+@register("i5_provider_latency")
+def _i5(t):
+    return ro.provider_latency(si.router_audit(t.events), AS_OF, LOOKBACK_MIN).select(
+        "provider", F.round("avg_latency", 6).alias("avg_latency"), "total")
+
+
+@register("i6_provider_failures")
+def _i6(t): return ro.provider_failures(si.router_audit(t.events), AS_OF, LOOKBACK_MIN)
+
+
+@register("i7_provider_ranking")
+def _i7(t):
+    a = si.router_audit(t.events)
+    r = ro.rank_providers(ro.provider_latency(a, AS_OF, LOOKBACK_MIN), ro.provider_failures(a, AS_OF, LOOKBACK_MIN))
+    return r.select("provider", "avg_latency", "total", "failures", F.round("failure_rate", 6).alias("failure_rate"),
+                    F.round("score", 6).alias("score"), "rank", "selected")
+
+
+@register("i8_build_prompt")
+def _i8(t):
+    m = _matches_with_content(t).withColumn("content", va.redact_injection("content"))
+    ctx = vx.assemble_context(m)
+    q = _vectors(t).select(F.col("id").alias("query_id"),
+                           va.redact_injection(F.element_at(F.split("content", "\n"), 1)).alias("message"))
+    p = ro.build_prompt(q.join(ctx, "query_id", "left"))
+    return p.select("query_id", "prompt_chars", F.sha2("user_prompt", 256).alias("user_prompt_sha256"))
+
+
+@register("i9_cap_answer")
+def _i9(t):
+    d = t.documents.select("doc_id", F.col("text").alias("content"), "n_chars")
+    start = ts_ntz(AS_OF) - F.make_dt_interval(mins=F.col("doc_id"))
+    d = d.withColumn("started_at", start).withColumn(
+        "ended_at", start + F.make_dt_interval(secs=(F.col("n_chars") % 60).cast("decimal(18,6)")))
+    return ro.cap_answer(d).select("doc_id", "answer_length", "audit_hash", "latency_ms")
+
+
+@register("i10_answer_fallback")
+def _i10(t):
+    c = t.conversations
+    ans = F.when(F.col("turn") % 5 == 0, F.lit("   ")).when(F.col("turn") % 5 == 1, F.lit(None).cast("string")) \
+        .otherwise(F.col("text"))
+    s = ro.answer_fallback(ans)
+    return c.select("conv_id", "turn", F.length(s).alias("answer_chars"), F.sha2(s, 256).alias("answer_sha256"))
+
+
+def _digest_rows(t: Tables) -> DataFrame:
+    p = _parsed(t)
+    c = F.col("conv_id")
+    p = p.select("conv_id", "turn", F.col("text").alias("facts"), "answer", "router_status",
+                 (F.col("turn") % 3 != 0).alias("router_ok"),
+                 F.when(c % 2 == 0, F.concat(F.lit("Digest <"), c.cast("string"), F.lit(">"))).alias("subject"))
+    return ro.digest_text(p)
+
+
+@register("i11_digest_text")
+def _i11(t):
+    return _digest_rows(t).select("conv_id", "turn", F.length("final_message").alias("final_chars"),
+                                  F.sha2("final_message", 256).alias("final_sha256"),
+                                  F.sha2("html_message", 256).alias("html_sha256"))
+
+
+@register("i12_outcome_episode")
+def _i12(t):
+    d = _digest_rows(t).select(
+        F.concat(F.lit("t"), (F.col("conv_id") % 3).cast("string")).alias("tenant_id"),
+        F.lit("security-digest").alias("scope"), "outcome",
+        F.concat(F.lit("req-conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+        .alias("request_id"))
+    return ro.episode_rows(d, AS_OF)
+
+
+# ---------------------------------------------------------------- J / B29-B31
+@register("j1_split_messages")
+def _j1(t):
+    return fd.split_messages(si.list_responses(t.conversations)).select("conv_id", "turn", "message_id", "thread_id")
+
+
+@register("j2_header_lookup")
+def _j2(t):
+    m = si.mail_items(t.conversations)
+    return m.select("id", fd.header("headers", "From").alias("from"), fd.header("headers", "Subject").alias("subject"),
+                    fd.header("headers", "Date").alias("date"))
+
+
+@register("j4_no_messages_marker")
+def _j4(t):
+    r = si.list_responses(t.conversations).withColumn(
+        "key", F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")))
+    return fd.no_message_markers(r, "key")
+
+
+@register("j5_newest_kev")
+def _j5(t): return fd.newest_kev(si.kev_feed(t.part), "pos").select("pos", "cveID", "vendorProject", "product",
+                                                                     "dueDate")
+
+
+@register("j6_first_cves")
+def _j6(t): return fd.first_cves(si.nvd_feed(t.part), "pos").select("pos", "id", "cvss", "description_en")
+
+
+@register("j7_normalize_text")
+def _j7(t):
+    k = si.kev_feed(t.part)
+    return k.select("pos", fd.normalize_text("shortDescription").alias("note"),
+                    fd.normalize_text("shortDescription", ellipsis=True).alias("note_executor"))
+
+
+@register("j8_factual_digest")
+def _j8(t):
+    d = fd.factual_digest(si.kev_feed(t.part), si.nvd_feed(t.part), AS_OF)
+    return d.select("date_label", "kev_total", "nvd_total", F.length("factual_digest").alias("digest_chars"),
+                    F.sha2("factual_digest", 256).alias("digest_sha256"))
+
+
+@register("j9_email_prompt")
+def _j9(t):
+    m = si.mail_items(t.conversations)
+    m = m.select("id", "thread_id", fd.header("headers", "From").alias("from"),
+                 fd.header("headers", "Subject").alias("subject"), fd.header("headers", "Date").alias("date"))
+    p = fd.email_prompt(m)
+    return p.select("id", "tenant_id", "scope", F.length("prompt").alias("prompt_chars"),
+                    F.sha2("prompt", 256).alias("prompt_sha256"), F.col("meta.thread_id").alias("meta_thread_id"),
+                    F.col("meta.subject").alias("meta_subject"))
+
+
+@register("b29_normalize_http")
+def _b29(t):
+    return fd.normalize_http(si.list_responses(t.conversations)).select("conv_id", "turn", "http_status", "http_error",
+                                                                         "ok")
+
+
+@register("b30_tolerant_parse")
+def _b30(t):
+    return fd.tolerant_parse(si.list_responses(t.conversations)).select("conv_id", "turn", "parse_status", "sample")
+
+
+@register("b31_first_message")
+def _b31(t):
+    m = si.mail_items(t.conversations).select("thread_id", "id", "internal_date", "snippet_source")
+    return fd.first_message(m, "thread_id", "internal_date", "id", "snippet_source").select(
+        "thread_id", "id", "internal_date", "snippet", "status")

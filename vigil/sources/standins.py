@@ -387,3 +387,81 @@ def mail_items(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.concat(_s(c), F.lit("-"), _s(t)).alias("id"), F.concat(F.lit("thr-"), _s(c)).alias("thread_id"),
         (c * 1000 + t).alias("internal_date"), F.col("text").alias("snippet_source"), headers.alias("headers"))
+
+
+# ------------------------------------------------------------------ router / feed inputs
+def router_responses(conversations: DataFrame) -> DataFrame:
+    """Model-service replies per conversation turn: success, provider error,
+    empty choice, and bare HTTP failures."""
+    c, t = F.col("conv_id"), F.col("turn")
+    content = F.to_json(F.struct(F.col("text").alias("content")))
+    body = (F.when(t % 4 == 0, F.concat(F.lit('{"choices":[{"message":'), content, F.lit("}]}")))
+            .when(t % 4 == 1, F.concat(F.lit('{"error":{"message":"rate limited '), _s(c), F.lit('"}}')))
+            .when(t % 4 == 2, F.lit('{"choices":[{"message":{}}]}')).otherwise(F.lit("{}")))
+    return conversations.select(
+        c, t, F.col("text"), body.alias("body"),
+        F.when(t % 4 == 0, 200).when(t % 4 == 1, 429).when(t % 4 == 2, 0).otherwise(502).alias("status_code"),
+        F.when((t % 4 == 3) & (c % 2 == 0), F.lit("upstream timeout")).alias("http_error"),
+        F.when((t % 4 == 3) & (c % 3 == 0), F.lit("bad gateway")).alias("http_message"))
+
+
+def router_audit(events: DataFrame) -> DataFrame:
+    """Router audit rows from ``events``: completions with the packed
+    decision string, and provider failures (error events)."""
+    uid = F.col("user_id")
+    prov = F.when(uid % 2 == 0, F.lit("kimi")).otherwise(F.lit("openai"))
+    model = F.when(uid % 3 == 0, F.lit("moonshot:v1-8k")).otherwise(F.lit("gpt-4o-mini"))
+    attempt = F.when(uid % 5 == 0, F.lit("2")).otherwise(F.lit("1"))
+    packed = F.concat(prov, F.lit(":"), model, F.lit(":attempt"), attempt, F.lit(":hash"),
+                      F.sha2(_s("event_id"), 256), F.lit(":len"), _s(F.col("event_id") % 997),
+                      F.lit(":latency"), _s(F.floor("value").cast("int")))
+    err = F.col("event_type") == "error"
+    return events.select(
+        F.col("event_id").alias("id"), F.concat(F.lit("t"), _s(uid % 5)).alias("tenant_id"),
+        F.lit("workflow:chat_router_v1").alias("actor"),
+        F.when(err, "chat_router_v1_brain_failure").otherwise("chat_completion").alias("action"),
+        F.concat(F.lit("user:"), _s(uid % 20)).alias("target"),
+        F.when(err, prov).otherwise(packed).alias("decision"), F.col("ts").alias("created_at"))
+
+
+def list_responses(conversations: DataFrame) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    mid = lambda x: F.concat(F.lit('{"id":"'), _s(c), F.lit("-"), _s(t), F.lit(x), F.lit('","threadId":"thr-'),
+                              _s(c), F.lit('"}'))
+    body = (F.when(t % 3 == 0, F.concat(F.lit('{"messages":['), mid("a"), F.lit(","), mid("b"),
+                                        F.lit('],"resultSizeEstimate":2}')))
+            .when(t % 3 == 1, F.lit('{"resultSizeEstimate":0}'))
+            .otherwise(F.concat(F.lit('{"messages":['), mid("a"), F.lit('],"resultSizeEstimate":1}'))))
+    resp = (F.when(t % 4 == 0, F.lit('{"statusCode":200,"body":{}}'))
+            .when(t % 4 == 1, F.lit('{"status":503,"message":"unavailable"}'))
+            .when(t % 4 == 2, F.lit('{"messages":[],"resultSizeEstimate":0}'))
+            .otherwise(F.lit('{"error":"boom"}')))
+    raw = (F.when(t % 4 == 0, F.lit("")).when(t % 4 == 1, F.concat(F.lit('{"id":"'), _s(c), F.lit('"}')))
+           .when(t % 4 == 2, F.lit("{broken")).otherwise(F.col("text")))
+    return conversations.select(c, t, body.alias("body"), resp.alias("response"), raw.alias("raw"))
+
+
+def kev_feed(part: DataFrame) -> DataFrame:
+    """Known-exploited list entries from ``part`` (list order = p_partkey)."""
+    k = F.col("p_partkey")
+    desc = F.concat(F.lit("  "), F.col("p_type"), F.lit("\t\t"), F.col("p_name"), F.lit("  "),
+                    F.repeat(F.lit("x "), F.col("p_size") * 4))
+    return part.select(k.alias("pos"), F.concat(F.lit("CVE-2024-"), F.lpad(_s(k), 5, "0")).alias("cveID"),
+                       F.col("p_brand").alias("vendorProject"), F.col("p_name").alias("product"),
+                       F.concat(F.lit("2024-02-"), F.lpad(_s(F.col("p_size") % 28 + 1), 2, "0")).alias("dueDate"),
+                       F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(desc).alias("shortDescription"))
+
+
+def nvd_feed(part: DataFrame) -> DataFrame:
+    """New-CVE list entries from ``part``: score = p_size / 5."""
+    k = F.col("p_partkey")
+    score = F.col("p_size") / F.lit(5.0)
+    return part.select(
+        k.alias("pos"), F.concat(F.lit("CVE-2023-"), F.lpad(_s(k), 5, "0")).alias("id"),
+        F.concat(F.lit("2024-01-"), F.lpad(_s(F.col("p_size") % 28 + 1), 2, "0"), F.lit("T10:00:00.000"))
+        .alias("published"),
+        F.when(k % 3 == 0, score).alias("cvss_v31"), F.when(k % 3 == 1, score).alias("cvss_v30"),
+        F.when(k % 6 == 2, score).alias("cvss_v2"),
+        F.array(F.struct(F.lit("es").alias("lang"), F.concat(F.lit("es: "), F.col("p_name")).alias("value")),
+                F.struct(F.lit("en").alias("lang"),
+                         F.concat(F.col("p_name"), F.lit("  "), F.col("p_type")).alias("value"))).alias("descriptions"))
