@@ -70,3 +70,19 @@ def ordered_errors(*checks: tuple[Column, str]) -> Column:
     arr = F.array(*[F.when(cond, F.lit(msg)) for cond, msg in checks])
     out = F.filter(arr, lambda x: x.isNotNull())
     return out
+
+
+def py_fixed(x, digits: int) -> Column:
+    """Python/C ``f"{x:.<digits>f}"``: round-half-even on the exact binary
+    value.  Java's ``%.nf`` rounds exact ties up, so exact ties (x·2^(d+1)
+    an odd integer) are rounded with ``bround`` first; every other value is
+    not a tie and ``format_string`` already gives the correctly rounded
+    digits."""
+    x = as_col(x).cast("double")
+    scaled = x * F.lit(float(2 ** (digits + 1)))
+    tie = (scaled == F.floor(scaled)) & (F.pmod(F.floor(scaled), F.lit(2.0)) == 1.0)
+    fmt = f"%.{digits}f"
+    return F.when(tie, F.format_string(fmt, F.bround(x, digits))).otherwise(F.format_string(fmt, x))
+
+
+__all__.append("py_fixed")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import as_col, days_before, ts_ntz
+from ..functions.windows import trailing_agg
 from .audit import unpack_decision
 
 # Model identifiers and selection thresholds of the router.
@@ -103,21 +104,9 @@ def choose_primary_fallback(df: DataFrame, primary: str = "primary_content",
 
 # ---------------------------------------------------------------- I4 / K17
 def trailing_count(df: DataFrame, keys, ts_col: str, seconds: int, out: str = "n_in_window") -> DataFrame:
-    """Events of the same key in the half-open window (t - seconds, t].
-
-    Partitions are (key, bucket of ``seconds``); every row is also copied
-    as a halo into the next bucket, so each window sees all earlier events
-    it needs.  Exact, and a hot key is split across its time buckets."""
-    keys = list(keys)
-    us = F.timestamp_diff("MICROSECOND", ts_ntz("1970-01-01 00:00:00"), F.col(ts_col))
-    width = seconds * 1_000_000
-    base = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
-    prim = base.withColumn("_halo", F.lit(False))
-    halo = base.select(*keys, "_us", (F.col("_b") + 1).alias("_b"), F.lit(True).alias("_halo"))
-    allr = prim.unionByName(halo, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-(width - 1), 0)
-    return (allr.withColumn(out, F.count(F.lit(1)).over(w)).where(~F.col("_halo"))
-            .drop("_us", "_b", "_halo"))
+    """Events of the same key in the half-open window (t - seconds, t],
+    split by (key, time bucket) with a halo (see ``functions.windows``)."""
+    return trailing_agg(df, keys, ts_col, seconds, None, out)
 
 
 def breaker_guard(df: DataFrame, keys=("tenant_id",), ts_col: str = "created_at", window_seconds: int = 60,

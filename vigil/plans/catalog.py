@@ -902,3 +902,177 @@ def _b31(t):
     m = si.mail_items(t.conversations).select("thread_id", "id", "internal_date", "snippet_source")
     return fd.first_message(m, "thread_id", "internal_date", "id", "snippet_source").select(
         "thread_id", "id", "internal_date", "snippet", "status")
+
+
+# ---------------------------------------------------------------- K
+from ..operators import telemetry as tm  # noqa: E402
+
+
+def _snap_time(t: Tables):
+    """Telemetry snapshot time: the newest event (a scalar subquery)."""
+    return t.events.agg(F.max("ts")).scalar()
+
+
+def _sessions(t: Tables) -> DataFrame:
+    ev = si.session_events(t.events)
+    return tm.session_expiry(tm.session_records(ev, extra_keys=("pool",)), _snap_time(t))
+
+
+@register("k1_session_expiry")
+def _k1(t): return _sessions(t).select("session_id", "template", "age", "idle_time", "ttl", "is_expired", "use_count")
+
+
+@register("k2_lifecycle_counters")
+def _k2(t): return tm.lifecycle_counters(_sessions(t), si.session_events(t.events))
+
+
+@register("k3_latest_state")
+def _k3(t):
+    return tm.latest_state(si.session_events(t.events), pool="pool-1").select("session_id", "pool", "pod", "template",
+                                                                               "ts")
+
+
+@register("k4_ttl_alive_sessions")
+def _k4(t):
+    s = tm.session_records(si.session_events(t.events))
+    return tm.ttl_alive(s, "last_used", 86400, _snap_time(t)).select("session_id", "last_used", "expires_at")
+
+
+@register("k4_ttl_alive_files")
+def _k4f(t):
+    m = si.file_manifest(t.pages).withColumn(
+        "created_at", ts_ntz(AS_OF) - F.make_dt_interval(mins=F.col("page_id") * 10))
+    return tm.ttl_alive(m, "created_at", 86400, ts_ntz(AS_OF)).select("page_id", "path", "expires_at")
+
+
+@register("k5_session_changes")
+def _k5(t):
+    e = t.events.where(F.col("event_type").isin("click", "view"))
+    ch = e.select("event_id", "ts", F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("session_id"),
+                  F.when(F.col("event_type") == "click", "migrate").otherwise("restore").alias("kind"),
+                  F.concat(F.lit("pod-"), (F.col("event_id") % 5).cast("string")).alias("new_pod"),
+                  F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0),
+                         F.concat(F.lit("pool-"), (F.col("event_id") % 4).cast("string"))).alias("new_pool"))
+    return tm.apply_session_changes(ch)
+
+
+def _probes(t: Tables) -> DataFrame:
+    return tm.classify_probe(si.probe_samples(t.events))
+
+
+def _pools(t: Tables) -> DataFrame:
+    return si.pool_snapshot(_probes(t), t.events)
+
+
+@register("k6_affinity_lookup")
+def _k6(t):
+    aff = t.events.where(F.col("event_type") == "view").select(
+        "event_id", F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("session_id"),
+        F.concat(F.lit("pool-"), (F.col("event_id") % 4).cast("string")).alias("pool"), F.col("ts").alias("created_at"))
+    return tm.affinity_lookup(aff, _pools(t), _snap_time(t))
+
+
+@register("k7_classify_probe")
+def _k7(t): return _probes(t).select("event_id", "pool", "status", "response_time_ms", "outcome")
+
+
+@register("k8_available_pools")
+def _k8(t): return tm.available_pools(_pools(t)).select("name", "status", "current_sessions", "queue_depth")
+
+
+@register("k9_order_pools")
+def _k9(t): return tm.order_pools(_pools(t), "eu-west").select("name", "region", "priority", "order_rank")
+
+
+def _top(t: Tables) -> DataFrame:
+    return tm.score_pools(tm.order_pools(tm.available_pools(_pools(t)), "eu-west"))
+
+
+@register("k10_score_pools")
+def _k10(t): return _top(t).select("name", F.round("score", 9).alias("score"), "score_rank")
+
+
+@register("k11_weighted_pick")
+def _k11(t): return tm.weighted_pick(_sessions(t).select("session_id"), _top(t))
+
+
+@register("k12_breaker_replay")
+def _k12(t): return tm.breaker_replay(_probes(t))
+
+
+@register("k13_pool_stats")
+def _k13(t): return tm.pool_stats(_pools(t))
+
+
+@register("k14_scaling_targets")
+def _k14(t):
+    ev = si.session_events(t.events)
+    last = ev.groupBy("session_id", "pool").agg(F.max_by("template", F.struct("ts", "event_id")).alias("last"))
+    s = last.withColumn("phase", F.when(F.col("last") == "signup", "Pending").otherwise("Active"))
+    return tm.scaling_targets(s, _pools(t))
+
+
+@register("k15_hold_alerts")
+def _k15(t):
+    p = si.probe_samples(t.events)
+    rules = [("ExecutorHighQueueDepth", F.col("mem") > 50, 120), ("ExecutorHighCPUUtilization", F.col("cpu") > 90, 300),
+             ("ExecutorPoolDown", F.col("probe_status") == 500, 60)]
+    out = None
+    for name, cond, hold in rules:
+        a = tm.hold_alerts(p, "pool", "ts", "event_id", cond, hold).where("firing").groupBy("pool").agg(
+            F.count(F.lit(1)).alias("firing_samples"), F.min("ts").alias("first_firing")) \
+            .withColumn("alert", F.lit(name))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@register("k16_counter_rate")
+def _k16(t):
+    return tm.counter_increase(si.probe_samples(t.events), "pool", "ts", "event_id", "counter").select(
+        "event_id", "pool", F.round("increase", 6).alias("increase"), "rate_positive")
+
+
+@register("k17_rate_limit")
+def _k17(t):
+    return tm.rate_limit(t.events.select("event_id", "user_id", "ts"), "user_id", "ts").select(
+        "event_id", "user_id", "requests_in_window", "rejected")
+
+
+@register("k18_package_key")
+def _k18(t):
+    p = t.part
+    pk = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    lang = F.when(F.col("p_partkey") % 3 == 0, F.lit("javascript")).otherwise(F.lit("python"))
+    return p.select("p_partkey", tm.package_key(pk, lang).alias("cache_key"))
+
+
+@register("k19_cache_stats")
+def _k19(t): return tm.cache_stats(si.file_manifest(t.pages))
+
+
+@register("k20_execution_result")
+def _k20(t):
+    r = tm.execution_result(si.exec_results(t.conversations))
+    return r.select("conv_id", "turn", "status", "error_message", F.sha2("error_traceback", 256).alias("traceback_sha256"))
+
+
+@register("k21_artifact_type")
+def _k21(t):
+    r = si.exec_results(t.conversations)
+    return r.select("conv_id", "turn", "filename", tm.artifact_type("filename").alias("artifact_type"))
+
+
+@register("k22_format_size")
+def _k22(t):
+    m = si.file_manifest(t.pages)
+    return m.select("page_id", tm.format_size("size_bytes").alias("size"),
+                    tm.format_size(F.col("size_bytes") * F.lit(1048576.0) * F.col("page_id")).alias("scaled_size"))
+
+
+@register("k23_display_text")
+def _k23(t):
+    r = tm.execution_result(si.exec_results(t.conversations))
+    r = r.withColumn("artifacts", F.array(F.struct(F.col("filename").alias("name"),
+                                                   tm.artifact_type("filename").alias("type"))))
+    d = tm.display_text(r)
+    return d.select("conv_id", "turn", F.length("display").alias("display_chars"), F.sha2("display", 256).alias("display_sha256"))

@@ -465,3 +465,65 @@ def nvd_feed(part: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("es").alias("lang"), F.concat(F.lit("es: "), F.col("p_name")).alias("value")),
                 F.struct(F.lit("en").alias("lang"),
                          F.concat(F.col("p_name"), F.lit("  "), F.col("p_type")).alias("value"))).alias("descriptions"))
+
+
+# ------------------------------------------------------------------ telemetry inputs
+def session_events(events: DataFrame) -> DataFrame:
+    """Session activity from ``events``: session = user, pool = user % 4."""
+    uid = F.col("user_id")
+    return events.select(
+        "event_id", "ts", F.concat(F.lit("sess-"), _s(uid)).alias("session_id"),
+        F.concat(F.lit("pool-"), _s(uid % 4)).alias("pool"),
+        F.concat(F.lit("pod-"), _s(uid % 4), F.lit("-"), _s(F.col("event_id") % 3)).alias("pod"),
+        F.col("event_type").alias("template"),
+        F.when(F.col("event_type") == "error", "error").otherwise("use").alias("kind"))
+
+
+def probe_samples(events: DataFrame) -> DataFrame:
+    """Pool health probes from ``events``: status 500 for error events, a
+    timeout (null) for every 10th view, cpu = 7k mod 100, memory = k."""
+    k = F.col("k")
+    et = F.col("event_type")
+    return events.select("event_id", "ts", "user_id", "event_type", "value", _k(events).alias("k")).select(
+        "event_id", "ts", F.concat(F.lit("pool-"), _s(F.col("user_id") % 4)).alias("pool"),
+        F.when(et == "error", F.lit(500)).when((et == "view") & (k % 10 == 0), F.lit(None).cast("int"))
+        .otherwise(F.lit(200)).alias("probe_status"),
+        ((k * 7) % 100).alias("cpu"), k.alias("mem"), (F.col("value") * 10).alias("elapsed_ms"),
+        F.floor("value").cast("long").alias("counter"))
+
+
+def pool_snapshot(probes_classified: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per pool: latest probe result plus capacity attributes
+    (sessions = distinct users seen; the rest from the pool number)."""
+    latest = (probes_classified.groupBy("pool")
+              .agg(F.max_by(F.struct("status", "response_time_ms", "mem", "probe_status"),
+                            F.struct("ts", "event_id")).alias("_p"))
+              .select("pool", "_p.*"))
+    sess = events.groupBy(F.concat(F.lit("pool-"), _s(F.col("user_id") % 4)).alias("pool")).agg(
+        F.countDistinct("user_id").alias("current_sessions"))
+    p = F.substring(F.col("pool"), 6, 4).cast("int")
+    return latest.join(sess, "pool", "left").select(
+        F.col("pool").alias("name"),
+        F.when(p % 2 == 0, F.lit("us-east")).otherwise(F.lit("eu-west")).alias("region"),
+        (p % 3 + 1).cast("double").alias("weight"), (p % 2).alias("priority"), F.lit(40).alias("max_sessions"),
+        F.coalesce(F.col("current_sessions"), F.lit(0)).alias("current_sessions"),
+        F.col("mem").alias("queue_depth"), "status", "response_time_ms",
+        F.when(F.col("probe_status") == 500, F.lit("open")).otherwise(F.lit("closed")).alias("breaker_state"),
+        (p % 3 + 2).alias("current_replicas"))
+
+
+def exec_results(conversations: DataFrame) -> DataFrame:
+    """Sandbox execution results from ``conversations``: every third turn
+    fails with a Python traceback."""
+    c, t = F.col("conv_id"), F.col("turn")
+    first = F.element_at(F.split("text", "\n"), 1)
+    tb = F.concat(F.lit("warn: deprecated\nTraceback (most recent call last):\n  File \"main.py\", line "), _s(t),
+                  F.lit("\n    "), F.substring(first, 1, 30), F.lit("\nValueError: bad value "), _s(c), F.lit("\n"))
+    stderr = F.when(t % 3 == 0, tb).when(t % 3 == 1, F.concat(F.lit("note: "), _s(c))).otherwise(F.lit(""))
+    ext = (F.when(c % 5 == 0, ".png").when(c % 5 == 1, ".jpg").when(c % 5 == 2, ".jpeg").when(c % 5 == 3, ".svg")
+           .otherwise(".json"))
+    fname = F.concat(F.lit("plot_"), _s(t), ext)
+    return conversations.select(
+        c, t, F.when(t % 3 == 0, 1).otherwise(0).alias("exit_code"), stderr.alias("stderr"),
+        F.when(t % 4 == 0, F.lit("")).otherwise(F.substring(first, 1, 50)).alias("stdout"),
+        (F.length("text") / F.lit(1000.0)).alias("execution_time"), fname.alias("filename"))
