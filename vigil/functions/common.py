@@ -73,16 +73,35 @@ def ordered_errors(*checks: tuple[Column, str]) -> Column:
 
 
 def py_fixed(x, digits: int) -> Column:
-    """Python/C ``f"{x:.<digits>f}"``: round-half-even on the exact binary
-    value.  Java's ``%.nf`` rounds exact ties up, so exact ties (x·2^(d+1)
-    an odd integer) are rounded with ``bround`` first; every other value is
-    not a tie and ``format_string`` already gives the correctly rounded
-    digits."""
-    x = as_col(x).cast("double")
-    scaled = x * F.lit(float(2 ** (digits + 1)))
-    tie = (scaled == F.floor(scaled)) & (F.pmod(F.floor(scaled), F.lit(2.0)) == 1.0)
-    fmt = f"%.{digits}f"
-    return F.when(tie, F.format_string(fmt, F.bround(x, digits))).otherwise(F.format_string(fmt, x))
+    """Python/C ``f"{x:.<digits>f}"``: the exact binary value rounded half
+    to even.  (Java's ``%.nf`` rounds the shortest decimal form, so 2.675
+    would give 2.68 where Python gives 2.67.)
+
+    x·10^d is computed exactly as p + err with Dekker's error-free product
+    (splitting x at 27 bits; 10^d is exact), the rounding decision uses
+    the exact fractional part, and the digits are printed from an integer.
+    Valid for |x|·10^d < 2^52."""
+    v = as_col(x).cast("double")
+    a = F.abs(v)
+    scale = float(10 ** digits)
+    c = a * F.lit(134217729.0)
+    a_hi = c - (c - a)
+    a_lo = a - a_hi
+    p = a * F.lit(scale)
+    err = (a_hi * F.lit(scale) - p) + a_lo * F.lit(scale)
+    n = F.floor(p)
+    g = p - n
+    # |err| is below the spacing of p, so only g == 0.5 needs the error's
+    # sign; ties of the exact value go to the even neighbour
+    up = (g > 0.5) | ((g == 0.5) & ((err > 0) | ((err == 0) & (F.pmod(n, F.lit(2)) == 1))))
+    m = F.when(up, n + 1).otherwise(n).cast("long")
+    ip = (m / F.lit(int(scale))).cast("long") if digits else m
+    body = ip.cast("string") if digits == 0 else F.concat(
+        F.floor(m / F.lit(int(scale))).cast("long").cast("string"), F.lit("."),
+        F.lpad(F.pmod(m, F.lit(int(scale))).cast("string"), digits, "0"))
+    neg = (v < 0) & (m > 0)
+    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(
+        F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body))
 
 
 __all__.append("py_fixed")

@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import AS_OF, days_before, json_str, pct
+from ..functions.common import AS_OF, days_before, json_str, pct, py_fixed
 
 GATED_ACTIONS = ("executor_run", "memory_write")
 
@@ -204,9 +204,10 @@ def summary_stats(daily: DataFrame, cols=("sales", "revenue", "customers")) -> D
 
 
 def headline_totals(daily: DataFrame) -> DataFrame:
-    """L3: total revenue with thousands separators, mean daily sales to 1 dp."""
+    """L3: total revenue with thousands separators, mean daily sales to 1 dp
+    (Python ``:,.2f`` / ``:.1f`` formatting: exact value, half to even)."""
     return daily.agg(F.format_number(F.sum("revenue"), 2).alias("total_revenue"),
-                     F.round(F.avg("sales"), 1).alias("avg_daily_sales"))
+                     py_fixed(F.avg("sales"), 1).alias("avg_daily_sales"))
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -233,34 +233,58 @@ def ivf_probes(lists: int, n_rows: int) -> int:
     return int(min(lists, max(10, round(math.sqrt(max(n_rows, 1)) / 3))))
 
 
-def ivf_build(vectors: DataFrame, lists: int, seed: int = 42, max_iter: int = 20, col: str = "embedding"):
-    """D12 build: KMeans (cosine) centroids and a ``list_id`` per vector.
-
-    Returns (assigned vectors, centroids DataFrame(list_id, centroid))."""
+def ivf_build(vectors: DataFrame, lists: int, index_path: str, seed: int = 42, max_iter: int = 20,
+              sample_per_list: int = 50, n_rows: int | None = None, col: str = "embedding"):
+    """D12 build: KMeans (cosine) lists trained on a bounded sample (about
+    ``sample_per_list`` rows per list, as IVFFlat does), then every vector
+    gets its ``list_id`` and the result is written as the index table,
+    clustered by list so a probe reads few row groups.
+
+    Only the training sample is cached (its size is bounded by
+    lists × sample_per_list); the full table is streamed once.
+    Returns (index vectors, centroids(list_id, centroid))."""
+    from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    feats = vectors.withColumn("_f", array_to_vector(F.col(col)))
-    km = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="list_id",
-                distanceMeasure="cosine")
-    model = km.fit(feats)
-    assigned = model.transform(feats).drop("_f")
     spark = vectors.sparkSession
+    n = n_rows if n_rows is not None else vectors.count()
+    frac = min(1.0, (sample_per_list * lists) / max(n, 1))
+    # cosine is undefined for zero vectors: they are kept, in list 0
+    nonzero = l2_norm(col) > 0
+    zero_rows = vectors.where(~F.coalesce(nonzero, F.lit(False))).withColumn("list_id", F.lit(0))
+    vectors = vectors.where(nonzero)
+    train = (vectors.sample(fraction=frac, seed=seed) if frac < 1.0 else vectors) \
+        .select(array_to_vector(F.col(col)).alias("_f")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="list_id",
+                       distanceMeasure="cosine").fit(train)
+    finally:
+        train.unpersist()
+    assigned = model.setFeaturesCol("_f").transform(vectors.withColumn("_f", array_to_vector(F.col(col)))).drop("_f")
+    assigned = assigned.unionByName(zero_rows)
+    (assigned.repartition("list_id").sortWithinPartitions("list_id")
+     .write.mode("overwrite").parquet(f"{index_path}/vectors"))
     cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = spark.createDataFrame(cents, "list_id int, centroid array<double>")
-    return assigned, centroids
+    spark.createDataFrame(cents, "list_id int, centroid array<double>").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{index_path}/centroids")
+    return spark.read.parquet(f"{index_path}/vectors"), spark.read.parquet(f"{index_path}/centroids")
 
 
 def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, probes: int,
                group_cols=("tenant_id", "scope"), block_rows: int = 20000) -> DataFrame:
-    """D12 query: each query's ``probes`` nearest lists (blocked top-k
-    against the centroids), then exact re-rank inside those lists and the
-    query's group."""
-    c = centroids.select(F.col("list_id"), F.col("centroid").alias("embedding"), F.lit(0).alias("_g"))
-    q0 = queries.select("query_id", "query_vec", F.lit(0).alias("_g"))
-    near = blocked_topk(q0, c, probes, group_cols=("_g",), vec_id="list_id", block_rows=block_rows)
+    """D12 query: each query probes the ``probes`` lists nearest to it among
+    the lists that hold vectors of its own group (blocked top-k against
+    those centroids), then the vectors of those lists and that group are
+    re-ranked exactly.  Filtering before probing keeps recall when a group
+    occupies few lists."""
+    g = list(group_cols)
+    group_lists = (assigned.select(*g, "list_id").distinct()
+                   .join(centroids, "list_id", "inner")
+                   .select(*g, "list_id", F.col("centroid").alias("embedding")))
+    near = blocked_topk(queries, group_lists, probes, group_cols=g, vec_id="list_id", block_rows=block_rows)
     qx = queries.join(near.select("query_id", "list_id"), "query_id", "inner")
-    return blocked_topk(qx, assigned, k, group_cols=tuple(group_cols) + ("list_id",), block_rows=block_rows)
+    return blocked_topk(qx, assigned, k, group_cols=tuple(g) + ("list_id",), block_rows=block_rows)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -400,7 +400,9 @@ def _d12(t):
     n = mv.count()
     lists = max(2, min(vx.ivf_lists(n), n // 10))
     probes = vx.ivf_probes(lists, n)
-    assigned, cents = vx.ivf_build(mv, lists)
+    import uuid
+    from ..session import scratch_path
+    assigned, cents = vx.ivf_build(mv, lists, scratch_path(t.spark, f"ivf-{uuid.uuid4().hex}"), n_rows=n)
     approx = vx.ivf_search(_self_queries(mv), assigned, cents, TOPK, probes)
     exact = vx.blocked_topk(_self_queries(mv), mv, TOPK)
     return vx.recall_at_k(approx, exact, TOPK).withColumn("lists", F.lit(lists)).withColumn("probes", F.lit(probes))
@@ -427,14 +429,16 @@ def _d16(t):
 
 
 def _matches_with_content(t: Tables) -> DataFrame:
+    """Top-k matches with the redacted content: redaction runs once per
+    stored vector, before the join, not once per match."""
     mv = _vectors(t)
     m = _exact_matches(t)
-    return m.join(mv.select("id", "content"), "id", "inner")
+    return m.join(mv.select("id", va.redact_injection("content").alias("content")), "id", "inner")
 
 
 @register("d17_context_assembly")
 def _d17(t):
-    m = _matches_with_content(t).withColumn("content", va.redact_injection("content"))
+    m = _matches_with_content(t)
     c = vx.assemble_context(m)
     return c.select("query_id", "context_count", F.length("context_text").alias("context_chars"),
                     F.sha2("context_text", 256).alias("context_sha256"))
@@ -780,7 +784,7 @@ def _i7(t):
 
 @register("i8_build_prompt")
 def _i8(t):
-    m = _matches_with_content(t).withColumn("content", va.redact_injection("content"))
+    m = _matches_with_content(t)
     ctx = vx.assemble_context(m)
     q = _vectors(t).select(F.col("id").alias("query_id"),
                            va.redact_injection(F.element_at(F.split("content", "\n"), 1)).alias("message"))

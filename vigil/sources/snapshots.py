@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import ts_ntz
+from ..functions.common import py_fixed, ts_ntz
 
 RULE_KEY = ["workflow_id", "task_type", "tenant_id", "scope_pattern"]
 
@@ -129,7 +129,7 @@ def metrics_exposition(counters: DataFrame) -> DataFrame:
         F.format_string("executor_policy_eval_errors_total %d", c("errors")),
         F.lit("# HELP executor_policy_eval_latency_ms_sum Sum of policy evaluation latency in ms"),
         F.lit("# TYPE executor_policy_eval_latency_ms_sum counter"),
-        F.format_string("executor_policy_eval_latency_ms_sum %.3f", c("latency_sum")))
+        F.concat(F.lit("executor_policy_eval_latency_ms_sum "), py_fixed(c("latency_sum"), 3)))
     return counters.select(F.posexplode(lines).alias("line_no", "line"))
 
 
