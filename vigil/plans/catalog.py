@@ -631,7 +631,9 @@ def _h10(t):
         [(list(pol.STATIC_ALLOWED_TASK_TYPES), 40, 80, None, "")],
         "allowed_task_types array<string>, requires_approval int, deny int, revision_id string, generated_at string")
     active = si.revisions(t.region).where("is_active").select("revision_id")
-    return rg.bundle_merge(static, active)
+    m = rg.bundle_merge(static, active)
+    return m.select(F.array_join("allowed_task_types", ",").alias("allowed_task_types"), "requires_approval", "deny",
+                    "revision_id", "generated_at")
 
 
 @register("h11_runtime_publish_validation")
