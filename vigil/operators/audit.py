@@ -40,12 +40,12 @@ def event_hash(prev_col: str = "prev_hash"):
 
 def with_hash_columns(audit: DataFrame) -> DataFrame:
     """Audit stand-in -> columns the chain covers (ids from the payload)."""
+    p = F.from_json(F.col("payload"), "struct<request_id:string,policy_id:string,policy_version:string,"
+                                      "policy:struct<policy_id:string>>")
     return audit.select(
-        "*",
-        F.get_json_object("payload", "$.request_id").alias("request_id"),
-        F.coalesce(F.get_json_object("payload", "$.policy_id"),
-                   F.get_json_object("payload", "$.policy.policy_id")).alias("policy_id"),
-        F.get_json_object("payload", "$.policy_version").alias("policy_version"))
+        "*", p["request_id"].alias("request_id"),
+        F.coalesce(p["policy_id"], p["policy"]["policy_id"]).alias("policy_id"),
+        p["policy_version"].alias("policy_version"))
 
 
 def build_chain(audit: DataFrame, chain_keys=("tenant_id",), order_cols=("created_at", "id"),
@@ -104,12 +104,14 @@ def verify_chain(chain: DataFrame, chain_keys=("tenant_id",), order_cols=("creat
     ev = chain.select(*[F.col(k) for k in keys], *[F.col(c) for c in order_cols], "prev_hash", "event_hash",
                       event_hash().alias("_re"), F.struct(*order_cols).alias("_o"),
                       F.coalesce(F.col("prev_hash"), F.lit("")).alias("_ph"))
-    parents = (ev.where(F.col("event_hash").isNotNull())
-               .groupBy(*keys, F.col("event_hash").alias("_ph")).agg(F.min("_o").alias("_po")))
-    first_child = ev.groupBy(*keys, "_ph").agg(F.min("_o").alias("_fc"))
-    start = ev.groupBy(*keys).agg(F.min("_o").alias("_start"))
-    j = (ev.join(parents, keys + ["_ph"], "left").join(first_child, keys + ["_ph"], "left")
-         .join(start, keys, "left"))
+    # one aggregation keyed by (chain key, hash) gives both the event that
+    # owns the hash (parent) and the earliest event naming it (first child)
+    owners = ev.where(F.col("event_hash").isNotNull()).select(
+        *keys, F.col("event_hash").alias("_ph"), F.col("_o").alias("_po"), F.lit(None).cast(ev.schema["_o"].dataType).alias("_fc"))
+    namers = ev.select(*keys, "_ph", F.lit(None).cast(ev.schema["_o"].dataType).alias("_po"), F.col("_o").alias("_fc"))
+    links = owners.unionByName(namers).groupBy(*keys, "_ph").agg(F.min("_po").alias("_po"), F.min("_fc").alias("_fc"))
+    start = ev.groupBy(*keys).agg(F.min("_o").alias("_start"))  # one row per chain
+    j = ev.join(links, keys + ["_ph"], "left").join(start, keys, "left")
     is_start = F.col("_o") == F.col("_start")
     linked = (F.when(is_start, F.col("_ph") == "")
               .otherwise(F.coalesce(F.col("_po") < F.col("_o"), F.lit(False)) & (F.col("_fc") == F.col("_o"))))

@@ -103,29 +103,32 @@ RESULT_SCHEMA = ("struct<policy_id:string,policy_version:string,decision:string,
                  "requires_approval:boolean,risk_score:bigint,reasons:string>")
 
 
+REPLY_SCHEMA = ("struct<result:struct<policy_id:string,policy_version:string,decision:string,allow:string,"
+                "requires_approval:string,risk_score:string,reasons:string>>")
+
+
 def normalize_result(df: DataFrame, col: str = "result_json") -> DataFrame:
-    """Normalise a policy-service JSON result.
+    """Normalise a policy-service JSON result (parsed once).
 
     Defaults: ids ``unknown``, decision ``deny``; ``allow`` and
     ``requires_approval`` derived from the decision when absent; a scalar
     ``reasons`` becomes a one-element array; risk as int (0 when absent).
-    """
-    r = F.col(col)
-    g = lambda k: F.get_json_object(r, f"$.{k}")
-    decision = F.coalesce(g("result.decision"), F.lit("deny"))
-    reasons_raw = g("result.reasons")
+    Fields are read as text (a JSON array/object field arrives as its raw
+    JSON), so every shape the service may send parses with one schema."""
+    r = F.from_json(F.col(col), REPLY_SCHEMA)["result"]
+    decision = F.coalesce(r["decision"], F.lit("deny"))
+    reasons_raw = r["reasons"]
     reasons = (F.when(reasons_raw.isNull(), F.array().cast("array<string>"))
                .when(reasons_raw.startswith("["), F.from_json(reasons_raw, "array<string>"))
                .otherwise(F.array(reasons_raw)))
     return df.select(
         "*",
-        F.coalesce(g("result.policy_id"), F.lit("unknown")).alias("policy_id"),
-        F.coalesce(g("result.policy_version"), F.lit("unknown")).alias("policy_version"),
+        F.coalesce(r["policy_id"], F.lit("unknown")).alias("policy_id"),
+        F.coalesce(r["policy_version"], F.lit("unknown")).alias("policy_version"),
         decision.alias("decision"),
-        F.coalesce(g("result.allow").try_cast("boolean"), decision == "allow").alias("allow"),
-        F.coalesce(g("result.requires_approval").try_cast("boolean"),
-                   decision == "requires_approval").alias("requires_approval"),
-        F.coalesce(g("result.risk_score").try_cast("double").cast("int"), F.lit(0)).alias("risk_score"),
+        F.coalesce(r["allow"].try_cast("boolean"), decision == "allow").alias("allow"),
+        F.coalesce(r["requires_approval"].try_cast("boolean"), decision == "requires_approval").alias("requires_approval"),
+        F.coalesce(r["risk_score"].try_cast("double").cast("int"), F.lit(0)).alias("risk_score"),
         reasons.alias("reasons"))
 
 

@@ -233,7 +233,7 @@ def ivf_probes(lists: int, n_rows: int) -> int:
     return int(min(lists, max(10, round(math.sqrt(max(n_rows, 1)) / 3))))
 
 
-def ivf_build(vectors: DataFrame, lists: int, index_path: str, seed: int = 42, max_iter: int = 20,
+def ivf_build(vectors: DataFrame, lists: int, index_path: str, seed: int = 42, max_iter: int = 10,
               sample_per_list: int = 50, n_rows: int | None = None, col: str = "embedding"):
     """D12 build: KMeans (cosine) lists trained on a bounded sample (about
     ``sample_per_list`` rows per list, as IVFFlat does), then every vector
@@ -283,7 +283,12 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
                    .join(centroids, "list_id", "inner")
                    .select(*g, "list_id", F.col("centroid").alias("embedding")))
     near = blocked_topk(queries, group_lists, probes, group_cols=g, vec_id="list_id", block_rows=block_rows)
-    qx = queries.join(near.select("query_id", "list_id"), "query_id", "inner")
+    # the probe assignments (queries × probes rows) feed a second blocked
+    # search that reads its input twice: cut the lineage once, reliably
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(queries.sparkSession)
+    near = near.select("query_id", "list_id").checkpoint(eager=True)
+    qx = queries.join(near, "query_id", "inner")
     return blocked_topk(qx, assigned, k, group_cols=tuple(g) + ("list_id",), block_rows=block_rows)
 
 
