@@ -79,7 +79,7 @@ def first_message(messages: DataFrame, group_col: str, order_col: str, id_col: s
 def header(headers_col: str, name: str) -> Column:
     """Header value by case-insensitive name, ``Unknown`` if absent."""
     hit = F.filter(F.col(headers_col), lambda h: F.lower(F.coalesce(h["name"], F.lit(""))) == name.lower())
-    return F.when(F.size(hit) > 0, F.element_at(hit, 1)["value"]).otherwise(F.lit("Unknown"))
+    return F.when(F.size(hit) > 0, F.try_element_at(hit, F.lit(1))["value"]).otherwise(F.lit("Unknown"))
 
 
 def email_prompt(df: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def first_cves(nvd: DataFrame, order_col: str, n: int = 3) -> DataFrame:
     description."""
     score = F.coalesce(js_number_text("cvss_v31"), js_number_text("cvss_v30"), js_number_text("cvss_v2"),
                        F.lit("-"))
-    desc = F.coalesce(F.element_at(F.filter("descriptions", lambda d: d["lang"] == "en"), 1)["value"], F.lit(""))
+    desc = F.coalesce(F.try_element_at(F.filter("descriptions", lambda d: d["lang"] == "en"), F.lit(1))["value"], F.lit(""))
     return (nvd.orderBy(F.col(order_col).asc()).limit(n)
             .select("*", score.alias("cvss"), desc.alias("description_en")))
 

@@ -177,20 +177,22 @@ def uniform_draw(c) -> Column:
 
 def weighted_pick(requests: DataFrame, top_pools: DataFrame, key_col: str = "session_id") -> DataFrame:
     """Pick among the top pools by cumulative score with a draw from
-    the request key; with total score 0 the draw picks uniformly.  The
-    (≤ 3) thresholds are scalar subqueries, so no join is needed."""
-    w = Window.orderBy("score_rank").rowsBetween(Window.unboundedPreceding, 0)
-    cum = top_pools.withColumn("cum", F.sum("score").over(w))
-    total = cum.agg(F.sum("score")).scalar()
-    n = cum.agg(F.count(F.lit(1))).scalar()
-    names = [cum.where(F.col("score_rank") == i).select("name").scalar() for i in (1, 2, 3)]
-    cums = [cum.where(F.col("score_rank") == i).select("cum").scalar() for i in (1, 2, 3)]
+    the request key; with total score 0 the draw picks uniformly.  The top
+    list (at most 3 entries) is one scalar subquery, so requests need no
+    join and the pool snapshot is computed once."""
+    w = Window.orderBy("score_rank").rowsBetween(Window.unboundedPreceding, 0)  # ≤ 3 rows
+    top = top_pools.withColumn("cum", F.sum("score").over(w)).agg(
+        F.sort_array(F.collect_list(F.struct("score_rank", "name", "cum", "score"))).alias("t")).scalar()
+    requests = requests.withColumn("_top", top)
+    top = F.col("_top")
+    total = F.aggregate(top, F.lit(0.0), lambda acc, x: acc + x["score"])
+    n = F.size(top)
     r = uniform_draw(key_col) * total
-    by_score = (F.when(r <= cums[0], names[0]).when(r <= cums[1], names[1]).when(r <= cums[2], names[2])
-                .otherwise(F.coalesce(names[2], names[1], names[0])))
+    hit = F.filter(top, lambda x: r <= x["cum"])
+    by_score = F.coalesce(F.try_element_at(hit, F.lit(1))["name"], F.try_element_at(top, F.lit(-1))["name"])
     idx = F.floor(uniform_draw(key_col) * n).cast("int")
-    uniform = F.when(idx == 0, names[0]).when(idx == 1, names[1]).otherwise(names[2])
-    return requests.select(key_col, F.when(total > 0, by_score).otherwise(uniform).alias("pool"))
+    uniform = F.try_element_at(top, idx + 1)["name"]
+    return requests.select(key_col, F.when(total > 0, by_score).when(n > 0, uniform).alias("pool"))
 
 
 BREAKER_SCHEMA = T.StructType([

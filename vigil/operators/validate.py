@@ -278,7 +278,7 @@ def path_safety(manifest: DataFrame, path_col: str = "path") -> DataFrame:
     parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
     ext_re = "(" + "|".join(e.replace(".", r"\.") for e in P.DANGEROUS_EXTENSIONS) + ")$"
     bad = F.filter(parts, lambda x: ~x.rlike(P.SAFE_COMPONENT_RE) | F.lower(x).rlike(ext_re))
-    first_bad = F.element_at(bad, 1)
+    first_bad = F.try_element_at(bad, F.lit(1))
     comp_reason = (F.when(~first_bad.rlike(P.SAFE_COMPONENT_RE),
                           F.concat(F.lit("Invalid characters in path component: "), first_bad))
                    .otherwise(F.concat(F.lit("Dangerous file extension not allowed: "),

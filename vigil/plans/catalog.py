@@ -376,7 +376,7 @@ def _d4(t):
 def _d9(t):
     e = vx.normalize(t.embeddings.select("vec_id", (F.col("embedding").cast("array<double>")).alias("embedding")))
     return e.select("vec_id", (F.round(_l2("embedding"), 6) + F.lit(0.0)).alias("norm"),
-                    (F.round(F.element_at("embedding", 1), 6) + F.lit(0.0)).alias("x1"))
+                    (F.round(F.try_element_at("embedding", F.lit(1)), 6) + F.lit(0.0)).alias("x1"))
 
 
 def _self_queries(mv: DataFrame) -> DataFrame:
