@@ -36,3 +36,14 @@ def test_trailing_count_brute_force(spark):
     for i, key, ts, _, _ in rows:
         exp = sum(1 for _, k2, t2, _, _ in rows if k2 == key and ts - dt.timedelta(seconds=900) < t2 <= ts)
         assert out[i] == exp
+
+
+def test_running_sum_brute_force(spark):
+    from vigil.functions.windows import running_sum
+    df, rows = _events(spark)
+    df = df.withColumn("seq", F.col("id") * 7 % 401)
+    out = {r["id"]: r["run"] for r in running_sum(df, ["key"], "seq", "id", F.col("v"), "run", 37).collect()}
+    for i, key, ts, _, v in rows:
+        seq = i * 7 % 401
+        exp = sum(v2 for i2, k2, _, _, v2 in rows if k2 == key and (i2 * 7 % 401, i2) <= (seq, i))
+        assert out[i] == exp

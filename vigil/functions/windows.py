@@ -69,3 +69,20 @@ def prev_matching(df: DataFrame, keys, order_us: Column, tie: Column, pred: Colu
     for n in names:
         out = out.withColumn(prefix + n, F.col("_best")[n])
     return out.drop("_o", "_tie", "_b", "_p", "_t", "_in", "_carry", "_best")
+
+
+def running_sum(df: DataFrame, keys, order_col: str, tie_col: str, value: Column, out: str,
+                bucket_width: int) -> DataFrame:
+    """Running total of ``value`` per key in (order, tie) order, inclusive.
+
+    Buckets of ``bucket_width`` on the (integer) order column: bucket sums
+    (one row per key and bucket), a prefix over those sums, plus a running
+    sum inside the bucket — so a hot key is split over its buckets."""
+    keys = list(keys)
+    b = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket_width))).withColumn("_v", value)
+    sums = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bs"))
+    wp = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*keys, "_b", F.coalesce(F.sum("_bs").over(wp), F.lit(0)).alias("_carry"))
+    wi = Window.partitionBy(*keys, "_b").orderBy(order_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
+    r = b.withColumn("_in", F.sum("_v").over(wi)).join(carry, keys + ["_b"], "left")
+    return r.withColumn(out, F.col("_carry") + F.col("_in")).drop("_b", "_v", "_in", "_carry")

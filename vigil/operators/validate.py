@@ -292,20 +292,20 @@ def path_safety(manifest: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def size_quotas(manifest: DataFrame, sandbox_col: str = "sandbox", seq_col: str = "seq",
-                size_col: str = "size_bytes") -> DataFrame:
+                size_col: str = "size_bytes", bucket_width: int = 100_000) -> DataFrame:
     """Per-file limit and the sandbox running total.
 
-    The running total is a window partitioned by sandbox and ordered by the
-    write sequence.  Files over the per-file limit are rejected first and do
-    not count toward the total."""
-    from pyspark.sql import Window
+    The running total follows the write sequence per sandbox and is
+    computed with bucketed prefix sums (``functions.windows.running_sum``),
+    so one busy sandbox does not become one task.  Files over the per-file
+    limit are rejected first and do not count toward the total."""
+    from ..functions.windows import running_sum
     size = F.col(size_col)
     file_ok = size <= P.MAX_FILE_BYTES
-    counted = F.when(file_ok, size).otherwise(F.lit(0))
-    w = Window.partitionBy(sandbox_col).orderBy(seq_col).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(counted).over(w)
-    return manifest.select("*", file_ok.alias("file_ok"), run.alias("running_total"),
-                           (file_ok & (run <= P.MAX_TOTAL_BYTES)).alias("accepted"))
+    counted = F.when(file_ok, size).otherwise(F.lit(0)).cast("long")
+    out = running_sum(manifest.withColumn("file_ok", file_ok), [sandbox_col], seq_col, seq_col, counted,
+                      "running_total", bucket_width)
+    return out.withColumn("accepted", F.col("file_ok") & (F.col("running_total") <= P.MAX_TOTAL_BYTES))
 
 
 def sanitize_error(c) -> Column:
