@@ -56,7 +56,9 @@ def secret_rejections(df: DataFrame, id_col: str, text_col: str = "text") -> Dat
     pattern matched first."""
     t = F.col(text_col)
     which = _first_error(*[(F.coalesce(t.rlike("(?i)" + p), F.lit(False)), p) for p in P.SECRET_PATTERNS])
-    return df.select(F.col(id_col), has_secret(text_col).alias("rejected"), which.alias("matched_pattern"))
+    # one combined scan per text; the per-pattern scans run only on hits
+    return (df.select(F.col(id_col), F.col(text_col), has_secret(text_col).alias("rejected"))
+            .select(id_col, "rejected", F.when(F.col("rejected"), which).alias("matched_pattern")))
 
 
 # ---------------------------------------------------------------- B2 / B3 / B4 / B5
