@@ -43,32 +43,46 @@ def trailing_agg(df: DataFrame, keys, ts_col: str, seconds: int, value: Column |
             .drop("_us", "_b", "_halo", "_v"))
 
 
+def prev_matching_multi(df: DataFrame, keys, order_us: Column, tie: Column, specs: dict,
+                        bucket_us: int = 3600 * 1_000_000) -> DataFrame:
+    """Several previous-matching lookups in one pass.  ``specs`` maps an
+    output prefix to ``(predicate, {name: column})``; for each prefix the
+    columns ``<prefix><name>`` hold the values of the latest earlier row of
+    the same key (in (order_us, tie) order) satisfying that predicate."""
+    keys = list(keys)
+    b = (df.withColumn("_o", order_us).withColumn("_tie", tie)
+         .withColumn("_b", F.floor(F.col("_o") / F.lit(bucket_us))))
+    tags = []
+    for i, (prefix, (pred, values)) in enumerate(specs.items()):
+        t = f"_t{i}"
+        b = b.withColumn(t, F.when(F.coalesce(pred, F.lit(False)), F.struct(
+            F.col("_o").alias("o1"), F.col("_tie").alias("o2"), *[v.alias(n) for n, v in values.items()])))
+        tags.append((t, prefix, list(values)))
+    # 1) one summary row per (key, bucket holding rows): its latest matches
+    summ = b.groupBy(*keys, "_b").agg(*[F.max(t).alias(t + "b") for t, _, _ in tags])
+    # 2) prefix over the summaries (rows per key = buckets spanned)
+    wp = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*keys, "_b", *[F.max(t + "b").over(wp).alias(t + "c") for t, _, _ in tags])
+    # 3) within the bucket: latest earlier match
+    wi = Window.partitionBy(*keys, "_b").orderBy("_o", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    r = b.select("*", *[F.max(t).over(wi).alias(t + "i") for t, _, _ in tags]).join(carry, keys + ["_b"], "left")
+    drop = ["_o", "_tie", "_b"]
+    for t, prefix, names in tags:
+        best = F.greatest(F.col(t + "i"), F.col(t + "c"))
+        r = r.withColumn(t + "x", best)
+        for n in names:
+            r = r.withColumn(prefix + n, F.col(t + "x")[n])
+        drop += [t, t + "i", t + "c", t + "x"]
+    return r.drop(*drop)
+
+
 def prev_matching(df: DataFrame, keys, order_us: Column, tie: Column, pred: Column, values: dict,
                   bucket_us: int = 3600 * 1_000_000, prefix: str = "prev_") -> DataFrame:
     """Add ``<prefix><name>`` columns holding ``values`` of the latest row of
     the same key strictly before this one in (order_us, tie) order that
     satisfies ``pred`` (null when none).  ``order_us`` is any long ordering
     (epoch micros, or its negation for a *next* lookup)."""
-    keys = list(keys)
-    names = list(values)
-    b = (df.withColumn("_o", order_us).withColumn("_tie", tie)
-         .withColumn("_b", F.floor(F.col("_o") / F.lit(bucket_us)))
-         .withColumn("_p", F.coalesce(pred, F.lit(False))))
-    tagged = F.when(F.col("_p"), F.struct(F.col("_o").alias("o1"), F.col("_tie").alias("o2"),
-                                          *[values[n].alias(n) for n in names]))
-    b = b.withColumn("_t", tagged)
-    # 1) one summary row per (key, bucket holding rows): its latest match
-    summ = b.groupBy(*keys, "_b").agg(F.max("_t").alias("_bt"))
-    # 2) prefix over the summaries: latest match in any earlier bucket
-    wp = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*keys, "_b", F.max("_bt").over(wp).alias("_carry"))
-    # 3) within the bucket: latest earlier match
-    wi = Window.partitionBy(*keys, "_b").orderBy("_o", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    r = b.withColumn("_in", F.max("_t").over(wi)).join(carry, keys + ["_b"], "left")
-    out = r.withColumn("_best", F.greatest(F.col("_in"), F.col("_carry")))
-    for n in names:
-        out = out.withColumn(prefix + n, F.col("_best")[n])
-    return out.drop("_o", "_tie", "_b", "_p", "_t", "_in", "_carry", "_best")
+    return prev_matching_multi(df, keys, order_us, tie, {prefix: (pred, values)}, bucket_us)
 
 
 def running_sum(df: DataFrame, keys, order_col: str, tie_col: str, value: Column, out: str,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import as_col, py_fixed, ts_ntz
-from ..functions.windows import epoch_micros, prev_matching, trailing_agg
+from ..functions.windows import epoch_micros, prev_matching, prev_matching_multi, trailing_agg
 
 # Fixed values of the pool balancer and operator.
 DEGRADED_FACTOR = 0.7
@@ -270,25 +270,30 @@ def scaling_targets(sessions: DataFrame, pools: DataFrame, target_queue_depth: i
 
 
 # ---------------------------------------------------------------- K15-K17
-def hold_alerts(samples: DataFrame, key_col: str, ts_col: str, tie_col: str, cond: Column, hold_seconds: int,
+def hold_alerts(samples: DataFrame, key_col: str, ts_col: str, tie_col: str, rules: dict,
                 bucket_seconds: int = 3600) -> DataFrame:
-    """A sample fires when its condition holds and has held since the
-    first sample after the last failing one for at least ``hold_seconds``
-    (gaps and islands, via two skew-safe previous-row lookups)."""
+    """For each rule ``name -> (condition, hold_seconds)``, a sample
+    fires when the condition holds and has held since the first sample
+    after the last failing one for at least the hold time (gaps and
+    islands).  Two skew-safe scans serve every rule: the next sample of the
+    key, then the last failing sample of each rule (carrying its
+    successor's time)."""
     us = epoch_micros(ts_col)
-    b = samples.withColumn("_c", F.coalesce(cond, F.lit(False))).withColumn("_us", us)
     bucket = bucket_seconds * 1_000_000
-    # next sample of the key (reverse order lookup)
+    b = samples.withColumn("_us", us)
+    for i, (name, (cond, _)) in enumerate(rules.items()):
+        b = b.withColumn(f"_c{i}", F.coalesce(cond, F.lit(False)))
     nxt = prev_matching(b, [key_col], -F.col("_us"), -F.col(tie_col), F.lit(True), {"us": F.col("_us")},
                         bucket, prefix="next_")
-    # last failing sample before each row, carrying its successor's time
-    last_false = prev_matching(nxt, [key_col], F.col("_us"), F.col(tie_col), ~F.col("_c"),
-                               {"succ_us": F.col("next_us")}, bucket, prefix="lf_")
+    specs = {f"_lf{i}_": (~F.col(f"_c{i}"), {"succ_us": F.col("next_us")}) for i in range(len(rules))}
+    lf = prev_matching_multi(nxt, [key_col], F.col("_us"), F.col(tie_col), specs, bucket)
     first = samples.groupBy(key_col).agg(F.min(us).alias("_first_us"))
-    j = last_false.join(first, key_col, "left")
-    start = F.coalesce(F.col("lf_succ_us"), F.col("_first_us"))
-    return j.withColumn("firing", F.col("_c") & (F.col("_us") - start >= F.lit(hold_seconds * 1_000_000))) \
-            .drop("_c", "_us", "next_us", "lf_succ_us", "_first_us")
+    j = lf.join(first, key_col, "left")
+    for i, (name, (_, hold)) in enumerate(rules.items()):
+        start = F.coalesce(F.col(f"_lf{i}_succ_us"), F.col("_first_us"))
+        j = j.withColumn(f"firing_{name}", F.col(f"_c{i}") & (F.col("_us") - start >= F.lit(hold * 1_000_000)))
+    return j.drop("_us", "next_us", "_first_us", *[f"_c{i}" for i in range(len(rules))],
+                  *[f"_lf{i}_succ_us" for i in range(len(rules))])
 
 
 def counter_increase(samples: DataFrame, key_col: str, ts_col: str, tie_col: str, value_col: str,

@@ -1021,15 +1021,15 @@ def _k14(t):
 @register("k15_hold_alerts")
 def _k15(t):
     p = si.probe_samples(t.events)
-    rules = [("ExecutorHighQueueDepth", F.col("mem") > 50, 120), ("ExecutorHighCPUUtilization", F.col("cpu") > 90, 300),
-             ("ExecutorPoolDown", F.col("probe_status") == 500, 60)]
-    out = None
-    for name, cond, hold in rules:
-        a = tm.hold_alerts(p, "pool", "ts", "event_id", cond, hold).where("firing").groupBy("pool").agg(
-            F.count(F.lit(1)).alias("firing_samples"), F.min("ts").alias("first_firing")) \
-            .withColumn("alert", F.lit(name))
-        out = a if out is None else out.unionByName(a)
-    return out
+    rules = {"ExecutorHighQueueDepth": (F.col("mem") > 50, 120),
+             "ExecutorHighCPUUtilization": (F.col("cpu") > 90, 300),
+             "ExecutorPoolDown": (F.col("probe_status") == 500, 60)}
+    fired = tm.hold_alerts(p, "pool", "ts", "event_id", rules)
+    # one row per (pool, alert) with firing samples: unpivot the three flags
+    long = fired.select("pool", "ts", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("alert"), F.col(f"firing_{n}").alias("firing")) for n in rules])))
+    return (long.where("firing").groupBy("pool", "alert")
+            .agg(F.count(F.lit(1)).alias("firing_samples"), F.min("ts").alias("first_firing")))
 
 
 @register("k16_counter_rate")
