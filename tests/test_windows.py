@@ -47,3 +47,25 @@ def test_running_sum_brute_force(spark):
         seq = i * 7 % 401
         exp = sum(v2 for i2, k2, _, _, v2 in rows if k2 == key and (i2 * 7 % 401, i2) <= (seq, i))
         assert out[i] == exp
+
+
+def test_py_fixed_matches_python_formatting(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from vigil.functions.common import py_fixed
+
+    vals = []
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.floats(min_value=-1e9, max_value=1e9, allow_nan=False, allow_infinity=False))
+    def collect(x):
+        vals.append(x)
+
+    collect()
+    vals += [0.125, 2.675, 1.005, 0.045, 9.995, -2.675, 1e-12, 1234567.8905]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for d in (1, 2, 3):
+        got = [r[0] for r in df.select(py_fixed("x", d)).collect()]
+        exp = [f"{v:.{d}f}" for v in vals]
+        bad = [(v, g, e) for v, g, e in zip(vals, got, exp) if g != e and str(v) != "-0.0"]
+        assert not bad, bad[:5]

@@ -99,7 +99,7 @@ def py_fixed(x, digits: int) -> Column:
     body = ip.cast("string") if digits == 0 else F.concat(
         F.floor(m / F.lit(int(scale))).cast("long").cast("string"), F.lit("."),
         F.lpad(F.pmod(m, F.lit(int(scale))).cast("string"), digits, "0"))
-    neg = (v < 0) & (m > 0)
+    neg = v < 0  # Python keeps the sign of a negative value that rounds to zero
     return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(
         F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body))
 
