@@ -1123,3 +1123,64 @@ def _fs(t):
     resp, _ = search_job(q, mv)
     return resp.select("query_id", "tenant_id", "scope", "k_norm", "results_count",
                        F.array_join(F.transform("results", lambda e: e["id"].cast("string")), ",").alias("result_ids"))
+
+
+# ---------------------------------------------------------------- A4-A9 file sources and sinks
+def _scratch(t: Tables, name: str) -> str:
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(t.spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("a4_read_embeddings_json")
+def _a4(t):
+    from ..sources import files as fs
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # landed JSON lines in both accepted shapes: bare arrays and {"embedding": [...]}
+    lines = e.select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.to_json("embedding"))
+                     .otherwise(F.to_json(F.struct("vec_id", "embedding"))).alias("value"))
+    path = _scratch(t, "a4")
+    lines.select("value").write.text(path)
+    back = fs.read_embeddings_json(t.spark, path)
+    return back.agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("embedding")).alias("min_dims"),
+                    F.max(F.size("embedding")).alias("max_dims"),
+                    F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)), 6).alias("sum_values"))
+
+
+@register("a5_write_reduced_json")
+def _a5(t):
+    from ..sources import files as fs
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    mean, model = vx.pca_fit(e, 16)
+    path = _scratch(t, "a5")
+    fs.write_reduced_json(vx.pca_transform(e, mean, model), path)
+    return t.spark.read.json(path).groupBy("original_dims", "reduced_dims").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("a6_a7_model_roundtrip")
+def _a6(t):
+    from ..sources import files as fs
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    mean, model = vx.pca_fit(e, 16)
+    base = _scratch(t, "a6")
+    fs.export_model_json(t.spark, mean, model, f"{base}/json")
+    fs.save_model(t.spark, mean, model, f"{base}/model")
+    mean2, model2 = fs.load_model(t.spark, f"{base}/model")
+    a = vx.pca_transform(e, mean, model, out="r1")
+    b = vx.pca_transform(e.withColumnRenamed("embedding", "e2"), mean2, model2, col="e2", out="r2").select("vec_id", "r2")
+    doc = t.spark.read.text(f"{base}/json").select(
+        F.get_json_object("value", "$.n_components").cast("int").alias("n_components"))
+    same = a.join(b, "vec_id").agg(F.count_if(F.col("r1") == F.col("r2")).alias("identical_rows"),
+                                   F.count(F.lit(1)).alias("rows"))
+    return same.select("*", doc.select("n_components").scalar().alias("n_components"))
+
+
+@register("a8_append_audit_rows")
+def _a8(t):
+    rows = au.build_audit_rows(_decisions(t), "workflow:executor_dispatch", "executor_run")
+    path = _scratch(t, "a8")
+    sn.append(rows, path)
+    sn.append(rows, path)  # a retried batch is a second append; ids make it visible
+    back = t.spark.read.parquet(path)
+    return back.groupBy("decision").agg(F.count(F.lit(1)).alias("rows"),
+                                        F.countDistinct("request_id").alias("requests"))
