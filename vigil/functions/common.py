@@ -105,3 +105,15 @@ def py_fixed(x, digits: int) -> Column:
 
 
 __all__.append("py_fixed")
+
+
+def trunc_hour_ntz(c) -> Column:
+    """``date_trunc('hour', ts)`` for a zone-less timestamp without passing
+    through the session time zone (Spark's ``date_trunc`` returns a zoned
+    timestamp)."""
+    epoch = ts_ntz("1970-01-01 00:00:00")
+    us = F.timestamp_diff("MICROSECOND", epoch, as_col(c))
+    return epoch + F.make_dt_interval(hours=F.floor(us / F.lit(3_600_000_000)).cast("int"))
+
+
+__all__.append("trunc_hour_ntz")

@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import AS_OF, days_before, json_str, pct, py_fixed
+from ..functions.common import AS_OF, days_before, json_str, pct, py_fixed, trunc_hour_ntz
 
 GATED_ACTIONS = ("executor_run", "memory_write")
 
@@ -123,7 +123,7 @@ def recent_vectors(vectors: DataFrame, as_of: _dt.datetime = AS_OF, hours: int =
 def hourly_ingest(vectors: DataFrame, as_of: _dt.datetime = AS_OF, days: int = 7, n: int = 24) -> DataFrame:
     """Vectors per hour over the trailing window, newest ``n`` hours."""
     return (vectors.where(F.col("created_at") > days_before(as_of, days))
-            .groupBy(F.date_trunc("hour", "created_at").alias("hour"))
+            .groupBy(trunc_hour_ntz("created_at").alias("hour"))
             .agg(F.count(F.lit(1)).alias("vectors_ingested"))
             .orderBy(F.desc("hour")).limit(n))
 
