@@ -17,9 +17,27 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # partition sizing: AQE coalesces small post-shuffle partitions toward
+    # the advisory size and splits skewed ones (a hot key) into several tasks
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    # Arrow batches for pandas functions (blocked top-k, folds) stay bounded
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int) -> dict:
+    """Settings for a cluster run sized from the input volume: ~256 MB
+    scan splits, an initial shuffle width of ~128 MB per partition (AQE
+    coalesces it) and at least two waves of tasks."""
+    slots = executors * cores_per_executor
+    parts = max(2 * slots, input_bytes // (128 * 1024 * 1024))
+    return {"spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+            "spark.sql.shuffle.partitions": str(int(parts)),
+            "spark.default.parallelism": str(2 * slots)}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "vigil", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings the jobs expect.
