@@ -62,3 +62,11 @@ def test_append_and_metrics_text(spark, tables, tmp_path):
     sn.write_text_lines(sn.metrics_exposition(c), str(tmp_path / "m"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert lines[-1] == "executor_policy_eval_latency_ms_sum 12.346" and len(lines) == 11
+
+
+def test_newest_sample_guard(spark, tables):
+    import pytest
+    mv = si.memory_documents(tables.documents)
+    assert sn.newest_sample(mv, 10).count() == 10
+    with pytest.raises(Exception):
+        sn.newest_sample(mv.limit(5), 10).collect()

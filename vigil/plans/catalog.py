@@ -670,9 +670,7 @@ def _a1(t): return _vectors(t).where(F.col("scope") == "en").select("id", "tenan
 
 @register("a2_newest_sample")
 def _a2(t):
-    mv = _vectors(t)
-    s = mv.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(5000)
-    return s.select("id", "created_at")
+    return sn.newest_sample(_vectors(t), 5000).select("id", "created_at")
 
 
 @register("a3_parse_vector_text")
