@@ -87,3 +87,21 @@ def test_session_and_failure_window_streams_run(spark, tables, tmp_path):
     p2, schema2 = _land(spark, ra, tmp_path)
     rows = _run(sj.failure_window_stream(sj.file_stream(spark, p2, schema2, 10)), "i4_s").collect()
     assert all(r["fails"] >= 1 for r in rows)
+
+
+def test_hold_alert_stream_matches_batch(spark, tables, tmp_path):
+    p = si.probe_samples(tables.events).withColumn("cond", F.col("mem") > 50)
+    path = str(tmp_path / "samples")
+    p.orderBy("ts", "event_id").coalesce(1).write.parquet(path)
+    s = sj.file_stream(spark, path, spark.read.parquet(path).schema)
+    got = {r["tie"]: r["firing"] for r in _run(sj.hold_alert_stream(s, "pool", "cond", 120), "k15_s").collect()}
+    batch = tm.hold_alerts(p, "pool", "ts", "event_id", {"q": (F.col("cond"), 120)})
+    exp = {r["event_id"]: r["firing_q"] for r in batch.collect()}
+    assert got == exp
+
+
+def test_lifecycle_stream_runs(spark, tables, tmp_path):
+    ev = si.session_events(tables.events)
+    p, schema = _land(spark, ev, tmp_path)
+    rows = _run(sj.lifecycle_stream(sj.file_stream(spark, p, schema, 10)), "k2_s").collect()
+    assert rows and all(r["uses"] >= 1 for r in rows)

@@ -198,3 +198,57 @@ def run_to_completion(stream: DataFrame, name: str, mode: str = "append", trigge
     h = q.start()
     h.awaitTermination()
     return name
+
+
+# ---------------------------------------------------------------- K2
+def lifecycle_stream(events: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """K2 stream form: per pool and tumbling window, sessions seen, uses,
+    reuses (uses beyond the first per session is approximated per window by
+    uses − sessions) and errors."""
+    e = with_event_time(events, "ts")
+    return (e.withWatermark("event_time", watermark)
+            .groupBy("pool", F.window("event_time", window).alias("w"))
+            .agg(F.approx_count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("uses"),
+                 F.count_if(F.col("kind") == "error").alias("errors"))
+            .select("pool", F.col("w.start").alias("window_start"), "sessions", "uses",
+                    (F.col("uses") - F.col("sessions")).alias("reused"), "errors"))
+
+
+# ---------------------------------------------------------------- K15
+HOLD_STATE = "first_us long, island_start_us long, last_cond boolean"
+
+
+def hold_alert_stream(samples: DataFrame, key_col: str, cond_col: str, hold_seconds: int,
+                      tie_col: str = "event_id") -> DataFrame:
+    """K15 stream form: per key, the start of the current run of true
+    samples is the only state; a sample fires when the run has lasted at
+    least the hold time (samples of a micro-batch are taken in time order)."""
+    s = samples.select(F.col(key_col).alias("key"), F.col(tie_col).cast("long").alias("tie"),
+                       F.col("ts").cast("timestamp").alias("ts"),
+                       F.coalesce(F.col(cond_col), F.lit(False)).alias("c"))
+    hold_us = hold_seconds * 1_000_000
+
+    def step(key, pdfs, state):
+        rows = [p for p in pdfs]
+        if not rows:
+            return
+        pdf = pd.concat(rows).sort_values(["ts", "tie"])
+        first_us, start_us, last_c = state.get if state.exists else (None, None, None)
+        us_list = (pdf["ts"].astype("int64") // 1000).tolist()
+        firing = []
+        for us, c in zip(us_list, pdf["c"].tolist()):
+            if first_us is None:
+                first_us = us
+            if c:
+                if start_us is None:
+                    start_us = us if last_c is False else first_us if last_c is None else us
+                firing.append(us - start_us >= hold_us)
+            else:
+                start_us = None
+                firing.append(False)
+            last_c = bool(c)
+        state.update((first_us, start_us, last_c))
+        yield pd.DataFrame({"key": key[0], "tie": pdf["tie"].values, "ts": pdf["ts"].values, "firing": firing})
+
+    return s.groupBy("key").applyInPandasWithState(step, "key string, tie long, ts timestamp, firing boolean",
+                                                   HOLD_STATE, "append", GroupStateTimeout.NoTimeout)
