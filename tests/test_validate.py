@@ -52,3 +52,21 @@ def test_recipients(spark):
     df = spark.createDataFrame([("a@x.io; bad, b@y.org\\n",), ("none",)], "r string")
     got = [r[0] for r in df.select(va.split_recipients("r")).collect()]
     assert got == ["a@x.io", None] or got[0].startswith("a@x.io")
+
+
+def test_size_quotas_greedy_semantics(spark):
+    import random
+    random.seed(5)
+    rows = [(i, "hot" if random.random() < 0.6 else f"s{random.randint(0, 2)}", random.randint(1, 60))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, sandbox string, size_bytes long")
+    got = {r["seq"]: (r["accepted"], r["running_total"])
+           for r in va.size_quotas(df, max_file_bytes=50, max_total_bytes=700, bucket_width=16).collect()}
+    usage = {}
+    for seq, sb, sz in sorted(rows):
+        u = usage.get(sb, 0)
+        ok = sz <= 50 and u + sz <= 700
+        if ok:
+            u += sz
+        usage[sb] = u
+        assert got[seq] == (ok, u), (seq, sb, sz)

@@ -294,20 +294,61 @@ def path_safety(manifest: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def size_quotas(manifest: DataFrame, sandbox_col: str = "sandbox", seq_col: str = "seq",
-                size_col: str = "size_bytes", bucket_width: int = 100_000) -> DataFrame:
-    """Per-file limit and the sandbox running total.
-
-    The running total follows the write sequence per sandbox and is
-    computed with bucketed prefix sums (``functions.windows.running_sum``),
-    so one busy sandbox does not become one task.  Files over the per-file
-    limit are rejected first and do not count toward the total."""
+                size_col: str = "size_bytes", max_file_bytes: int = P.MAX_FILE_BYTES,
+                max_total_bytes: int = P.MAX_TOTAL_BYTES, bucket_width: int = 100_000) -> DataFrame:
+    """Per-file limit and the sandbox quota, with the reference's greedy
+    semantics: a write is rejected when it is over the file limit or when
+    the bytes accepted so far plus its size exceed the total; rejected
+    writes do not count.  ``running_total`` is the accepted usage after the
+    row.
+
+    Until a sandbox first overflows, acceptance is just the file check, so
+    the usage is a running sum (bucketed prefix sums: a busy sandbox is not
+    one task).  Only rows from the first overflow on depend on earlier
+    rejections; those are replayed per sandbox by a sorted fold seeded with
+    the usage at that point."""
+    import pandas as pd
+    from pyspark.sql import types as T
     from ..functions.windows import running_sum
+
     size = F.col(size_col)
-    file_ok = size <= P.MAX_FILE_BYTES
+    file_ok = size <= max_file_bytes
     counted = F.when(file_ok, size).otherwise(F.lit(0)).cast("long")
-    out = running_sum(manifest.withColumn("file_ok", file_ok), [sandbox_col], seq_col, seq_col, counted,
-                      "running_total", bucket_width)
-    return out.withColumn("accepted", F.col("file_ok") & (F.col("running_total") <= P.MAX_TOTAL_BYTES))
+    run = running_sum(manifest.withColumn("file_ok", file_ok).withColumn("_cnt", counted),
+                      [sandbox_col], seq_col, seq_col, F.col("_cnt"), "running_total", bucket_width)
+    first = (run.where(F.col("running_total") > max_total_bytes).groupBy(sandbox_col)
+             .agg(F.min_by(F.struct(F.col(seq_col).alias("s"), (F.col("running_total") - F.col("_cnt")).alias("u")),
+                           F.col(seq_col)).alias("_f")))
+    j = run.join(first, sandbox_col, "left")
+    head_cond = F.col("_f").isNull() | (F.col(seq_col) < F.col("_f.s"))
+    head = j.where(head_cond).withColumn("accepted", F.col("file_ok")).drop("_f", "_cnt")
+    tail = j.where(~head_cond).withColumn("_base", F.col("_f.u")).drop("_f")
+    cols = [c for c in head.columns]
+    schema = T.StructType([f for f in tail.schema.fields if f.name in cols and f.name not in ("running_total",
+                                                                                            "accepted")]
+                          + [T.StructField("running_total", T.LongType()), T.StructField("accepted", T.BooleanType())])
+    keep = [f.name for f in schema.fields]
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def replay(batches):
+        cur, usage = None, 0
+        for pdf in batches:
+            acc, tot = [], []
+            for key, sz, ok, base in zip(pdf[sandbox_col].tolist(), pdf[size_col].tolist(),
+                                         pdf["file_ok"].tolist(), pdf["_base"].tolist()):
+                if key != cur:
+                    cur, usage = key, int(base)
+                a = bool(ok) and usage + int(sz) <= max_total_bytes
+                if a:
+                    usage += int(sz)
+                acc.append(a)
+                tot.append(usage)
+            out = pdf.assign(running_total=tot, accepted=acc)
+            yield out[keep]
+
+    tail_out = (tail.repartition(n, sandbox_col).sortWithinPartitions(sandbox_col, seq_col)
+                .mapInPandas(replay, schema))
+    return head.select(*keep).unionByName(tail_out.select(*keep))
 
 
 def sanitize_error(c) -> Column:
