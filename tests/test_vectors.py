@@ -88,3 +88,13 @@ def test_pca_centres_before_projection(spark):
     assert np.allclose(red.mean(axis=0), 0.0, atol=1e-9)
     m = vx.compare_methods(df, mean, model, 6).first()
     assert m["reconstruction_mse"] < 1e-18
+
+
+def test_blocked_topk_with_dimension_budget(spark):
+    df, rows = _data(spark, n=120, d=8)
+    q = df.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
+    res = vx.blocked_topk(q, df, 3, dims=8, block_budget_bytes=4096).collect()
+    got = {}
+    for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == _brute(rows, 3)

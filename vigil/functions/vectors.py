@@ -35,7 +35,7 @@ def to_matrix(series) -> np.ndarray:
     """A pandas Series of equal-length arrays -> 2-D float64 matrix."""
     if len(series) == 0:
         return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series])
+    return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
 def cosine_matrix(q: np.ndarray, v: np.ndarray) -> np.ndarray:

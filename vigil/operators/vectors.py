@@ -114,15 +114,24 @@ def _bucket(id_col: str, n_blocks) -> "F.Column":
 def blocked_topk(queries: DataFrame, vectors: DataFrame, k: int, group_cols=("tenant_id", "scope"),
                  query_id: str = "query_id", query_vec: str = "query_vec",
                  vec_id: str = "id", vec_col: str = "embedding", block_rows: int = 20000,
-                 query_block_rows: int = 2000) -> DataFrame:
+                 query_block_rows: int = 2000, dims: int | None = None,
+                 block_budget_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """Exact k nearest vectors (cosine distance) per query within its group.
 
     ``queries``: query_id, group columns, query_vec (array<double>); a query
     may appear in several groups (IVF probes), the result merges them.
     ``vectors``: id, group columns, embedding.
     Returns query_id, id, cosine_distance, rank (1..k; ties by id; zero
-    vectors have a null distance and rank last).
+    vectors have a null distance and rank last).  With ``dims`` given the
+    block sizes are bounded by ``block_budget_bytes`` per task.
     """
+    if dims:
+        # keep vectors + queries + the distance matrix of one block pair
+        # within the budget: Vb·d + Qb·d + Qb·Vb doubles
+        per = 8
+        block_rows = max(256, min(block_rows, block_budget_bytes // (2 * per * dims)))
+        query_block_rows = max(64, min(query_block_rows,
+                                       block_budget_bytes // (2 * per * (dims + block_rows))))
     g = list(group_cols)
     qid_t = queries.schema[query_id].dataType
     vid_t = vectors.schema[vec_id].dataType
