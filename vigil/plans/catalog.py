@@ -247,7 +247,8 @@ def _b10(t):
 @register("b11_parse_form_body")
 def _b11(t):
     q = t.pages.select("page_id", F.regexp_extract("url", r"\?([^#]*)", 1).alias("body"))
-    return va.parse_form_body(q).select("page_id", "params")
+    entries = F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return va.parse_form_body(q).select("page_id", F.array_join(F.array_sort(entries), "&").alias("params_text"))
 
 
 @register("b12_slack_scope")
