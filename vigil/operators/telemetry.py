@@ -10,14 +10,12 @@ state machine and runs as a bounded-memory fold per pool.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import as_col, py_fixed, ts_ntz
+from ..functions.common import as_col, py_fixed
 from ..functions.windows import epoch_micros, prev_matching, prev_matching_multi, trailing_agg
 
 # Fixed values of the pool balancer and operator.

@@ -307,7 +307,6 @@ def size_quotas(manifest: DataFrame, sandbox_col: str = "sandbox", seq_col: str
     one task).  Only rows from the first overflow on depend on earlier
     rejections; those are replayed per sandbox by a sorted fold seeded with
     the usage at that point."""
-    import pandas as pd
     from pyspark.sql import types as T
     from ..functions.windows import running_sum
 

@@ -1089,11 +1089,9 @@ from .memory_search import search_job  # noqa: E402
 
 
 def _ingest(t: Tables):
-    d = t.documents.select("doc_id", "text", "lang", "source")
     e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     req = si.ingest_requests(t.documents).join(e, "doc_id", "inner").withColumn(
         "created_at", ts_ntz(AS_OF) - F.make_dt_interval(mins=F.col("doc_id")))
-    del d
     mean, model = vx.pca_fit(e.select("embedding"), 16)
     stored = _vectors(t).where(F.col("tenant_id") == "t2").select("tenant_id", "scope", "content_hash")
     return ingest_job(req, stored, si.policy_workflows(t.nation), mean, model, 64)
@@ -1114,11 +1112,9 @@ def _fr(t):
 @register("flow_memory_search")
 def _fs(t):
     mv = _vectors(t)
-    b = t.benchmark.select("item_id", "text")
     q = si.search_requests(t.benchmark).join(
         mv.select(F.col("id").alias("item_id"), F.col("embedding").alias("query_vec")), "item_id", "inner") \
         .withColumnRenamed("item_id", "query_id")
-    del b
     resp, _ = search_job(q, mv)
     return resp.select("query_id", "tenant_id", "scope", "k_norm", "results_count",
                        F.array_join(F.transform("results", lambda e: e["id"].cast("string")), ",").alias("result_ids"))

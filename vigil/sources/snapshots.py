@@ -107,10 +107,8 @@ def new_since_cursor(items: DataFrame, cursor: DataFrame, key: str = "inbox", ts
 def advance_cursor(items: DataFrame, cursor: DataFrame, as_of: _dt.datetime, key: str = "inbox",
                    ts_col: str = "internal_date") -> DataFrame:
     """New cursor snapshot after a batch (max of old and new)."""
-    spark = items.sparkSession
     batch_max = items.agg(F.max(ts_col).alias("last_seen_internal_date")).select(
         F.lit(key).alias("key"), "last_seen_internal_date")
-    del spark
     return upsert_cursor(cursor, batch_max.where(F.col("last_seen_internal_date").isNotNull()), as_of)
 
 
