@@ -494,8 +494,17 @@ def _e1(t):
 def _e2(t): return _chain(t).select("id", "tenant_id", "prev_hash", "event_hash")
 
 
+def _stored_chain(t: Tables) -> DataFrame:
+    """The built chain as a stored table (reliable checkpoint in the shared
+    folder): verification reads it several times, as it would read the
+    audit table in production."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(t.spark)
+    return _chain(t).checkpoint(eager=True)
+
+
 @register("e3_chain_verify")
-def _e3(t): return au.verify_summary(au.verify_chain(_chain(t)))
+def _e3(t): return au.verify_summary(au.verify_chain(_stored_chain(t)))
 
 
 def _tampered(chain: DataFrame) -> DataFrame:
@@ -507,7 +516,7 @@ def _tampered(chain: DataFrame) -> DataFrame:
 
 @register("a17_append_only_guard")
 def _a17(t):
-    c = _chain(t)
+    c = _stored_chain(t)
     return au.append_only_violations(c, _tampered(c))
 
 
