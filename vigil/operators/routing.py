@@ -80,7 +80,10 @@ def parse_response(df: DataFrame, body_col: str = "body", status_col: str = "sta
     b = F.col(body_col)
     has_choice = F.get_json_object(b, "$.choices[0]").isNotNull()
     content = F.nullif(F.get_json_object(b, "$.choices[0].message.content"), F.lit(""))
-    status = F.coalesce(F.nullif(F.col(status_col), F.lit(0)), F.when(has_choice, F.lit(200)).otherwise(F.lit(0)))
+    # any ``choices`` field (even an empty list) makes the status 200; the
+    # answer itself needs choices[0]
+    has_choices = F.get_json_object(b, "$.choices").isNotNull()
+    status = F.coalesce(F.nullif(F.col(status_col), F.lit(0)), F.when(has_choices, F.lit(200)).otherwise(F.lit(0)))
     err = F.coalesce(F.nullif(F.get_json_object(b, "$.error.message"), F.lit("")),
                      F.nullif(F.col(http_error_col), F.lit("")), F.nullif(F.col(http_message_col), F.lit("")),
                      F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" error")))
