@@ -272,7 +272,10 @@ def ivf_build(vectors: DataFrame, lists: int, index_path: str, seed: int = 42, m
         train.unpersist()
     assigned = model.setFeaturesCol("_f").transform(vectors.withColumn("_f", array_to_vector(F.col(col)))).drop("_f")
     assigned = assigned.unionByName(zero_rows)
-    (assigned.repartition("list_id").sortWithinPartitions("list_id")
+    # range partitioning on (list_id, id): files stay clustered by list, and
+    # an oversized list is split across tasks instead of landing in one
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (assigned.repartitionByRange(n_parts, "list_id", "id").sortWithinPartitions("list_id", "id")
      .write.mode("overwrite").parquet(f"{index_path}/vectors"))
     cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     spark.createDataFrame(cents, "list_id int, centroid array<double>").coalesce(1) \
