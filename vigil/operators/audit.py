@@ -58,8 +58,13 @@ def build_chain(audit: DataFrame, chain_keys=("tenant_id",), order_cols=("create
     has_prev = "prev_hash" in audit.columns
     base = audit.withColumn("_body", hash_body()).withColumn(
         "_given_prev", F.col("prev_hash") if has_prev else F.lit(None).cast("string"))
-    n = num_partitions or int(audit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = base.repartition(n, *keys).sortWithinPartitions(*keys, *order_cols)
+    if keys:
+        n = num_partitions or int(audit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = base.repartition(n, *keys).sortWithinPartitions(*keys, *order_cols)
+    else:
+        # one global chain (the original trigger's behaviour) is a single
+        # ordered stream by definition: one sorted partition, one fold
+        part = base.repartition(1).sortWithinPartitions(*order_cols)
     out_schema = T.StructType(base.schema.fields + [T.StructField("_prev", T.StringType()),
                                                     T.StructField("_hash", T.StringType())])
     key_names = keys
@@ -68,7 +73,7 @@ def build_chain(audit: DataFrame, chain_keys=("tenant_id",), order_cols=("create
         last_key, last_hash = None, None
         for pdf in batches:
             prevs, hashes = [], []
-            kv = list(zip(*[pdf[k].tolist() for k in key_names]))
+            kv = list(zip(*[pdf[k].tolist() for k in key_names])) if key_names else [()] * len(pdf)
             for key, body, given in zip(kv, pdf["_body"].tolist(), pdf["_given_prev"].tolist()):
                 if key != last_key:
                     last_key, last_hash = key, None
@@ -109,8 +114,12 @@ def verify_chain(chain: DataFrame, chain_keys=("tenant_id",), order_cols=("creat
         *keys, F.col("event_hash").alias("_ph"), F.col("_o").alias("_po"), F.lit(None).cast(ev.schema["_o"].dataType).alias("_fc"))
     namers = ev.select(*keys, "_ph", F.lit(None).cast(ev.schema["_o"].dataType).alias("_po"), F.col("_o").alias("_fc"))
     links = owners.unionByName(namers).groupBy(*keys, "_ph").agg(F.min("_po").alias("_po"), F.min("_fc").alias("_fc"))
-    start = ev.groupBy(*keys).agg(F.min("_o").alias("_start"))  # one row per chain
-    j = ev.join(links, keys + ["_ph"], "left").join(start, keys, "left")
+    j = ev.join(links, keys + ["_ph"], "left")
+    if keys:
+        start = ev.groupBy(*keys).agg(F.min("_o").alias("_start"))  # one row per chain
+        j = j.join(start, keys, "left")
+    else:  # a single chain: its start is one value (scalar subquery, no join)
+        j = j.withColumn("_start", ev.agg(F.min("_o")).scalar())
     is_start = F.col("_o") == F.col("_start")
     linked = (F.when(is_start, F.col("_ph") == "")
               .otherwise(F.coalesce(F.col("_po") < F.col("_o"), F.lit(False)) & (F.col("_fc") == F.col("_o"))))
