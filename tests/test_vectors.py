@@ -98,3 +98,13 @@ def test_blocked_topk_with_dimension_budget(spark):
     for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == _brute(rows, 3)
+
+
+def test_blocked_topk_without_groups(spark):
+    df, rows = _data(spark, n=60, hot_share=1.0)
+    q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    res = vx.blocked_topk(q, df.drop("tenant_id", "scope"), 2, group_cols=(), block_rows=13).collect()
+    got = {}
+    for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == _brute(rows, 2)

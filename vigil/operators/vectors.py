@@ -133,6 +133,8 @@ def blocked_topk(queries: DataFrame, vectors: DataFrame, k: int, group_cols=("te
         query_block_rows = max(64, min(query_block_rows,
                                        block_budget_bytes // (2 * per * (dims + block_rows))))
     g = list(group_cols)
+    if not g:  # one search group: a constant key keeps every join keyed
+        queries, vectors, g = queries.withColumn("_g0", F.lit(0)), vectors.withColumn("_g0", F.lit(0)), ["_g0"]
     qid_t = queries.schema[query_id].dataType
     vid_t = vectors.schema[vec_id].dataType
     # fresh aliases: the two sides may come from the same table (self search)
