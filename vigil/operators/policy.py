@@ -63,6 +63,10 @@ def evaluate(requests: DataFrame, registry: DataFrame | None = None,
     ``deny_at_threshold`` turns on the stricter reading (risk >= deny
     threshold is denied); the default keeps the reference behaviour where
     such a request with no other reason is allowed.
+
+    Pass ``registry`` only when ``task_type`` varies per row: with a
+    constant task type the lookup degenerates (Catalyst folds the join key);
+    decide that single type once instead.
     """
     df = requests
     if registry is not None:
