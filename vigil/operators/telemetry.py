@@ -379,3 +379,24 @@ def display_text(df: DataFrame) -> DataFrame:
         F.array_join(F.transform(arts, lambda a: F.concat(F.lit("  - "), a["name"], F.lit(" ("), a["type"], F.lit(")"))),
                      "\n")))]
     return df.select("*", F.concat_ws("\n", *parts).alias("display"))
+
+
+def sessionize(events: DataFrame, key_col: str, ts_col: str, tie_col: str, gap_seconds: int,
+               bucket_seconds: int = 3600) -> DataFrame:
+    """K1 from raw events: a session of a key ends when the next event comes
+    more than ``gap_seconds`` later (the session TTL).  Two skew-safe scans:
+    the previous event of the key (a gap marks a session start), then the
+    latest start at or before each event (its session).  Returns one row per
+    session: key, started_at, last_event_at, events."""
+    us = epoch_micros(ts_col)
+    bucket = bucket_seconds * 1_000_000
+    e = events.withColumn("_us", us)
+    p = prev_matching(e, [key_col], F.col("_us"), F.col(tie_col), F.lit(True), {"us": F.col("_us")}, bucket,
+                      prefix="prev_")
+    p = p.withColumn("_start", F.col("prev_us").isNull() | (F.col("_us") - F.col("prev_us") > gap_seconds * 1_000_000))
+    s = prev_matching(p, [key_col], F.col("_us"), F.col(tie_col), F.col("_start"), {"ts": F.col(ts_col)}, bucket,
+                      prefix="lst_")
+    session_start = F.when(F.col("_start"), F.col(ts_col)).otherwise(F.col("lst_ts"))
+    return (s.withColumn("started_at", session_start)
+            .groupBy(key_col, "started_at")
+            .agg(F.max(ts_col).alias("last_event_at"), F.count(F.lit(1)).alias("events")))

@@ -1188,3 +1188,9 @@ def _a8(t):
     back = t.spark.read.parquet(path)
     return back.groupBy("decision").agg(F.count(F.lit(1)).alias("rows"),
                                         F.countDistinct("request_id").alias("requests"))
+
+
+@register("k1_sessions_from_events")
+def _k1s(t):
+    ev = si.session_events(t.events)
+    return tm.sessionize(ev, "session_id", "ts", "event_id", 300)  # gap = session ttl
