@@ -1194,3 +1194,18 @@ def _a8(t):
 def _k1s(t):
     ev = si.session_events(t.events)
     return tm.sessionize(ev, "session_id", "ts", "event_id", 300)  # gap = session ttl
+
+
+@register("a9_returning_ids")
+def _a9(t):
+    """Ids are assigned before the write (key hash), so the job returns
+    them without reading the table back; the check appends the rows and
+    matches the written ids against the returned ones."""
+    rows, _, _ = _ingest(t)
+    path = _scratch(t, "a9")
+    sn.append(rows, path)
+    written = t.spark.read.parquet(path).select("id")
+    returned = rows.select("id", "request_id")
+    return returned.join(written.withColumn("_w", F.lit(1)), "id", "left").agg(
+        F.count(F.lit(1)).alias("returned_ids"), F.count("_w").alias("found_in_table"),
+        F.countDistinct("id").alias("distinct_ids"))
