@@ -37,7 +37,7 @@ def test_reduced_json_model_export_and_reload(spark, tables, tmp_path):
 def test_landed_feed(spark, tmp_path):
     p = tmp_path / "kev.json"
     p.write_text(json.dumps({"vulnerabilities": [{"cveID": "CVE-1", "product": "x"}, {"cveID": "CVE-2", "product": "y"}]}))
-    rows = fs.read_landed_feed(spark, str(p), "vulnerabilities").orderBy("pos").collect()
+    rows = fs.read_landed_feed(spark, str(p), "vulnerabilities").orderBy("entry_index").collect()
     assert [r["cveID"] for r in rows] == ["CVE-1", "CVE-2"]
 
 

@@ -1209,3 +1209,21 @@ def _a9(t):
     return returned.join(written.withColumn("_w", F.lit(1)), "id", "left").agg(
         F.count(F.lit(1)).alias("returned_ids"), F.count("_w").alias("found_in_table"),
         F.countDistinct("id").alias("distinct_ids"))
+
+
+@register("a15_landed_feed")
+def _a15(t):
+    """The KEV stand-in landed as many feed documents of at most 100
+    entries each (JSON lines), read back with the feed reader."""
+    from ..sources import files as fs
+    kev = si.kev_feed(t.part)
+    docs = (kev.groupBy(F.floor(F.col("pos") / 100).alias("doc"))
+            .agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(
+                "pos", "cveID", "vendorProject", "product", "dueDate", "shortDescription"))).alias("vulnerabilities")))
+                 .alias("value")))
+    path = _scratch(t, "a15")
+    docs.select("value").write.text(path)
+    schema = ("vulnerabilities array<struct<pos:bigint,cveID:string,vendorProject:string,product:string,"
+              "dueDate:string,shortDescription:string>>")
+    back = fs.read_landed_feed(t.spark, path, "vulnerabilities", schema, multi_line=False)
+    return back.select(F.col("pos").alias("entry_pos"), "cveID", "vendorProject", "dueDate")

@@ -51,11 +51,14 @@ def load_model(spark: SparkSession, path: str):
     return mean, PCAModel.load(f"{path}/pca")
 
 
-def read_landed_feed(spark: SparkSession, path: str, list_field: str, schema: str | None = None) -> DataFrame:
-    """A landed JSON document (KEV / CVE list, registry file) exploded
-    to one row per entry.  Fetching over HTTP is not part of this engine."""
-    r = spark.read.option("multiLine", "true")
+def read_landed_feed(spark: SparkSession, path: str, list_field: str, schema: str | None = None,
+                     multi_line: bool = True) -> DataFrame:
+    """Landed JSON documents (KEV / CVE lists, registry files) exploded
+    to one row per entry.  ``multi_line`` reads one pretty-printed document
+    per file; otherwise every line is a document.  Fetching over HTTP is not
+    part of this engine."""
+    r = spark.read.option("multiLine", "true" if multi_line else "false")
     if schema:
         r = r.schema(schema)
     doc = r.json(path)
-    return doc.select(F.posexplode(F.col(list_field)).alias("pos", "entry")).select("pos", "entry.*")
+    return doc.select(F.posexplode(F.col(list_field)).alias("entry_index", "entry")).select("entry_index", "entry.*")
