@@ -71,7 +71,7 @@ def test_dedupe_stream(spark, tables, tmp_path):
 def test_latest_state_stream_matches_batch(spark, tables, tmp_path):
     ev = si.session_events(tables.events)
     p, schema = _land(spark, ev, tmp_path)
-    s = sj.latest_state_stream(sj.file_stream(spark, p, schema, 1))
+    s = sj.latest_state_stream(sj.file_stream(spark, p, schema, 1), watermark="3650 days")
     sj.run_to_completion(s, "k3_s", mode="update")
     got = spark.table("k3_s").groupBy("session_id").agg(F.max_by("pod", F.struct("ts", "event_id")).alias("pod"))
     exp = tm.latest_state(ev).select("session_id", "pod")
@@ -131,3 +131,19 @@ def test_session_stream_matches_batch(spark, tables, tmp_path):
          .agg(F.count(F.lit(1)).alias("n")))
     exp = {(r["session_id"], r["s"]["start"]): r["n"] for r in b.collect()}
     assert got and all(exp[k] == v for k, v in got.items())
+
+
+def test_latest_state_ttl_drops_idle_sessions(spark, tmp_path):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    base = [("s1", "p", "a", "t", t0, 1), ("s2", "p", "b", "t", t0, 2)]
+    later = [("s2", "p", "c", "t", t0 + dt.timedelta(days=3), 3)]
+    schema = "session_id string, pool string, pod string, template string, ts timestamp_ntz, event_id long"
+    d = str(tmp_path / "ttl")
+    spark.createDataFrame(base, schema).coalesce(1).write.parquet(d + "/1")
+    spark.createDataFrame(later, schema).coalesce(1).write.parquet(d + "/2")
+    s = sj.latest_state_stream(spark.readStream.schema(spark.read.parquet(d + "/1").schema)
+                               .option("maxFilesPerTrigger", 1).parquet(d + "/*"), ttl_seconds=3600, watermark="1 minute")
+    sj.run_to_completion(s, "k3_ttl", mode="update")
+    rows = spark.table("k3_ttl").collect()
+    assert {(r["session_id"], r["pod"]) for r in rows} >= {("s1", "a"), ("s2", "c")}

@@ -84,16 +84,21 @@ def session_stream(events: DataFrame, gap: str = "300 seconds", watermark: str =
 LATEST_STATE_SCHEMA = "session_id string, pool string, pod string, template string, ts timestamp, event_id long"
 
 
-def latest_state_stream(changes: DataFrame) -> DataFrame:
-    """K3 stream form: newest state per session kept in keyed state and
-    re-emitted when it changes (update mode)."""
-    c = changes.select("session_id", "pool", "pod", "template", F.col("ts").cast("timestamp").alias("ts"),
-                       F.col("event_id").cast("long"))
+def latest_state_stream(changes: DataFrame, ttl_seconds: int = 86400, watermark: str = "10 minutes") -> DataFrame:
+    """K3 (+ K4 state TTL) stream form: newest state per session kept in
+    keyed state and re-emitted when it changes (update mode).  A session's
+    state is dropped once the watermark passes its last activity + ttl, so
+    state holds live sessions only."""
+    c = (changes.select("session_id", "pool", "pod", "template", F.col("ts").cast("timestamp").alias("ts"),
+                        F.col("event_id").cast("long"))
+         .withWatermark("ts", watermark))
+    ttl_ms = ttl_seconds * 1000
 
     def upd(key, pdfs, state):
-        best = None
-        if state.exists:
-            best = state.get
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get if state.exists else None
         for pdf in pdfs:
             i = pdf.sort_values(["ts", "event_id"]).index[-1]
             row = pdf.loc[i]
@@ -101,12 +106,15 @@ def latest_state_stream(changes: DataFrame) -> DataFrame:
             if best is None or (cand[3], cand[4]) > (best[3], best[4]):
                 best = cand
         state.update(best)
+        # already-expired sessions (late rows) expire at the next watermark move
+        expire = int(pd.Timestamp(best[3]).timestamp() * 1000) + ttl_ms
+        state.setTimeoutTimestamp(max(expire, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([{"session_id": key[0], "pool": best[0], "pod": best[1], "template": best[2],
                              "ts": best[3], "event_id": best[4]}])
 
     return c.groupBy("session_id").applyInPandasWithState(
         upd, LATEST_STATE_SCHEMA, "pool string, pod string, template string, ts timestamp, event_id long",
-        "update", GroupStateTimeout.NoTimeout)
+        "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- E2
