@@ -91,7 +91,9 @@ def _l1(t): return an.rolling_mean(si.daily_sales(t.orders))
 
 
 @register("l2_summary_stats")
-def _l2(t): return an.summary_stats(si.daily_sales(t.orders))
+def _l2(t):
+    s = an.summary_stats(si.daily_sales(t.orders))
+    return s.select("metric", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 @register("l3_headline_totals")
@@ -107,7 +109,9 @@ def _l4b(t): return an.histogram(t.customer, "c_acctbal", 20)
 
 
 @register("l5_mean_pop_std")
-def _l5(t): return an.mean_and_pop_std(t.lineitem, "l_quantity")
+def _l5(t):
+    return an.mean_and_pop_std(t.lineitem, "l_quantity").select(F.round("mean", 9).alias("mean"),
+                                                                 F.round("std_pop", 9).alias("std_pop"))
 
 
 # ---------------------------------------------------------------- C
@@ -174,7 +178,8 @@ def _c10(t):
 
 @register("c11_decision_counters")
 def _c11(t):
-    return pol.decision_counters(_with_fallback(t, "open"))
+    c = pol.decision_counters(_with_fallback(t, "open"))
+    return c.withColumn("latency_sum", F.round("latency_sum", 6))
 
 
 # ---------------------------------------------------------------- B
