@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,14 +58,34 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), so that the
+    Python functions of the jobs can be imported there from any folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="vigil-ship-")  # served to the executors until the application ends
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    tree = os.path.join(d, "tree")
+    shutil.copytree(here, os.path.join(tree, "vigil"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(d, "vigil"), "zip", tree))
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.
-    When it is unset (local tests) a fresh scratch folder is created.
+    On a cluster this setting must point at shared storage and is only read;
+    with executors elsewhere and no such setting this fails.  Only a local
+    master gets a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -72,6 +94,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    if not d and sc is not None and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="vigil-ckpt-")
         try:
