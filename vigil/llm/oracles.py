@@ -1,3 +1,95 @@
 """DuckDB statements for the queries that SQL can express."""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 SQL: dict[str, str] = {}
+
+SQL["op1_decontaminate"] = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                             '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                              '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM phrases),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT p.doc_id, p.i, p.n, b.item_id FROM places p JOIN phrases b ON p.phrase = b.phrase AND p.n = b.n),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SQL["op4_url_filter"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '""" + _UPPER + "', '" + _LOWER + r"""'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest,
+         regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme
+  FROM pages),
+rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+nodes AS (SELECT *, CASE WHEN contains(url, '://') AND host <> '' THEN host || CASE WHEN rest = '' THEN '/' ELSE rest END END AS node FROM p),
+tags AS (
+  SELECT url, scheme, host, path, node, unnest(list_concat(
+    regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+    regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'))) AS tag
+  FROM nodes WHERE node IS NOT NULL),
+links AS (
+  SELECT *, replace(CASE WHEN lower(tag) LIKE '<link%' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                         ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS link FROM tags),
+targets AS (
+  SELECT node AS a, CASE WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') THEN link
+              WHEN link LIKE '//%' THEN scheme || ':' || link
+              WHEN link LIKE '/%' THEN scheme || '://' || host || link
+              ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || link END AS target
+  FROM links WHERE link <> ''),
+edges AS (
+  SELECT a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), '""" + _UPPER + "', '" + _LOWER + r"""') ||
+            coalesce(nullif(regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1), ''), '/') AS b
+  FROM targets WHERE contains(target, '://')),
+sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (
+  SELECT a, b FROM sym
+  UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
+members AS (
+  SELECT node, other, regexp_extract(other, '^([^/?]*)', 1) AS host, regexp_extract(other, '(?s)^[^/?]*([^?]*)', 1) AS path FROM reach),
+grp AS (
+  SELECT node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' ELSE 'allow' END AS verdict
+  FROM (SELECT m.node, m.other, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+        FROM members m LEFT JOIN rules r ON (m.host = r.host OR m.host LIKE '%.' || r.host) AND starts_with(m.path, r.path) GROUP BY 1, 2)
+  GROUP BY 1),
+own AS (
+  SELECT n.page_id, n.host, n.path, n.node, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM nodes n LEFT JOIN rules r ON (n.host = r.host OR n.host LIKE '%.' || r.host) AND starts_with(n.path, r.path)
+  GROUP BY ALL)
+SELECT o.page_id, o.host, o.path, o.rule, coalesce(o.verdict, g.verdict, 'allow') AS verdict
+FROM own o LEFT JOIN grp g ON o.node = g.node
+"""
+
+SQL["op7_phrase_automata"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM windows JOIN repeated USING (h)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""

@@ -20,6 +20,12 @@ def query(name: str) -> Callable[[Query], Query]:
     return put
 
 
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.decontaminate import decontaminate
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.urlfilter import judge
@@ -32,6 +38,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op7_phrase_automata")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.passages import without_repeats
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op9_minimax_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.sharding import minimax_shards
