@@ -26,6 +26,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_minhash_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.neardup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.urlfilter import judge
