@@ -50,7 +50,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.fingerprints import with_neighbours
+    return with_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op9_minimax_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.sharding import minimax_shards
     return minimax_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.langid import language_id
+    return language_id(table(spark, sf_dir, "documents"))
