@@ -38,6 +38,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_quality_cnn")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.quality import judge_quality
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.packing import pack_documents, vocabulary
