@@ -32,6 +32,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_wrappers")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.wrappers import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.urlfilter import judge
