@@ -1,12 +1,71 @@
-"""Corpus pipeline (stages follow as their operators land)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that go on,
+with the columns of ``documents``; the last returns packed pieces.  Between
+stages the documents are written as Parquet in the shared folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm.common import stored, table
+from vigil.llm.decontaminate import without_contaminated
+from vigil.llm.neardup import without_near_duplicates
+from vigil.llm.packing import pack_documents, vocabulary
+from vigil.llm.passages import without_repeats
+from vigil.llm.quality import without_rejected
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return without_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return without_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that stand elsewhere too go; a document that loses all
+    its words stays, empty."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = without_repeats(docs, carry=rest, with_text=True)
+    kind = docs.schema["n_chars"].dataType
+    return kept.select(*rest, F.col("kept_text").alias("text"), F.length("kept_text").cast(kind).alias("n_chars")).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their place in a sequence."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontaminated", decontaminated),
+    ("packed", packed),
+]
 
-STAGES: list = []
+#: No SQL for the classifier, the tokenizer and the packing; tested by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

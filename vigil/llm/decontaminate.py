@@ -111,14 +111,20 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) ->
                          F.when(F.col("tries").isNotNull(), confirmed).alias("found"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
+def matched(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(found, windows): per document the confirmed windows, stored, and the
+    windows of each item."""
     windows = stored(item_windows(benchmark, width), "benchmark-windows")
     phrases = stored(windows.select("window", "phrase").distinct(), "benchmark-phrases")
     terms = stored(phrase_terms(phrases), "benchmark-terms")
     index = build_index(docs, stored(terms.select("term", "term_id").distinct(), "benchmark-vocabulary"))
     seeds = stored(rarest_terms(index, terms), "benchmark-seeds")
-    found = stored(exact_matches(docs, phrase_candidates(index, seeds), phrases), "phrase-matches")
+    return stored(exact_matches(docs, phrase_candidates(index, seeds), phrases), "phrase-matches"), windows
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
+    found, windows = matched(docs, benchmark, width)
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["len"] - 1)))))
     items = (found.where("size(found) > 0").select("key", F.explode(F.expr("array_distinct(found.window)")).alias("window"))
              .join(maybe_broadcast(windows.select("window", "item_id").where("item_id is not null").distinct()), "window")
@@ -130,6 +136,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The documents that hold no window of any item, as they are."""
+    found, _ = matched(docs, benchmark, width)
+    bad = stored(found.where("size(found) > 0").select(F.col("key").alias("_key")).distinct(), "contaminated")
+    return docs.withColumn("_key", document_key()).join(maybe_broadcast(bad), "_key", "left_anti").select(*docs.columns)
+
+
 def proximity_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
     """(window, key, pos): the places of a phrase's rarest term with all its
     other distinct terms within ``width`` words of it, in any order."""

@@ -96,16 +96,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = len(n)
         offs = np.arange(rows + 1, dtype=np.int32)
         flat = lambda parts, width: pa.ListArray.from_arrays(pa.array(offs * width, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), flat(sig, _LONGS), flat(bands, BANDS)],
-                                         names=["doc_id", "n_shingles", "digest", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), flat(sig, _LONGS), flat(bands, BANDS)],
+                                         names=["doc_id", "text_hash", "n_shingles", "digest", "sig", "bands"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, packed signature, band keys."""
+    """doc_id, text_hash, n_shingles, digest of the set, packed signature, band keys."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _signatures, f"doc_id {kind}, n_shingles bigint, digest binary, sig array<bigint>, bands array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _signatures, f"doc_id {kind}, text_hash bigint, n_shingles bigint, digest binary, sig array<bigint>, bands array<bigint>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -186,7 +186,7 @@ def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+    """doc_id, text_hash, n_shingles, component_id, kept for every document."""
     signed = stored(signatures(docs), "signatures")
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
                      .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -233,7 +233,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("cid", "digest", "rep").join(comp, "cid")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(least, "component").select("digest", "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(by_digest, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group, the one with the least id, as it is; of rows
+    with equal id and text one.  The texts are shuffled only if the list of
+    dropped ids measures too large for a broadcast."""
+    judged = stored(near_duplicates(docs), "near-duplicates")
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    rows = judged.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    rows = stored(rows.where("not kept or (n > 1 and doc_id is not null)"), "near-duplicate-rows")
+    gone, repeated = rows.select(*key), rows.where("kept").select(*key)
+    own = docs.withColumn("_text_hash", F.xxhash64("text"))
+
+    def same(side: DataFrame) -> Column:
+        return (own["doc_id"] == side["_id"]) & (own["_text_hash"] == side["_hash"])
+
+    gone, repeated = maybe_broadcast(gone), maybe_broadcast(repeated)
+    once = own.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return own.join(gone, same(gone), "left_anti").unionByName(once).select(*docs.columns)

@@ -19,13 +19,14 @@ by row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.llm import textops as X
 from vigil.llm.common import small_batches
@@ -198,26 +199,35 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
     return net
 
 
-def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+def score(docs: DataFrame, model: Network | float, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The carried columns, held_out, score, predicted for every document."""
     small_batches(docs.sparkSession)
+    n = len(carry)
+    schema = T.StructType([docs.schema[c] for c in carry] + [
+        T.StructField("_held_out", T.BooleanType()), T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if isinstance(model, float):
                 s = np.full(batch.num_rows, model)
             else:
-                data, offs = X.text_buffer(batch.column(2))
+                data, offs = X.text_buffer(batch.column(n + 1))
                 parts = [model.score(model.features(piece, at)) for _, _, piece, at in X.chunks(data, offs)]
                 s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))],
-                                             names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text").mapInArrow(
-        scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select(*carry, held_out(F.col("doc_id"), 5, 0).alias("_held_out"), F.col("text").alias("_text")).mapInArrow(scored, schema)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    small_batches(docs.sparkSession)
+    scored = score(docs, train(docs, labels.select("doc_id", "quality")))
+    return scored.withColumnsRenamed({"_held_out": "held_out", "_score": "score", "_predicted": "predicted"})
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the classifier predicts to have label 1, as they are."""
     small_batches(docs.sparkSession)
-    return score(docs, train(docs, labels.select("doc_id", "quality")))
+    scored = score(docs, train(docs, labels.select("doc_id", "quality")), docs.columns)
+    return scored.where("_predicted = 1").select(*docs.columns)

@@ -29,7 +29,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.neardup import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op3_html_wrappers")
