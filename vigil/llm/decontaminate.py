@@ -66,7 +66,8 @@ def phrase_terms(phrases: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Stored postings (term_id, key, pos) of the given terms (term, term_id)."""
-    tokens = docs.select(document_key().alias("key"), F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
+    split = docs.select(document_key().alias("key"), split_words(F.col("text")).alias("words"))  # once per text, below the generator
+    tokens = split.select("key", F.posexplode("words").alias("pos", "word"))
     hits = tokens.withColumn("term", lowered(F.col("word"))).join(maybe_broadcast(terms), "term")
     return stored(hits.select("term_id", "key", "pos"), "postings")
 
