@@ -8,8 +8,8 @@ which leaves candidate starts; these are confirmed word by word in the text.
 :func:`proximity_matches` finds terms near each other, from the rarest as well.
 Only DataFrame functions are used.
 
-Documents are addressed by a digest of id and text, so repeated rows and
-repeated or null ids don't mix.  Candidates are small next to the texts; they
+Documents are addressed by a hash of id and text, so repeated rows and repeated
+or null ids don't mix.  Candidates are small next to the texts; they
 are broadcast if they measure so, else the texts are shuffled once.
 
 Edge cases: a null or empty text has no words, no hit and the digest of the
@@ -45,17 +45,17 @@ def lowered(word: Column) -> Column:
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))))
+    """A row's address in the index.  Two documents with one address would only
+    share candidates, each of which is confirmed in its own text."""
+    return F.xxhash64(F.col(doc_id).cast("string"), text)
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(window, item_id, phrase): each window of each item; the phrase is its
-    words joined by blanks, ``window`` a digest of it."""
+    """(phrase, item_id): the distinct windows of each item, as words joined by blanks."""
     words = items.select("item_id", F.transform(split_words(F.col("text")), lowered).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))))
     return (words.select("item_id", "w", starts.alias("i"))
-            .select("item_id", F.array_join(F.slice("w", F.col("i") + 1, width), " ").alias("phrase"))
-            .select(F.unhex(F.md5("phrase")).alias("window"), "item_id", "phrase").distinct())
+            .select(F.array_join(F.slice("w", F.col("i") + 1, width), " ").alias("phrase"), "item_id").distinct())
 
 
 def phrase_terms(phrases: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest_terms(index: DataFrame, terms: DataFrame, n: int = RAREST) -> DataFrame:
-    """(window, term_id, offset, need): the ``n`` rarest occurring terms of each
-    phrase all of whose terms occur, and how many these are."""
+    """(window, term_id, offset, rank, size): the ``n`` rarest occurring terms of
+    each phrase all of whose terms occur; rank 1 is the rarest."""
     counts = index.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("window")
     return (terms.join(counts, "term_id", "left")
@@ -82,17 +82,24 @@ def rarest_terms(index: DataFrame, terms: DataFrame, n: int = RAREST) -> DataFra
             .withColumn("missing", F.max(F.col("n").isNull()).over(whole))
             .withColumn("size", F.count(F.lit(1)).over(whole))
             .where((F.col("rank") <= n) & ~F.col("missing"))
-            .select("window", "term_id", "offset", F.least(F.col("size"), F.lit(n)).alias("need")))
+            .select("window", "term_id", "offset", "rank", "size"))
 
 
-def phrase_candidates(index: DataFrame, seeds: DataFrame) -> DataFrame:
+def phrase_candidates(index: DataFrame, seeds: DataFrame, n: int = RAREST) -> DataFrame:
     """(key, window, start): where all of a phrase's rarest terms stand at their
-    offsets; the intersection of the shifted posting lists."""
-    shifted = (index.join(maybe_broadcast(seeds), "term_id")
-               .select("key", "window", (F.col("pos") - F.col("offset")).alias("start"), "offset", "need").where("start >= 0"))
-    seen = shifted.distinct()  # the same row twice in the input gives the same posting twice
-    return (seen.groupBy("key", "window", "start").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-            .where("n = need").select("key", "window", "start"))
+    offsets.  The shifted posting list of the rarest term is intersected with
+    those of the next ones, so each step has at most the rows of the one before."""
+    first = maybe_broadcast(stored(seeds.where("rank = 1").select("window", "term_id", "offset"), "seed-terms"))
+    now = stored(index.join(first, "term_id").select("key", "window", (F.col("pos") - F.col("offset")).alias("start"))
+                 .where("start >= 0").distinct(), "phrase-starts")
+    for rank in range(2, n + 1):
+        wanted = stored(now.join(maybe_broadcast(seeds.where(F.col("rank") == rank).select("window", "term_id", "offset")), "window")
+                        .select("term_id", "key", (F.col("start") + F.col("offset")).alias("pos"), "window", "start"), "phrase-terms")
+        lists = index.join(maybe_broadcast(seeds.where(F.col("rank") == rank).select("term_id").distinct()), "term_id", "left_semi")
+        both = lists.join(maybe_broadcast(wanted), ["term_id", "key", "pos"]).select("key", "window", "start").distinct()
+        short = seeds.where(f"rank = 1 and size < {rank}").select("window")
+        now = stored(both.unionByName(now.join(maybe_broadcast(short), "window", "left_semi")), "phrase-starts")
+    return now
 
 
 def exact_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -115,8 +122,9 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) ->
 def matched(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(found, windows): per document the confirmed windows, stored, and the
     windows of each item."""
-    windows = stored(item_windows(benchmark, width), "benchmark-windows")
-    phrases = stored(windows.select("window", "phrase").distinct(), "benchmark-phrases")
+    by_item = stored(item_windows(benchmark, width), "benchmark-items")
+    phrases = stored(by_item.select("phrase").distinct().withColumn("window", F.monotonically_increasing_id()), "benchmark-phrases")
+    windows = stored(by_item.join(phrases, "phrase").select("window", "item_id"), "benchmark-windows")
     terms = stored(phrase_terms(phrases), "benchmark-terms")
     index = build_index(docs, stored(terms.select("term", "term_id").distinct(), "benchmark-vocabulary"))
     seeds = stored(rarest_terms(index, terms), "benchmark-seeds")
@@ -127,21 +135,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
     found, windows = matched(docs, benchmark, width)
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["len"] - 1)))))
-    items = (found.where("size(found) > 0").select("key", F.explode(F.expr("array_distinct(found.window)")).alias("window"))
-             .join(maybe_broadcast(windows.select("window", "item_id").where("item_id is not null").distinct()), "window")
-             .select("key", F.col("item_id").cast("string").alias("item")).distinct()
-             .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    items = (found.where("size(found) > 0").select("doc_id", "key", F.explode(F.expr("array_distinct(found.window)")).alias("window"))
+             .join(maybe_broadcast(windows.where("item_id is not null")), "window")
+             .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("item_id").cast("string").alias("item")).distinct()
+             .groupBy("_id", "_key").agg(F.array_sort(F.collect_list("item")).alias("items")))
     out = found.select("doc_id", "key", "n_words", F.coalesce(F.when(F.size("found") > 0, n_hit), F.lit(0)).cast("long").alias("n_hit"))
-    return out.join(items, "key", "left").select(
-        "doc_id", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+    return out.join(items, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents that hold no window of any item, as they are."""
     found, _ = matched(docs, benchmark, width)
-    bad = stored(found.where("size(found) > 0").select(F.col("key").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", document_key()).join(maybe_broadcast(bad), "_key", "left_anti").select(*docs.columns)
+    bad = stored(found.where("size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "contaminated")
+    own = docs.withColumn("_row", document_key())
+    return own.join(maybe_broadcast(bad), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
 
 
 def proximity_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
@@ -149,7 +158,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFra
     other distinct terms within ``width`` words of it, in any order."""
     distinct = terms.select("window", "term_id").distinct()
     rare = rarest_terms(index, distinct.withColumn("offset", F.lit(0)), 1).select("window", "term_id")
-    near = index.join(maybe_broadcast(distinct), "term_id")
+    near = index.join(maybe_broadcast(stored(distinct, "near-terms")), "term_id")
     block = lambda at: F.floor(at / F.lit(2 * width + 1))
     anchors = (index.join(maybe_broadcast(rare), "term_id").select("window", "key", F.col("pos").alias("at"))
                .withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("at") - width), block(F.col("at") + width))))))
