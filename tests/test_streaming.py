@@ -34,17 +34,6 @@ def test_chain_stream_matches_batch(spark, tables, tmp_path):
     assert got == exp
 
 
-def test_breaker_stream_matches_batch(spark, tables, tmp_path):
-    probes = tm.classify_probe(si.probe_samples(tables.events)).select("pool", "event_id", "ts", "outcome")
-    p = str(tmp_path / "probes")
-    probes.orderBy("ts", "event_id").coalesce(1).write.parquet(p)
-    s = sj.file_stream(spark, p, spark.read.parquet(p).schema)
-    got = sorted(tuple(r) for r in _run(sj.breaker_stream(s), "breaker_s").collect())
-    exp = sorted(tuple(r) for r in tm.breaker_replay(probes).select(
-        "pool", "event_id", "allowed", "state", "failure_count").collect())
-    assert got == exp
-
-
 def test_hourly_ingest_stream_matches_batch(spark, tables, tmp_path):
     mv = si.memory_documents(tables.documents).select("id", "created_at")
     p, schema = _land(spark, mv, tmp_path)

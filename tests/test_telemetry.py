@@ -3,45 +3,6 @@ import datetime as dt
 from vigil.operators import telemetry as tm
 
 
-def _replay(events):
-    state, fails, succ, last = "closed", 0, 0, 0.0
-    out = []
-    for t, ok in events:
-        if state == "open" and t - last >= 30:
-            state, succ = "half_open", 0
-        allowed = state != "open"
-        if ok:
-            if state == "half_open":
-                succ += 1
-                if succ >= 3:
-                    state, fails, succ = "closed", 0, 0
-            else:
-                fails = max(0, fails - 1)
-        else:
-            fails += 1
-            last = t
-            if state == "half_open" or fails >= 5:
-                state = "open"
-        out.append((allowed, state, fails))
-    return out
-
-
-def test_breaker_replay_matches_state_machine(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    pattern = [False] * 6 + [True] * 2 + [False] + [True] * 5 + [False] * 3 + [True] * 4
-    rows = []
-    for p in ("a", "b"):
-        for i, ok in enumerate(pattern):
-            rows.append((p, i + (0 if p == "a" else 1000), t0 + dt.timedelta(seconds=7 * i),
-                         "success" if ok else "failure"))
-    df = spark.createDataFrame(rows, "pool string, event_id long, ts timestamp_ntz, outcome string")
-    got = {(r["pool"], r["event_id"]): (r["allowed"], r["state"], r["failure_count"])
-           for r in tm.breaker_replay(df).collect()}
-    exp = _replay([(7.0 * i, ok) for i, ok in enumerate(pattern)])
-    for p, off in (("a", 0), ("b", 1000)):
-        assert [got[(p, i + off)] for i in range(len(pattern))] == exp
-
-
 def test_format_size_python_rounding(spark):
     def py(size):
         for unit in ["B", "KB", "MB", "GB"]:

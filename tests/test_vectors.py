@@ -58,7 +58,7 @@ def test_cosine_expression_matches_numpy(spark):
 
 def test_ivf_with_all_lists_probed_is_exact(spark, tmp_path):
     df, rows = _data(spark, n=200, hot_share=0.3)
-    idx, cents = vx.ivf_build(df, 6, str(tmp_path / "ivf"), n_rows=200)
+    idx, cents = vx.ivf_build(df, 6, str(tmp_path / "ivf"))
     q = df.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
     approx = vx.ivf_search(q, idx, cents, 3, probes=6)
     exact = vx.blocked_topk(q, df, 3)
@@ -93,7 +93,7 @@ def test_pca_centres_before_projection(spark):
 def test_blocked_topk_with_dimension_budget(spark):
     df, rows = _data(spark, n=120, d=8)
     q = df.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
-    res = vx.blocked_topk(q, df, 3, dims=8, block_budget_bytes=4096).collect()
+    res = vx.blocked_topk(q, df, 3, block_budget_bytes=4096).collect()
     got = {}
     for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["id"])
@@ -108,3 +108,17 @@ def test_blocked_topk_without_groups(spark):
     for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == _brute(rows, 2)
+
+
+def test_ties_do_not_flood_and_every_query_has_its_own_k(spark):
+    """1000 equal vectors: at most k candidates per query and block, by id."""
+    dist = np.zeros((3, 1000))
+    rows, cols, _ = vx.best_in_block(dist, np.array([5, 1, 2000]))
+    assert [int((rows == i).sum()) for i in range(3)] == [5, 1, 1000]
+    assert cols[rows == 0].tolist() == [0, 1, 2, 3, 4]
+    df = spark.range(1000).select("id", F.lit("t1").alias("tenant_id"), F.lit("s").alias("scope"),
+                                  F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    q = df.where("id < 3").select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"),
+                                  (F.col("id") * 60 + 1).cast("int").alias("k"))
+    got = vx.blocked_topk(q, df, "k", block_rows=100).groupBy("query_id").agg(F.max("id").alias("m"), F.count("id").alias("n")).collect()
+    assert {r["query_id"]: (r["m"], r["n"]) for r in got} == {0: (0, 1), 1: (60, 61), 2: (120, 121)}

@@ -188,19 +188,15 @@ def rolling_mean(daily: DataFrame, col: str = "sales", rows: int = 7) -> DataFra
 
 
 def summary_stats(daily: DataFrame, cols=("sales", "revenue", "customers")) -> DataFrame:
-    """L2: count, mean, sample std, min, quartiles (linear), max per column."""
-    parts = []
+    """L2: count, mean, sample std, min, quartiles (linear), max per column;
+    one aggregate over all columns, then one row per column."""
+    rows = []
     for c in cols:
         x = F.col(c).cast("double")
-        parts.append(daily.agg(
-            F.lit(c).alias("metric"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-            F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        rows.append(F.struct(F.lit(c).alias("metric"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                             F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max")))
+    return daily.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
 
 
 def headline_totals(daily: DataFrame) -> DataFrame:

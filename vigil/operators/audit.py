@@ -47,17 +47,31 @@ def with_hash_columns(audit: DataFrame) -> DataFrame:
         p["policy_version"].alias("policy_version"))
 
 
+def chain_heads(chain: DataFrame, chain_keys=("tenant_id",), order_cols=("created_at", "id")) -> DataFrame:
+    """(keys, last_hash): the newest hash of each stored chain."""
+    return chain.groupBy(*chain_keys).agg(F.max_by("event_hash", F.struct(*order_cols)).alias("last_hash"))
+
+
 def build_chain(audit: DataFrame, chain_keys=("tenant_id",), order_cols=("created_at", "id"),
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, heads: DataFrame | None = None) -> DataFrame:
     """prev_hash and event_hash for every row, one chain per key.
 
-    The first event of a chain gets ``prev_hash = ''``; a supplied non-null
+    ``heads`` (:func:`chain_heads` of the stored table) makes the batch go on
+    where each stored chain ends.  Without one, the first event of a chain
+    gets ``prev_hash = ''``.  A chain is sequential by nature, one task per
+    key; a finer key (tenant and day) gives more of them.  Also, a supplied non-null
     ``prev_hash`` column is kept as given (the reference uses a supplied
     value before the latest stored one)."""
     keys = list(chain_keys)
     has_prev = "prev_hash" in audit.columns
     base = audit.withColumn("_body", hash_body()).withColumn(
         "_given_prev", F.col("prev_hash") if has_prev else F.lit(None).cast("string"))
+    if heads is not None:
+        if not keys:
+            raise ValueError("heads need chain keys")
+        base = base.join(heads.select(*keys, F.col("last_hash").alias("_head")), keys, "left")
+    else:
+        base = base.withColumn("_head", F.lit(None).cast("string"))
     if keys:
         n = num_partitions or int(audit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         part = base.repartition(n, *keys).sortWithinPartitions(*keys, *order_cols)
@@ -74,9 +88,9 @@ def build_chain(audit: DataFrame, chain_keys=("tenant_id",), order_cols=("create
         for pdf in batches:
             prevs, hashes = [], []
             kv = list(zip(*[pdf[k].tolist() for k in key_names])) if key_names else [()] * len(pdf)
-            for key, body, given in zip(kv, pdf["_body"].tolist(), pdf["_given_prev"].tolist()):
+            for key, body, given, head in zip(kv, pdf["_body"].tolist(), pdf["_given_prev"].tolist(), pdf["_head"].tolist()):
                 if key != last_key:
-                    last_key, last_hash = key, None
+                    last_key, last_hash = key, head
                 prev = given if given is not None else (last_hash if last_hash is not None else "")
                 h = hashlib.sha256((prev + body).encode("utf-8")).hexdigest()
                 prevs.append(prev)
@@ -85,7 +99,7 @@ def build_chain(audit: DataFrame, chain_keys=("tenant_id",), order_cols=("create
             yield pdf.assign(_prev=prevs, _hash=hashes)
 
     chained = part.mapInPandas(fold, out_schema)
-    drop = ["_body", "_given_prev"] + (["prev_hash"] if has_prev else [])
+    drop = ["_body", "_given_prev", "_head"] + (["prev_hash"] if has_prev else [])
     return (chained.drop(*drop).withColumnRenamed("_prev", "prev_hash")
             .withColumnRenamed("_hash", "event_hash"))
 

@@ -37,7 +37,7 @@ def no_message_markers(responses: DataFrame, key_col: str, body_col: str = "body
 def normalize_http(df: DataFrame, resp_col: str = "response") -> DataFrame:
     """Status from ``statusCode``, numeric ``status`` or the Gmail
     shape (messages / resultSizeEstimate -> 200); error from ``error`` or
-    ``message``; ok = 2xx and no error."""
+    ``message``; ok = 2xx."""
     r = F.col(resp_col)
     g = lambda p: F.get_json_object(r, p)
     sc = g("$.statusCode").try_cast("int")
@@ -47,10 +47,39 @@ def normalize_http(df: DataFrame, resp_col: str = "response") -> DataFrame:
     status = (F.when(sc.isNotNull(), sc).when(st.isNotNull(), st).when(gmail, F.lit(200))
               .otherwise(F.coalesce(sc, st, F.lit(0))))
     err = F.coalesce(F.nullif(g("$.error"), F.lit("")), F.nullif(g("$.message"), F.lit("")))
-    ok = (status >= 200) & (status < 300) & err.isNull()
+    ok = (status >= 200) & (status < 300)
     return df.select("*", status.alias("http_status"), err.alias("http_error"), ok.alias("ok"))
 
 
+def normalize_metadata(df: DataFrame, resp_col: str = "response") -> DataFrame:
+    """B29 for a metadata reply: status from ``statusCode`` or a numeric
+    ``status``, else 200 for a bare object; the body is the given text parsed
+    as JSON, or its first 1000 characters as ``rawText`` with an error; an API
+    error in the body gives message and code; ok = 2xx and no error."""
+    r = F.col(resp_col)
+    whole = F.try_parse_json(r)
+    sc = F.try_variant_get(whole, "$.statusCode", "int")
+    st = F.when(F.schema_of_variant(F.try_variant_get(whole, "$.status", "variant")) == "BIGINT", F.try_variant_get(whole, "$.status", "int"))
+    wrapped = sc.isNotNull() | st.isNotNull()
+    inner = F.try_variant_get(whole, "$.body", "variant")
+    is_text = F.coalesce(F.schema_of_variant(inner) == "STRING", F.lit(False))
+    text = F.when(is_text, F.try_variant_get(whole, "$.body", "string"))
+    parsed = F.try_parse_json(text)
+    body = (F.when(~wrapped, F.to_json(whole))
+            .when(is_text, F.coalesce(F.to_json(parsed), F.to_json(F.struct(F.substring(text, 1, 1000).alias("rawText")))))
+            .when(inner.isNotNull(), F.to_json(inner)).when(sc.isNull(), F.to_json(whole)).otherwise(F.lit("{}")))
+    out = df.select("*", F.coalesce(sc, st, F.lit(200)).alias("_status"), body.alias("body"),
+                    F.when(wrapped & is_text & parsed.isNull(), F.lit("body is not JSON")).alias("_bad"),
+                    F.coalesce(F.nullif(F.get_json_object(r, "$.error"), F.lit("")), F.nullif(F.get_json_object(r, "$.message"), F.lit(""))).alias("_said"))
+    api = F.get_json_object("body", "$.error")
+    has_api = F.coalesce(api != "", F.lit(False)) & (F.col("body") != "{}")
+    error = F.when(has_api, F.coalesce(F.get_json_object("body", "$.error.message"), api)).otherwise(F.coalesce("_said", "_bad"))
+    status = F.when(has_api, F.coalesce(F.get_json_object("body", "$.error.code").try_cast("int"), F.col("_status"))).otherwise(F.col("_status"))
+    return (out.withColumn("http_status", status).withColumn("http_error", error)
+            .withColumn("ok", (F.col("http_status") >= 200) & (F.col("http_status") < 300) & F.col("http_error").isNull())
+            .drop("_status", "_bad", "_said"))
+
+
 def tolerant_parse(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """``METADATA_EMPTY`` for blank text, ``METADATA_PARSE_ERROR``
     (with a 200-char sample) when the text is not JSON, else ``OK``."""

@@ -102,9 +102,13 @@ def load_payload(revisions: DataFrame, payload_col: str = "payload") -> DataFram
     return revisions.select("revision_id", F.size(w).alias("count"), F.inline_outer(w))
 
 
-def activate(revisions: DataFrame, revision_id: str) -> DataFrame:
-    """H7 second statement: ``is_active = (revision_id = :rev)`` rewrite."""
-    return revisions.withColumn("is_active", F.col("revision_id") == F.lit(revision_id))
+def publish_revision(revisions: DataFrame, revision_id: str, as_of: _dt.datetime) -> DataFrame:
+    """H7: the revision table after publishing: the revision is inserted, or
+    overwritten if its id is there, and is the only active one."""
+    new = revisions.sparkSession.range(1).select(
+        F.lit(revision_id).alias("revision_id"), F.lit("published").alias("status"), ts_ntz(as_of).alias("published_at"), F.lit(True).alias("is_active"))
+    others = revisions.where(F.col("revision_id") != revision_id).withColumn("is_active", F.lit(False))
+    return others.select(*new.columns).unionByName(new)
 
 
 def log_rows(df: DataFrame, revision_id, action: str, actor_col: str = "actor", result: str = "ok",
@@ -164,13 +168,3 @@ def rollback(rules: DataFrame, revision_rows: DataFrame, to_revision: str, new_r
     prev = revision_rows.where(F.col("revision_id") == to_revision).select(*RULE_COLS)
     merged = upsert_rules(rules, prev, as_of)
     return publish_rows(merged, new_revision)
-
-
-def stamp_updated_at(old: DataFrame, new: DataFrame, as_of: _dt.datetime) -> DataFrame:
-    """updated_at moves to ``as_of`` only for rows whose content changed."""
-    o = old.select(*RULE_KEY, F.col("constraints").alias("_oc"), F.col("enabled").alias("_oe"),
-                   F.col("updated_at").alias("_ou"))
-    j = new.join(o, list(RULE_KEY), "left")
-    changed = ~(F.col("constraints").eqNullSafe(F.col("_oc")) & F.col("enabled").eqNullSafe(F.col("_oe")))
-    return j.withColumn("updated_at", F.when(changed | F.col("_ou").isNull(), ts_ntz(as_of)).otherwise(F.col("_ou"))) \
-            .drop("_oc", "_oe", "_ou")

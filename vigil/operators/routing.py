@@ -207,6 +207,24 @@ def digest_text(df: DataFrame, facts_col: str = "facts", answer_col: str = "answ
                      F.when(llm != "", "ok").otherwise("ok_with_local_fallback").alias("outcome"))
 
 
+# Fixed value: opens a mail whose text the model could not write.
+FAILURE_NOTICE = "【LLM生成に失敗したため、事実ベース本文を送信します】"
+
+
+def newsletter_text(df: DataFrame, facts_col: str = "facts", answer_col: str = "answer", ok_col: str = "router_ok",
+                    status_col: str = "router_status", error_col: str | None = None) -> DataFrame:
+    """I11 for the newsletter: model text and source facts, or the failure
+    notice, what went wrong and the facts."""
+    answer = F.trim(F.coalesce(F.col(answer_col), F.lit("")))
+    ok = F.coalesce(F.col(ok_col), F.lit(False)) & (F.upper(F.coalesce(F.col(status_col), F.lit(""))) == "OK") & (answer != "")
+    facts = F.coalesce(F.col(facts_col), F.lit(""))
+    reason = F.coalesce(F.nullif(F.col(answer_col), F.lit("")), F.nullif(F.col(error_col), F.lit("")) if error_col else F.lit(None).cast("string"),
+                        F.concat(F.lit("brain_router_v2 unavailable (status="), F.coalesce(F.nullif(F.col(status_col), F.lit("")), F.lit("unknown")), F.lit(")")))
+    text = (F.when(ok, F.concat(answer, F.lit("\n\n---\n[Source Facts]\n"), facts))
+            .otherwise(F.concat(F.lit(FAILURE_NOTICE + "\n"), reason, F.lit("\n\n"), facts)))
+    return df.select("*", text.alias("newsletter"), (~ok).alias("failed"))
+
+
 def episode_rows(df: DataFrame, as_of: _dt.datetime) -> DataFrame:
     """The episode row written after a dispatch."""
     meta = F.to_json(F.struct(F.lit("ai-executor").alias("executor"), F.col("outcome"),

@@ -23,9 +23,6 @@ DEGRADED_FACTOR = 0.7
 MAX_QUEUE_DEPTH = 50
 HEALTH_CPU_MEM_LIMIT = 90
 TIMEOUT_RESPONSE_MS = 5000
-BREAKER_FAILURE_THRESHOLD = 5
-BREAKER_RECOVERY_SECONDS = 30.0
-BREAKER_HALF_OPEN_CALLS = 3
 AFFINITY_TTL_SECONDS = 3600
 TRACEBACK_MARKER = "Traceback (most recent call last):"
 
@@ -167,82 +164,6 @@ def score_pools(pools: DataFrame, top: int = 3) -> DataFrame:
     return ranked.where(F.col("score_rank") <= top)
 
 
-def uniform_draw(c) -> Column:
-    """A reproducible uniform [0, 1) draw from a key (first 8 hex digits of
-    its sha256)."""
-    return F.conv(F.substring(F.sha2(as_col(c).cast("string"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def weighted_pick(requests: DataFrame, top_pools: DataFrame, key_col: str = "session_id") -> DataFrame:
-    """Pick among the top pools by cumulative score with a draw from
-    the request key; with total score 0 the draw picks uniformly.  The top
-    list (at most 3 entries) is one scalar subquery, so requests need no
-    join and the pool snapshot is computed once."""
-    w = Window.orderBy("score_rank").rowsBetween(Window.unboundedPreceding, 0)  # ≤ 3 rows
-    top = top_pools.withColumn("cum", F.sum("score").over(w)).agg(
-        F.sort_array(F.collect_list(F.struct("score_rank", "name", "cum", "score"))).alias("t")).scalar()
-    requests = requests.withColumn("_top", top)
-    top = F.col("_top")
-    total = F.aggregate(top, F.lit(0.0), lambda acc, x: acc + x["score"])
-    n = F.size(top)
-    r = uniform_draw(key_col) * total
-    hit = F.filter(top, lambda x: r <= x["cum"])
-    by_score = F.coalesce(F.try_element_at(hit, F.lit(1))["name"], F.try_element_at(top, F.lit(-1))["name"])
-    idx = F.floor(uniform_draw(key_col) * n).cast("int")
-    uniform = F.try_element_at(top, idx + 1)["name"]
-    return requests.select(key_col, F.when(total > 0, by_score).when(n > 0, uniform).alias("pool"))
-
-
-BREAKER_SCHEMA = T.StructType([
-    T.StructField("pool", T.StringType()), T.StructField("event_id", T.LongType()),
-    T.StructField("allowed", T.BooleanType()), T.StructField("state", T.StringType()),
-    T.StructField("failure_count", T.IntegerType())])
-
-
-def breaker_replay(outcomes: DataFrame, pool_col: str = "pool", ts_col: str = "ts", tie_col: str = "event_id",
-                   num_partitions: int | None = None) -> DataFrame:
-    """Replay the circuit breaker over ordered attempts per pool.
-
-    Each row is one attempt (``can_execute`` is evaluated first: an open
-    breaker turns half-open once 30 s passed since the last failure) and
-    its outcome.  Rows are hash-partitioned by pool and sorted inside each
-    partition; the fold keeps one breaker per pool at a time (memory is a
-    batch, not a pool)."""
-    n = num_partitions or int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = outcomes.select(F.col(pool_col).alias("pool"), F.col(tie_col).cast("long").alias("event_id"),
-                          (epoch_micros(ts_col) / F.lit(1e6)).alias("t"), (F.col("outcome") == "success").alias("ok"))
-    part = src.repartition(n, "pool").sortWithinPartitions("pool", "t", "event_id")
-
-    def fold(batches):
-        cur, state, fails, succ, last_fail = None, "closed", 0, 0, 0.0
-        for pdf in batches:
-            allowed, states, counts = [], [], []
-            for pool, t, ok in zip(pdf["pool"].tolist(), pdf["t"].tolist(), pdf["ok"].tolist()):
-                if pool != cur:
-                    cur, state, fails, succ, last_fail = pool, "closed", 0, 0, 0.0
-                if state == "open" and t - last_fail >= BREAKER_RECOVERY_SECONDS:
-                    state, succ = "half_open", 0
-                allowed.append(state != "open")
-                if ok:
-                    if state == "half_open":
-                        succ += 1
-                        if succ >= BREAKER_HALF_OPEN_CALLS:
-                            state, fails, succ = "closed", 0, 0
-                    else:
-                        fails = max(0, fails - 1)
-                else:
-                    fails += 1
-                    last_fail = t
-                    if state == "half_open" or fails >= BREAKER_FAILURE_THRESHOLD:
-                        state = "open"
-                states.append(state)
-                counts.append(fails)
-            yield pd.DataFrame({"pool": pdf["pool"], "event_id": pdf["event_id"], "allowed": allowed,
-                                "state": states, "failure_count": counts})
-
-    return part.mapInPandas(fold, BREAKER_SCHEMA)
-
-
 def pool_stats(pools: DataFrame) -> DataFrame:
     """Pools by status and total sessions / capacity."""
     return pools.agg(F.count(F.lit(1)).alias("total_pools"),

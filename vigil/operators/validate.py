@@ -38,13 +38,22 @@ def has_secret(c) -> Column:
 
 # ---------------------------------------------------------------- B1 / B13
 def validate_ingest(df: DataFrame) -> DataFrame:
-    """B1 + B13: required fields, secret rejection, defaults."""
+    """B1 + B13 + B14: required fields, secret rejection, defaults (source,
+    tags, request id) and the facts worth keeping, if the request has any."""
     err = _first_error(
         (~(truthy("tenant_id") & truthy("scope") & truthy("text")),
          "Missing required fields: tenant_id, scope, text"),
         (has_secret("text"), "Rejected: potential secret detected in text"))
+    more = []
+    if "tags" in df.columns:
+        more.append(F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags_norm"))
+    if "facts" in df.columns:
+        explicit = F.coalesce(F.col("source") == "explicit", F.lit(False))
+        none = F.array().cast(df.schema["facts"].dataType)
+        more.append(F.filter(F.coalesce(F.col("facts"), none), lambda f: keep_fact(
+            f["subject"], f["predicate"], f["object"], f["confidence"], explicit)).alias("facts_norm"))
     return df.select(
-        "*",
+        "*", *more,
         err.alias("error"),
         F.coalesce(blank_to_null(F.col("source")), F.lit("unknown")).alias("source_norm"),
         F.coalesce(F.nullif(F.col("request_id"), F.lit("")),
@@ -199,39 +208,50 @@ def slack_scope(df: DataFrame) -> DataFrame:
                      F.coalesce(uid, F.lit("unknown")).alias("user_id_norm"))
 
 
-def parse_form_body(df: DataFrame, col: str = "body") -> DataFrame:
-    """``a=b&c=d`` into a map.  The value is everything after the first
-    ``=``; keys and values are URL-decoded (raw on failure); empty keys are
-    skipped; a later key overrides an earlier one.  ``+`` is kept literal,
-    as in the reference, by escaping it before decoding."""
-    pairs = F.filter(F.split(F.col(col), "&"), lambda p: F.split(p, "=").getItem(0) != "")
+def form_entries(body: Column) -> Column:
+    """``a=b&c=d`` as (key, value) entries in order.  The value is everything
+    after the first ``=``; both are URL-decoded, or both raw if either fails;
+    empty keys are skipped.  ``+`` stays literal, as in the reference, by
+    escaping it before decoding."""
+    pairs = F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda p: F.split(p, "=").getItem(0) != "")
 
     def dec(x):
-        e = F.replace(x, F.lit("+"), F.lit("%2B"))
-        return F.coalesce(F.try_url_decode(e), x)
+        return F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
 
-    entries = F.transform(pairs, lambda p: F.struct(
-        dec(F.split(p, "=").getItem(0)).alias("key"),
-        dec(F.coalesce(F.regexp_extract(p, "^[^=]*=(.*)$", 1), F.lit(""))).alias("value")))
-    # last occurrence wins: keep an entry only if its key does not appear later
-    idx = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i")))
-    last = F.filter(idx, lambda e: ~F.exists(idx, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])))
-    m = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
-    return df.select("*", m.alias("params"))
+    def entry(p):
+        k, v = F.split(p, "=").getItem(0), F.coalesce(F.regexp_extract(p, "^[^=]*=(.*)$", 1), F.lit(""))
+        fine = dec(k).isNotNull() & dec(v).isNotNull()
+        return F.struct(F.when(fine, dec(k)).otherwise(k).alias("key"), F.when(fine, dec(v)).otherwise(v).alias("value"))
+
+    return F.transform(pairs, entry)
+
+
+def parse_form_body(df: DataFrame, col: str = "body", raw_col: str | None = None, fields_col: str | None = None) -> DataFrame:
+    """A request's parameters as a map: the top-level fields (a map, if
+    given), then the form in ``col``, then that in ``raw_col``; what comes
+    later overrides, in a body as well."""
+    parts = [F.map_entries(F.coalesce(F.col(fields_col), F.create_map().cast("map<string,string>")))] if fields_col else []
+    parts += [form_entries(F.col(c)) for c in (col, raw_col) if c]
+    empty = F.create_map().cast("map<string,string>")
+    merged = F.aggregate(F.concat(*parts), empty, lambda m, e: F.map_concat(
+        F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
+    return df.select("*", merged.alias("params"))
 
 
 # ---------------------------------------------------------------- B14 / B15
+def keep_fact(subject: Column, predicate: Column, obj: Column, confidence: Column, explicit: Column) -> Column:
+    """B14 for one fact."""
+    s, p, o = (F.coalesce(c, F.lit("")) for c in (subject, predicate, obj))
+    return (~has_secret(F.concat_ws(" ", s, p, o)) & (F.coalesce(confidence >= 0.75, F.lit(False)) | explicit)
+            & (s != "") & (p != "") & (o != ""))
+
+
 def filter_facts(facts: DataFrame, request_source: str = "request_source") -> DataFrame:
     """Keep a fact when no secret is in ``subject predicate object``,
     confidence >= 0.75 or the request source is explicit, and all three
     parts are non-empty."""
-    s, p, o = (F.coalesce(F.col(c), F.lit("")) for c in ("subject", "predicate", "object"))
-    text = F.concat_ws(" ", s, p, o)
-    keep = (~has_secret(text)
-            & (F.coalesce(F.col("confidence") >= 0.75, F.lit(False))
-               | F.coalesce(F.col(request_source) == "explicit", F.lit(False)))
-            & (s != "") & (p != "") & (o != ""))
-    return facts.where(keep)
+    explicit = F.coalesce(F.col(request_source) == "explicit", F.lit(False))
+    return facts.where(keep_fact(F.col("subject"), F.col("predicate"), F.col("object"), F.col("confidence"), explicit))
 
 
 def redact_injection(c) -> Column:

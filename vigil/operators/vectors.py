@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import cosine_distance, cosine_matrix, l2_norm, l2_normalize, to_matrix
+from ..functions.vectors import cosine_matrix, l2_norm, l2_normalize, to_matrix
 
 
 # ---------------------------------------------------------------- D1-D4
@@ -38,12 +38,14 @@ KEY = ("tenant_id", "scope", "content_hash")
 
 def cache_lookup(requests: DataFrame, stored: DataFrame, key=KEY) -> DataFrame:
     """A request is a cache hit when a stored row has the same
-    (tenant, scope, content hash).  The stored side is reduced to its
-    distinct keys first, so the join is many-to-one and never multiplies
-    requests; a hot key is split by AQE's skew-join handling."""
-    keys = stored.select(*key).distinct().withColumn("cached", F.lit(True))
-    return (requests.join(keys, list(key), "left")
-            .withColumn("cached", F.coalesce(F.col("cached"), F.lit(False))))
+    (tenant, scope, content hash); it gets that row's id (the least) as
+    ``cached_id`` and its embedding, if the table has one, as
+    ``cached_embedding``.  The stored side is reduced to one row per key
+    first, so the join is many-to-one and never multiplies requests; a hot
+    key is split by AQE's skew-join handling."""
+    extra = [F.min_by("embedding", "id").alias("cached_embedding")] if "embedding" in stored.columns else []
+    keys = stored.groupBy(*key).agg(F.min("id").alias("cached_id"), *extra)
+    return requests.join(keys, list(key), "left").withColumn("cached", F.col("cached_id").isNotNull())
 
 
 def first_seen_cache(requests: DataFrame, key=KEY, order_col: str = "id") -> DataFrame:
@@ -79,7 +81,7 @@ def normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
 
 def dimension_check(df: DataFrame, expected: int, col: str = "embedding") -> DataFrame:
     """Vectors per actual width, OK / MISMATCH against ``expected``."""
-    return (df.groupBy(F.size(col).alias("actual_dims")).agg(F.count(F.lit(1)).alias("vectors"))
+    return (df.groupBy(F.coalesce(F.when(F.col(col).isNotNull(), F.size(col)), F.lit(0)).alias("actual_dims")).agg(F.count(F.lit(1)).alias("vectors"))
             .withColumn("expected_dims", F.lit(expected))
             .withColumn("status", F.when(F.col("actual_dims") == expected, "OK").otherwise("MISMATCH")))
 
@@ -96,53 +98,55 @@ def parse_vector_text(c) -> "F.Column":
 
 def split_by_dimension(df: DataFrame, expected: int, col: str = "embedding"):
     """(accepted, rejected) by vector width; rejected rows keep a reason."""
-    ok = F.size(col) == expected
+    width = F.coalesce(F.when(F.col(col).isNotNull(), F.size(col)), F.lit(0))  # no vector: width 0
+    ok = width == expected
     rejected = df.where(~ok).withColumn(
-        "reject_reason", F.concat(F.lit(f"Expected {expected} dimensions, got "), F.size(col).cast("string")))
+        "reject_reason", F.concat(F.lit(f"Expected {expected} dimensions, got "), width.cast("string")))
     return df.where(ok), rejected
 
 
 # ---------------------------------------------------------------- blocked exact top-k
-def _blocks(n, block_rows: int):
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(block_rows)))).cast("int")
-
-
 def _bucket(id_col: str, n_blocks) -> "F.Column":
     return F.pmod(F.xxhash64(F.col(id_col)), n_blocks.cast("long")).cast("int")
 
 
-def blocked_topk(queries: DataFrame, vectors: DataFrame, k: int, group_cols=("tenant_id", "scope"),
+def blocked_topk(queries: DataFrame, vectors: DataFrame, k: int | str, group_cols=("tenant_id", "scope"),
                  query_id: str = "query_id", query_vec: str = "query_vec",
                  vec_id: str = "id", vec_col: str = "embedding", block_rows: int = 20000,
-                 query_block_rows: int = 2000, dims: int | None = None,
-                 block_budget_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+                 query_block_rows: int = 2000, block_budget_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """Exact k nearest vectors (cosine distance) per query within its group.
 
     ``queries``: query_id, group columns, query_vec (array<double>); a query
-    may appear in several groups (IVF probes), the result merges them.
-    ``vectors``: id, group columns, embedding.
-    Returns query_id, id, cosine_distance, rank (1..k; ties by id; zero
-    vectors have a null distance and rank last).  With ``dims`` given the
-    block sizes are bounded by ``block_budget_bytes`` per task.
+    may appear in several groups (IVF probes), the result merges them.  ``k``
+    is a number, or the name of a column of ``queries`` that holds each
+    query's own.  ``vectors``: id, group columns, embedding; rows without a
+    vector are no candidates.  Returns query_id, id, cosine_distance, rank
+    (1..k; ties by id; zero vectors have a null distance and rank last).
+
+    Block sizes follow from the width of the vectors, so that the vectors,
+    queries and distances of one block pair stay within
+    ``block_budget_bytes``.  A block pair gives exactly its k best by
+    (distance, id), however many are tied.  Queries are meant to be a batch
+    of requests: the vectors are sent once per query block of their group.
     """
-    if dims:
-        # keep vectors + queries + the distance matrix of one block pair
-        # within the budget: Vb·d + Qb·d + Qb·Vb doubles
-        per = 8
-        block_rows = max(256, min(block_rows, block_budget_bytes // (2 * per * dims)))
-        query_block_rows = max(64, min(query_block_rows,
-                                       block_budget_bytes // (2 * per * (dims + block_rows))))
     g = list(group_cols)
     if not g:  # one search group: a constant key keeps every join keyed
         queries, vectors, g = queries.withColumn("_g0", F.lit(0)), vectors.withColumn("_g0", F.lit(0)), ["_g0"]
     qid_t = queries.schema[query_id].dataType
     vid_t = vectors.schema[vec_id].dataType
-    # fresh aliases: the two sides may come from the same table (self search)
-    q = queries.select(*[F.col(c).alias(c) for c in g], F.col(query_id).alias("qid"), F.col(query_vec).alias("qv"))
-    v = vectors.select(*[F.col(c).alias(c) for c in g], F.col(vec_id).alias("vid"), F.col(vec_col).alias("vv"))
+    # fresh aliases: the two sides may come from the same table
+    want = F.col(k) if isinstance(k, str) else F.lit(k)
+    q = queries.where(F.col(query_vec).isNotNull()).select(
+        *[F.col(c).alias(c) for c in g], F.col(query_id).alias("qid"), F.col(query_vec).alias("qv"), want.cast("int").alias("qk"))
+    v = vectors.where(F.col(vec_col).isNotNull()).select(
+        *[F.col(c).alias(c) for c in g], F.col(vec_id).alias("vid"), F.col(vec_col).alias("vv"))
     # per-group sizes: one small aggregate row per group, joined back many-to-one
-    vs = v.groupBy(*g).agg(_blocks(F.count(F.lit(1)), block_rows).alias("nvb"))
-    qs = q.groupBy(*g).agg(_blocks(F.count(F.lit(1)), query_block_rows).alias("nqb"))
+    per_vector = F.lit(16.0) * F.greatest(F.lit(1), F.max(F.size("vv")))  # vectors and half the budget, in bytes
+    rows_fit = F.greatest(F.lit(1.0), F.least(F.lit(float(block_rows)), F.floor(F.lit(float(block_budget_bytes)) / per_vector)))
+    vs = v.groupBy(*g).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_fit)).cast("int").alias("nvb"))
+    per_query = F.lit(16.0) * (F.greatest(F.lit(1), F.max(F.size("qv"))) + block_rows)
+    queries_fit = F.greatest(F.lit(1.0), F.least(F.lit(float(query_block_rows)), F.floor(F.lit(float(block_budget_bytes)) / per_query)))
+    qs = q.groupBy(*g).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / queries_fit)).cast("int").alias("nqb"))
     sizes = vs.join(qs, g, "inner")
     vb = (v.join(sizes, g, "inner")
           .withColumn("vb", _bucket("vid", F.col("nvb")))
@@ -154,48 +158,42 @@ def blocked_topk(queries: DataFrame, vectors: DataFrame, k: int, group_cols=("te
           .drop("nvb", "nqb"))
     keys = g + ["qb", "vb"]
     out_schema = T.StructType([T.StructField("qid", qid_t), T.StructField("vid", vid_t),
-                               T.StructField("dist", T.DoubleType())])
+                               T.StructField("dist", T.DoubleType()), T.StructField("qk", T.IntegerType())])
 
     def score(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(vpdf) == 0:
-            return pd.DataFrame({"qid": [], "vid": [], "dist": []})
-        Q, V = to_matrix(qpdf["qv"]), to_matrix(vpdf["vv"])
-        D = cosine_matrix(Q, V)
-        vids = vpdf["vid"].to_numpy()
-        kk = min(k, D.shape[1])
-        # NaN sorts last; ties broken by vector id
-        key = np.where(np.isnan(D), np.inf, D)
-        if kk < D.shape[1]:
-            part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-            # keep every candidate tied with the k-th distance so the id
-            # tie-break in the merge stays exact
-            kth = np.take_along_axis(key, part, axis=1).max(axis=1, keepdims=True)
-            mask = key <= kth
-        else:
-            mask = np.ones_like(key, dtype=bool)
-        rows, cols = np.nonzero(mask)
-        qids = qpdf["qid"].to_numpy()
-        d = D[rows, cols]
-        return pd.DataFrame({"qid": qids[rows], "vid": vids[cols], "dist": d})
+            return pd.DataFrame({"qid": [], "vid": [], "dist": [], "qk": []})
+        vpdf = vpdf.sort_values("vid", kind="stable")
+        rows, cols, d = best_in_block(cosine_matrix(to_matrix(qpdf["qv"]), to_matrix(vpdf["vv"])), qpdf["qk"].to_numpy())
+        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[rows], "vid": vpdf["vid"].to_numpy()[cols], "dist": d,
+                             "qk": qpdf["qk"].to_numpy()[rows]})
 
     cand = (qb.groupBy(*keys).cogroup(vb.groupBy(*keys))
             .applyInPandas(score, schema=out_schema))
     # every vector belongs to one group and every (query, group) pair is
     # scored once, so the candidates hold no duplicate (query, vector)
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc_nulls_last(), F.col("vid").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("qk"))
             .select(F.col("qid").alias(query_id), F.col("vid").alias(vec_id),
                     F.col("dist").alias("cosine_distance"), "rank"))
 
 
-def search_one(vectors: DataFrame, query_vec: list[float], tenant_id: str, scope: str, k: int = 5) -> DataFrame:
-    """D11 for a single request: filter the group, JVM-side cosine distance,
-    ``orderBy(...).limit(k)`` (planned as TakeOrderedAndProject)."""
-    qv = F.array(*[F.lit(float(x)) for x in query_vec])
-    return (vectors.where((F.col("tenant_id") == tenant_id) & (F.col("scope") == scope))
-            .withColumn("cosine_distance", cosine_distance("embedding", qv))
-            .orderBy(F.col("cosine_distance").asc_nulls_last(), F.col("id").asc())
-            .limit(k))
+def best_in_block(dist: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of each row's ``k`` least distances; columns are
+    in id order, which decides among equal ones; NaN counts as the greatest."""
+    key = np.where(np.isnan(dist), np.inf, dist)
+    m = key.shape[1]
+    kk = np.clip(k, 0, m)
+    mask = np.zeros(key.shape, bool)
+    for n in np.unique(kk[kk > 0]):  # one selection per distinct k
+        at = np.flatnonzero(kk == n)
+        sub = key[at]
+        kth = np.partition(sub, n - 1, axis=1)[:, n - 1: n]
+        less = sub < kth
+        tied = sub == kth
+        mask[at] = less | (tied & (np.cumsum(tied, axis=1) <= n - less.sum(axis=1, keepdims=True)))
+    rows, cols = np.nonzero(mask)
+    return rows, cols, dist[rows, cols]
 
 
 def keyword_search(vectors: DataFrame, tenant_id: str | None, scope: str, term: str, k: int = 5) -> DataFrame:
@@ -226,11 +224,18 @@ def assemble_context(matches: DataFrame, query_col: str = "query_id", rank_col:
     return agg.select(query_col, F.size("m").alias("context_count"), ctx.alias("context_text"))
 
 
-def search_response(matches: DataFrame, query_col: str = "query_id") -> DataFrame:
-    """One response row per query: count and ordered results."""
-    return (matches.groupBy(query_col)
-            .agg(F.count(F.lit(1)).alias("results_count"),
-                 F.sort_array(F.collect_list(F.struct("rank", "id", "cosine_distance"))).alias("results")))
+def search_response(requests: DataFrame, matches: DataFrame, vectors: DataFrame, query_col: str = "query_id") -> DataFrame:
+    """One response per request: status, mode, query, tenant, scope, k,
+    count and the ordered results with their stored fields.  Matches are k per
+    request, so the collected list is bounded by the request."""
+    stored = vectors.select("id", F.col("scope").alias("_scope"), "content", "tags", "source", "created_at")
+    item = F.struct("rank", "id", F.col("_scope").alias("scope"), "content", "tags", "source", "created_at", "cosine_distance")
+    found = (matches.join(stored, "id").groupBy(query_col)
+             .agg(F.count(F.lit(1)).alias("results_count"), F.sort_array(F.collect_list(item)).alias("results")))
+    none = F.array().cast(found.schema["results"].dataType)
+    return requests.join(found, query_col, "left").select(
+        F.lit("success").alias("status"), F.lit("vector_cosine").alias("mode"), query_col, "query", "tenant_id", "scope",
+        F.col("k_norm").alias("k"), F.coalesce("results_count", F.lit(0)).alias("results_count"), F.coalesce("results", none).alias("results"))
 
 
 # ---------------------------------------------------------------- D12 IVF
@@ -244,34 +249,23 @@ def ivf_probes(lists: int, n_rows: int) -> int:
     return int(min(lists, max(10, round(math.sqrt(max(n_rows, 1)) / 3))))
 
 
-def ivf_build(vectors: DataFrame, lists: int, index_path: str, seed: int = 42, max_iter: int = 10,
-              sample_per_list: int = 50, n_rows: int | None = None, col: str = "embedding"):
-    """D12 build: KMeans (cosine) lists trained on a bounded sample (about
-    ``sample_per_list`` rows per list, as IVFFlat does), then every vector
-    gets its ``list_id`` and the result is written as the index table,
-    clustered by list so a probe reads few row groups.
-
-    Only the training sample is cached (its size is bounded by
-    lists × sample_per_list); the full table is streamed once.
+def ivf_build(vectors: DataFrame, lists: int, index_path: str, seed: int = 42, max_iter: int = 10, col: str = "embedding"):
+    """D12 build: KMeans (cosine) lists trained on all vectors, then every
+    vector gets its ``list_id`` and the result is written as the index table,
+    clustered by list so a probe reads few row groups.  ``lists`` is the
+    caller's choice (``ivf_lists`` has the guidance); lists × width numbers
+    must fit on the driver, where MLlib keeps the model.
     Returns (index vectors, centroids(list_id, centroid))."""
-    from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = vectors.sparkSession
-    n = n_rows if n_rows is not None else vectors.count()
-    frac = min(1.0, (sample_per_list * lists) / max(n, 1))
     # cosine is undefined for zero vectors: they are kept, in list 0
     nonzero = l2_norm(col) > 0
     zero_rows = vectors.where(~F.coalesce(nonzero, F.lit(False))).withColumn("list_id", F.lit(0))
     vectors = vectors.where(nonzero)
-    train = (vectors.sample(fraction=frac, seed=seed) if frac < 1.0 else vectors) \
-        .select(array_to_vector(F.col(col)).alias("_f")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="list_id",
-                       distanceMeasure="cosine").fit(train)
-    finally:
-        train.unpersist()
+    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="list_id",
+                   distanceMeasure="cosine").fit(vectors.select(array_to_vector(F.col(col)).alias("_f")))
     assigned = model.setFeaturesCol("_f").transform(vectors.withColumn("_f", array_to_vector(F.col(col)))).drop("_f")
     assigned = assigned.unionByName(zero_rows)
     # range partitioning on (list_id, id): files stay clustered by list, and
@@ -335,15 +329,16 @@ def pca_fit(vectors: DataFrame, k: int, col: str = "embedding", expected_dims: i
 
 def pca_transform(df: DataFrame, mean: list[float], model, col: str = "embedding",
                   out: str = "reduced") -> DataFrame:
-    """Centre with the fitted mean, then project (MLlib's PCA transform
-    does not centre, so the mean is subtracted first)."""
+    """Project, then subtract the projected mean (MLlib's PCA transform
+    does not centre; k numbers are subtracted, not one per input dimension)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    mu = F.array(*[F.lit(x) for x in mean])
-    centred = df.withColumn("_c", array_to_vector(F.zip_with(F.col(col), mu, lambda a, b: a - b)))
+    centre = model.pc.toArray().T @ np.asarray(mean)
+    shift = F.array(*[F.lit(float(x)) for x in centre])
     m = model.copy()
     m.setInputCol("_c").setOutputCol("_p")
-    return m.transform(centred).withColumn(out, vector_to_array("_p")).drop("_c", "_p")
+    projected = m.transform(df.withColumn("_c", array_to_vector(F.col(col))))
+    return projected.withColumn(out, F.zip_with(vector_to_array("_p"), shift, lambda a, b: a - b)).drop("_c", "_p")
 
 
 def explained_variance_total(model) -> float:

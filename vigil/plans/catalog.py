@@ -189,7 +189,8 @@ from ..operators import validate as va  # noqa: E402
 @register("b1_validate_ingest")
 def _b1(t):
     return va.validate_ingest(si.ingest_requests(t.documents)).select(
-        "doc_id", "error", "source_norm", "request_id_norm")
+        "doc_id", "error", "source_norm", "request_id_norm", F.array_join("tags_norm", ",").alias("tags"),
+        F.array_join(F.transform("facts_norm", lambda f: F.concat_ws(" ", f["subject"], f["predicate"], f["object"])), ";").alias("facts"))
 
 
 @register("b2_validate_search")
@@ -251,9 +252,12 @@ def _b10(t):
 
 @register("b11_parse_form_body")
 def _b11(t):
-    q = t.pages.select("page_id", F.regexp_extract("url", r"\?([^#]*)", 1).alias("body"))
+    p = F.col("page_id")
+    own = F.when(p % 4 == 0, F.create_map(F.lit("user_id"), F.concat(F.lit("U"), p.cast("string")), F.lit("ref"), F.lit("top")))
+    raw = F.when(p % 3 == 0, F.concat(F.lit("extra=a%20b&ref=raw&extra="), p.cast("string"), F.lit("&bad=%zz")))
+    q = t.pages.select("page_id", F.regexp_extract("url", r"\?([^#]*)", 1).alias("body"), raw.alias("raw_body"), own.alias("fields"))
     entries = F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return va.parse_form_body(q).select("page_id", F.array_join(F.array_sort(entries), "&").alias("params_text"))
+    return va.parse_form_body(q, raw_col="raw_body", fields_col="fields").select("page_id", F.array_join(F.array_sort(entries), "&").alias("params_text"))
 
 
 @register("b12_slack_scope")
@@ -314,8 +318,7 @@ def _b21(t):
 @register("b22_sanitize_error")
 def _b22(t):
     c = t.conversations
-    first = F.element_at(F.split("text", "\n"), 1)
-    return c.select("conv_id", "turn", va.sanitize_error(first).alias("sanitized"))
+    return c.select("conv_id", "turn", va.sanitize_error(F.col("text")).alias("sanitized"))
 
 
 @register("b23_template_errors")
@@ -336,16 +339,16 @@ def _b25(t):
 
 @register("b26_html_escape")
 def _b26(t):
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return t.pages.select("page_id", va.html_escape_mail(title).alias("mail_escaped"),
-                          va.html_escape_full(title).alias("full_escaped"))
+    html = F.col("html")
+    return t.pages.select("page_id", va.html_escape_mail(html).alias("mail_escaped"),
+                          va.html_escape_full(html).alias("full_escaped"))
 
 
 @register("b27_mime_subject")
 def _b27(t):
-    first = F.element_at(F.split("text", "\n"), 1)
-    return t.documents.select("doc_id", va.mime_subject(first).alias("subject"),
-                              va.base64url(first).alias("first_line_b64url"))
+    text = F.col("text")
+    return t.documents.select("doc_id", va.mime_subject(text).alias("subject"),
+                              va.base64url(text).alias("text_b64url"))
 
 
 # ---------------------------------------------------------------- D
@@ -361,6 +364,15 @@ def _d1(t): return vx.content_hash(t.documents, "text").select("doc_id", "conten
 
 @register("d2_cache_lookup")
 def _d2(t):
+    """Ingest requests against the stored table."""
+    req = vx.content_hash(si.ingest_requests(t.documents).withColumnRenamed("text", "content"))
+    found = vx.cache_lookup(req, _vectors(t))
+    return found.select("doc_id", "tenant_id", "scope", "content_hash", "cached", "cached_id",
+                        F.when(F.col("cached_embedding").isNotNull(), F.size("cached_embedding")).alias("cached_dims"))
+
+
+@register("d2_first_seen")
+def _d2f(t):
     docs = vx.content_hash(si.memory_documents(t.documents))
     return vx.first_seen_cache(docs).select("id", "tenant_id", "scope", "content_hash", "cached")
 
@@ -385,13 +397,16 @@ def _d9(t):
                     (F.round(F.try_element_at("embedding", F.lit(1)), 6) + F.lit(0.0)).alias("x1"))
 
 
-def _self_queries(mv: DataFrame) -> DataFrame:
-    return mv.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
+def _queries(mv: DataFrame, t: Tables) -> DataFrame:
+    """Search requests: the vectors that ``benchmark`` names, as queries."""
+    asked = t.benchmark.select(F.col("item_id").alias("id"))
+    return (mv.where(F.col("embedding").isNotNull()).join(asked, "id", "left_semi")
+            .select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec")))
 
 
 def _exact_matches(t: Tables) -> DataFrame:
     mv = _vectors(t)
-    return vx.blocked_topk(_self_queries(mv), mv, TOPK)
+    return vx.blocked_topk(_queries(mv, t), mv, TOPK)
 
 
 @register("d10_d11_topk_exact")
@@ -400,18 +415,28 @@ def _d11(t):
                                     (F.round("cosine_distance", 6) + F.lit(0.0)).alias("cosine_distance"))
 
 
+IVF_LISTS = 16
+
+
+def _ivf(t: Tables, probes: int):
+    """(approximate matches, exact matches) with an index of all vectors."""
+    mv = _vectors(t).where(F.col("embedding").isNotNull())
+    assigned, cents = vx.ivf_build(mv, IVF_LISTS, _scratch(t, "ivf"))
+    q = _queries(mv, t)
+    return vx.ivf_search(q, assigned, cents, TOPK, probes), vx.blocked_topk(q, mv, TOPK)
+
+
+@register("d12_ivf_all_lists")
+def _d12a(t):
+    """With every list probed the index search is the exact one."""
+    approx, _ = _ivf(t, IVF_LISTS)
+    return approx.select("query_id", "rank", "id", (F.round("cosine_distance", 6) + F.lit(0.0)).alias("cosine_distance"))
+
+
 @register("d12_ivf_recall")
 def _d12(t):
-    mv = _vectors(t)
-    n = mv.count()
-    lists = max(2, min(vx.ivf_lists(n), n // 10))
-    probes = vx.ivf_probes(lists, n)
-    import uuid
-    from ..session import scratch_path
-    assigned, cents = vx.ivf_build(mv, lists, scratch_path(t.spark, f"ivf-{uuid.uuid4().hex}"), n_rows=n)
-    approx = vx.ivf_search(_self_queries(mv), assigned, cents, TOPK, probes)
-    exact = vx.blocked_topk(_self_queries(mv), mv, TOPK)
-    return vx.recall_at_k(approx, exact, TOPK).withColumn("lists", F.lit(lists)).withColumn("probes", F.lit(probes))
+    approx, exact = _ivf(t, IVF_LISTS // 2)
+    return vx.recall_at_k(approx, exact, TOPK)
 
 
 @register("d13_keyword_search")
@@ -419,19 +444,28 @@ def _d13(t):
     return vx.keyword_search(_vectors(t), "t1", "en", "ing", 5).select("id", "tenant_id", "scope", "created_at")
 
 
+def _mixed_widths(t: Tables) -> DataFrame:
+    """Vectors as clients send them: every 7th has half the width, and some
+    documents have none."""
+    mv = _vectors(t)
+    return mv.select("id", F.when(F.col("id") % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"))
+
+
 @register("d14_dimension_check")
-def _d14(t): return vx.dimension_check(t.embeddings, 64)
+def _d14(t): return vx.dimension_check(_mixed_widths(t), 64)
 
 
 @register("d15_vector_text")
 def _d15(t):
-    return vx.vector_text(t.embeddings.select("vec_id", "embedding")).select("vec_id", "embedding_text")
+    e = vx.vector_text(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    back = F.transform(F.split(F.regexp_extract("embedding_text", r"^\[(.*)\]$", 1), ","), lambda x: x.cast("double"))
+    return e.select("vec_id", F.size(back).alias("dims"), (back == F.col("embedding")).alias("same"))
 
 
 @register("d16_dimension_reject")
 def _d16(t):
-    ok, bad = vx.split_by_dimension(t.embeddings.select("vec_id", "embedding"), 64)
-    return bad.select("vec_id", "reject_reason")
+    ok, bad = vx.split_by_dimension(_mixed_widths(t), 64)
+    return bad.select("id", "reject_reason")
 
 
 def _matches_with_content(t: Tables) -> DataFrame:
@@ -452,33 +486,39 @@ def _d17(t):
 
 @register("b28_search_response")
 def _b28(t):
-    r = vx.search_response(_exact_matches(t))
-    return r.select("query_id", "results_count",
-                    F.array_join(F.transform("results", lambda e: e["id"].cast("string")), ",").alias("result_ids"))
+    mv = _vectors(t)
+    asked = _queries(mv, t).join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    r = vx.search_response(asked.withColumn("k_norm", F.lit(TOPK)), _exact_matches(t), mv)
+    shown = F.transform("results", lambda e: F.concat_ws("|", e["id"].cast("string"), e["scope"], F.array_join(e["tags"], "+"), e["source"],
+                                                         e["created_at"].cast("string"), F.sha2(e["content"], 256)))
+    return r.select("query_id", "status", "mode", "tenant_id", "scope", "k", "results_count", F.sha2("query", 256).alias("query_sha256"),
+                    F.array_join(shown, ";").alias("results"))
 
 
 @register("d5_d7_pca_fit")
 def _d5(t):
     mv = t.embeddings.select(F.col("embedding").cast("array<double>").alias("embedding"))
-    mean, model = vx.pca_fit(mv, 16, expected_dims=64)
+    mean, model = vx.pca_fit(mv, 64, expected_dims=64)
     spark = t.spark
-    return spark.createDataFrame([(16, len(mean), vx.explained_variance_total(model))],
+    return spark.createDataFrame([(64, len(mean), round(vx.explained_variance_total(model), 9))],
                                  "components int, input_dims int, explained_variance_total double")
 
 
 @register("d6_pca_transform")
 def _d6(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    mean, model = vx.pca_fit(e, 16)
+    mean, model = vx.pca_fit(e, 64)  # all components: the norm of the centred vector is kept
     return vx.pca_transform(e, mean, model).select("vec_id", F.size("reduced").alias("dims"),
-                                                   _l2("reduced").alias("norm"))
+                                                   F.round(_l2("reduced"), 6).alias("norm"))
 
 
 @register("d8_compare_methods")
 def _d8(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    mean, model = vx.pca_fit(e, 16)
-    return vx.compare_methods(e, mean, model, 16)
+    mean, model = vx.pca_fit(e, 64)
+    return vx.compare_methods(e, mean, model, 64).select(
+        F.round("mean_norm_truncated", 6).alias("mean_norm_truncated"), F.round("mean_norm_reduced", 6).alias("mean_norm_reduced"),
+        F.round("reconstruction_mse", 9).alias("reconstruction_mse"))
 
 
 # ---------------------------------------------------------------- E / A17
@@ -499,6 +539,18 @@ def _e1(t):
 def _e2(t): return _chain(t).select("id", "tenant_id", "prev_hash", "event_hash")
 
 
+@register("e2_append_to_stored")
+def _e2a(t):
+    """Two batches, the second appended to the stored chains of the first."""
+    a = au.with_hash_columns(_audit(t))
+    early = F.col("created_at") < F.lit("2024-01-15").cast("timestamp_ntz")
+    path = _scratch(t, "chain")
+    sn.append(au.build_chain(a.where(early)), path)
+    done = t.spark.read.parquet(path)
+    more = au.build_chain(a.where(~early), heads=au.chain_heads(done))
+    return done.select("id", "tenant_id", "prev_hash", "event_hash").unionByName(more.select("id", "tenant_id", "prev_hash", "event_hash"))
+
+
 def _stored_chain(t: Tables) -> DataFrame:
     """The built chain as a stored table (reliable checkpoint in the shared
     folder): verification reads it several times, as it would read the
@@ -533,7 +585,7 @@ def _e4(t):
 
 
 def _packed(t: Tables) -> DataFrame:
-    e = t.events.where(F.col("event_type") != "error").select(
+    e = t.events.select(
         "event_id", "user_id", "value", F.col("ts").alias("created_at"))
     prov = F.when(F.col("user_id") % 2 == 0, F.lit("kimi")).otherwise(F.lit("openai"))
     model = F.when(F.col("user_id") % 3 == 0, F.lit("moonshot:v1-8k")).otherwise(F.lit("gpt-4o-mini"))
@@ -625,6 +677,13 @@ def _h6(t):
 def _h7(t): return rg.publish_rows(_rules(t), "rev-20240131")
 
 
+@register("h7_publish_revision")
+def _h7r(t):
+    r = si.revisions(t.region)
+    again = rg.publish_revision(r, "rev-1", AS_OF)  # an id that is there
+    return again.withColumn("case", F.lit("again")).unionByName(rg.publish_revision(r, "rev-20240131", AS_OF).withColumn("case", F.lit("new")))
+
+
 @register("h8_payload_roundtrip")
 def _h8(t):
     p = rg.publish_payload(_rules(t)).select(F.lit("rev-20240131").alias("revision_id"), "payload")
@@ -680,7 +739,7 @@ def _h14b(t):
 
 
 @register("a1_scan_projection")
-def _a1(t): return _vectors(t).where(F.col("scope") == "en").select("id", "tenant_id", "scope", "source", "created_at")
+def _a1(t): return _vectors(t).select("id", "tenant_id", "scope", "source", "created_at")
 
 
 @register("a2_newest_sample")
@@ -802,8 +861,9 @@ def _i8(t):
     m = _matches_with_content(t)
     ctx = vx.assemble_context(m)
     q = _vectors(t).select(F.col("id").alias("query_id"),
-                           va.redact_injection(F.element_at(F.split("content", "\n"), 1)).alias("message"))
-    p = ro.build_prompt(q.join(ctx, "query_id", "left"))
+                           va.redact_injection(F.col("content")).alias("message"))
+    asked = _queries(_vectors(t), t).select("query_id")
+    p = ro.build_prompt(q.join(asked, "query_id", "left_semi").join(ctx, "query_id", "left"))
     return p.select("query_id", "prompt_chars", F.sha2("user_prompt", 256).alias("user_prompt_sha256"))
 
 
@@ -841,6 +901,13 @@ def _i11(t):
                                   F.sha2("html_message", 256).alias("html_sha256"))
 
 
+@register("i11_newsletter_text")
+def _i11n(t):
+    p = _parsed(t).select("conv_id", "turn", F.col("text").alias("facts"), "answer", "router_status", (F.col("turn") % 3 != 0).alias("router_ok"))
+    n = ro.newsletter_text(p)
+    return n.select("conv_id", "turn", "failed", F.sha2("newsletter", 256).alias("newsletter_sha256"))
+
+
 @register("i12_outcome_episode")
 def _i12(t):
     d = _digest_rows(t).select(
@@ -911,6 +978,13 @@ def _b29(t):
                                                                          "ok")
 
 
+@register("b29_normalize_metadata")
+def _b29m(t):
+    r = fd.normalize_metadata(si.metadata_responses(t.conversations))
+    return r.select("conv_id", "turn", "http_status", "http_error", "ok", F.get_json_object("body", "$.id").alias("body_id"),
+                    F.length(F.get_json_object("body", "$.rawText")).alias("raw_chars"))
+
+
 @register("b30_tolerant_parse")
 def _b30(t):
     return fd.tolerant_parse(si.list_responses(t.conversations)).select("conv_id", "turn", "parse_status", "sample")
@@ -966,8 +1040,7 @@ def _k4f(t):
 
 @register("k5_session_changes")
 def _k5(t):
-    e = t.events.where(F.col("event_type").isin("click", "view"))
-    ch = e.select("event_id", "ts", F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("session_id"),
+    ch = t.events.select("event_id", "ts", F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("session_id"),
                   F.when(F.col("event_type") == "click", "migrate").otherwise("restore").alias("kind"),
                   F.concat(F.lit("pod-"), (F.col("event_id") % 5).cast("string")).alias("new_pod"),
                   F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0),
@@ -985,7 +1058,7 @@ def _pools(t: Tables) -> DataFrame:
 
 @register("k6_affinity_lookup")
 def _k6(t):
-    aff = t.events.where(F.col("event_type") == "view").select(
+    aff = t.events.select(
         "event_id", F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("session_id"),
         F.concat(F.lit("pool-"), (F.col("event_id") % 4).cast("string")).alias("pool"), F.col("ts").alias("created_at"))
     return tm.affinity_lookup(aff, _pools(t), _snap_time(t))
@@ -1011,14 +1084,6 @@ def _top(t: Tables) -> DataFrame:
 def _k10(t): return _top(t).select("name", F.round("score", 9).alias("score"), "score_rank")
 
 
-@register("k11_weighted_pick")
-def _k11(t): return tm.weighted_pick(_sessions(t).select("session_id"), _top(t))
-
-
-@register("k12_breaker_replay")
-def _k12(t): return tm.breaker_replay(_probes(t))
-
-
 @register("k13_pool_stats")
 def _k13(t): return tm.pool_stats(_pools(t))
 
@@ -1104,23 +1169,30 @@ from .memory_search import search_job  # noqa: E402
 
 def _ingest(t: Tables):
     e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    req = si.ingest_requests(t.documents).join(e, "doc_id", "inner").withColumn(
+    base = si.ingest_requests(t.documents)
+    # every 8th request is a write over 100 000 characters, which needs approval
+    long = F.when(F.col("doc_id") % 8 == 3, F.repeat(F.concat(F.col("text"), F.lit(" ")), F.floor(F.lit(100000) / (F.length("text") + 1)).cast("int") + 1)).otherwise(F.col("text"))
+    req = base.withColumn("text", long).join(e, "doc_id", "left").withColumn(
         "created_at", ts_ntz(AS_OF) - F.make_dt_interval(mins=F.col("doc_id")))
     mean, model = vx.pca_fit(e.select("embedding"), 16)
-    stored = _vectors(t).where(F.col("tenant_id") == "t2").select("tenant_id", "scope", "content_hash")
-    return ingest_job(req, stored, si.policy_workflows(t.nation), mean, model, 64)
+    stored = _vectors(t).where(F.col("id") % 2 == 0).select("id", "tenant_id", "scope", "content_hash")
+    return ingest_job(req, stored, mean, model, 64)
 
 
 @register("flow_memory_ingest_rows")
 def _fi(t):
-    rows, _, _ = _ingest(t)
-    return rows.select("request_id", "tenant_id", "scope", "content_hash", F.size("embedding").alias("dims"))
+    return _ingest(t).vectors.select("request_id", "tenant_id", "scope", "content_hash", F.size("embedding").alias("dims"))
+
+
+@register("flow_memory_ingest_outcomes")
+def _fo(t):
+    """One outcome per request: the counts add up to the requests."""
+    return _ingest(t).outcomes.select("request_id", "tenant_id", "scope", "outcome", "error", F.col("id").isNotNull().alias("has_id"))
 
 
-@register("flow_memory_ingest_rejects")
-def _fr(t):
-    _, rej, _ = _ingest(t)
-    return rej
+@register("flow_memory_ingest_facts")
+def _ff(t):
+    return _ingest(t).facts
 
 
 @register("flow_memory_search")
@@ -1130,7 +1202,7 @@ def _fs(t):
         mv.select(F.col("id").alias("item_id"), F.col("embedding").alias("query_vec")), "item_id", "inner") \
         .withColumnRenamed("item_id", "query_id")
     resp, _ = search_job(q, mv)
-    return resp.select("query_id", "tenant_id", "scope", "k_norm", "results_count",
+    return resp.select("query_id", "tenant_id", "scope", F.col("k").alias("k_norm"), "results_count",
                        F.array_join(F.transform("results", lambda e: e["id"].cast("string")), ",").alias("result_ids"))
 
 
@@ -1206,7 +1278,7 @@ def _a9(t):
     """Ids are assigned before the write (key hash), so the job returns
     them without reading the table back; the check appends the rows and
     matches the written ids against the returned ones."""
-    rows, _, _ = _ingest(t)
+    rows = _ingest(t).vectors
     path = _scratch(t, "a9")
     sn.append(rows, path)
     written = t.spark.read.parquet(path).select("id")

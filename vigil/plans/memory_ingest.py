@@ -1,18 +1,22 @@
 """Memory ingest as one set-oriented job.
 
-requests → validation + secret rejection (B1, B13) → policy (C1-C5) →
-content hash and in-batch / stored dedupe (D1-D3) → dimension check and
-PCA reduction of the supplied embedding (D16, D6) → rows to append with
-their ids (A8, A9) and one audit row per request (E4).
-
-Boundaries are one shuffle on the dedupe key (plus the policy registry
-join, sized by AQE); the audit chain (E2) is appended by the caller on its
-chain key.  Nothing is written here: the caller appends the returned frames
-(``sources.snapshots.append``) so retries of the job are idempotent.
+requests → validation, secret rejection and fact filter (B1, B13, B14) →
+policy (C1-C5) → content hash and lookup in the stored table (D1, D2) →
+dimension check of the supplied embedding (D16) → first of each key in the
+batch (D3) → PCA reduction (D6) → vector rows with their ids and fact rows to
+append (A8, A9), one audit row per decided request (E4) and one outcome per
+request.
+
+Every request ends in exactly one outcome: rejected, needs_approval, denied,
+cached or appended.  Boundaries are two shuffles on the dedupe key.  Nothing
+is written here: the caller appends the returned frames
+(``sources.snapshots.append``), so that a retry of the job is idempotent.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,36 +27,58 @@ from ..operators import vectors as vx
 from ..sources.snapshots import stable_id
 
 
-def ingest_job(requests: DataFrame, stored: DataFrame, registry: DataFrame, mean, model, expected_dims: int):
-    """Returns (vectors_to_append, rejected, audit_rows).
+class Ingest(NamedTuple):
+    vectors: DataFrame  # rows to append to memory_vectors
+    facts: DataFrame  # rows to append to memory_facts
+    outcomes: DataFrame  # one row per request
+    audit: DataFrame  # one row per decided request
+
+
+def ingest_job(requests: DataFrame, stored: DataFrame, mean, model, expected_dims: int) -> Ingest:
+    """``requests``: tenant_id, scope, text, source, request_id, tags, facts,
+    embedding, created_at.  ``stored``: the current vector table (id,
+    tenant_id, scope, content_hash).  ``mean``/``model``: a fitted reducer (D5).
 
-    ``requests``: tenant_id, scope, text, source, request_id, embedding,
-    created_at.  ``stored``: the current vector table (tenant_id, scope,
-    content_hash).  ``mean``/``model``: a fitted reducer (D5)."""
-    v = va.validate_ingest(requests)
-    rejected = v.where(F.col("error").isNotNull()).select("request_id_norm", "tenant_id", "scope", "error")
-    ok = v.where(F.col("error").isNull()).select(
+    A memory write never reads the registry: the task-type rule applies to
+    executor.execute only, and the risk score reads the static list."""
+    key = list(vx.KEY)
+    v = va.validate_ingest(requests).select(
         F.col("request_id_norm").alias("request_id"), "tenant_id", "scope", F.col("text").alias("content"),
-        F.col("source_norm").alias("source"), "embedding", "created_at")
-    # policy: a memory write of the request's own scope
-    preq = ok.select("request_id", F.lit("memory.ingest").alias("action"), F.lit("memory_ingest").alias("task_type"),
-                     F.col("scope").alias("subject_scope"), F.col("scope").alias("resource_scope"),
-                     F.lit(False).alias("network_enabled"), F.lit(False).alias("network_admin"),
-                     F.length("content").cast("long").alias("payload_size"))
-    # a memory write never reads the registry: the task-type rule applies to
-    # executor.execute only and the risk score reads the static list, so no
-    # registry join is planned (its key would be a constant here)
-    del registry
-    decided = pol.evaluate(preq).select("request_id", "decision", "risk_score", "policy_id",
-                                                  "policy_version", "resource_scope")
-    allowed = ok.join(decided.where(F.col("decision") == "allow").select("request_id"), "request_id", "left_semi")
-    hashed = vx.content_hash(allowed).withColumn("id", stable_id("tenant_id", "scope", "content_hash"))
-    fresh = vx.idempotent_insert(hashed, stored, order_col="created_at")
-    good, bad_dims = vx.split_by_dimension(fresh, expected_dims)
-    reduced = vx.pca_transform(good, mean, model, "embedding", "embedding_reduced")
-    to_append = reduced.select("id", "tenant_id", "scope", "content", "source", "content_hash",
-                               F.col("embedding_reduced").alias("embedding"), "created_at", "request_id")
-    audit_rows = au.build_audit_rows(decided, "workflow:memory_ingest", "memory_write")
-    return to_append, rejected.unionByName(
-        bad_dims.select(F.col("request_id").alias("request_id_norm"), "tenant_id", "scope",
-                        F.col("reject_reason").alias("error"))), audit_rows
+        F.col("source_norm").alias("source"), F.col("tags_norm").alias("tags"), F.col("facts_norm").alias("facts"),
+        "embedding", "created_at", F.col("error").alias("_invalid"),
+        F.lit("memory.ingest").alias("action"), F.lit("memory_ingest").alias("task_type"),
+        F.col("scope").alias("subject_scope"), F.col("scope").alias("resource_scope"),
+        F.lit(False).alias("network_enabled"), F.lit(False).alias("network_admin"),
+        F.length("text").cast("long").alias("payload_size"))
+    # a memory write of the request's own scope
+    decided = vx.content_hash(pol.evaluate(v))
+    width = F.coalesce(F.when(F.col("embedding").isNotNull(), F.size("embedding")), F.lit(0))
+    known = vx.cache_lookup(decided, stored)
+    hit = F.col("cached")
+    outcome = (F.when(F.col("_invalid").isNotNull(), "rejected")
+               .when(F.col("decision") == "requires_approval", "needs_approval")
+               .when(F.col("decision") != "allow", "denied")
+               .when(hit, "cached")
+               .when(width != expected_dims, "rejected"))
+    wrong = F.concat(F.lit(f"Expected {expected_dims} dimensions, got "), width.cast("string"))
+    judged = known.withColumn("outcome", outcome).withColumn(
+        "error", F.when(F.col("_invalid").isNotNull(), F.col("_invalid"))
+        .when(F.col("outcome") == "needs_approval", "Policy requires approval").when(F.col("outcome") == "denied", "Policy denied")
+        .when(F.col("outcome") == "rejected", wrong))
+    # the first request of each key that is still open is appended, the others find it
+    mark = F.struct("created_at", "request_id")
+    first = judged.where("outcome is null").groupBy(*key).agg(F.min(mark).alias("_first"))
+    new_id = stable_id(*key)
+    done = judged.join(first, key, "left").withColumn(
+        "outcome", F.coalesce("outcome", F.when(mark == F.col("_first"), "appended").otherwise("cached"))).withColumn(
+        "id", F.when(F.col("outcome").isin("appended", "cached"), F.coalesce("cached_id", new_id)))
+    fresh = done.where("outcome = 'appended'")
+    one = fresh.dropDuplicates(key)  # the same request twice in a batch is one row
+    reduced = vx.pca_transform(one, mean, model, "embedding", "_reduced")
+    vectors = reduced.select("id", "tenant_id", "scope", "content", "source", "tags", "content_hash",
+                             F.col("_reduced").alias("embedding"), "created_at", "request_id")
+    facts = (done.where("outcome in ('appended', 'cached')")
+             .select("request_id", F.explode("facts").alias("f")).select("request_id", "f.*"))
+    outcomes = done.select("request_id", "tenant_id", "scope", "outcome", "id", "error")
+    audit = au.build_audit_rows(decided.where("_invalid is null"), "workflow:memory_ingest", "memory_write")
+    return Ingest(vectors, facts, outcomes, audit)

@@ -11,17 +11,14 @@ from ..operators import validate as va
 from ..operators import vectors as vx
 
 
-def search_job(requests: DataFrame, vectors: DataFrame, max_k: int = 50):
+def search_job(requests: DataFrame, vectors: DataFrame):
     """``requests``: query_id, tenant_id, scope, query, k, query_vec.
     Returns (responses, audit_rows).  Each request's own ``k`` (default 5)
-    is applied after a shared top-``max_k`` search."""
+    holds, without an upper bound."""
     v = va.validate_search(requests)
     ok = v.where(F.col("error").isNull())
-    k_cap = min(max_k, max(1, int(ok.agg(F.max("k_norm")).first()[0] or 5)))
-    m = vx.blocked_topk(ok.select("query_id", "tenant_id", "scope", "query_vec"), vectors, k_cap)
-    m = m.join(ok.select("query_id", "k_norm"), "query_id").where(F.col("rank") <= F.col("k_norm"))
-    resp = vx.search_response(m).join(ok.select("query_id", "tenant_id", "scope", "k_norm"), "query_id", "right") \
-        .withColumn("results_count", F.coalesce("results_count", F.lit(0)))
+    m = vx.blocked_topk(ok.select("query_id", "tenant_id", "scope", "query_vec", "k_norm"), vectors, "k_norm")
+    resp = vx.search_response(ok, m, vectors)
     audit = ok.select(F.lit("workflow:vector_search").alias("actor"), F.lit("memory_read").alias("action"),
                       F.col("scope").alias("target"), F.lit("allowed").alias("decision"), "query_id")
     return resp, audit

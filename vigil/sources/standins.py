@@ -58,19 +58,21 @@ def audit_events(events: DataFrame) -> DataFrame:
 
 def memory_vectors(embeddings: DataFrame, documents: DataFrame,
                    as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """``memory_vectors`` from ``embeddings`` joined to ``documents`` by id."""
+    """``memory_vectors``: every document, with its embedding where there is
+    one (the column is nullable, as in the reference)."""
     e = embeddings.select("vec_id", "embedding", "label")
     d = documents.select("doc_id", "text", "lang", "source")
-    j = e.join(d, e.vec_id == d.doc_id, "inner")
+    j = d.join(e, e.vec_id == d.doc_id, "left")
     return j.select(
-        F.col("vec_id").alias("id"),
-        F.concat(F.lit("t"), _s(F.col("label") % 3)).alias("tenant_id"),
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("t"), _s(F.coalesce(F.col("label").cast("long"), F.col("doc_id")) % 3)).alias("tenant_id"),
         F.col("lang").alias("scope"),
         F.col("text").alias("content"),
         F.col("source"),
+        F.array("lang", "source").alias("tags"),
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.sha2(F.col("text"), 256).alias("content_hash"),
-        (ts_ntz(as_of) - F.make_dt_interval(mins=F.col("vec_id"))).alias("created_at"),
+        (ts_ntz(as_of) - F.make_dt_interval(mins=F.col("doc_id"))).alias("created_at"),
     )
 
 
@@ -89,8 +91,8 @@ def memory_documents(documents: DataFrame, as_of: _dt.datetime = AS_OF) -> DataF
 def table_stats(events: DataFrame) -> DataFrame:
     """A metrics snapshot (one row per relation) derived from ``events``.
 
-    Stands in for the Postgres statistics views that the monitoring report
-    reads; the catalogs themselves are engine internals and are not built.
+    Invented inputs: the monitoring report's ratios and alerts (G6, G7) run over
+    a metrics table that its user keeps; this one is made from ``events``.
     """
     k = _k(events)
     return (events.select("event_type", "value", k.alias("k"))
@@ -104,7 +106,7 @@ def table_stats(events: DataFrame) -> DataFrame:
 
 
 def index_stats(events: DataFrame) -> DataFrame:
-    """Per-index usage counters derived from ``events``."""
+    """Per-index usage counters, invented from ``events`` as above."""
     k = _k(events)
     suffix = (F.when(F.col("user_id") % 3 == 0, "_embedding")
               .when(F.col("user_id") % 3 == 1, "_tenant_scope").otherwise("_content_hash"))
@@ -157,10 +159,10 @@ def policy_requests(events: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def policy_workflows(nation: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """Registry rules from ``nation``: one rule per nation of regions 0-2,
-    task type = nation name, every 4th disabled."""
+    """Registry rules from ``nation``: one rule per nation, task type = nation
+    name, every 4th disabled."""
     nk = F.col("n_nationkey")
-    return (nation.where(F.col("n_regionkey").isin(0, 1, 2))
+    return (nation
             .select(nk.cast("long").alias("id"),
                     F.concat(F.lower(F.regexp_replace("n_name", " ", "_")), F.lit("_v1")).alias("workflow_id"),
                     F.col("n_name").alias("task_type"),
@@ -209,7 +211,15 @@ def ingest_requests(documents: DataFrame) -> DataFrame:
         F.when(d % 10 == 0, F.lit("explicit")).when(d % 9 == 0, F.lit(None).cast("string"))
         .otherwise(F.col("source")).alias("source"),
         F.when(d % 4 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("req-doc-"), _s(d))).alias("request_id"))
+        .otherwise(F.concat(F.lit("req-doc-"), _s(d))).alias("request_id"),
+        F.when(d % 3 == 0, F.lit(None).cast("array<string>")).otherwise(F.array("lang", "source")).alias("tags"),
+        F.when(d % 5 == 0, F.lit(None).cast("array<struct<subject:string,predicate:string,object:string,confidence:double>>"))
+        .otherwise(F.array(
+            F.struct(F.concat(F.lit("doc-"), _s(d)).alias("subject"), F.lit("written_in").alias("predicate"),
+                     F.col("lang").alias("object"), (d % 100 / F.lit(100.0)).alias("confidence")),
+            F.struct(F.concat(F.lit("doc-"), _s(d)).alias("subject"), F.lit("came_from").alias("predicate"),
+                     F.when(d % 7 == 0, F.lit("api_key store")).when(d % 11 == 0, F.lit("")).otherwise(F.col("source")).alias("object"),
+                     F.lit(0.9).alias("confidence")))).alias("facts"))
 
 
 def search_requests(benchmark: DataFrame) -> DataFrame:
@@ -219,7 +229,7 @@ def search_requests(benchmark: DataFrame) -> DataFrame:
         F.when(i % 9 == 0, F.lit("")).otherwise(F.lit("en")).alias("scope"),
         F.col("text").alias("query"),
         F.when(i % 4 == 0, F.lit(None).cast("int")).when(i % 4 == 1, F.lit(0))
-        .otherwise((i % 12).cast("int")).alias("k"))
+        .when(i % 4 == 2, F.lit(120)).otherwise((i % 12).cast("int")).alias("k"))
 
 
 def audit_append_requests(events: DataFrame) -> DataFrame:
@@ -246,7 +256,7 @@ def dispatch_requests(events: DataFrame) -> DataFrame:
 
 def approval_requests(events: DataFrame) -> DataFrame:
     k = F.col("k")
-    e = events.where(F.col("event_type") == "signup").select("event_id", "user_id", _k(events).alias("k"))
+    e = events.select("event_id", "user_id", _k(events).alias("k"))
     return e.select(
         "event_id",
         F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("req-"), _s("user_id")))
@@ -292,6 +302,19 @@ def conversation_requests(conversations: DataFrame) -> DataFrame:
         F.when(c % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("U"), _s(c))).alias("user_id"))
 
 
+def metadata_responses(conversations: DataFrame) -> DataFrame:
+    """Mail-metadata replies in the shapes that the poller meets: a full
+    response with a JSON body text, one with broken text, a numeric status,
+    an API error in the body, a bare object."""
+    c, t = F.col("conv_id"), F.col("turn")
+    body = F.to_json(F.struct(F.concat(_s(c), F.lit("-"), _s(t)).alias("id"), F.col("text").alias("snippet")))
+    quoted = F.to_json(F.struct(F.lit(200).alias("statusCode"), body.alias("body")))
+    broken = F.to_json(F.struct(F.lit(200).alias("statusCode"), F.concat(F.lit("{"), F.col("text")).alias("body")))
+    api = F.concat(F.lit('{"statusCode":200,"body":"{\\"error\\":{\\"code\\":403,\\"message\\":\\"denied '), _s(c), F.lit('\\"}}"}'))
+    return conversations.select(c, t, F.when(t % 5 == 0, quoted).when(t % 5 == 1, broken).when(t % 5 == 2, api)
+                                .when(t % 5 == 3, F.lit('{"status":503,"message":"unavailable"}')).otherwise(body).alias("response"))
+
+
 def file_manifest(pages: DataFrame) -> DataFrame:
     """Sandbox file writes from ``pages``: path = URL tail, size = HTML bytes."""
     return pages.select(
@@ -338,10 +361,12 @@ def recipient_lists(customer: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ registry side tables
 def workflow_entity(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """Workflow definitions known to the orchestrator: one per supplier,
-    named after the supplier's nation."""
+    named after the supplier's nation, every 6th after the supplier itself
+    (those are in no registry)."""
     k = F.col("s_suppkey")
     s = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
-    return s.select(F.concat(F.lower(F.regexp_replace("n_name", " ", "_")), F.lit("_v1")).alias("name"),
+    base = F.when(k % 6 == 0, F.lower("s_name")).otherwise(F.lower(F.regexp_replace("n_name", " ", "_")))
+    return s.select(F.concat(base, F.lit("_v1")).alias("name"),
                     F.when(k % 9 == 0, F.lit(False)).when(k % 4 == 0, F.lit(None).cast("boolean"))
                     .otherwise(F.lit(True)).alias("active"))
 
@@ -350,7 +375,8 @@ def candidate_events(supplier: DataFrame, nation: DataFrame, as_of: _dt.datetime
     k = F.col("s_suppkey")
     s = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
     return s.select(k.alias("id"),
-                    F.when(k % 8 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("task_type"),
+                    F.when(k % 8 == 0, F.lit(None).cast("string")).when(k % 5 == 0, F.col("s_name"))
+                    .otherwise(F.col("n_name")).alias("task_type"),
                     F.concat(F.lit("t"), _s(k % 3)).alias("tenant_id"), F.lit("*").alias("scope"),
                     F.lit("seed").alias("source"),
                     (ts_ntz(as_of) - F.make_dt_interval(hours=k)).alias("created_at"))
@@ -367,7 +393,7 @@ def revision_rows(nation: DataFrame) -> DataFrame:
 
 def revisions(region: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
     r = F.col("r_regionkey")
-    return region.where(r.isin(0, 1, 2)).select(
+    return region.select(
         F.concat(F.lit("rev-"), _s(r)).alias("revision_id"), F.lit("published").alias("status"),
         (ts_ntz(as_of) - F.make_dt_interval(days=F.lit(5) - r)).alias("published_at"),
         (r == 2).alias("is_active"))
@@ -377,11 +403,10 @@ def mail_items(conversations: DataFrame) -> DataFrame:
     """Mail metadata from ``conversations``: id = conv_id-turn, internalDate
     in turn order, headers as an array of structs."""
     c, t = F.col("conv_id"), F.col("turn")
-    first_line = F.element_at(F.split("text", "\n"), 1)
     headers = F.array(
         F.struct(F.lit("From").alias("name"), F.concat(F.col("role"), F.lit("@example.com")).alias("value")),
         F.struct(F.when(t % 2 == 0, F.lit("subject")).otherwise(F.lit("Subject")).alias("name"),
-                 F.substring(first_line, 1, 80).alias("value")),
+                 F.col("text").alias("value")),
         F.struct(F.lit("Date").alias("name"), F.concat(F.lit("2024-01-"), F.lpad(_s(c % 28 + 1), 2, "0")).alias("value")))
     headers = F.when(t % 7 == 3, F.slice(headers, 1, 1)).otherwise(headers)
     return conversations.select(
@@ -516,14 +541,13 @@ def exec_results(conversations: DataFrame) -> DataFrame:
     """Sandbox execution results from ``conversations``: every third turn
     fails with a Python traceback."""
     c, t = F.col("conv_id"), F.col("turn")
-    first = F.element_at(F.split("text", "\n"), 1)
     tb = F.concat(F.lit("warn: deprecated\nTraceback (most recent call last):\n  File \"main.py\", line "), _s(t),
-                  F.lit("\n    "), F.substring(first, 1, 30), F.lit("\nValueError: bad value "), _s(c), F.lit("\n"))
+                  F.lit("\n    "), F.col("text"), F.lit("\nValueError: bad value "), _s(c), F.lit("\n"))
     stderr = F.when(t % 3 == 0, tb).when(t % 3 == 1, F.concat(F.lit("note: "), _s(c))).otherwise(F.lit(""))
     ext = (F.when(c % 5 == 0, ".png").when(c % 5 == 1, ".jpg").when(c % 5 == 2, ".jpeg").when(c % 5 == 3, ".svg")
            .otherwise(".json"))
     fname = F.concat(F.lit("plot_"), _s(t), ext)
     return conversations.select(
         c, t, F.when(t % 3 == 0, 1).otherwise(0).alias("exit_code"), stderr.alias("stderr"),
-        F.when(t % 4 == 0, F.lit("")).otherwise(F.substring(first, 1, 50)).alias("stdout"),
+        F.when(t % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("stdout"),
         (F.length("text") / F.lit(1000.0)).alias("execution_time"), fname.alias("filename"))

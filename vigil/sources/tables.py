@@ -22,23 +22,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """Scan a table.  When the scan yields fewer splits than the cluster's
-    parallelism (a small file with one row group), the rows are spread
-    round-robin so the per-row work after the scan uses every core; a large
-    table (many splits) is left alone, so no shuffle is added at scale.
-    Column pruning and filters still reach the Parquet scan."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    try:
-        if min_partitions is None:
-            conf = spark.conf.get("vigil.scan.minPartitions", None)
-            min_partitions = int(conf) if conf is not None else spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view: leave the scan as is
-        return df
-    if have < min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan a table, as the reader splits it."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 class Tables:

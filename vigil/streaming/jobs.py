@@ -151,51 +151,6 @@ def chain_stream(audit: DataFrame, chain_key: str = "tenant_id") -> DataFrame:
                                                          GroupStateTimeout.NoTimeout)
 
 
-# ---------------------------------------------------------------- K12
-BREAKER_STATE = "state string, fails int, succ int, last_fail double"
-
-
-def breaker_stream(outcomes: DataFrame) -> DataFrame:
-    """K12 stream form: the breaker of each pool is keyed state; attempts of
-    a micro-batch are replayed in (ts, event_id) order."""
-    o = outcomes.select("pool", F.col("event_id").cast("long"),
-                        (F.col("ts").cast("timestamp").cast("double")).alias("t"),
-                        (F.col("outcome") == "success").alias("ok"))
-
-    def step(key, pdfs, state):
-        st, fails, succ, last_fail = state.get if state.exists else ("closed", 0, 0, 0.0)
-        rows = [p for p in pdfs]
-        if not rows:
-            return
-        pdf = pd.concat(rows).sort_values(["t", "event_id"])
-        allowed, states, counts = [], [], []
-        for t, ok in zip(pdf["t"].tolist(), pdf["ok"].tolist()):
-            if st == "open" and t - last_fail >= tm.BREAKER_RECOVERY_SECONDS:
-                st, succ = "half_open", 0
-            allowed.append(st != "open")
-            if ok:
-                if st == "half_open":
-                    succ += 1
-                    if succ >= tm.BREAKER_HALF_OPEN_CALLS:
-                        st, fails, succ = "closed", 0, 0
-                else:
-                    fails = max(0, fails - 1)
-            else:
-                fails += 1
-                last_fail = t
-                if st == "half_open" or fails >= tm.BREAKER_FAILURE_THRESHOLD:
-                    st = "open"
-            states.append(st)
-            counts.append(fails)
-        state.update((st, fails, succ, last_fail))
-        yield pd.DataFrame({"pool": key[0], "event_id": pdf["event_id"].values, "allowed": allowed,
-                            "state": states, "failure_count": counts})
-
-    return o.groupBy("pool").applyInPandasWithState(
-        step, "pool string, event_id long, allowed boolean, state string, failure_count int", BREAKER_STATE,
-        "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_completion(stream: DataFrame, name: str, mode: str = "append", trigger_once: bool = True) -> str:
     """Run a stream over everything available into a memory table (tests,
     local runs) with its checkpoint under the shared checkpoint folder."""
