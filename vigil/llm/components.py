@@ -32,13 +32,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     its least node.  Null ends and loops are ignored."""
     now = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
                  .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "components")
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(seen) == mark or seen[0] == 0:
-            break
-        mark = tuple(seen)
+    while not _settled(now):
         now = stored(_round(now), "components")
-    # converged: every edge joins a node to its component's least node
+    # settled: every edge joins a node to its component's least node
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge, to a node that has none downwards."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+    return odd.limit(1).count() == 0

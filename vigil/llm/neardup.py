@@ -7,17 +7,16 @@ their packed signatures, corrected for chance collisions; those that come near
 the threshold are confirmed on their full sets.
 
 Texts with equal sets are one class, so copies never meet each other.  Links
-are looked for in three steps, each leaving out what is already connected:
+are looked for in two steps:
 
-1. every class with one partner, the best among the heads (least member) of
-   its buckets;
-2. every class with the other heads of its buckets;
-3. in buckets that still hold several components, all members with each other,
-   in blocks of ``BLOCK``, by signature.
+1. every class with the heads (least members) of its buckets;
+2. in buckets that still hold several components, members of different
+   components with each other, in blocks of ``BLOCK``, by a wide signature of
+   ``WIDE`` minima that leaves few pairs to confirm.
 
 No step emits all pairs of a group that is alike: after step 1 such a group is
 one component.  With 32 bands of 4, a pair at the threshold is missed with a
-chance of 5e-6, one turned away by its signature with about 3e-6.
+chance of 5e-6, one turned away by a signature with about 3e-6.
 
 Edge cases: a null or empty text and one without words have the empty set and
 are linked with nothing; a null id has no component and is kept; repeated ids
@@ -47,23 +46,31 @@ BANDS = PERMUTATIONS // ROWS
 #: standard deviations of the estimate below it.
 ESTIMATE = 0.54
 BLOCK = 256
+#: Minima of a wide signature, and the estimate from it 4.5 deviations below.
+WIDE, WIDE_ESTIMATE = 1024, 0.677
 
 _LONGS = PERMUTATIONS * BITS // 64
-_FEW = 2048  # shingles hashed at a time
+_FEW = 1 << 18  # products at a time
 
-_rng = np.random.default_rng(20240607)
-_FACTOR = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))[:, None]
-_SHIFT = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)[:, None]
+
+def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[:, None], rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
+
+
+_NARROW_PERMUTATIONS, _WIDE_PERMUTATIONS = _permutations(PERMUTATIONS, 20240607), _permutations(WIDE, 20240608)
 _BAND = X._mix(np.arange(1, BANDS + 1, dtype=np.uint64) * X.U64(0x9E3779B97F4A7C15))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, permutations: tuple[np.ndarray, np.ndarray] = _NARROW_PERMUTATIONS) -> np.ndarray:
     """The least hash of a set of shingles under each permutation."""
+    factor, shift = permutations
     h = ((shingles >> X.U64(32)) ^ shingles).astype(np.uint32)
-    least = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(h), _FEW):
-        x = h[None, k: k + _FEW] * _FACTOR
-        x += _SHIFT
+    least = np.full(len(factor), 0xFFFFFFFF, np.uint32)
+    step = _FEW // len(factor)
+    for k in range(0, len(h), step):
+        x = h[None, k: k + step] * factor
+        x += shift
         np.minimum(least, x.min(axis=1), out=least)
     return least
 
@@ -154,37 +161,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                   "confirmed-links")
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        wide = [packed(minima(s, _WIDE_PERMUTATIONS)).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], names=["cid", "n", "wide"])
+
+
 def _block_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a bucket that are in different components and
-    whose signatures come near the threshold."""
+    """Pairs of one block pair of a bucket that are in different components
+    and whose sizes and wide signatures come near the threshold."""
     group = group.combine_chunks()
-    cid, comp = group["cid"].to_numpy(), group["component"].to_numpy()
+    cid, comp, size = (group[c].to_numpy() for c in ("cid", "component", "n"))
     block, i, j = group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
-    sig = np.array(group["sig"].to_pylist(), np.int64).reshape(len(cid), _LONGS).view(np.uint64)
+    sig = np.frombuffer(b"".join(group["wide"].to_pylist()), np.uint64).reshape(len(cid), -1)
     p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    per = _LONGS // BITS
-    differ = np.zeros((len(p), len(q)), np.int64)
+    near = (comp[p][:, None] != comp[q][None, :]) & (100 * np.minimum(size[p][:, None], size[q][None, :]) >= PERCENT * np.maximum(size[p][:, None], size[q][None, :]))
+    if i == j:
+        near &= cid[p][:, None] < cid[q][None, :]
+    x, y = np.nonzero(near)
+    per = WIDE // 64
+    differ = np.zeros(len(x), np.int64)
     for k in range(per):
-        lane = np.zeros((len(p), len(q)), np.uint64)
+        lane = np.zeros(len(x), np.uint64)
         for b in range(BITS):
-            lane |= sig[p, k + b * per][:, None] ^ sig[q, k + b * per][None, :]
+            column = sig[:, k + b * per]
+            lane |= column[p[x]] ^ column[q[y]]
         differ += np.bitwise_count(lane)
     chance = 1 / (1 << BITS)
-    near = ((1 - differ / PERMUTATIONS - chance) / (1 - chance) >= ESTIMATE) & (comp[p][:, None] != comp[q][None, :])
-    if i == j:
-        near &= cid[p][:, None] < cid[q][None, :]
-    x, y = np.nonzero(near)
-    a, b = cid[p[x]], cid[q[y]]
+    keep = (1 - differ / WIDE - chance) / (1 - chance) >= WIDE_ESTIMATE
+    a, b = cid[p[x[keep]]], cid[q[y[keep]]]
     return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(cid, component) of all classes."""
-    comps = connected_components(links)
-    return stored(classes.select("cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-                  .select("cid", F.coalesce("component", "cid").alias("component")), "class-components")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every document."""
     signed = stored(signatures(docs), "signatures")
@@ -192,45 +201,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                      .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
                      .withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = classes.select("cid", F.explode("bands").alias("key"))
-    crowded = stored(keys.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    crowded = keys.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keys.join(crowded, "key"), "bucket-members")
-    sig = classes.select("cid", "sig")
-    stars = (members.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
-             .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
-             .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
-             .select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("e")))
-    stars = stored(stars.where(F.col("e") >= ESTIMATE), "star-pairs")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
 
     needed = members.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid").select("cid", F.col("rep").alias("doc_id"), "digest")
     needed = maybe_broadcast(stored(needed, "needed-sets"))
     whole = docs.select("doc_id", "text").join(needed, "doc_id").select("cid", "text", "digest")
     sets = stored(whole.mapInArrow(_sets, "cid bigint, shingles binary").dropDuplicates(["cid"]), "shingle-sets")
 
-    links = confirmed(best, sets)
-    comp = _components(classes, links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(comp.select(F.col("cid").alias("a"), F.col("component").alias("ca")), "a")
-                .join(comp.select(F.col("cid").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b"))
-
-    more = confirmed(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti")), sets)
-    links = links.unionByName(more)
-    comp = _components(classes, links)
-
-    inside = members.where("n > 2").join(comp, "cid")
-    mixed = inside.groupBy("key").agg(F.countDistinct("component").alias("c")).where("c > 1").select("key")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    spread = (inside.join(mixed, "key").join(sig, "cid").withColumn("blocks", blocks)
+    sig = classes.select("cid", "sig")
+    stars = (members.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
+             .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
+             .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
+             .where(estimate(F.col("sa"), F.col("sb")) >= ESTIMATE).select("a", "b"))
+    grouped = stored(connected_components(confirmed(stars, sets)).select(F.col("node").alias("cid"), "component"), "components-of-stars")
+    label = F.coalesce("component", "cid").alias("component")
+
+    inside = stored(members.where("n > 2").join(grouped, "cid", "left").select("key", "cid", "n", label), "crowded-members")
+    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = stored(inside.join(mixed, "key", "left_semi").withColumnRenamed("n", "members"), "mixed-members")
+    wide = stored(sets.join(mixed.select("cid").distinct(), "cid", "left_semi").mapInArrow(_widened, "cid bigint, n bigint, wide binary"), "wide-signatures")
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    spread = (mixed.join(wide, "cid").withColumn("blocks", blocks)
               .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-              .select("key", "cid", "component", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+              .select("key", "cid", "component", "n", "wide", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    rest = stored(spread.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a bigint, b bigint").distinct()
-                  .join(stars, ["a", "b"], "left_anti"), "residual-pairs")
-    links = links.unionByName(confirmed(rest, sets))
-    comp = _components(classes, links)
-
-    named = classes.select("cid", "digest", "rep").join(comp, "cid")
+    rest = stored(spread.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a bigint, b bigint").distinct(), "residual-pairs")
+    # links between components found so far, then the components of these
+    far = confirmed(rest, sets)
+    for side in ("a", "b"):
+        far = far.join(grouped.withColumnRenamed("cid", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    outer = connected_components(far).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = (classes.select("cid", "digest", "rep").join(grouped, "cid", "left").select("digest", "rep", label)
+             .join(outer, "component", "left").select("digest", "rep", F.coalesce("whole", "component").alias("component")))
+    named = stored(named, "class-components")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(least, "component").select("digest", "component_id")
     out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(by_digest, "digest", "left")
