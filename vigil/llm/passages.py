@@ -13,7 +13,7 @@ over it stands, with the same words, anywhere else too.
    ``SHARD_PHRASES`` phrases.  All its documents stream through them; the
    windows around each occurrence go, but for those noted in step 2.
 
-Hashes travel as packed arrays, one row for each part and bucket.  A bucket is
+Hashes travel as packed arrays, few rows for many hashes.  A bucket is
 chosen by a second, independent hash and has a fixed expected size, so that the
 chance of two different windows being taken for equal stays negligible at any
 corpus size.  A window in a third of all documents is one entry per part.
@@ -46,6 +46,7 @@ PART_BYTES, LEAST_PARTS = 8 << 20, 24
 #: Phrases of one automaton; each costs about 2 KB.
 SHARD_PHRASES = 40_000
 
+_ANCHORS = "bucket int, parts binary, hashes binary"
 _PACKED = "bucket int, part int, hashes binary"
 _POS = np.uint64((1 << 26) - 1)
 
@@ -84,6 +85,17 @@ def _packed(part: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(part[edge], pa.int32()), blobs], names=["bucket", "part", "hashes"])
 
 
+def _by_bucket(part: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its values and the part of each."""
+    order = np.argsort(bucket, kind="stable")
+    part, bucket, value = part[order].astype(np.int32), bucket[order], value[order]
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    end = np.append(edge[1:], len(value))
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[edge], pa.int32()), pa.array([part[a:b].tobytes() for a, b in zip(edge, end)], pa.binary()),
+        pa.array([value[a:b].tobytes() for a, b in zip(edge, end)], pa.binary())], names=["bucket", "parts", "hashes"])
+
+
 def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     """All hashes of a column of packed rows, and the row of each."""
     rows = [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
@@ -119,14 +131,17 @@ def _emit_anchors(width: int, buckets: int):
                 third = np.zeros(len(value), bool)
                 third[2:] = (value[2:] == value[:-2]) & (part[2:] == part[:-2])
                 value, part = value[~third], part[~third]
-                yield _packed(part, ((value >> X.U64(32)) % X.U64(buckets)).astype(np.int64), value)
+                yield _by_bucket(part, ((value >> X.U64(32)) % X.U64(buckets)).astype(np.int64), value)
     return emit
 
 
 def _select(recurring: bool):
     def pick(group: pa.Table) -> pa.Table:
         value, row = _unpacked(group["hashes"])
-        part = group["part"].to_numpy()[row]
+        if recurring:
+            part = np.frombuffer(b"".join(group["parts"].to_pylist()), np.int32)
+        else:
+            part = group["part"].to_numpy()[row]
         _, back, n = np.unique(value, return_inverse=True, return_counts=True)
         keep = (n[back] > 1) == recurring
         value, part = value[keep], part[keep]
@@ -263,9 +278,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     small_batches(spark)
     carried = carry or ["doc_id"]
     parts = max(LEAST_PARTS, part_count(docs, "text", PART_BYTES))
+    held = [f"c{i}" for i in range(len(carried))]  # own names, whatever the input calls its columns
     split = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(parts)).cast("int").alias("part"), "text",
-                        *[c for c in carried if c != "text"])
-    anchors = split.select("part", "text").mapInArrow(_emit_anchors(width, parts), _PACKED)
+                        *[F.col(c).alias(h) for c, h in zip(carried, held)])
+    anchors = split.select("part", "text").mapInArrow(_emit_anchors(width, parts), _ANCHORS)
     recurring = stored(anchors.groupBy("bucket").applyInArrow(_select(True), "part int, hashes binary"), "recurring-anchors")
     windows = (split.select("part", "text").groupBy("part").cogroup(recurring.groupBy("part"))
                .applyInArrow(_emit_windows(width, parts), _PACKED))
@@ -275,4 +291,4 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         + ([T.StructField("kept_text", T.StringType())] if with_text else []))
     return split.groupBy("part").cogroup(hashes.groupBy("part")).applyInArrow(
-        _remove(width, carried, with_text, [f.name for f in schema.fields]), schema)
+        _remove(width, held, with_text, [f.name for f in schema.fields]), schema)
