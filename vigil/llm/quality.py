@@ -52,11 +52,13 @@ class Network:
     last: np.ndarray  # (2 * FILTERS,)
     offset: float
 
-    def outputs(self, data: np.ndarray) -> np.ndarray:
-        """Filter outputs of a buffer, one row for each STEP bytes."""
+    def outputs(self, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Filter outputs of a buffer, one row for each STEP bytes; ``last`` has
+        the rows at which a text ends, padding that the next text must not meet."""
         blocks = self.embed[data].reshape(-1, _BLOCK)
         z = blocks @ self.head
         z[:-1] += blocks[1:] @ self.tail
+        z[last] = 0
         return np.maximum(z + self.bias, 0, dtype=np.float32)
 
     def features(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ class Network:
         buffer = np.zeros(int(at[-1]) * _HALF, np.uint8)
         shift = np.repeat(at[:-1] * _HALF - offs[:-1], lens)
         buffer[np.arange(len(data)) + shift] = data
-        pooled = self.outputs(buffer).reshape(-1, _POSITIONS, FILTERS).max(axis=1)
+        pooled = self.outputs(buffer, at[1:] * _POSITIONS - 1).reshape(-1, _POSITIONS, FILTERS).max(axis=1)
         chunk = pooled.copy()
         chunk[:-1] = np.maximum(pooled[:-1], pooled[1:])
         end = at[1:] - 1
