@@ -210,11 +210,23 @@ def _plain(items: list) -> list:
     return [(x, False) if x[0] != "o" else (y, True) for x in items for y in (x[1] if x[0] == "o" else [x])]
 
 
+def _placed(flat: list) -> list:
+    """The shapes of items; a text's shape has the element around it."""
+    out, around = [], [""]
+    for item, _ in flat:
+        if item[0] == "t" and not item[1].startswith("/"):
+            around.append(item[1])
+        out.append(("#", around[-1]) if item[0] == "x" else _shape(item))
+        if item[0] == "t" and item[1].startswith("/") and len(around) > 1:
+            around.pop()
+    return out
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of all that two wrappers match."""
     a, b = _with_groups(a, [x[1] for x in b if x[0] == "r"]), _with_groups(b, [x[1] for x in a if x[0] == "r"])
     p, q = _plain(a), _plain(b)
-    sp, sq = [_shape(x) for x, _ in p], [_shape(x) for x, _ in q]
+    sp, sq = _placed(p), _placed(q)
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     for i in range(len(p) - 1, -1, -1):
         row, below, s = best[i], best[i + 1], sp[i]
