@@ -32,6 +32,7 @@ from vigil.llm.common import small_batches
 PER_LANGUAGE = 600
 PROFILE = 400
 GRAMS = 300
+SALTS = 256
 
 _BITS = 18  # all letters lie below 2**18
 _LETTER: np.ndarray | None = None
@@ -109,9 +110,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_profiles(labelled: DataFrame, per_language: int = PER_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
     """language -> n-grams by rank, from columns doc_id, text, lang."""
     small_batches(labelled.sparkSession)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = (labelled.where("lang is not null and text is not null").select("doc_id", "lang")
-              .withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct())
+    order = [F.col("h"), F.col("doc_id")]
+    chosen = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    for salts in (SALTS, 1):  # the first of each salt, then of these: no task gets a language's rows
+        first = Window.partitionBy("lang", F.pmod(F.shiftright("h", 20), F.lit(salts))).orderBy(*order)
+        chosen = chosen.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang", "h")
+    chosen = chosen.select("doc_id", "lang").distinct()
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
