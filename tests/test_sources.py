@@ -69,4 +69,5 @@ def test_newest_sample_guard(spark, tables):
     mv = si.memory_documents(tables.documents)
     assert sn.newest_sample(mv, 10).count() == 10
     with pytest.raises(Exception):
-        sn.newest_sample(mv.limit(5), 10).collect()
+        sn.newest_sample(mv.limit(5), 10, min_rows=100).collect()
+    assert sn.newest_sample(mv.limit(5), 10).count() == 5

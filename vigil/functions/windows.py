@@ -6,6 +6,7 @@ helpers here split each key by time buckets:
 
 * ``trailing_agg``: a bounded trailing window (t - W, t] computed per
   (key, bucket of width W) with the previous bucket copied in as a halo.
+* ``with_bucket``: time buckets, split further where a key is busy.
 * ``prev_matching``: the latest earlier row of the same key that satisfies
   a predicate, however far back: one summary row per (key, bucket), a
   prefix over those summaries (rows per key = buckets spanned, not events)
@@ -43,15 +44,30 @@ def trailing_agg(df: DataFrame, keys, ts_col: str, seconds: int, value: Column |
             .drop("_us", "_b", "_halo", "_v"))
 
 
+#: Rows of a key's time bucket beyond which it is split further.
+BUCKET_ROWS = 500_000
+
+
+def with_bucket(df: DataFrame, keys, order: str, width: int, rows: int = BUCKET_ROWS, out: str = "_b") -> DataFrame:
+    """Ordered bucket numbers per key: ``width`` units of ``order`` each, and a
+    bucket with more than ``rows`` rows split evenly into as many as it takes,
+    so that a busy key's bucket does not grow with the data."""
+    keys = list(keys)
+    wide = df.withColumn("_w", F.floor(F.col(order) / F.lit(width)))
+    split = (wide.groupBy(*keys, "_w").agg(F.least(F.ceil(F.count(F.lit(1)) / F.lit(rows)), F.lit(1 << 20)).cast("long").alias("_split"))
+             .where("_split > 1"))
+    sub = F.floor((F.col(order) - F.col("_w") * width) * F.coalesce("_split", F.lit(1)) / F.lit(width)).cast("long")
+    return wide.join(split, keys + ["_w"], "left").withColumn(out, F.col("_w") * F.lit(1 << 20) + sub).drop("_w", "_split")
+
+
 def prev_matching_multi(df: DataFrame, keys, order_us: Column, tie: Column, specs: dict,
-                        bucket_us: int = 3600 * 1_000_000) -> DataFrame:
+                        bucket_us: int = 3600 * 1_000_000, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Several previous-matching lookups in one pass.  ``specs`` maps an
     output prefix to ``(predicate, {name: column})``; for each prefix the
     columns ``<prefix><name>`` hold the values of the latest earlier row of
     the same key (in (order_us, tie) order) satisfying that predicate."""
     keys = list(keys)
-    b = (df.withColumn("_o", order_us).withColumn("_tie", tie)
-         .withColumn("_b", F.floor(F.col("_o") / F.lit(bucket_us))))
+    b = with_bucket(df.withColumn("_o", order_us).withColumn("_tie", tie), keys, "_o", bucket_us, bucket_rows)
     tags = []
     for i, (prefix, (pred, values)) in enumerate(specs.items()):
         t = f"_t{i}"
@@ -86,14 +102,14 @@ def prev_matching(df: DataFrame, keys, order_us: Column, tie: Column, pred: Colu
 
 
 def running_sum(df: DataFrame, keys, order_col: str, tie_col: str, value: Column, out: str,
-                bucket_width: int) -> DataFrame:
+                bucket_width: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Running total of ``value`` per key in (order, tie) order, inclusive.
 
     Buckets of ``bucket_width`` on the (integer) order column: bucket sums
     (one row per key and bucket), a prefix over those sums, plus a running
     sum inside the bucket — so a hot key is split over its buckets."""
     keys = list(keys)
-    b = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket_width))).withColumn("_v", value)
+    b = with_bucket(df, keys, order_col, bucket_width, bucket_rows).withColumn("_v", value)
     sums = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bs"))
     wp = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*keys, "_b", F.coalesce(F.sum("_bs").over(wp), F.lit(0)).alias("_carry"))

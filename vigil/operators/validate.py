@@ -322,52 +322,35 @@ def size_quotas(manifest: DataFrame, sandbox_col: str = "sandbox", seq_col: str
     writes do not count.  ``running_total`` is the accepted usage after the
     row.
 
-    Until a sandbox first overflows, acceptance is just the file check, so
-    the usage is a running sum (bucketed prefix sums: a busy sandbox is not
-    one task).  Only rows from the first overflow on depend on earlier
-    rejections; those are replayed per sandbox by a sorted fold seeded with
-    the usage at that point."""
-    from pyspark.sql import types as T
+    Decided in rounds of prefix sums, no sandbox in one task: all writes up to
+    a sandbox's first overflow are accepted, the overflowing one is rejected,
+    and of the later ones only those that still fit by themselves go into the
+    next round.  What is left shrinks below the overflowing size each round,
+    so a few rounds settle it; each is checkpointed in the shared folder."""
     from ..functions.windows import running_sum
-
-    size = F.col(size_col)
-    file_ok = size <= max_file_bytes
-    counted = F.when(file_ok, size).otherwise(F.lit(0)).cast("long")
-    run = running_sum(manifest.withColumn("file_ok", file_ok).withColumn("_cnt", counted),
-                      [sandbox_col], seq_col, seq_col, F.col("_cnt"), "running_total", bucket_width)
-    first = (run.where(F.col("running_total") > max_total_bytes).groupBy(sandbox_col)
-             .agg(F.min_by(F.struct(F.col(seq_col).alias("s"), (F.col("running_total") - F.col("_cnt")).alias("u")),
-                           F.col(seq_col)).alias("_f")))
-    j = run.join(first, sandbox_col, "left")
-    head_cond = F.col("_f").isNull() | (F.col(seq_col) < F.col("_f.s"))
-    head = j.where(head_cond).withColumn("accepted", F.col("file_ok")).drop("_f", "_cnt")
-    tail = j.where(~head_cond).withColumn("_base", F.col("_f.u")).drop("_f")
-    cols = [c for c in head.columns]
-    schema = T.StructType([f for f in tail.schema.fields if f.name in cols and f.name not in ("running_total",
-                                                                                            "accepted")]
-                          + [T.StructField("running_total", T.LongType()), T.StructField("accepted", T.BooleanType())])
-    keep = [f.name for f in schema.fields]
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def replay(batches):
-        cur, usage = None, 0
-        for pdf in batches:
-            acc, tot = [], []
-            for key, sz, ok, base in zip(pdf[sandbox_col].tolist(), pdf[size_col].tolist(),
-                                         pdf["file_ok"].tolist(), pdf["_base"].tolist()):
-                if key != cur:
-                    cur, usage = key, int(base)
-                a = bool(ok) and usage + int(sz) <= max_total_bytes
-                if a:
-                    usage += int(sz)
-                acc.append(a)
-                tot.append(usage)
-            out = pdf.assign(running_total=tot, accepted=acc)
-            yield out[keep]
-
-    tail_out = (tail.repartition(n, sandbox_col).sortWithinPartitions(sandbox_col, seq_col)
-                .mapInPandas(replay, schema))
-    return head.select(*keep).unionByName(tail_out.select(*keep))
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(manifest.sparkSession)
+    size, key = F.col(size_col), [sandbox_col, seq_col]
+    open_rows = (manifest.where(size <= max_file_bytes).select(*key, size.cast("long").alias("_size"), F.lit(0).cast("long").alias("_base"))
+                 .checkpoint(eager=True))
+    accepted = None
+    while True:
+        run = running_sum(open_rows, [sandbox_col], seq_col, seq_col, F.col("_size"), "_run", bucket_width).withColumn(
+            "_run", F.col("_run") + F.col("_base"))
+        over = (run.where(F.col("_run") > max_total_bytes).groupBy(sandbox_col)
+                .agg(F.min_by(F.struct(F.col(seq_col).alias("seq"), (F.col("_run") - F.col("_size")).alias("used")), F.col(seq_col)).alias("_o")))
+        judged = run.join(over, sandbox_col, "left").checkpoint(eager=True)
+        fine = judged.where(F.col("_o").isNull() | (F.col(seq_col) < F.col("_o.seq"))).select(*key)
+        accepted = fine if accepted is None else accepted.unionByName(fine)
+        open_rows = (judged.where((F.col(seq_col) > F.col("_o.seq")) & (F.col("_o.used") + F.col("_size") <= max_total_bytes))
+                     .select(*key, "_size", F.col("_o.used").alias("_base")).checkpoint(eager=True))
+        if open_rows.isEmpty():
+            break
+    marked = (manifest.join(accepted.withColumn("accepted", F.lit(True)), key, "left")
+              .withColumn("accepted", F.coalesce("accepted", F.lit(False))).withColumn("file_ok", size <= max_file_bytes))
+    used = F.when(F.col("accepted"), size).otherwise(F.lit(0)).cast("long")
+    return running_sum(marked, [sandbox_col], seq_col, seq_col, used, "running_total", bucket_width)
 
 
 def sanitize_error(c) -> Column:

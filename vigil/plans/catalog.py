@@ -293,7 +293,9 @@ def _b16(t): return va.secret_line_scan(t.documents, "doc_id", "text")
 
 
 @register("b17_credential_key_scan")
-def _b17(t): return va.credential_key_scan(t.pages, "page_id", "html")
+def _b17(t):
+    leak = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit('\n{"clientSecret": "'), F.col("url"), F.lit('"}\n{"PrivateKey":1}'))).otherwise("")
+    return va.credential_key_scan(t.pages.withColumn("html", F.concat("html", leak)), "page_id", "html")
 
 
 @register("b18_sensitive_file_scan")
@@ -311,7 +313,9 @@ def _b20(t): return va.path_safety(si.file_manifest(t.pages)).select("page_id",
 
 @register("b21_size_quotas")
 def _b21(t):
-    return va.size_quotas(si.file_manifest(t.pages)).select(
+    # files 3000 times as large, so that sandboxes run over their quota
+    m = si.file_manifest(t.pages).withColumn("size_bytes", F.col("size_bytes") * 3000)
+    return va.size_quotas(m).select(
         "page_id", "sandbox", "size_bytes", "file_ok", "running_total", "accepted")
 
 
