@@ -34,6 +34,25 @@ def test_chain_stream_matches_batch(spark, tables, tmp_path):
     assert got == exp
 
 
+def test_chain_stream_marks_late_events(spark, tables, tmp_path):
+    """The older half arrives second: its events are chained after the newer
+    ones, in whole links, and marked."""
+    audit = si.audit_events(tables.events)
+    cut = audit.agg(F.percentile_approx(F.col("created_at").cast("timestamp").cast("double"), 0.5)).first()[0]
+    old = F.col("created_at").cast("timestamp").cast("double") < cut
+    p = str(tmp_path / "late")
+    audit.where(~old).coalesce(1).write.parquet(p)
+    import time
+    time.sleep(1.1)  # file order is by modification time
+    audit.where(old).coalesce(1).write.mode("append").parquet(p)
+    s = sj.file_stream(spark, p, spark.read.parquet(p).schema, max_files_per_trigger=1)
+    rows = _run(sj.chain_stream(s), "chain_late").collect()
+    assert {r["id"] for r in rows if r["late"]} == {r["id"] for r in audit.where(old).collect()}
+    heads = {r["event_hash"] for r in rows}
+    assert all(r["prev_hash"] in heads or r["prev_hash"] == "" for r in rows)
+    assert sum(r["prev_hash"] == "" for r in rows) == audit.select("tenant_id").distinct().count()
+
+
 def test_hourly_ingest_stream_matches_batch(spark, tables, tmp_path):
     mv = si.memory_documents(tables.documents).select("id", "created_at")
     p, schema = _land(spark, mv, tmp_path)

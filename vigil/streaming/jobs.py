@@ -118,36 +118,42 @@ def latest_state_stream(changes: DataFrame, ttl_seconds: int = 86400, watermark:
 
 
 # ---------------------------------------------------------------- E2
-CHAIN_OUT = ("id long, tenant_id string, created_at timestamp, prev_hash string, event_hash string")
+CHAIN_OUT = ("id long, tenant_id string, created_at timestamp, prev_hash string, event_hash string, late boolean")
 
 
 def chain_stream(audit: DataFrame, chain_key: str = "tenant_id") -> DataFrame:
     """E2 stream form: the last hash per chain key is the only state; each
     micro-batch's events of a key are chained in (created_at, id) order
-    after it (append mode)."""
+    after it (append mode).  A hash that has gone out can't be changed, so an
+    event that arrives after a newer one is chained where it arrives and
+    marked ``late``: the links stay whole in arrival order, and a check by
+    event time (E3) reports the late events as out of order."""
     a = au.with_hash_columns(audit).select(
         F.col("id").cast("long"), F.col(chain_key).alias("tenant_id"),
         F.col("created_at").cast("timestamp").alias("created_at"), au.hash_body().alias("body"))
 
     def step(key, pdfs, state):
-        last = state.get[0] if state.exists else ""
+        last, newest, newest_id = state.get if state.exists else ("", -(1 << 62), 0)
         out = []
         for pdf in pdfs:
             out.append(pdf)
         if not out:
             return
         pdf = pd.concat(out).sort_values(["created_at", "id"])
-        prevs, hashes = [], []
-        for body in pdf["body"].tolist():
+        prevs, hashes, late = [], [], []
+        times = pdf["created_at"].astype("datetime64[us]").astype("int64").tolist()
+        for body, at, event_id in zip(pdf["body"].tolist(), times, pdf["id"].tolist()):
             h = hashlib.sha256((last + body).encode("utf-8")).hexdigest()
             prevs.append(last)
             hashes.append(h)
+            late.append((at, event_id) < (newest, newest_id))
+            newest, newest_id = max((newest, newest_id), (at, event_id))
             last = h
-        state.update((last,))
+        state.update((last, newest, newest_id))
         yield pd.DataFrame({"id": pdf["id"].values, "tenant_id": pdf["tenant_id"].values,
-                            "created_at": pdf["created_at"].values, "prev_hash": prevs, "event_hash": hashes})
+                            "created_at": pdf["created_at"].values, "prev_hash": prevs, "event_hash": hashes, "late": late})
 
-    return a.groupBy("tenant_id").applyInPandasWithState(step, CHAIN_OUT, "last_hash string", "append",
+    return a.groupBy("tenant_id").applyInPandasWithState(step, CHAIN_OUT, "last_hash string, newest long, newest_id long", "append",
                                                          GroupStateTimeout.NoTimeout)
 
 
