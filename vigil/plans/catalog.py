@@ -439,7 +439,7 @@ def _d12a(t):
 
 @register("d12_ivf_recall")
 def _d12(t):
-    approx, exact = _ivf(t, IVF_LISTS // 2)
+    approx, exact = _ivf(t, IVF_LISTS * 3 // 4)
     return vx.recall_at_k(approx, exact, TOPK)
 
 
