@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_bytes(df: DataFrame) -> "F.Column":
+def row_bytes(df: DataFrame) -> Column:
     """A bound on a row's size in a hash table, as a column."""
     size = F.lit(64)
     for f in df.schema.fields:
@@ -74,6 +74,5 @@ def part_count(docs: DataFrame, text: str, target: int) -> int:
 def running_offsets(counts: DataFrame, key: list[str], order: str, n: str) -> DataFrame:
     """For each (key, order) the sum of ``n`` over the earlier ``order`` of the
     key; ``counts`` is an aggregate with one row per stored part, not per row."""
-    from pyspark.sql import Window
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long")).drop(n)

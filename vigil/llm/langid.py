@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm import textops as X
 from vigil.llm.common import small_batches
 
 PER_LANGUAGE = 600

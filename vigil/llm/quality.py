@@ -142,7 +142,7 @@ def fit_filters(chunks: np.ndarray, label: np.ndarray, weight: np.ndarray, epoch
     return Network(p["embed"].astype(np.float32), f[:_BLOCK], f[_BLOCK:], p["bias"].astype(np.float32), np.zeros(2 * FILTERS), 0.0)
 
 
-def fit_last(features: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_last(features: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """The logistic layer over whole texts, by Newton steps on scaled features."""
     scale = features.std(axis=0) + 1e-6
     mean = features.mean(axis=0)

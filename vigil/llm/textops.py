@@ -21,7 +21,6 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD1342543DE82EF95 | 1
 _WORD = 0xA0761D6478BD642F | 1
-_MASK = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
