@@ -4,16 +4,13 @@ as jobs over event tables.
 Per-session and per-pool state is built with keyed aggregates (``max_by``,
 ``min_by``, counts: map-side combined, so a hot session or pool costs one
 row per task in the shuffle).  Sequence-dependent rules use the skew-safe
-scans of ``functions.windows``.  The circuit-breaker replay (K12) is a true
-state machine and runs as a bounded-memory fold per pool.
+scans of ``functions.windows``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.common import as_col, py_fixed
 from ..functions.windows import epoch_micros, prev_matching, prev_matching_multi, trailing_agg

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import audit as au
-from ..operators import telemetry as tm
 from ..session import scratch_path
 
 
