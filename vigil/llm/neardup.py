@@ -47,7 +47,7 @@ BANDS = PERMUTATIONS // ROWS
 ESTIMATE = 0.54
 BLOCK = 256
 #: Minima of a wide signature, and the estimate from it 4.5 deviations below.
-WIDE, WIDE_ESTIMATE = 1024, 0.677
+WIDE, WIDE_ESTIMATE = 4096, 0.713
 
 _LONGS = PERMUTATIONS * BITS // 64
 _FEW = 1 << 18  # products at a time
