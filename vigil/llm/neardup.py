@@ -165,12 +165,14 @@ def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
         wide = [packed(minima(s, _WIDE_PERMUTATIONS)).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], names=["cid", "n", "wide"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary()), batch.column(2)],
+                                         names=["cid", "n", "wide", "bands"])
 
 
 def _block_pairs(group: pa.Table) -> pa.Table:
     """Pairs of one block pair of a bucket that are in different components
-    and whose sizes and wide signatures come near the threshold."""
+    and whose sizes and wide signatures come near the threshold.  A pair that
+    shares several buckets is looked at in that of its first common band."""
     group = group.combine_chunks()
     cid, comp, size = (group[c].to_numpy() for c in ("cid", "component", "n"))
     block, i, j = group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
@@ -180,6 +182,12 @@ def _block_pairs(group: pa.Table) -> pa.Table:
     if i == j:
         near &= cid[p][:, None] < cid[q][None, :]
     x, y = np.nonzero(near)
+    bands = np.array(group["bands"].to_pylist(), np.int64).reshape(len(cid), BANDS)
+    here = int(np.argmax(bands[0] == group["key"][0].as_py()))
+    earlier = np.zeros(len(x), bool)
+    for k in range(here):
+        earlier |= bands[p[x], k] == bands[q[y], k]
+    x, y = x[~earlier], y[~earlier]
     per = WIDE // 64
     differ = np.zeros(len(x), np.int64)
     for k in range(per):
@@ -220,11 +228,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inside = stored(members.where("n > 2").join(grouped, "cid", "left").select("key", "cid", "n", label), "crowded-members")
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     mixed = stored(inside.join(mixed, "key", "left_semi").withColumnRenamed("n", "members"), "mixed-members")
-    wide = stored(sets.join(mixed.select("cid").distinct(), "cid", "left_semi").mapInArrow(_widened, "cid bigint, n bigint, wide binary"), "wide-signatures")
+    wide = stored(sets.join(mixed.select("cid").distinct(), "cid", "left_semi").join(classes.select("cid", "bands"), "cid")
+                  .select("cid", "shingles", "bands").mapInArrow(_widened, "cid bigint, n bigint, wide binary, bands array<bigint>"), "wide-signatures")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     spread = (mixed.join(wide, "cid").withColumn("blocks", blocks)
               .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-              .select("key", "cid", "component", "n", "wide", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+              .select("key", "cid", "component", "n", "wide", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
     rest = stored(spread.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a bigint, b bigint").distinct(), "residual-pairs")
     # links between components found so far, then the components of these
