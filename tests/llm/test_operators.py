@@ -148,6 +148,22 @@ def test_wrappers(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_wrappers_template_text_needs_pages(spark):
+    """A text is the template's only if several distinct pages have it at its slot."""
+    from vigil.llm.wrappers import extract
+    long = "A long paragraph %d that runs on and on, so that it is well over eighty characters in all, and then on."
+    one = f"<body><h1>Only heading</h1><p>Short line.</p><p>{long % 0}</p></body>"
+    body = "<body><div class='brand'>The Site</div><h1>Title %d</h1><p>" + long + "</p>%s</body>"
+    extra = "<h2>Seen once</h2>"
+    pages = [(1, "http://one.example/a", one), (2, "http://one.example/b", one), (3, "http://one.example/c", one.replace("<h1>", "<nav>x</nav><h1>"))]
+    pages += [(10 + i, f"http://many.example/{i}", body % (i, i, extra if i == 5 else "")) for i in range(8)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in (1, 2, 3):
+        assert got[i] == ["Only heading", "Short line.", long % 0]
+    for i in range(8):
+        assert got[10 + i] == [f"Title {i}", long % i, *(["Seen once"] if i == 5 else [])]
+
+
 def test_wrapper_expression():
     from vigil.llm import wrappers as w
     a = w.wrapper_of("<div><p>a</p><p>b</p><ul><li>x</li></ul></div>")

@@ -23,6 +23,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -38,6 +39,8 @@ from vigil.llm.urlfilter import host
 #: Salts of the folding rounds.
 ROUNDS = (4096, 64, 1)
 LONGEST_REPEAT = 24
+#: A text is the template's if so many distinct pages have it at its slot and no page another.
+SEVERAL = 3
 
 _TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
     |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)
@@ -140,7 +143,12 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-# A wrapper is a list of items: ["t", tag], ["x", text or None], ["o", items], ["r", items].
+def key(text: str) -> str:
+    """A text as wrappers hold it: long ones as their digest."""
+    return text if len(text) <= 80 else "\0" + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+# A wrapper is a list of items: ["t", tag], ["x", text or None, pages that agreed], ["o", items], ["r", items].
 
 
 def _shape(item) -> object:
@@ -177,7 +185,8 @@ def _merge_equal(a: list, b: list) -> list:
     out = []
     for x, y in zip(a, b):
         if x[0] == "x":
-            out.append(["x", x[1] if x[1] == y[1] else None])
+            same = x[1] is not None and x[1] == y[1]
+            out.append(["x", x[1], sorted({*x[2], *y[2]})[:SEVERAL]] if same else ["x", None, []])
         elif x[0] == "t":
             out.append(x)
         else:
@@ -255,16 +264,21 @@ def align(a: list, b: list) -> list:
     return fold_repeats(out)
 
 
-def wrapper_of(page: str) -> list:
-    """A single page as a wrapper."""
+def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list]:
+    """A page's texts, each with what the elements around it mean (left out,
+    main), and its items.  Pages are distinct if their texts outside left-out
+    elements are: a copy with another advert is no second page."""
+    blocks: list[tuple[str, bool, bool]] = []
     items: list = []
     words: list[str] = []
+    above: list[Element] = []
 
     def flush() -> None:
         text = clean("".join(words))
         words.clear()
         if text:
-            items.append(["x", text if len(text) <= 80 else None])
+            items.append(["x", key(text), []])
+            blocks.append((text, bool(above) and above[-1].out, bool(above) and above[-1].main))
 
     for kind, value in stream(page):
         if kind == "text":
@@ -274,8 +288,23 @@ def wrapper_of(page: str) -> list:
         else:
             flush()
             items.append(["t", value.label if kind == "open" else "/" + value.tag])
+            if kind == "open":
+                above.append(value)
+            elif value in above:
+                while above.pop() is not value:
+                    pass
     flush()
-    return fold_repeats(items)
+    own = "\0".join(text for text, out, _ in blocks if not out)
+    seen = int.from_bytes(hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=6).digest())
+    for x in items:
+        if x[0] == "x":
+            x[2] = [seen]
+    return blocks, items
+
+
+def wrapper_of(page: str) -> list:
+    """A single page as a wrapper."""
+    return fold_repeats(parsed(page)[1])
 
 
 def fold(wrappers: list[list]) -> list:
@@ -289,7 +318,7 @@ def fold(wrappers: list[list]) -> list:
 def as_regex(items: list) -> str:
     """A wrapper as text: <tag>, #slot, 'fixed text', (...)? and (...)+."""
     part = {"t": lambda v: f"<{v}>", "x": lambda v: "#" if v is None else repr(v), "o": lambda v: f"({as_regex(v)})?", "r": lambda v: f"({as_regex(v)})+"}
-    return "".join(part[k](v) for k, v in items)
+    return "".join(part[k](v) for k, v, *_ in items)
 
 
 class Slots:
@@ -301,45 +330,23 @@ class Slots:
         self._walk(items)
 
     def _walk(self, items: list) -> None:
-        for kind, value in items:
+        for kind, value, *seen in items:
             if kind in "or":
                 self._walk(value)
             elif kind == "x":
                 if value is None:
                     self.varies = True
-                else:
+                elif len(seen[0]) >= SEVERAL:
                     self.fixed.add(value)
             elif not value.startswith("/"):
                 tag, _, words = value.partition(".")
                 self.has_main |= tag in MAIN or bool(set(words.split(".")) & MAIN_WORDS and tag in ("div", "section", "td"))
 
     def main_text(self, page: str) -> str:
-        blocks: list[tuple[str, bool]] = []
-        words: list[str] = []
-        above: list[Element] = []
-
-        def flush() -> None:
-            text = clean("".join(words))
-            words.clear()
-            if text and not (above and above[-1].out):
-                blocks.append((text, bool(above) and above[-1].main))
-
-        for kind, value in stream(page):
-            if kind == "text":
-                words.append(value)
-            elif kind == "space":
-                words.append(" ")
-            else:
-                flush()
-                if kind == "open":
-                    above.append(value)
-                elif value in above:
-                    while above.pop() is not value:
-                        pass
-        flush()
+        blocks = [(text, main) for text, out, main in parsed(page)[0] if not out]
         if self.has_main and any(main for _, main in blocks):
             return "\n\n".join(text for text, main in blocks if main)
-        return "\n\n".join(text for text, _ in blocks if not (self.varies and text in self.fixed))
+        return "\n\n".join(text for text, _ in blocks if not (self.varies and key(text) in self.fixed))
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
