@@ -164,6 +164,21 @@ def test_wrappers_template_text_needs_pages(spark):
         assert got[10 + i] == [f"Title {i}", long % i, *(["Seen once"] if i == 5 else [])]
 
 
+def test_wrappers_text_by_slot(spark):
+    """Template text goes by its slot, inside an article too, and only there."""
+    from vigil.llm.wrappers import extract
+    outro = "Read on tomorrow"
+    long = "Thank you for reading this page to its end; it is read by many, and many more are welcome to it."
+    inner = f"<article><h1>Title %d</h1><p>Body %d</p>%s<div class='outro'>{outro}</div><div>{long}</div></article>"
+    teaser = "<body><article>Our magazine</article><div><h2>Title %d</h2><p>Text %d</p></div></body>"
+    pages = [(i, f"http://in.example/{i}", inner % (i, i, f"<p>{outro}</p>" if i == 4 else "")) for i in range(6)]
+    pages += [(10 + i, f"http://out.example/{i}", teaser % (i, i)) for i in range(6)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == [f"Title {i}", f"Body {i}", *([outro] if i == 4 else [])]
+        assert got[10 + i] == [f"Title {i}", f"Text {i}"]
+
+
 def test_wrapper_expression():
     from vigil.llm import wrappers as w
     a = w.wrapper_of("<div><p>a</p><p>b</p><ul><li>x</li></ul></div>")

@@ -9,10 +9,14 @@ a variable slot.  Aligning two wrappers gives a wrapper again, so a host's pages
 are folded batch by batch, then in three salted rounds; no group holds all pages
 of a host.
 
-A page's text comes from the wrapper's slots: those under navigation, header,
-footer, sidebar, notice, advert, form and comment elements are left out; where
-the template has an article (or main, or content) element, slots outside it are
-left out, and so are template texts that never vary.
+A page's text comes from the wrapper's slots: the page's items are aligned with
+its host's wrapper, and each text is judged by the slot it falls in.  A slot is
+constant if SEVERAL distinct pages have the same text there and no page another;
+its text is the template's and left out, also inside an article.  Tags and class
+words are hints on the slots that vary: those under navigation, header, footer,
+sidebar, notice, advert, form and comment elements are left out, and if some in
+an article (or main, or content) element remain, only these are taken.  A text
+that falls in no slot counts as one that varies.
 
 Edge cases: null or empty html gives the empty text; null urls and those
 without a host share the host ''; broken markup is read as far as it goes (an
@@ -148,7 +152,8 @@ def key(text: str) -> str:
     return text if len(text) <= 80 else "\0" + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-# A wrapper is a list of items: ["t", tag], ["x", text or None, pages that agreed], ["o", items], ["r", items].
+# A wrapper is a list of items: ["t", tag], ["x", text or None, pages that agreed, places in the page], ["o", items],
+# ["r", items].  Only a page to be matched has places: the numbers of its texts.
 
 
 def _shape(item) -> object:
@@ -186,7 +191,7 @@ def _merge_equal(a: list, b: list) -> list:
     for x, y in zip(a, b):
         if x[0] == "x":
             same = x[1] is not None and x[1] == y[1]
-            out.append(["x", x[1], sorted({*x[2], *y[2]})[:SEVERAL]] if same else ["x", None, []])
+            out.append(["x", x[1] if same else None, sorted({*x[2], *y[2]})[:SEVERAL] if same else [], x[3] + y[3]])
         elif x[0] == "t":
             out.append(x)
         else:
@@ -231,28 +236,42 @@ def _placed(flat: list) -> list:
     return out
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of all that two wrappers match."""
-    a, b = _with_groups(a, [x[1] for x in b if x[0] == "r"]), _with_groups(b, [x[1] for x in a if x[0] == "r"])
-    p, q = _plain(a), _plain(b)
-    sp, sq = _placed(p), _placed(q)
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i in range(len(p) - 1, -1, -1):
+def _common(sp: list, sq: list) -> Iterator[tuple[int, int]]:
+    """An alignment of two sequences of shapes, as steps (place in the one or
+    -1, place in the other or -1)."""
+    best = [[0] * (len(sq) + 1) for _ in range(len(sp) + 1)]
+    for i in range(len(sp) - 1, -1, -1):
         row, below, s = best[i], best[i + 1], sp[i]
-        for j in range(len(q) - 1, -1, -1):
+        for j in range(len(sq) - 1, -1, -1):
             row[j] = below[j + 1] + 1 if s == sq[j] else max(below[j], row[j + 1])
-    flat: list[tuple[list, bool]] = []
     i = j = 0
-    while i < len(p) or j < len(q):
-        if i < len(p) and j < len(q) and sp[i] == sq[j]:
-            flat.append((_merge_equal([p[i][0]], [q[j][0]])[0], p[i][1] or q[j][1]))
+    while i < len(sp) or j < len(sq):
+        if i < len(sp) and j < len(sq) and sp[i] == sq[j]:
+            yield i, j
             i, j = i + 1, j + 1
-        elif j == len(q) or (i < len(p) and best[i + 1][j] >= best[i][j + 1]):
-            flat.append((p[i][0], True))
+        elif j == len(sq) or (i < len(sp) and best[i + 1][j] >= best[i][j + 1]):
+            yield i, -1
             i += 1
         else:
-            flat.append((q[j][0], True))
+            yield -1, j
             j += 1
+
+
+def _in_groups_of_both(a: list, b: list) -> tuple[list, list]:
+    """Two wrappers as plain items, repeated groups of one found in the other."""
+    groups = [[x[1] for x in w if x[0] == "r"] for w in (a, b)]
+    return _plain(_with_groups(a, groups[1])), _plain(_with_groups(b, groups[0]))
+
+
+def align(a: list, b: list) -> list:
+    """The wrapper of all that two wrappers match."""
+    p, q = _in_groups_of_both(a, b)
+    flat: list[tuple[list, bool]] = []
+    for i, j in _common(_placed(p), _placed(q)):
+        if i >= 0 and j >= 0:
+            flat.append((_merge_equal([p[i][0]], [q[j][0]])[0], p[i][1] or q[j][1]))
+        else:
+            flat.append((p[i][0] if j < 0 else q[j][0], True))
     out: list = []
     for item, optional in flat:
         if not optional:
@@ -277,7 +296,7 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list]:
         text = clean("".join(words))
         words.clear()
         if text:
-            items.append(["x", key(text), []])
+            items.append(["x", key(text), [], [len(blocks)]])
             blocks.append((text, bool(above) and above[-1].out, bool(above) and above[-1].main))
 
     for kind, value in stream(page):
@@ -304,7 +323,7 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list]:
 
 def wrapper_of(page: str) -> list:
     """A single page as a wrapper."""
-    return fold_repeats(parsed(page)[1])
+    return fold_repeats([x if x[0] == "t" else [*x[:3], []] for x in parsed(page)[1]])
 
 
 def fold(wrappers: list[list]) -> list:
@@ -321,32 +340,29 @@ def as_regex(items: list) -> str:
     return "".join(part[k](v) for k, v, *_ in items)
 
 
-class Slots:
-    """Which texts a host's wrapper counts as main text."""
+def _constant(page: list, wrapper: list) -> Iterator[int]:
+    """The places of a page's texts in constant slots; both of the same shape."""
+    for x, y in zip(page, wrapper):
+        if x[0] in "or":
+            yield from _constant(x[1], y[1])
+        elif x[0] == "x" and y[1] is not None and len(y[2]) >= SEVERAL and x[1] == y[1]:
+            yield from x[3]
+
 
-    def __init__(self, items: list):
-        self.fixed: set[str] = set()
-        self.has_main, self.varies = False, False
-        self._walk(items)
+def template_texts(items: list, wrapper: list) -> set[int]:
+    """The places of the texts of a page that are its host's template."""
+    p, q = _in_groups_of_both(fold_repeats(items), wrapper)
+    steps = [(i, j) for i, j in _common(_placed(p), _placed(q)) if i >= 0 and j >= 0]
+    return set(_constant([p[i][0] for i, _ in steps], [q[j][0] for _, j in steps]))
 
-    def _walk(self, items: list) -> None:
-        for kind, value, *seen in items:
-            if kind in "or":
-                self._walk(value)
-            elif kind == "x":
-                if value is None:
-                    self.varies = True
-                elif len(seen[0]) >= SEVERAL:
-                    self.fixed.add(value)
-            elif not value.startswith("/"):
-                tag, _, words = value.partition(".")
-                self.has_main |= tag in MAIN or bool(set(words.split(".")) & MAIN_WORDS and tag in ("div", "section", "td"))
 
-    def main_text(self, page: str) -> str:
-        blocks = [(text, main) for text, out, main in parsed(page)[0] if not out]
-        if self.has_main and any(main for _, main in blocks):
-            return "\n\n".join(text for text, main in blocks if main)
-        return "\n\n".join(text for text, _ in blocks if not (self.varies and key(text) in self.fixed))
+def main_text(page: str, wrapper: list) -> str:
+    """The texts of a page in its host's slots of main text."""
+    blocks, items = parsed(page)
+    template = template_texts(items, wrapper)
+    vary = [(text, main) for i, (text, out, main) in enumerate(blocks) if not out and i not in template]
+    inside = any(main for _, main in vary)
+    return "\n\n".join(text for text, main in vary if main or not inside)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,20 +389,20 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return stored(found, "wrappers")
 
 
-_SLOTS: dict[str, Slots] = {}
+_WRAPPERS: dict[str, list] = {}
 
 
-def _slots(wrapper: str) -> Slots:
-    if wrapper not in _SLOTS:
-        if len(_SLOTS) > 2000:
-            _SLOTS.clear()
-        _SLOTS[wrapper] = Slots(json.loads(wrapper))
-    return _SLOTS[wrapper]
+def _wrapper(stored_as: str) -> list:
+    if stored_as not in _WRAPPERS:
+        if len(_WRAPPERS) > 2000:
+            _WRAPPERS.clear()
+        _WRAPPERS[stored_as] = json.loads(stored_as)
+    return _WRAPPERS[stored_as]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [_slots(w).main_text(h or "") for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = [main_text(h or "", _wrapper(w)) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          names=["page_id", "url", "text", "n_chars"])
 
