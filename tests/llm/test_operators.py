@@ -187,6 +187,26 @@ def test_wrapper_expression():
     assert w.align(a, a) == a
 
 
+def test_wrapper_alignment_memory():
+    """Long irregular pages align as by the full table, without holding one."""
+    import tracemalloc
+    from vigil.llm import wrappers as w
+    rnd = random.Random(4)
+    pages = [[["t", f"{'/' if k % 2 else ''}t{rnd.randrange(40)}"] for k in range(1500)] for _ in range(2)]
+    below = [0] * 1501
+    for x in pages[0]:
+        row = [0]
+        for j, y in enumerate(pages[1]):
+            row.append(below[j] + 1 if x == y else max(row[j], below[j + 1]))
+        below = row
+    tracemalloc.start()
+    out = w.align(*pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(v) if k == "o" else 1 for k, v in out) == 3000 - below[-1]
+    assert peak < 8e6  # the table has 2.25 million cells
+
+
 # ------------------------------------------------------------------ 4
 def test_url_filter(spark):
     from vigil.llm.urlfilter import judge

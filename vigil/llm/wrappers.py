@@ -30,8 +30,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -237,24 +238,61 @@ def _placed(flat: list) -> list:
 
 
 def _common(sp: list, sq: list) -> Iterator[tuple[int, int]]:
-    """An alignment of two sequences of shapes, as steps (place in the one or
-    -1, place in the other or -1)."""
-    best = [[0] * (len(sq) + 1) for _ in range(len(sp) + 1)]
-    for i in range(len(sp) - 1, -1, -1):
-        row, below, s = best[i], best[i + 1], sp[i]
-        for j in range(len(sq) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if s == sq[j] else max(below[j], row[j + 1])
+    """A longest common subsequence of two sequences of shapes, as steps (place
+    in the one or -1, place in the other or -1).
+
+    A row of its table is an integer: bit k is zero if sq[n - 1 - k:] has one
+    more in common with the rest of ``sp`` than the sequence after it.  One row
+    in ``step`` is kept and those between are made again when the steps come
+    there, so that 2 * sqrt(len(sp)) rows of len(sq) bits are held at most."""
+    m, n = len(sp), len(sq)
+    holds: dict = {}
+    for j, s in enumerate(sq):
+        holds.setdefault(s, []).append(n - 1 - j)
+    often = {s: _bits(at, n) for s, at in holds.items() if len(at) * 256 >= n}
+    full, step = (1 << n) - 1, max(64, math.isqrt(m) + 1)
+
+    def above(row: int, s) -> int:
+        both = row & (often[s] if s in often else _bits(holds.get(s, ()), n))
+        return ((row + both) | (row - both)) & full
+
+    kept, row = {m: full}, full
+    for i in range(m - 1, step - 1, -1):
+        row = above(row, sp[i])
+        if i % step == 0:
+            kept[i] = row
     i = j = 0
-    while i < len(sp) or j < len(sq):
-        if i < len(sp) and j < len(sq) and sp[i] == sq[j]:
-            yield i, j
-            i, j = i + 1, j + 1
-        elif j == len(sq) or (i < len(sp) and best[i + 1][j] >= best[i][j + 1]):
-            yield i, -1
-            i += 1
-        else:
-            yield -1, j
-            j += 1
+    for low in range(0, m, step):
+        high = min(low + step, m)
+        rows = [kept[high]]
+        for k in range(high - 1, low - 1, -1):
+            rows.append(above(rows[-1], sp[k]))
+        rows.reverse()
+        while i < high:
+            if j == n:
+                yield i, -1
+                i += 1
+            elif sp[i] == sq[j]:
+                yield i, j
+                i, j = i + 1, j + 1
+            else:
+                rest = (1 << (n - j)) - 1
+                if not rows[i - low] >> (n - 1 - j) & 1 or (rows[i + 1 - low] & rest).bit_count() == (rows[i - low] & rest).bit_count():
+                    yield i, -1  # as much in common without it
+                    i += 1
+                else:
+                    yield -1, j
+                    j += 1
+    for j in range(j, n):
+        yield -1, j
+
+
+def _bits(at: Sequence[int], n: int) -> int:
+    """The integer with these of n bits."""
+    out = bytearray(n // 8 + 1)
+    for k in at:
+        out[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(out, "little")
 
 
 def _in_groups_of_both(a: list, b: list) -> tuple[list, list]:
