@@ -231,6 +231,24 @@ def test_url_filter(spark):
     assert judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_relative_links(spark):
+    """A block reaches aliases by links with dot segments or a query only."""
+    from vigil.llm.urlfilter import judge, node
+    link = '<link rel="canonical" href="%s">'
+    away = link % "http://x.net/1"
+    links = {"a": ("../x", "/en/x"), "b": ("./x", "/en/d/x"), "c": ("u/../x", "/en/d/x"), "d": ("?p=2", "/en/d/q?p=2"), "e": ("/u/./../v/..", "/"),
+             "f": ("../../../x", "/x"), "g": ("..", "/en/"), "h": ("//h.h.org/a/../x", "/x"), "i": ("http://i.h.org/./x/.", "/x/")}
+    pages = [(h, f"http://{h}.h.org/en/d/q?p=1", link % to) for h, (to, _) in links.items()]
+    pages += [(h + "2", f"http://{h}.h.org{at}", away) for h, (_, at) in links.items()]
+    pages += [("own", "http://k.h.org/a/../b", ""), ("own2", "http://k.h.org/b", away), ("hash", "http://l.h.org/en/d/q", link % "#top"), ("hash2", "http://l.h.org/en/d/", away)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in judge(df).collect()}
+    assert [h for h in links if got[h] != "block"] == [] and got["own"] == "block" and got["hash"] == "allow"
+    urls = ["http://H.org", "http://h.org?a=/../b", "http://h.org/a//../b/...#/../c", "http://h.org/..", None, "x"]
+    nodes = spark.createDataFrame([(u,) for u in urls], "url string").select(node(F.col("url"))).collect()
+    assert [r[0] for r in nodes] == ["h.org/", "h.org?a=/../b", "h.org/a/b/...", "h.org/", None, None]
+
+
 # ------------------------------------------------------------------ 5
 def test_quality(spark, odd, empty, odd_rows):
     from vigil.llm import quality as q

@@ -61,22 +61,37 @@ def with_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> D
             .withColumn("_own", F.get(kinds, F.col("_which"))).drop("_which"))
 
 
+def without_dots(at: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments; an
+    empty one as it is."""
+    segments = F.split(at, "/", -1)
+    left = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+    folder = at.rlike(r"/\.\.?\z") & (F.size(left) > 0)
+    plain = F.concat(F.lit("/"), F.array_join(left, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(at.rlike(r"/\.\.?(?:/|\z)"), plain).otherwise(at)
+
+
 def node(url: Column) -> Column:
-    """A URL as a node of the alias graph: host, path and query, without scheme
-    and fragment; null without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    """A URL as a node of the alias graph: host, path without dot segments and
+    query, without scheme and fragment; null without ``://``."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*([^#]*)", 1)
+    rest = F.concat(without_dots(path(url)), query)
     return F.when(url.contains("://") & (host(url) != ""), F.concat(host(url), F.when(rest == "", "/").otherwise(rest)))
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """A link's target as an absolute URL, for the forms that links take."""
+    """A link's target as an absolute URL, for the forms that links take; dot
+    segments stay, :func:`node` removes them."""
     link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    folder = F.regexp_extract(F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), r"(?s)^(.*/)", 1)
+    folder = F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
     top = F.concat(scheme, F.lit("://"), host(base))
     return (F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link)
             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
             .when(link.startswith("/"), F.concat(top, link))
+            .when(link.startswith("?"), F.concat(top, F.when(path(base) == "", "/").otherwise(path(base)), link))
+            .when(link.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), link))
             .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), link)))
 
 
