@@ -411,6 +411,19 @@ def test_repeated_passages_random_small_alphabet(spark, empty):
     assert without_repeats(empty).count() == 0
 
 
+def test_repeated_passages_entries_per_part(spark):
+    """What a bucket gets of an anchor grows with the parts, not with its copies."""
+    from vigil.llm import passages as p
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(3000).select(F.pmod("id", F.lit(4)).cast("int").alias("part"), F.lit(text).alias("text")).repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    got = p.anchors_by_bucket(rows, p.WIDTH, 8).collect()
+    entries = sum(len(r["hashes"]) // 8 for r in got)
+    distinct = len({bytes(r["hashes"][k: k + 8]) for r in got for k in range(0, len(r["hashes"]), 8)})
+    assert entries == 2 * 4 * distinct > 0
+    assert len({(r["bucket"], r["part"]) for r in got}) == len(got)
+
+
 # ------------------------------------------------------------------ 8
 def test_fingerprints(spark, odd, odd_rows, empty):
     from vigil.llm import fingerprints as f

@@ -5,7 +5,8 @@ over it stands, with the same words, anywhere else too.
 
 1. Anchors.  Each window is represented by its anchor, the run of ``ANCHOR``
    words with the least hash inside it, so equal windows have equal anchors and
-   about one word in fourteen starts one.  Anchors that occur once are done.
+   about one word in fourteen starts one.  Each part keeps at most two of an
+   anchor before they are counted.  Anchors that occur once are done.
 2. Confirmation.  Windows that hold a recurring anchor are counted over the
    whole corpus; those seen once are noted.
 3. Location.  Each part of the documents (some MB of text) has its shard: the
@@ -16,7 +17,8 @@ over it stands, with the same words, anywhere else too.
 Hashes travel as packed arrays, few rows for many hashes.  A bucket is
 chosen by a second, independent hash and has a fixed expected size, so that the
 chance of two different windows being taken for equal stays negligible at any
-corpus size.  A window in a third of all documents is one entry per part.
+corpus size.  An anchor or window in a third of all documents is at most two
+entries per part.
 
 Edge cases: a null or empty text has no words; a text shorter than a window
 keeps all words; null or repeated ids and repeated rows are separate documents
@@ -46,7 +48,7 @@ PART_BYTES, LEAST_PARTS = 8 << 20, 24
 #: Phrases of one automaton; each costs about 2 KB.
 SHARD_PHRASES = 40_000
 
-_ANCHORS = "bucket int, parts binary, hashes binary"
+_ANCHORS = "part int, hashes binary"
 _PACKED = "bucket int, part int, hashes binary"
 _POS = np.uint64((1 << 26) - 1)
 
@@ -85,17 +87,6 @@ def _packed(part: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(part[edge], pa.int32()), blobs], names=["bucket", "part", "hashes"])
 
 
-def _by_bucket(part: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket: its values and the part of each."""
-    order = np.argsort(bucket, kind="stable")
-    part, bucket, value = part[order].astype(np.int32), bucket[order], value[order]
-    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    end = np.append(edge[1:], len(value))
-    return pa.RecordBatch.from_arrays([
-        pa.array(bucket[edge], pa.int32()), pa.array([part[a:b].tobytes() for a, b in zip(edge, end)], pa.binary()),
-        pa.array([value[a:b].tobytes() for a, b in zip(edge, end)], pa.binary())], names=["bucket", "parts", "hashes"])
-
-
 def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     """All hashes of a column of packed rows, and the row of each."""
     rows = [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
@@ -104,13 +95,16 @@ def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def _once_per_part(value: np.ndarray) -> np.ndarray:
-    """Distinct values; one that occurs more than once comes twice."""
-    distinct, n = np.unique(value, return_counts=True)
-    return np.repeat(distinct, np.minimum(n, 2))
+def _twice(part: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts and values, a value at most twice for a part."""
+    order = np.lexsort((value, part))
+    part, value = part[order], value[order]
+    third = np.zeros(len(value), bool)
+    third[2:] = (value[2:] == value[:-2]) & (part[2:] == part[:-2])
+    return part[~third], value[~third]
 
 
-def _emit_anchors(width: int, buckets: int):
+def _emit_anchors(width: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = X.text_buffer(batch.column(1))
@@ -124,24 +118,30 @@ def _emit_anchors(width: int, buckets: int):
                 got.append(grams[pos])
                 got_part.append(parts[lo:hi][doc])
             if got and sum(map(len, got)):
-                value, part = np.concatenate(got), np.concatenate(got_part).astype(np.int64)
-                order = np.lexsort((value, part))
-                value, part = value[order], part[order]
-                # within a batch a value comes at most twice for a part
-                third = np.zeros(len(value), bool)
-                third[2:] = (value[2:] == value[:-2]) & (part[2:] == part[:-2])
-                value, part = value[~third], part[~third]
-                yield _by_bucket(part, ((value >> X.U64(32)) % X.U64(buckets)).astype(np.int64), value)
+                part, value = _twice(np.concatenate(got_part).astype(np.int64), np.concatenate(got))
+                yield _packed(part, np.zeros(len(part), np.int64), value).select(["part", "hashes"])
     return emit
 
 
+def _part_anchors(buckets: int):
+    def reduce(group: pa.Table) -> pa.Table:
+        value, row = _unpacked(group["hashes"])
+        part, value = _twice(group["part"].to_numpy()[row].astype(np.int64), value)
+        return pa.Table.from_batches([_packed(part, ((value >> X.U64(32)) % X.U64(buckets)).astype(np.int64), value)])
+    return reduce
+
+
+def anchors_by_bucket(split: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The anchors of the texts of ``split`` (part, text), packed by bucket and
+    part; each part gives at most two of an anchor, however often it has it."""
+    found = split.select("part", "text").mapInArrow(_emit_anchors(width), _ANCHORS)
+    return found.groupBy("part").applyInArrow(_part_anchors(buckets), _PACKED)
+
+
 def _select(recurring: bool):
     def pick(group: pa.Table) -> pa.Table:
         value, row = _unpacked(group["hashes"])
-        if recurring:
-            part = np.frombuffer(b"".join(group["parts"].to_pylist()), np.int32)
-        else:
-            part = group["part"].to_numpy()[row]
+        part = group["part"].to_numpy()[row]
         _, back, n = np.unique(value, return_inverse=True, return_counts=True)
         keep = (n[back] > 1) == recurring
         value, part = value[keep], part[keep]
@@ -281,7 +281,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     held = [f"c{i}" for i in range(len(carried))]  # own names, whatever the input calls its columns
     split = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(parts)).cast("int").alias("part"), "text",
                         *[F.col(c).alias(h) for c, h in zip(carried, held)])
-    anchors = split.select("part", "text").mapInArrow(_emit_anchors(width, parts), _ANCHORS)
+    anchors = anchors_by_bucket(split, width, parts)
     recurring = stored(anchors.groupBy("bucket").applyInArrow(_select(True), "part int, hashes binary"), "recurring-anchors")
     windows = (split.select("part", "text").groupBy("part").cogroup(recurring.groupBy("part"))
                .applyInArrow(_emit_windows(width, parts), _PACKED))
