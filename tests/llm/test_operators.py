@@ -101,6 +101,22 @@ def test_near_duplicates_empty_and_kept(odd, empty, odd_rows):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+def test_one_row_of_a_group_stays(spark):
+    """Also where rows of a group share an id or have none."""
+    from vigil.llm.neardup import without_near_duplicates
+    base = [f"w{k}" for k in range(200)]
+    near = [" ".join(base[:k] + ["other"] + base[k + 1:]) for k in (0, 50, 100, 199)]
+    lone = [" ".join(f"{c}{k}" for k in range(90)) for c in "xyz"]
+    rows = [(1, near[0]), (1, near[1]), (1, near[1]), (2, near[2]), (None, near[3]), (None, near[3]), (None, lone[0]), (None, lone[0]), (None, lone[0] + " z"),
+            (3, lone[1]), (3, lone[2]), (None, lone[2]), (4, ""), (4, ""), (4, None), (None, ""), (None, "")]
+    got = [tuple(r) for r in without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    in_group = [r for r in got if r[1] in near]
+    assert len(in_group) == 1 and in_group[0][0] == 1
+    assert len([r for r in got if r[1] and r[1].startswith(lone[0])]) == 1
+    rest = [r for r in got if r[1] not in near and not (r[1] or "").startswith(lone[0])]
+    assert sorted(map(str, rest)) == sorted(map(str, [(3, lone[1]), (3, lone[2]), (4, ""), (4, None), (None, ""), (None, "")]))
+
+
 def test_estimate_is_unbiased():
     import numpy as np
     from vigil.llm import neardup as n

@@ -19,9 +19,9 @@ one component.  With 32 bands of 4, a pair at the threshold is missed with a
 chance of 5e-6, one turned away by a signature with about 3e-6.
 
 Edge cases: a null or empty text and one without words have the empty set and
-are linked with nothing; a null id has no component and is kept; repeated ids
-are judged by their own texts; an empty table gives no rows; other columns of
-the input are ignored.
+are linked with nothing; a null id has no component and is kept (but see
+:func:`without_near_duplicates`); repeated ids are judged by their own texts;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -253,19 +253,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the least id, as it is; of rows
-    with equal id and text one.  The texts are shuffled only if the list of
-    dropped ids measures too large for a broadcast."""
-    judged = stored(near_duplicates(docs), "near-duplicates")
-    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
-    rows = judged.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    rows = stored(rows.where("not kept or (n > 1 and doc_id is not null)"), "near-duplicate-rows")
-    gone, repeated = rows.select(*key), rows.where("kept").select(*key)
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-
-    def same(side: DataFrame) -> Column:
-        return (own["doc_id"] == side["_id"]) & (own["_text_hash"] == side["_hash"])
-
-    gone, repeated = maybe_broadcast(gone), maybe_broadcast(repeated)
-    once = own.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return own.join(gone, same(gone), "left_anti").unionByName(once).select(*docs.columns)
+    """One row of each group, as it is: the one with the least id (null ids
+    last) and, of equal ids, the least text hash.  Texts are judged by id and
+    hash together, so rows that share an id, or have none, are members of
+    groups like others.  Rows without shingles are in no group; of those with
+    equal id and text one stays, and all with a null id.  The texts are
+    shuffled only if the list of dropped rows measures too large for a broadcast."""
+    none = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("hash"))
+    judged = stored(near_duplicates(docs.select(row.alias("doc_id"), "text")), "near-duplicates")
+    rows = judged.groupBy(F.col("doc_id").alias("_row")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("shingles"))
+    rows = stored(rows.where("not kept or (n > 1 and (not _row.none or shingles > 0))"), "near-duplicate-rows")
+    gone, repeated = maybe_broadcast(rows.select("_row")), maybe_broadcast(rows.where("kept").select("_row"))
+    own = docs.withColumn("_row", row)
+    once = own.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return own.join(gone, "_row", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
