@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from vigil.plans import catalog
 from vigil.plans.oracle_sql import SQL
 
