@@ -78,3 +78,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.langid import language_id
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.packing import vocabulary
+    from vigil.llm.vectorpack import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
