@@ -27,6 +27,7 @@ gives no rows; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -58,15 +59,30 @@ class Limits(NamedTuple):
     loss: int = 2048
 
 
+#: Words of one pre-token that no normalization changes.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Letters of Latin-1 by the byte that ends them; marks that end a word after one.
+_LETTER_END = np.zeros(256, bool)
+_LETTER_END[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ",.;:!?"]] = True
+
+
 class WordEncoder:
     """Ids of texts by the ``tokenizers`` file at ``path``, for vocabularies that
-    drop white space: the ids of a text are those of its words one after the
-    other, so each distinct word is encoded once and remembered."""
+    lower the case and drop white space: the ids of a text are those of its words
+    one after the other, so each distinct word is encoded once and remembered.
+    Words of plain letters are one pre-token and go to the model alone; all
+    others take the whole way."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.full = Tokenizer.from_file(path)
+        self.model = self.full.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
         self._forget()
 
     def _forget(self) -> None:
@@ -75,7 +91,9 @@ class WordEncoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        made = [e.ids for e in self.full.encode_batch(words, add_special_tokens=False)]
+        simple = [LETTERS.fullmatch(w) is not None for w in words]
+        others = iter(self.full.encode_batch([w for w, one in zip(words, simple) if not one], add_special_tokens=False))
+        made = [self._letters(w) if one else next(others).ids for w, one in zip(words, simple)]
         n = np.array([len(x) for x in made], np.int64)
         flat = np.array([i for x in made for i in x], np.uint32)
         while self.used + len(flat) > len(self.ids):
@@ -87,8 +105,34 @@ class WordEncoder:
         self.known = np.insert(self.known, place, hashes)
         self.at, self.n = np.insert(self.at, place, at), np.insert(self.n, place, n)
 
-    def _part(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    def _letters(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.model.tokenize(word)]
+
+    @staticmethod
+    def _units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all texts, as :func:`textops.word_spans`, and the bytes to take
+        them from.  A mark after a word's last letter is a pre-token, so a word of its own.
+        A-Z are lowered, but not beside a special token's string or a combining mark."""
         start, end, first = X.word_spans(data, offs)
+        if not (data >= 0xCC).any() or not np.isin(data, [0xCC, 0xCD]).any():
+            if not (data == ord("|")).any():
+                data = X.LOWER[data]
+        last = np.maximum(end - 2, 0)
+        letter = _LETTER_END[data[last]]
+        wide = (data[last] >= 0x80) & (data[np.maximum(end - 3, 0)] == 0xC3) & (data[last] != 0x97) & (data[last] != 0xB7) & (end - start > 2)
+        cut = np.flatnonzero(_MARK[data[end - 1]] & (end - start > 1) & (letter | wide))
+        if len(cut) == 0:
+            return data, start, end, first
+        mark = end[cut] - 1
+        first = first + np.searchsorted(cut, first)
+        end = end.copy()
+        end[cut] = mark
+        return data, np.insert(start, cut + 1, mark), np.insert(end, cut + 1, mark + 1), first
+
+    def _part(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        data, start, end, first = self._units(data, offs)
         if len(start) == 0:
             return [np.zeros(0, np.uint32)] * (len(offs) - 1)
         distinct, where, back = np.unique(X.word_hashes(data, start, end), return_index=True, return_inverse=True)
