@@ -20,11 +20,12 @@ texts are digested where they are read, places of turns come from counts of sort
 parts, keys from sums over stretches of blocks, and the ids that end at a node are
 hashed as a sorted stream of chunks.
 
-Edge cases: null role and text are empty; a null turn comes first; equal turns go by
-role, then text; a repeated row is another turn; rows without ``conv_id`` belong to no
-conversation and are left out; a conversation without turns is a member of the root
-alone; very long texts are only digested and counted; an empty table has no
-conversation and gives no rows; other columns are ignored.
+Edge cases: null role and text are empty; a null turn comes first; equal turns go
+by role, the first 64 code points of the text, then its SHA-256; a repeated row is
+another turn; rows without ``conv_id`` belong to no conversation and are left out; a
+conversation without turns is a member of the root alone; very long texts are only
+digested and counted; an empty table has no conversation and gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def turn_digests(turns: DataFrame) -> DataFrame:
     and text and count of words; a turn's place comes from counts of sorted parts."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     light = turns.where(F.col("conv_id").isNotNull()).select(
-        "conv_id", "turn", role.alias("role"), F.sha2(text, 256).alias("_t"), F.left(text, 64).alias("_head"),
+        "conv_id", "turn", role.alias("role"), F.sha2(text, 256).alias("_t"), F.substring(text, 1, 64).alias("_head"),
         F.md5(F.concat_ws("\x00", F.octet_length(role).cast("string"), role, text)).alias("digest"),
         F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long").alias("words"))
     order = [F.asc_nulls_first("turn"), "role", "_head", "_t"]

@@ -85,3 +85,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.packing import vocabulary
     from vigil.llm.vectorpack import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.spelling import spelling_forms
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.prefixtrie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations"))
