@@ -113,3 +113,83 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept k USING (doc_id)
 """
+
+#: CRC-32 by its table; ``_crc32`` gives the checksum of a list of bytes.
+_CRC_TABLE = ("SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: "
+              "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, x)) AS t")
+
+
+def _crc32(data: str) -> str:
+    return f"xor(4294967295, list_reduce({data}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+# Bytes of letters up to U+00FF in UTF-8.
+_BYTES = ("flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] "
+          "ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END))")
+
+SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY 1, 2),
+hashed AS (
+  SELECT run, n, CASE WHEN doc_id IS NOT NULL THEN {_crc32(_BYTES.format("concat(CAST(doc_id AS VARCHAR), ':', run)"))} END AS h FROM runs, crc),
+damaged AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+holes AS (SELECT word, i, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT h.word AS long_word, w.word AS short_word FROM holes h JOIN words w ON h.d = w.word),
+pairs AS (
+  SELECT a.word, b.word AS near FROM holes a JOIN holes b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT long_word, short_word FROM shorter UNION SELECT short_word, long_word FROM shorter),
+ranked AS (
+  SELECT p.word, p.near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS place
+  FROM pairs p JOIN words v ON v.word = p.near),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+chain(word, root) AS (
+  SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN last USING (word)
+"""
+
+SQL["op13_prefix_trie"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+turns AS (
+  SELECT conv_id, md5(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''), coalesce(text, ''))) AS digest,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64), sha256(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         {_crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+parts AS (
+  SELECT c.conv_id, 0 AS part, pos, digest, words FROM convs c JOIN turns t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE pos > h),
+deep AS (
+  SELECT conv_id, row_number() OVER w AS depth, words, md5(string_agg(digest, ',') OVER w) AS key
+  FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, 0 AS words, '' AS key, NULL AS above FROM convs
+  UNION ALL SELECT conv_id, depth, words, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') FROM deep),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY 1),
+nodes AS (
+  SELECT depth, key, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM prefixes GROUP BY 1, 2),
+children AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.key = n.key),
+sums AS (
+  SELECT p.depth, p.key, sum(n.saved) AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+  FROM counted n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY 1, 2),
+ends AS (
+  SELECT p.depth, p.key, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS ends_sha256
+  FROM prefixes p JOIN lengths l ON l.conv_id = p.conv_id AND l.depth = p.depth GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM counted n LEFT JOIN counted u ON u.depth = n.depth - 1 AND u.key = n.above
+JOIN sums s ON s.depth = n.depth AND s.key = n.key LEFT JOIN ends e ON e.depth = n.depth AND e.key = n.key
+"""
