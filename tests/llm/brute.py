@@ -1,6 +1,8 @@
 """Plain restatements of the operators' results, row by row."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +83,72 @@ def minimax(sizes, n):
             room += s
         lo, hi = (lo, mid) if used <= n else (mid + 1, hi)
     return lo
+
+
+LATIN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def spelling(rows, least=5, length=6, damaged=199):
+    """Sorted (word, form, root, n, n_near, form_n) of (doc_id, text)."""
+    n = Counter()
+    for i, t in rows:
+        for r in LATIN.findall(t or ""):
+            r = r.translate(LOWER)
+            if i is not None and damaged:
+                h = zlib.crc32(f"{i}:{r}".encode())
+                if h % damaged == 0:
+                    r = r[:h % len(r)] + r[h % len(r) + 1:]
+            n[r] += 1
+    words = {w: c for w, c in n.items() if c >= least and len(w) >= length}
+    near, holes = defaultdict(set), defaultdict(list)
+    for w in words:
+        for i in range(len(w)):
+            d = w[:i] + w[i + 1:]
+            holes[(i, d)].append(w)
+            if d in words:
+                near[w].add(d)
+                near[d].add(w)
+    for g in holes.values():
+        for a in g:
+            near[a].update(x for x in g if x != a)
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best and words[best] >= 5 * words[w] else None
+    out = []
+    for w in words:
+        r = w
+        while form[r]:
+            r = form[r]
+        out.append((w, form[w], r, words[w], len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def trie(rows, every=20, most=4):
+    """Sorted rows of every node of (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            own[c].append((t is not None, t or 0, r or "", x or ""))
+    own = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in own.items()}
+    conv = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        base = c - (abs(c) % every) * (1 if c >= 0 else -1)
+        conv[c] = tuple(own.get(base, [])[:h] + v[h:])
+    members, kids = defaultdict(list), Counter()
+    for c, v in conv.items():
+        for d in range(len(v) + 1):
+            members[v[:d]].append(c)
+    for k in members:
+        if k:
+            kids[k[:-1]] += 1
+    leaves, saved = Counter(), Counter()
+    for k, m in members.items():
+        value = (len(m) - 1) * (len(SPACED.findall(k[-1][1])) if k else 0)
+        for d in range(len(k) + 1):
+            saved[k[:d]] += value
+            leaves[k[:d]] += k not in kids
+    ids = {k: ",".join(str(c) for c in sorted(m) if len(conv[c]) == len(k)) for k, m in members.items()}
+    return sorted((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), kids[k], leaves[k], saved[k],
+                   hashlib.sha256(ids[k].encode()).hexdigest()) for k, m in members.items())
