@@ -42,6 +42,6 @@ def test_only_the_recall_has_no_statement():
     assert set(catalog.QUERIES) - set(SQL) == {"d12_ivf_recall"}
 
 
-def test_recall_of_three_quarters_of_the_lists(spark):
+def test_recall_at_the_guidance(spark):
     row = catalog.QUERIES["d12_ivf_recall"](spark, SF_SMALL).first()
     assert row["queries"] > 0 and row["recall_at_5"] >= 0.9

@@ -71,3 +71,20 @@ def test_newest_sample_guard(spark, tables):
     with pytest.raises(Exception):
         sn.newest_sample(mv.limit(5), 10, min_rows=100).collect()
     assert sn.newest_sample(mv.limit(5), 10).count() == 5
+
+
+def test_append_returns_the_batch_it_wrote(spark, tmp_path):
+    from vigil.sources import snapshots as sn
+    path = str(tmp_path / "t")
+    a = spark.range(5).select("id", (F.col("id") * 2).alias("x"))
+    b = spark.range(5, 8).select("id", (F.col("id") * 2).alias("x"))
+    assert sorted(r["id"] for r in sn.append_returning(a, path, "id").collect()) == [0, 1, 2, 3, 4]
+    assert sorted(tuple(r) for r in sn.append_returning(b, path, "id", "x").collect()) == [(5, 10), (6, 12), (7, 14)]
+    assert spark.read.parquet(path).count() == 8
+
+
+def test_stable_ids_tell_nulls_from_values(spark):
+    from vigil.sources import snapshots as sn
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("a", "", "b")], "x string, y string, z string")
+    ids = [r[0] for r in df.select(sn.stable_id("x", "y", "z")).collect()]
+    assert len(set(ids)) == 4 and all(0 <= i < 1 << 60 for i in ids)

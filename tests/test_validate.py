@@ -70,3 +70,44 @@ def test_size_quotas_greedy_semantics(spark):
             u += sz
         usage[sb] = u
         assert got[seq] == (ok, u), (seq, sb, sz)
+
+
+def _greedy(rows, file_limit, total):
+    used, out = {}, {}
+    for box, seq, size in sorted(rows, key=lambda r: (r[0], r[1])):
+        ok = size is not None and size <= file_limit and used.get(box, 0) + size <= total
+        used[box] = used.get(box, 0) + (size if ok else 0)
+        out[box, seq] = (ok, used[box])
+    return out
+
+
+def test_quota_of_sizes_that_settle_slowly(spark, monkeypatch):
+    """1, R, 1, R-1, 1, R-2 ...: every pair leaves a little less room; the rounds
+    stay within the digits of the quota."""
+    from vigil.functions import windows
+    rounds = []
+    counted = windows.running_sum
+
+    def running_sum(*args, **kw):
+        rounds.append(1)
+        return counted(*args, **kw)
+
+    monkeypatch.setattr(windows, "running_sum", running_sum)
+    quota = 5000
+    rows = [("slow", 2 * i + j, 1 if j == 0 else quota - i) for i in range(quota) for j in (0, 1)]
+    assert len(rows) == 10_000
+    df = spark.createDataFrame(rows, "sandbox string, seq long, size_bytes long").repartition(4)
+    got = {(r["sandbox"], r["seq"]): (r["accepted"], r["running_total"]) for r in
+           va.size_quotas(df, max_file_bytes=quota, max_total_bytes=quota).collect()}
+    assert got == _greedy(rows, quota, quota)
+    assert len(rounds) <= quota.bit_length() + 1
+
+
+def test_quota_of_random_sizes(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(f"b{rng.randint(0, 3)}", i, rng.choice([0, 1, 2, 3, 8, 9, 64, 100, 333, 900, 1200])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "sandbox string, seq long, size_bytes long").repartition(3)
+    got = {(r["sandbox"], r["seq"]): (r["accepted"], r["running_total"]) for r in
+           va.size_quotas(df, max_file_bytes=1000, max_total_bytes=5000, bucket_width=100).collect()}
+    assert got == _greedy(rows, 1000, 5000)

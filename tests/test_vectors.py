@@ -56,14 +56,101 @@ def test_cosine_expression_matches_numpy(spark):
             assert abs(r["d"] - (1 - x @ y / den)) < 1e-12
 
 
-def test_ivf_with_all_lists_probed_is_exact(spark, tmp_path):
-    df, rows = _data(spark, n=200, hot_share=0.3)
-    idx, cents = vx.ivf_build(df, 6, str(tmp_path / "ivf"))
-    q = df.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
-    approx = vx.ivf_search(q, idx, cents, 3, probes=6)
-    exact = vx.blocked_topk(q, df, 3)
-    r = vx.recall_at_k(approx, exact, 3).first()
-    assert r["recall_at_3"] == 1.0
+def _queries(df):
+    return df.select(F.col("id").alias("query_id"), "tenant_id", "scope", F.col("embedding").alias("query_vec"))
+
+
+def _ids(matches):
+    got = {}
+    for r in sorted(matches.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    return got
+
+
+def test_scan_topk_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vx, "SCAN_CELLS", 50)
+    monkeypatch.setattr(vx, "MERGE_PARTS", 2)
+    df, rows = _data(spark)
+    assert _ids(vx.exact_topk(_queries(df), df.repartition(5), 4)) == _brute(rows, 4)
+    assert _ids(vx.exact_topk(_queries(df), df, 4, limit=0)) == _brute(rows, 4)  # the plan of a large batch
+
+
+def test_scan_topk_does_not_move_vectors(spark, tmp_path):
+    df, _ = _data(spark)
+    df.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    m = vx.scan_topk(_queries(df.where("id < 5")), stored, 3)
+    plan = m._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = plan[next(i for i, line in enumerate(plan) if "MapInArrow" in line):]
+    assert any("FileScan" in line or "Scan parquet" in line for line in below)
+    assert not any("Exchange" in line for line in below if "broadcast" not in line.lower())
+
+
+def test_scan_topk_counts_copies_once_and_keeps_own_k(spark):
+    df, rows = _data(spark, n=150)
+    q = _queries(df).withColumn("k", (F.col("query_id") % 4).cast("int"))
+    twice = df.unionByName(df.where("id % 2 = 0"))
+    want = {i: ids[: i % 4] for i, ids in _brute(rows, 4).items() if i % 4}
+    assert _ids(vx.exact_topk(q, twice, "k", copies=2)) == want
+    assert _ids(vx.exact_topk(q, twice, "k", copies=2, limit=0)) == want
+
+
+def test_scan_topk_without_groups_queries_or_width(spark):
+    df, rows = _data(spark, n=60, hot_share=1.0)
+    q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    flat = df.drop("tenant_id", "scope")
+    assert _ids(vx.exact_topk(q, flat, 2, group_cols=())) == _brute(rows, 2)
+    assert vx.exact_topk(q.where("false"), flat, 2, group_cols=()).collect() == []
+    assert vx.exact_topk(q, flat.where("false"), 2, group_cols=()).collect() == []
+    import pytest
+    with pytest.raises(Exception, match="Expected 8 dimensions, got 3"):
+        vx.exact_topk(q, flat.withColumn("embedding", F.slice("embedding", 1, 3)), 2, group_cols=()).collect()
+
+
+def test_ivf_of_any_reach_is_exact_by_its_bound(spark, tmp_path):
+    df, rows = _data(spark, n=400, hot_share=0.3)
+    index = vx.ivf_build(df, 6, str(tmp_path / "ivf"))
+    exact = _brute(rows, 3)
+    for probes, certain in ((7, False), (2, True), (1, True)):
+        found, probed = vx.ivf_search(_queries(df), index, 3, probes, certain)
+        assert _ids(found) == exact
+    few, probed = vx.ivf_search(_queries(df), index, 3, 2)
+    assert probed.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 2
+    assert vx.recall_at_k(few, vx.exact_topk(_queries(df), df, 3), 3).first()["recall_at_3"] < 1
+
+
+def test_ivf_recall_at_the_guidance(spark, tmp_path):
+    """Lists and probes by table size; clustered vectors need less than noise."""
+    rng = np.random.default_rng(1)
+    for n, noise in ((1000, 0.3), (3000, 0.3), (1000, 1.0)):
+        centres = rng.normal(size=(40, 16))
+        vec = centres[rng.integers(0, 40, n)] + noise * rng.normal(size=(n, 16))
+        df = spark.createDataFrame([(i, "t", "ab"[i % 2], [float(x) for x in v]) for i, v in enumerate(vec)],
+                                   "id long, tenant_id string, scope string, embedding array<double>")
+        lists = vx.ivf_lists(n)
+        index = vx.ivf_build(df, lists, str(tmp_path / f"ivf{n}{noise}"), max_iter=5, train_rows=n // 2)
+        q = _queries(df.where("id % 100 < 5"))
+        found, probed = vx.ivf_search(q, index, 5, vx.ivf_probes(lists, n))
+        assert vx.recall_at_k(found, vx.exact_topk(q, df, 5), 5).first()["recall_at_5"] >= 0.9
+        assert 0 < vx.share_read(q, df, probed).first()["share_read"] < 0.75
+
+
+def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
+    texts = ["Alpha beta", "ALPHABET soup", "50% off_now", "al", "", None, "straße ÄÖ", "beta alpha", "xalphax", "back\\slash 50%"] * 3
+    rows = [(i, f"t{i % 2}", "s", t, i % 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, tenant_id string, scope string, content string, created_at int")
+    index = vx.trigram_index(df, str(tmp_path / "tri"))
+    for term in ("alpha", "ALPHA", "a", "", "0% o", "off_", "ße ä", "nothing here", "\\sl", "beta alpha"):
+        for tenant in ("t1", None):
+            want = [tuple(r) for r in vx.keyword_search(df, tenant, "s", term, 4).collect()]
+            assert [tuple(r) for r in vx.keyword_search_indexed(index, df, tenant, "s", term, 4).collect()] == want, term
+    vx.NAMED_ROWS, kept = 2, vx.NAMED_ROWS
+    try:
+        assert vx.keyword_search_indexed(index, df, None, "s", "alpha", 50).count() == 12
+    finally:
+        vx.NAMED_ROWS = kept
+    r = vx.keyword_report(index, df, "t0", "s", ["alphab"]).first()
+    assert (r["rows_read"], r["matches"], r["group_rows"]) == (0, 0, 15)
 
 
 def test_first_seen_cache_and_idempotent_insert(spark):

@@ -38,6 +38,42 @@ def test_trailing_count_brute_force(spark):
         assert out[i] == exp
 
 
+def test_trailing_window_of_a_burst(spark):
+    """One tenant has nine rows of ten within one second; a key may be null."""
+    rng = np.random.default_rng(5)
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 59)
+    rows = [(i, "hot", t0 + dt.timedelta(microseconds=int(rng.integers(0, 1_000_000))), float(rng.integers(0, 3))) for i in range(1800)]
+    rows += [(2000 + i, rng.choice(["hot", "cold", None]), t0 + dt.timedelta(microseconds=int(rng.integers(-200_000_000, 200_000_000))),
+              float(rng.integers(0, 3))) for i in range(200)]
+    rows += [(3000 + i, "edge", t0 + dt.timedelta(seconds=s), 1.0) for i, s in enumerate((0, 60, 60, 119, 120, 121))]
+    df = spark.createDataFrame([(i, None if k is None else str(k), t, v) for i, k, t, v in rows], "id long, key string, ts timestamp_ntz, v double")
+    n = {r["id"]: r["n"] for r in trailing_agg(df, ["key"], "ts", 60, None, "n").collect()}
+    v = {r["id"]: r["total"] for r in trailing_agg(df, ["key"], "ts", 60, F.col("v"), "total", how="sum").collect()}
+    for i, k, t, _ in rows[::7] + rows[1800:]:
+        inside = [w for _, k2, t2, w in rows if k2 == k and t - dt.timedelta(seconds=60) < t2 <= t]
+        assert (n[i], v[i]) == (len(inside), sum(inside))
+    none = spark.createDataFrame([(1, "a", None), (2, "a", t0)], "id long, key string, ts timestamp_ntz")
+    assert {r["id"]: r["n"] for r in trailing_agg(none, ["key"], "ts", 60, None, "n").collect()} == {1: None, 2: 1}
+
+
+def test_trailing_window_has_no_task_per_key(spark):
+    """A window's rows of one task are those of a key's second or summaries of seconds."""
+    df, _ = _events(spark)
+    plan = trailing_agg(df, ["key"], "ts", 60, None, "n")._jdf.queryExecution().executedPlan().toString()
+    partitions = [line for line in plan.splitlines() if "Window [" in line or line.strip().startswith("Window")]
+    assert partitions and all("_s#" in line or "_b#" in line for line in partitions)
+
+
+def test_global_rank(spark):
+    from vigil.functions.windows import global_rank
+    rng = np.random.default_rng(9)
+    rows = [(i, int(x)) for i, x in enumerate(rng.integers(0, 50, 500))]
+    df = spark.createDataFrame(rows, "id long, x long").repartition(7)
+    got = {r["id"]: r["place"] for r in global_rank(df, [F.col("x"), F.col("id")], "place").collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    assert global_rank(df.where("false"), [F.col("x")], "place").collect() == []
+
+
 def test_running_sum_brute_force(spark):
     from vigil.functions.windows import running_sum
     df, rows = _events(spark)

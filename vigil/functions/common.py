@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 __all__ = [
     "AS_OF", "ts_ntz", "json_str", "truthy", "blank_to_null", "pct", "try_int",
@@ -117,3 +118,19 @@ def trunc_hour_ntz(c) -> Column:
 
 
 __all__.append("trunc_hour_ntz")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """A bound on the bytes of ``df`` in memory, by one aggregate over it."""
+    size = F.lit(64)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 32 * F.coalesce(F.size(f.name), F.lit(0))
+        else:
+            size = size + F.lit(16)
+    return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
+
+
+__all__.append("measured_bytes")

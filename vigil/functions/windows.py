@@ -4,13 +4,15 @@ A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key in
 one task; a key holding a third of the data then serialises the job.  The
 helpers here split each key by time buckets:
 
-* ``trailing_agg``: a bounded trailing window (t - W, t] computed per
-  (key, bucket of width W) with the previous bucket copied in as a halo.
+* ``trailing_agg``: a bounded trailing window (t - W, t] put together from whole
+  seconds and the two parts of seconds at its ends.
 * ``with_bucket``: time buckets, split further where a key is busy.
 * ``prev_matching``: the latest earlier row of the same key that satisfies
   a predicate, however far back: one summary row per (key, bucket), a
   prefix over those summaries (rows per key = buckets spanned, not events)
   and a within-bucket window.
+* ``global_rank``: places in one order over all rows, without a window that
+  has no key.
 """
 
 from __future__ import annotations
@@ -29,19 +31,38 @@ def epoch_micros(c) -> Column:
 def trailing_agg(df: DataFrame, keys, ts_col: str, seconds: int, value: Column | None, out: str,
                  how: str = "count") -> DataFrame:
     """Per row, count (or sum of ``value``) over the same key's rows in
-    (t - seconds, t]; rows with the same timestamp are peers (included)."""
+    (t - seconds, t]; rows with the same timestamp are peers (included); a row
+    without time gets null.
+
+    Rows of a key are summed by microsecond first (map-side), so whatever a key
+    does in a second, that second is at most a million rows of one task.  The
+    window of time t is three sums that are added, none is taken away (sums of
+    doubles stay exact where the parts are): the seconds wholly inside it, from
+    one row per key and second in buckets as wide as the window; the part of t's
+    own second up to t; and the part after t - W of the second it begins in, for
+    which each microsecond asks there."""
     keys = list(keys)
-    width = seconds * 1_000_000
-    base = (df.withColumn("_us", epoch_micros(ts_col))
-            .withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
-            .withColumn("_v", value if value is not None else F.lit(1)))
-    prim = base.withColumn("_halo", F.lit(False))
-    halo = base.select(*keys, "_us", "_v", (F.col("_b") + 1).alias("_b"), F.lit(True).alias("_halo"))
-    allr = prim.unionByName(halo, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-(width - 1), 0)
-    agg = F.count(F.lit(1)) if how == "count" else F.sum("_v")
-    return (allr.withColumn(out, agg.over(w)).where(~F.col("_halo"))
-            .drop("_us", "_b", "_halo", "_v"))
+    base = df.withColumn("_k", F.struct(*keys)).withColumn("_us", epoch_micros(ts_col))
+    v = F.sum(F.lit(1).cast("long")) if how == "count" else F.sum(value)
+    by_us = base.where(F.col("_us").isNotNull()).groupBy("_k", "_us").agg(v.alias("_v"))
+    sec, off = F.floor(F.col("_us") / 1_000_000), F.pmod(F.col("_us"), F.lit(1_000_000))
+    told = by_us.select("_k", "_us", "_v", sec.alias("_s"), off.alias("_off"))
+    # parts of seconds: each row's own second up to it, and what it asks of the second at the window's start
+    asks = told.select("_k", "_us", (F.col("_s") - seconds).alias("_s"), "_off", F.lit(True).alias("_asks"))
+    both = told.withColumn("_asks", F.lit(False)).unionByName(asks, allowMissingColumns=True)
+    one = Window.partitionBy("_k", "_s")
+    head = F.sum("_v").over(one.orderBy("_off").rangeBetween(Window.unboundedPreceding, 0))
+    tail = F.sum("_v").over(one.orderBy(F.desc("_off")).rangeBetween(Window.unboundedPreceding, -1))
+    parts = both.select("_k", "_us", F.when(F.col("_asks"), tail).otherwise(head).alias("_v"))
+    # whole seconds, in buckets as wide as the window with the one before as a halo
+    whole = told.groupBy("_k", "_s").agg(F.sum("_v").alias("_v")).withColumn("_b", F.floor(F.col("_s") / seconds))
+    halo = whole.withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True))
+    inside = Window.partitionBy("_k", "_b").orderBy("_s").rangeBetween(-(seconds - 1), -1)
+    middle = (whole.withColumn("_halo", F.lit(False)).unionByName(halo).withColumn("_m", F.sum("_v").over(inside))
+              .where(~F.col("_halo")).select("_k", "_s", "_m"))
+    summed = (parts.groupBy("_k", "_us").agg(F.sum("_v").alias("_v")).withColumn("_s", sec).join(middle, ["_k", "_s"])
+              .select("_k", "_us", (F.col("_v") + F.coalesce("_m", F.lit(0))).alias(out)))
+    return base.join(summed, ["_k", "_us"], "left").drop("_k", "_us")
 
 
 #: Rows of a key's time bucket beyond which it is split further.
@@ -116,3 +137,24 @@ def running_sum(df: DataFrame, keys, order_col: str, tie_col: str, value: Column
     wi = Window.partitionBy(*keys, "_b").orderBy(order_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
     r = b.withColumn("_in", F.sum("_v").over(wi)).join(carry, keys + ["_b"], "left")
     return r.withColumn(out, F.col("_carry") + F.col("_in")).drop("_b", "_v", "_in", "_carry")
+
+
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Place of each row (from 1) in ``order``, which must name one order of all
+    rows.  Rows are sorted by ranges; a row's place is its place in its range
+    plus the rows of the ranges before, of which there is one count each.  The
+    sorted rows are written to the shared folder, so that ranges stay as they
+    are."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    counts = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = counts.agg(F.collect_list(F.struct("_part", "_n")).alias("_all"))  # one small row: a count per range
+    before = parts.select(F.explode("_all").alias("_p"), "_all").select(
+        F.col("_p._part").alias("_part"),
+        F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + F.when(x["_part"] < F.col("_p._part"), x["_n"]).otherwise(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (sorted_rows.withColumn("_row", inside).join(F.broadcast(before), "_part")
+            .withColumn(out, (F.col("_before") + F.col("_row")).cast("int")).drop("_part", "_row", "_before"))

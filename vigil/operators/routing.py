@@ -108,7 +108,7 @@ def choose_primary_fallback(df: DataFrame, primary: str = "primary_content",
 # ---------------------------------------------------------------- I4 / K17
 def trailing_count(df: DataFrame, keys, ts_col: str, seconds: int, out: str = "n_in_window") -> DataFrame:
     """Events of the same key in the half-open window (t - seconds, t],
-    split by (key, time bucket) with a halo (see ``functions.windows``)."""
+    split by (key, second) (see ``functions.windows``)."""
     return trailing_agg(df, keys, ts_col, seconds, None, out)
 
 

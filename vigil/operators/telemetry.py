@@ -143,12 +143,13 @@ def _util(c=None):
 
 
 def order_pools(pools: DataFrame, preferred_region: str | None) -> DataFrame:
-    """K9: preferred region first, then priority, then utilisation.  The
-    input is the pool dimension (one row per pool)."""
+    """K9: preferred region first, then priority, then utilisation."""
+    from ..functions.windows import global_rank
+
     keys = [F.col("priority"), _util(), F.col("name")]
     if preferred_region:
         keys = [F.when(F.col("region") == preferred_region, 0).otherwise(1)] + keys
-    return pools.withColumn("order_rank", F.row_number().over(Window.orderBy(*keys)))
+    return global_rank(pools, keys, "order_rank")
 
 
 def score_pools(pools: DataFrame, top: int = 3) -> DataFrame:
@@ -156,9 +157,9 @@ def score_pools(pools: DataFrame, top: int = 3) -> DataFrame:
     health = F.when(F.col("status") == "degraded", DEGRADED_FACTOR).otherwise(1.0)
     resp = F.when(F.col("response_time_ms") > 0, F.lit(1000.0) / (F.col("response_time_ms") + 1000)).otherwise(1.0)
     score = (F.lit(1.0) - _util()) * F.col("weight") * health * resp
-    ranked = pools.withColumn("score", score).withColumn(
-        "score_rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("order_rank"))))
-    return ranked.where(F.col("score_rank") <= top)
+    best = pools.withColumn("score", score).orderBy(F.col("score").desc(), F.col("order_rank")).limit(top)
+    # of the few that are left, each is placed by those before it
+    return best.withColumn("score_rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("order_rank"))))
 
 
 def pool_stats(pools: DataFrame) -> DataFrame:

@@ -322,31 +322,38 @@ def size_quotas(manifest: DataFrame, sandbox_col: str = "sandbox", seq_col: str
     writes do not count.  ``running_total`` is the accepted usage after the
     row.
 
-    Decided in rounds of prefix sums, no sandbox in one task: all writes up to
-    a sandbox's first overflow are accepted, the overflowing one is rejected,
-    and of the later ones only those that still fit by themselves go into the
-    next round.  What is left shrinks below the overflowing size each round,
-    so a few rounds settle it; each is checkpointed in the shared folder."""
+    Decided in rounds of prefix sums, no sandbox in one task.  Let ``_pivot`` be
+    the largest power of two within a sandbox's room.  Smaller writes surely fit
+    until one leaves less room than the pivot; of the others the first that fits
+    does so too.  Whichever comes first ends the sandbox's round, and its room has
+    then lost at least one binary digit: so there are at most as many rounds as
+    the quota has digits, whatever the order of sizes, and later writes that are
+    larger than the room don't take part any more.  Rounds are checkpointed in
+    the shared folder."""
     from ..functions.windows import running_sum
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(manifest.sparkSession)
     size, key = F.col(size_col), [sandbox_col, seq_col]
-    open_rows = (manifest.where(size <= max_file_bytes).select(*key, size.cast("long").alias("_size"), F.lit(0).cast("long").alias("_base"))
-                 .checkpoint(eager=True))
-    accepted = None
-    while True:
-        run = running_sum(open_rows, [sandbox_col], seq_col, seq_col, F.col("_size"), "_run", bucket_width).withColumn(
-            "_run", F.col("_run") + F.col("_base"))
-        over = (run.where(F.col("_run") > max_total_bytes).groupBy(sandbox_col)
-                .agg(F.min_by(F.struct(F.col(seq_col).alias("seq"), (F.col("_run") - F.col("_size")).alias("used")), F.col(seq_col)).alias("_o")))
-        judged = run.join(over, sandbox_col, "left").checkpoint(eager=True)
-        fine = judged.where(F.col("_o").isNull() | (F.col(seq_col) < F.col("_o.seq"))).select(*key)
-        accepted = fine if accepted is None else accepted.unionByName(fine)
-        open_rows = (judged.where((F.col(seq_col) > F.col("_o.seq")) & (F.col("_o.used") + F.col("_size") <= max_total_bytes))
-                     .select(*key, "_size", F.col("_o.used").alias("_base")).checkpoint(eager=True))
-        if open_rows.isEmpty():
-            break
+    within = manifest.where((size <= max_file_bytes) & (size <= max_total_bytes)).select(*key, F.greatest(size, F.lit(0)).cast("long").alias("_size"))
+    accepted = within.where(F.col("_size") == 0).select(*key)
+    open_rows = within.where(F.col("_size") > 0).withColumn("_room", F.lit(max_total_bytes).cast("long")).checkpoint(eager=True)
+    while not open_rows.isEmpty():
+        # bin() has as many digits as the room
+        paced = open_rows.withColumn("_pivot", F.expr("shiftleft(1L, length(bin(_room)) - 1)"))
+        small = F.col("_size") < F.col("_pivot")
+        run = running_sum(paced, [sandbox_col], seq_col, seq_col, F.when(small, F.col("_size")).otherwise(F.lit(0)), "_run", bucket_width)
+        left = F.col("_room") - F.col("_run")
+        ends = F.when(small, left < F.col("_pivot")).otherwise(F.col("_size") <= left)
+        after = F.when(small, left).otherwise(left - F.col("_size"))
+        end = (run.where(ends).groupBy(sandbox_col)
+               .agg(F.min_by(F.struct(F.col(seq_col).alias("seq"), after.alias("room")), F.col(seq_col)).alias("_end")))
+        judged = run.join(end, sandbox_col, "left").checkpoint(eager=True)
+        open_now = F.col("_end").isNull() | (F.col(seq_col) < F.col("_end.seq"))
+        fine = judged.where((open_now & small) | (F.col(seq_col) == F.col("_end.seq"))).select(*key)
+        accepted = accepted.unionByName(fine)
+        open_rows = (judged.where((F.col(seq_col) > F.col("_end.seq")) & (F.col("_size") <= F.col("_end.room")))
+                     .select(*key, "_size", F.col("_end.room").alias("_room")).checkpoint(eager=True))
     marked = (manifest.join(accepted.withColumn("accepted", F.lit(True)), key, "left")
               .withColumn("accepted", F.coalesce("accepted", F.lit(False))).withColumn("file_ok", size <= max_file_bytes))
     used = F.when(F.col("accepted"), size).otherwise(F.lit(0)).cast("long")

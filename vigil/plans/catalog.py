@@ -96,6 +96,16 @@ def _l2(t):
     return s.select("metric", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+LINE_METRICS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("l2_line_stats")
+def _l2b(t):
+    """L2 over the largest table."""
+    s = an.summary_stats(t.lineitem, LINE_METRICS)
+    return s.select("metric", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
 @register("l3_headline_totals")
 def _l3(t): return an.headline_totals(si.daily_sales(t.orders))
 
@@ -410,44 +420,79 @@ def _queries(mv: DataFrame, t: Tables) -> DataFrame:
 
 def _exact_matches(t: Tables) -> DataFrame:
     mv = _vectors(t)
-    return vx.blocked_topk(_queries(mv, t), mv, TOPK)
+    return vx.exact_topk(_queries(mv, t), mv, TOPK)
+
+
+def _shown(m: DataFrame) -> DataFrame:
+    return m.select("query_id", "rank", "id", (F.round("cosine_distance", 6) + F.lit(0.0)).alias("cosine_distance"))
 
 
 @register("d10_d11_topk_exact")
-def _d11(t):
-    return _exact_matches(t).select("query_id", "rank", "id",
-                                    (F.round("cosine_distance", 6) + F.lit(0.0)).alias("cosine_distance"))
+def _d11(t): return _shown(_exact_matches(t))
 
 
-IVF_LISTS = 16
+@register("d10_d11_topk_blocked")
+def _d11b(t):
+    """The same search as a large batch of requests takes it."""
+    mv = _vectors(t)
+    return _shown(vx.blocked_topk(_queries(mv, t), mv, TOPK))
 
 
-def _ivf(t: Tables, probes: int):
-    """(approximate matches, exact matches) with an index of all vectors."""
+def _ivf(t: Tables):
+    """Index of all vectors with the lists of the guidance, its queries and
+    its probes: (vectors, index, queries, lists, probes)."""
     mv = _vectors(t).where(F.col("embedding").isNotNull())
-    assigned, cents = vx.ivf_build(mv, IVF_LISTS, _scratch(t, "ivf"))
-    q = _queries(mv, t)
-    return vx.ivf_search(q, assigned, cents, TOPK, probes), vx.blocked_topk(q, mv, TOPK)
+    n = mv.count()
+    lists = vx.ivf_lists(n)
+    return mv, vx.ivf_build(mv.drop("content", "tags"), lists, _scratch(t, "ivf")), _queries(mv, t), lists, vx.ivf_probes(lists, n)
 
 
 @register("d12_ivf_all_lists")
 def _d12a(t):
-    """With every list probed the index search is the exact one."""
-    approx, _ = _ivf(t, IVF_LISTS)
-    return approx.select("query_id", "rank", "id", (F.round("cosine_distance", 6) + F.lit(0.0)).alias("cosine_distance"))
+    """With every list among the probes the index search is the exact one."""
+    _, index, q, lists, _ = _ivf(t)
+    return _shown(vx.ivf_search(q, index, TOPK, lists + 1)[0])
+
+
+@register("d12_ivf_certain")
+def _d12b(t):
+    """Read as far as the bound asks, the index gives the exact result."""
+    _, index, q, _, probes = _ivf(t)
+    return _shown(vx.ivf_search(q, index, TOPK, probes, certain=True)[0])
 
 
 @register("d12_ivf_recall")
 def _d12(t):
-    approx, exact = _ivf(t, IVF_LISTS * 3 // 4)
-    return vx.recall_at_k(approx, exact, TOPK)
+    """Recall at the lists and probes of the guidance, and the share read."""
+    mv, index, q, lists, probes = _ivf(t)
+    approx, probed = vx.ivf_search(q, index, TOPK, probes)
+    recall = vx.recall_at_k(approx, vx.exact_topk(q, mv, TOPK), TOPK)
+    share = vx.share_read(q, mv, probed).first()[0]
+    return recall.select("*", F.lit(lists).alias("lists"), F.lit(probes).alias("probes"), F.lit(share).alias("share_read"))
 
 
 @register("d13_keyword_search")
 def _d13(t):
+    mv = _vectors(t)
+    index = vx.trigram_index(mv, _scratch(t, "trigrams"))
+    return vx.keyword_search_indexed(index, mv, "t1", "en", "ing", 5).select("id", "tenant_id", "scope", "created_at")
+
+
+@register("d13_keyword_scan")
+def _d13s(t):
+    """The same search without an index."""
     return vx.keyword_search(_vectors(t), "t1", "en", "ing", 5).select("id", "tenant_id", "scope", "created_at")
 
 
+KEYWORD_TERMS = ("Tion", "ou th", "e, 5%", "qzx")
+
+
+@register("d13_rows_read")
+def _d13r(t):
+    mv = _vectors(t)
+    return vx.keyword_report(vx.trigram_index(mv, _scratch(t, "trigrams")), mv, "t1", "en", list(KEYWORD_TERMS))
+
+
 def _mixed_widths(t: Tables) -> DataFrame:
     """Vectors as clients send them: every 7th has half the width, and some
     documents have none."""
@@ -473,11 +518,9 @@ def _d16(t):
 
 
 def _matches_with_content(t: Tables) -> DataFrame:
-    """Top-k matches with the redacted content: redaction runs once per
-    stored vector, before the join, not once per match."""
-    mv = _vectors(t)
-    m = _exact_matches(t)
-    return m.join(mv.select("id", va.redact_injection("content").alias("content")), "id", "inner")
+    """Top-k matches with their content, redacted where it is used."""
+    found = vx.matched_rows(_exact_matches(t), _vectors(t), "content")
+    return found.withColumn("content", va.redact_injection("content"))
 
 
 @register("d17_context_assembly")
@@ -1279,17 +1322,10 @@ def _k1s(t):
 
 @register("a9_returning_ids")
 def _a9(t):
-    """Ids are assigned before the write (key hash), so the job returns
-    them without reading the table back; the check appends the rows and
-    matches the written ids against the returned ones."""
-    rows = _ingest(t).vectors
-    path = _scratch(t, "a9")
-    sn.append(rows, path)
-    written = t.spark.read.parquet(path).select("id")
-    returned = rows.select("id", "request_id")
-    return returned.join(written.withColumn("_w", F.lit(1)), "id", "left").agg(
-        F.count(F.lit(1)).alias("returned_ids"), F.count("_w").alias("found_in_table"),
-        F.countDistinct("id").alias("distinct_ids"))
+    """The ids that an append returns, with the request each stands for.
+    The ingest runs once: its rows are written and the batch is read back."""
+    stored = sn.append_returning(_ingest(t).vectors, _scratch(t, "a9"), "id", "request_id", "content_hash")
+    return stored.select("request_id", "id", "content_hash")
 
 
 @register("a15_landed_feed")

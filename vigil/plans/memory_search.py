@@ -1,5 +1,5 @@
 """Memory search as one job: validation (B2) → exact top-k
-per (tenant, scope) with the blocked kernel (D10/D11) → response rows (B28)
+per (tenant, scope) (D10/D11) → response rows (B28)
 and one audit row per request."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def search_job(requests: DataFrame, vectors: DataFrame):
     holds, without an upper bound."""
     v = va.validate_search(requests)
     ok = v.where(F.col("error").isNull())
-    m = vx.blocked_topk(ok.select("query_id", "tenant_id", "scope", "query_vec", "k_norm"), vectors, "k_norm")
+    m = vx.exact_topk(ok.select("query_id", "tenant_id", "scope", "query_vec", "k_norm"), vectors, "k_norm")
     resp = vx.search_response(ok, m, vectors)
     audit = ok.select(F.lit("workflow:vector_search").alias("actor"), F.lit("memory_read").alias("action"),
                       F.col("scope").alias("target"), F.lit("allowed").alias("decision"), "query_id")

@@ -9,6 +9,7 @@ aggregates: no ordering over the whole table, no driver round trip.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ RULE_KEY = ["workflow_id", "task_type", "tenant_id", "scope_pattern"]
 
 
 def stable_id(*cols):
-    """Identifier for rows created by a job: a 64-bit hash of the natural
-    key (reruns give the same id; no driver-side counter)."""
-    return F.abs(F.xxhash64(*[F.col(c) for c in cols]))
+    """Identifier for rows created by a job: 60 bits of the MD5 of the natural
+    key (reruns give the same id, any engine can compute it; no driver-side
+    counter).  A null part counts as the record separator."""
+    parts = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in cols])
+    return F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("long")
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
@@ -32,6 +35,15 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) ->
     w.save(path)
 
 
+def append_returning(df: DataFrame, path: str, *columns: str) -> DataFrame:
+    """Append rows and return ``columns`` of exactly these rows, as they were
+    written.  ``df`` is computed once; the batch is a partition of the table, so
+    reading it back touches its files only."""
+    batch = uuid.uuid4().hex
+    df.withColumn("_batch", F.lit(batch)).write.mode("append").partitionBy("_batch").parquet(path)
+    return df.sparkSession.read.parquet(path).where(F.col("_batch") == batch).select(*columns)
+
+
 def upsert_rules(existing: DataFrame, incoming: DataFrame, as_of: _dt.datetime,
                  order_col: str | None = None) -> DataFrame:
     """A10 + H12: ``INSERT ... ON CONFLICT (4-key) DO UPDATE SET
