@@ -186,14 +186,19 @@ def runtime_gate(df: DataFrame, allowed=RUNTIME_TASK_TYPES) -> DataFrame:
     return df.withColumn("runtime_accepted", F.coalesce(F.col("task_type").isin(*allowed), F.lit(False)))
 
 
-def decision_counters(df: DataFrame, latency_col: str | None = "latency_ms") -> DataFrame:
-    """C11: totals by decision; an unknown decision counts as deny."""
+def counter_columns(df: DataFrame, latency_col: str | None = "latency_ms") -> list[Column]:
+    """C11's aggregates over ``df``; an unknown decision counts as deny."""
     d = F.col("decision")
     aggs = [F.count(F.lit(1)).alias("total"),
             F.count_if(d == "allow").alias("allow"),
             F.count_if(~F.coalesce(d.isin("allow", "requires_approval"), F.lit(False))).alias("deny"),
             F.count_if(d == "requires_approval").alias("requires_approval"),
             F.count_if(F.coalesce(F.col("policy_unavailable"), F.lit(False))).alias("errors")]
-    if latency_col:
+    if latency_col and latency_col in df.columns:
         aggs.append(F.sum(latency_col).alias("latency_sum"))
-    return df.agg(*aggs)
+    return aggs
+
+
+def decision_counters(df: DataFrame, latency_col: str | None = "latency_ms") -> DataFrame:
+    """C11: totals by decision."""
+    return df.agg(*counter_columns(df, latency_col))

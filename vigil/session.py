@@ -24,6 +24,8 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    # stream state beyond the heap, and typed state variables
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Arrow batches for pandas functions (blocked top-k, folds) stay bounded
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
