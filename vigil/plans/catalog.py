@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..operators import analytics as an
 from ..sources import standins as si
@@ -61,6 +61,32 @@ def _g1(t): return an.storage_stats(_vectors(t))
 def _g2(t): return an.top_scopes(_vectors(t))
 
 
+def _sketches(t: Tables) -> DataFrame:
+    path = _scratch(t, "sketches")
+    an.hourly_sketches(_vectors(t)).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+def _close(estimate: str, exact: DataFrame) -> Column:
+    """Whether an estimate is within three standard errors of the exact number."""
+    n = exact.scalar()
+    return F.abs(F.col(estimate) - n) <= F.greatest(F.lit(1.0), F.lit(3 * 1.04 / 2 ** (an.SKETCH_LG / 2)) * n)
+
+
+@register("g1_sketched_stats")
+def _g1s(t):
+    """G1 from stored hourly sketches."""
+    s = an.sketched_storage_stats(_sketches(t))
+    close = _close("unique_contents", _vectors(t).agg(F.countDistinct("content_hash")))
+    return s.withColumn("contents_close", close).drop("unique_contents")
+
+
+@register("g2_sketched_scopes")
+def _g2s(t):
+    """G2 from stored hourly sketches."""
+    return an.sketched_top_scopes(_sketches(t)).drop("unique_contents")
+
+
 @register("g3_recent_vectors")
 def _g3(t): return an.recent_vectors(_vectors(t))
 
