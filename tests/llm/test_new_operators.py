@@ -235,3 +235,54 @@ def test_long_chains_are_summed_by_stretches(spark, monkeypatch):
 def test_empty_table_has_no_trie(spark):
     assert trie_of(spark, []) == []
     assert trie_of(spark, [(None, 0, "user", "x")]) == []
+
+
+# -- operator 3 ----------------------------------------------------------------------
+
+def text_of(page, others=()):
+    from vigil.llm import wrappers as W
+    return W.main_text(page, W.slots(W.fold([W.wrapper_of(p) for p in (page, *others)])))
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<body><nav>menu</nav><article class="legal"><h1>Law</h1><p>Text.</p></article></body>', "Law\n\nText."),
+    ('<body><main class="search"><p>Found.</p></main><footer>end</footer></body>', "Found."),
+    ('<article><div class="post-header"><h1>Title</h1></div><p>Body.</p><div class="ad">Buy!</div></article>', "Title\n\nBody."),
+    ('<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>', "Let x=2 hold."),
+    ('<main><p>Story.</p><article class="comment"><p>First!</p></article></main>', "Story."),
+    ("<article><p>one<br>two &amp; three</p></article>", "one two & three"),
+    ("", ""),
+])
+def test_main_elements_keep_their_text(page, want):
+    assert text_of(page) == want
+
+
+def test_the_text_comes_from_the_wrappers_slots():
+    """Without slots there is no text; what a slot is decides for the texts in it."""
+    from vigil.llm import wrappers as W
+    pages = [f"<body><div class=nav>Home</div><article><h1>T{i}</h1><p>About {i}.</p><h4>Imprint</h4></article></body>" for i in range(4)]
+    wrapper = W.fold([W.wrapper_of(p) for p in pages])
+    assert [W.main_text(p, W.slots(wrapper)) for p in pages] == [f"T{i}\n\nAbout {i}." for i in range(4)]  # "Imprint" is constant
+    assert [W.main_text(p, []) for p in pages] == [""] * 4
+    turned = W.slots([["t", "aside"] if x == ["t", "article"] else ["t", "/aside"] if x == ["t", "/article"] else x for x in wrapper])
+    assert "About 1." not in W.main_text(pages[1], turned)
+
+
+def test_repeated_groups_of_any_length():
+    from vigil.llm import wrappers as W
+    one = "".join(f"<h{k % 6 + 1}>a</h{k % 6 + 1}><p>b{k}</p><ul><li>c</li></ul>" * (1 + k % 2) for k in range(9))
+    w = W.wrapper_of("<body>" + one * 3 + "</body>")
+    assert len(w) == 3 and w[1][0] == "r" and len(w[1][1]) > 24
+    rng = random.Random(1)
+    for n in (40, 900):
+        items = [["t", rng.choice("ab")] for _ in range(n)]
+        flat = "".join(x[1] for x in items)
+        folded = W.fold_repeats(items)
+
+        def spread(xs):
+            return "".join(x[1] if x[0] == "t" else f"({spread(x[1])})" for x in xs)
+        assert len(folded) <= len(flat) and set(spread(folded)) <= set("ab()")
+        import numpy
+        ids = numpy.array([ord(c) for c in flat])
+        for size in range(1, 30):
+            assert W._repeats(ids, flat, size) == any(flat[i: i + size] == flat[i + size: i + 2 * size] for i in range(n - 2 * size + 1))

@@ -9,20 +9,23 @@ a variable slot.  Aligning two wrappers gives a wrapper again, so a host's pages
 are folded batch by batch, then in three salted rounds; no group holds all pages
 of a host.
 
-A page's text comes from the wrapper's slots: the page's items are aligned with
-its host's wrapper, and each text is judged by the slot it falls in.  A slot is
-constant if SEVERAL distinct pages have the same text there and no page another;
-its text is the template's and left out, also inside an article.  Tags and class
-words are hints on the slots that vary: those under navigation, header, footer,
-sidebar, notice, advert, form and comment elements are left out, and if some in
-an article (or main, or content) element remain, only these are taken.  A text
-that falls in no slot counts as one that varies.
+A page's text comes from the wrapper's slots.  Each slot of a host's wrapper is
+judged once (:func:`slots`): by the elements around it in the wrapper, under
+navigation, header, footer, sidebar, notice, advert, form or comments it is left
+out, in an article (or main, or content) element it is main text.  The page's
+items are aligned with the wrapper, and a text is what its slot is; one that falls
+in no slot is what the slot before it is.  A slot is constant if SEVERAL distinct
+pages have the same text there and no page another: its text is the template's and
+left out, also inside an article.  If some main text remains, only that is taken.
+Class words don't make an article or main element a left-out one, but for those of
+comments and adverts.
 
 Edge cases: null or empty html gives the empty text; null urls and those
 without a host share the host ''; broken markup is read as far as it goes (an
 open ``p`` ends at the next block, an unclosed comment at the end of the page);
-repeated pages each get a row; an empty table gives no rows; other columns of
-the input are ignored.
+repeated pages each get a row; very long pages are aligned in rows of bits, not in
+a full table, and repeated groups may have any length; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +47,6 @@ from vigil.llm.urlfilter import host
 
 #: Salts of the folding rounds.
 ROUNDS = (4096, 64, 1)
-LONGEST_REPEAT = 24
 #: A text is the template's if so many distinct pages have it at its slot and no page another.
 SEVERAL = 3
 
@@ -55,7 +58,7 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 # Elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "title", "head"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "select", "title", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav",
@@ -69,6 +72,20 @@ LEFT_OUT_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "advertisin
                   "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget", "widgets"}
 MAIN = {"article", "main"}
 MAIN_WORDS = {"article", "content", "entry", "main", "post", "story"}
+# Class words that make even an article or main element something else.
+NOT_MAIN_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "advertising", "comment", "comments", "promo", "promoted", "promotion", "related",
+                  "replies", "sponsor", "sponsored"}
+
+
+def meaning(tag: str, words: set[str], out: bool, main: bool) -> tuple[bool, bool]:
+    """(left out, main text) of what stands in an element, by its tag and class
+    words and what the element around it means."""
+    if tag in MAIN:
+        marked = bool(words & NOT_MAIN_WORDS)
+    else:
+        marked = bool((words - {"header"} if main else words) & LEFT_OUT_WORDS) and tag not in ("body", "html")
+    out = out or marked or (tag in LEFT_OUT and not (tag == "header" and main))
+    return out, main or ((tag in MAIN or (tag in ("div", "section", "td") and bool(words & MAIN_WORDS))) and not out)
 
 
 class Element:
@@ -85,10 +102,7 @@ class Element:
             words = set(_WORD.findall(named))
             if named:
                 self.label = f"{tag}.{'.'.join(sorted(words))}"
-        inside = above is not None and above.main
-        marked = bool(words & LEFT_OUT_WORDS) and tag not in ("body", "html")
-        self.out = (above is not None and above.out) or marked or (tag in LEFT_OUT and not (tag == "header" and inside))
-        self.main = inside or ((tag in MAIN or (tag in ("div", "section", "td") and bool(words & MAIN_WORDS))) and not self.out)
+        self.out, self.main = meaning(tag, words, above is not None and above.out, above is not None and above.main)
 
 
 def stream(page: str) -> Iterator[tuple[str, object]]:
@@ -162,10 +176,33 @@ def _shape(item) -> object:
     return item[1] if item[0] == "t" else "#" if item[0] == "x" else (item[0], tuple(map(_shape, item[1])))
 
 
+_AGAIN: dict[int, re.Pattern] = {}
+
+
+def _repeats(ids: np.ndarray, text: str, size: int) -> bool:
+    """Whether some ``size`` symbols stand twice in a row."""
+    if len(ids) <= 512:
+        if size not in _AGAIN:
+            _AGAIN[size] = re.compile(rf"(.{{{size}}})\1", re.S)
+        return _AGAIN[size].search(text) is not None
+    gaps = np.flatnonzero(ids[:-size] != ids[size:])
+    return int(np.diff(gaps, prepend=-1, append=len(ids) - size).max()) > size
+
+
 def fold_repeats(items: list) -> list:
-    """Adjacent equal sequences become one repeated group, shortest first."""
-    shapes = [_shape(x) for x in items]
-    for size in range(1, LONGEST_REPEAT + 1):
+    """Adjacent equal sequences of any length become one repeated group, shortest first."""
+    number: dict = {}
+
+    def numbered(shapes: list) -> tuple[np.ndarray, str]:
+        ids = [number.setdefault(x, len(number)) for x in shapes]
+        return np.array(ids), "".join([chr(i + (i >= 0xD800) * 0x800) for i in ids]) if len(ids) <= 512 else ""
+
+    shapes, size = [_shape(x) for x in items], 1
+    ids, text = numbered(shapes)
+    while 2 * size <= len(items):
+        if not _repeats(ids, text, size):
+            size += 1
+            continue
         out, kept, i = [], [], 0
         while i < len(items):
             n = 1
@@ -183,6 +220,8 @@ def fold_repeats(items: list) -> list:
                 kept.append(shapes[i])
                 i += 1
         items, shapes = out, kept
+        ids, text = numbered(shapes)
+        size += 1
     return items
 
 
@@ -321,11 +360,11 @@ def align(a: list, b: list) -> list:
     return fold_repeats(out)
 
 
-def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list]:
-    """A page's texts, each with what the elements around it mean (left out,
-    main), and its items.  Pages are distinct if their texts outside left-out
-    elements are: a copy with another advert is no second page."""
-    blocks: list[tuple[str, bool, bool]] = []
+def parsed(page: str) -> tuple[list[str], list]:
+    """A page's texts and its items.  Pages are distinct if their texts outside
+    left-out elements are: a copy with another advert is no second page."""
+    texts: list[str] = []
+    own: list[str] = []
     items: list = []
     words: list[str] = []
     above: list[Element] = []
@@ -334,8 +373,10 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list]:
         text = clean("".join(words))
         words.clear()
         if text:
-            items.append(["x", key(text), [], [len(blocks)]])
-            blocks.append((text, bool(above) and above[-1].out, bool(above) and above[-1].main))
+            items.append(["x", key(text), [], [len(texts)]])
+            texts.append(text)
+            if not (above and above[-1].out):
+                own.append(text)
 
     for kind, value in stream(page):
         if kind == "text":
@@ -351,12 +392,11 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list]:
                 while above.pop() is not value:
                     pass
     flush()
-    own = "\0".join(text for text, out, _ in blocks if not out)
-    seen = int.from_bytes(hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=6).digest())
+    seen = int.from_bytes(hashlib.blake2b("\0".join(own).encode("utf-8", "replace"), digest_size=6).digest())
     for x in items:
         if x[0] == "x":
             x[2] = [seen]
-    return blocks, items
+    return texts, items
 
 
 def wrapper_of(page: str) -> list:
@@ -378,29 +418,63 @@ def as_regex(items: list) -> str:
     return "".join(part[k](v) for k, v, *_ in items)
 
 
-def _constant(page: list, wrapper: list) -> Iterator[int]:
-    """The places of a page's texts in constant slots; both of the same shape."""
+LEFT, OTHER, TEXT = 0, 1, 2
+
+
+def slots(wrapper: list) -> list:
+    """A wrapper whose slots have, instead of places, what they are: LEFT (out),
+    OTHER or (main) TEXT."""
+    above: list[tuple[str, bool, bool]] = []
+
+    def walk(items: list) -> list:
+        out = []
+        for x in items:
+            if x[0] in "or":
+                out.append([x[0], walk(x[1])])
+            elif x[0] == "x":
+                left, main = above[-1][1:] if above else (False, False)
+                out.append([*x[:3], [LEFT if left else TEXT if main else OTHER]])
+            else:
+                if not x[1].startswith("/"):
+                    tag, *words = x[1].split(".")
+                    above.append((tag, *meaning(tag, set(words), *(above[-1][1:] if above else (False, False)))))
+                elif any(tag == x[1][1:] for tag, _, _ in above):
+                    while above.pop()[0] != x[1][1:]:
+                        pass
+                out.append(x)
+        return out
+
+    return walk(wrapper)
+
+
+def _judged(page: list, wrapper: list) -> Iterator[tuple[int, int]]:
+    """(place, what it is) of a page's texts; page and slots have the same shape."""
     for x, y in zip(page, wrapper):
         if x[0] in "or":
-            yield from _constant(x[1], y[1])
-        elif x[0] == "x" and y[1] is not None and len(y[2]) >= SEVERAL and x[1] == y[1]:
-            yield from x[3]
+            yield from _judged(x[1], y[1])
+        elif x[0] == "x":
+            constant = y[1] is not None and len(y[2]) >= SEVERAL and x[1] == y[1]
+            for place in x[3]:
+                yield place, LEFT if constant else max(y[3])
 
 
-def template_texts(items: list, wrapper: list) -> set[int]:
-    """The places of the texts of a page that are its host's template."""
+def judged(items: list, wrapper: list) -> dict[int, int]:
+    """What the texts of a page are that fall in a slot of ``wrapper`` (:func:`slots`)."""
     p, q = _in_groups_of_both(fold_repeats(items), wrapper)
     steps = [(i, j) for i, j in _common(_placed(p), _placed(q)) if i >= 0 and j >= 0]
-    return set(_constant([p[i][0] for i, _ in steps], [q[j][0] for _, j in steps]))
+    return dict(_judged([p[i][0] for i, _ in steps], [q[j][0] for _, j in steps]))
 
 
 def main_text(page: str, wrapper: list) -> str:
     """The texts of a page in its host's slots of main text."""
-    blocks, items = parsed(page)
-    template = template_texts(items, wrapper)
-    vary = [(text, main) for i, (text, out, main) in enumerate(blocks) if not out and i not in template]
-    inside = any(main for _, main in vary)
-    return "\n\n".join(text for text, main in vary if main or not inside)
+    texts, items = parsed(page)
+    known = judged(items, wrapper)
+    kinds, last = [], next((known[i] for i in range(len(texts)) if i in known), LEFT)
+    for i in range(len(texts)):
+        last = known.get(i, last)
+        kinds.append(last)
+    least = TEXT if TEXT in kinds else OTHER
+    return "\n\n".join(text for text, kind in zip(texts, kinds) if kind >= least)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +508,7 @@ def _wrapper(stored_as: str) -> list:
     if stored_as not in _WRAPPERS:
         if len(_WRAPPERS) > 2000:
             _WRAPPERS.clear()
-        _WRAPPERS[stored_as] = json.loads(stored_as)
+        _WRAPPERS[stored_as] = slots(json.loads(stored_as))
     return _WRAPPERS[stored_as]
 
 
