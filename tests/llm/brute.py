@@ -72,6 +72,24 @@ def contaminated(docs, items, width=10):
     return out
 
 
+def near(docs, items, width=10, around=20):
+    """For each document the windows that stand within ``around`` words of a place of their rarest word."""
+    texts = {i: LETTERED.findall((t or "").translate(LOWER)) for i, t in docs}
+    count = Counter(w for ws in texts.values() for w in ws)
+    phrases = set()
+    for _, text in items:
+        w = LETTERED.findall((text or "").translate(LOWER))
+        phrases.update(tuple(w[i: i + width]) for i in range(max(len(w) - width, 0) + 1 if w else 0))
+    out = {}
+    for i, ws in texts.items():
+        out[i] = 0
+        for p in phrases:
+            if all(count[w] for w in p):
+                rare = min(set(p), key=lambda w: (count[w], p.index(w)))
+                out[i] += any(set(p) <= set(ws[max(0, at - around): at + around + 1]) for at, w in enumerate(ws) if w == rare)
+    return out
+
+
 def minimax(sizes, n):
     """The least capacity at which ``sizes`` fit ``n`` contiguous runs."""
     lo, hi = max(sizes), sum(sizes)

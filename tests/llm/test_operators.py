@@ -47,13 +47,25 @@ def test_decontaminate_empty(spark, odd, empty, odd_rows):
 
 def test_proximity(spark):
     from vigil.llm import decontaminate as d
-    docs = spark.createDataFrame([(1, "alpha x beta y y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "z " * 50 + "beta gamma")], "doc_id long, text string")
-    phrases = d.stored(spark.createDataFrame([(0, "alpha beta gamma")], "window long, phrase string"), "t")
+    docs = spark.createDataFrame([(1, "alpha x beta y y gamma"), (2, "gamma Beta alpha"), (3, "alpha " + "z " * 50 + "beta gamma"), (4, None), (2, "gamma Beta alpha")],
+                                 "doc_id long, text string")
+    phrases = d.stored(spark.createDataFrame([(0, "alpha beta gamma"), (1, "alpha beta nowhere")], "window long, phrase string"), "t")
     terms = d.stored(d.phrase_terms(phrases), "t")
     index = d.build_index(docs, d.stored(terms.select("term", "term_id").distinct(), "t"))
-    near = d.proximity_matches(index, terms, 6)
-    keys = docs.select("doc_id", d.document_key().alias("key"))
-    assert sorted(r[0] for r in near.join(keys, "key").select("doc_id").distinct().collect()) == [1, 2]
+    near = d.near_matches(docs, index, terms, 6).where("n_near > 0")
+    assert {(r["doc_id"], r["n_near"]) for r in near.collect()} == {(1, 1), (2, 1)}
+
+
+def test_proximity_equals_brute_force(spark):
+    import random
+
+    from vigil.llm.decontaminate import decontaminate
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 150)))) for i in range(40)]
+    items = [(j, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(1, 12)))) for j in range(25)] + [(90, "w1 w1 w1"), (91, "unheard w1")]
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), _items(spark, [(*r, "k", "t") for r in items])).collect()}
+    assert got == brute.near(docs, items) and len(set(got.values())) > 2
 
 
 # ------------------------------------------------------------------ 2

@@ -5,8 +5,9 @@ the training texts of a term that the benchmark uses, stored in the shared
 folder.  Phrases are searched from their rarest terms: the posting lists of
 each phrase's rarest terms are shifted by the term's offset and intersected,
 which leaves candidate starts; these are confirmed word by word in the text.
-:func:`proximity_matches` finds terms near each other, from the rarest as well.
-Only DataFrame functions are used.
+Proximity matches come from the same lists (:func:`near_matches`): places of a
+phrase's rarest term that have its next rarest terms within ``NEAR`` words, in any
+order, confirmed for all its terms in the text.  Only DataFrame functions are used.
 
 Documents are addressed by a hash of id and text, so repeated rows and repeated
 or null ids don't mix.  Candidates are small next to the texts; they
@@ -15,7 +16,8 @@ are broadcast if they measure so, else the texts are shuffled once.
 Edge cases: a null or empty text has no words, no hit and the digest of the
 empty string; an item without words has no window; a null item id covers words
 but is no item; repeated items count once; empty tables give no rows or no
-hits; other columns of the inputs are ignored.
+hits; a very long text is one array of words in the task that reads it; other
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from vigil.llm.common import maybe_broadcast, stored
 WINDOW = 10
 #: Terms of a phrase whose posting lists are intersected, the rarest first.
 RAREST = 3
+#: Words on either side of a phrase's rarest term within which its others count as near.
+NEAR = 20
 
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,50 +123,77 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) ->
                          F.when(F.col("tries").isNotNull(), confirmed).alias("found"))
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(found, windows): per document the confirmed windows, stored, and the
-    windows of each item."""
+def near_candidates(index: DataFrame, terms: DataFrame, width: int = NEAR, n: int = RAREST) -> DataFrame:
+    """(key, window, at): places of a phrase's rarest term with its ``n`` rarest
+    distinct terms within ``width`` words.  The list of the rarest is intersected
+    with those of the next ones by blocks of positions, so each step has at most
+    the rows of the one before."""
+    distinct = terms.groupBy("window", "term_id").agg(F.min("offset").alias("offset"))
+    seeds = stored(rarest_terms(index, distinct, n), "near-seeds")
+    block = lambda at: F.floor(at / F.lit(2 * width + 1))
+    first = maybe_broadcast(seeds.where("rank = 1").select("window", "term_id"))
+    now = stored(index.join(first, "term_id").select("key", "window", F.col("pos").alias("at")).distinct(), "near-places")
+    for rank in range(2, n + 1):
+        mine = seeds.where(F.col("rank") == rank)
+        wanted = stored(now.join(maybe_broadcast(mine.select("window", "term_id")), "window").withColumn(
+            "block", F.explode(F.array_distinct(F.array(block(F.col("at") - width), block(F.col("at") + width))))), "near-terms")
+        lists = (index.join(maybe_broadcast(mine.select("term_id").distinct()), "term_id", "left_semi")
+                 .withColumn("block", block(F.col("pos"))))
+        both = (lists.join(maybe_broadcast(wanted), ["term_id", "key", "block"]).where(F.abs(F.col("pos") - F.col("at")) <= width)
+                .select("key", "window", "at").distinct())
+        short = seeds.where(f"rank = 1 and size < {rank}").select("window")
+        now = stored(both.unionByName(now.join(maybe_broadcast(short), "window", "left_semi")), "near-places")
+    return now
+
+
+def near_matches(docs: DataFrame, index: DataFrame, terms: DataFrame, width: int = NEAR) -> DataFrame:
+    """doc_id, key and n_near, the number of phrases that have a place of their
+    rarest term in the text with all their other terms within ``width`` words."""
+    need = terms.groupBy("window").agg(F.collect_set("term").alias("need"))
+    tries = stored(near_candidates(index, terms, width).join(maybe_broadcast(stored(need, "near-needs")), "window")
+                   .groupBy("key").agg(F.collect_list(F.struct("window", "at", "need")).alias("tries")), "near-tries")
+    held = docs.select("doc_id", "text", document_key().alias("key")).join(maybe_broadcast(tries), "key").select(
+        "doc_id", "key", "tries", split_words(F.col("text")).alias("w"))
+    around = f"slice(w, greatest(t.at - {width}, 0) + 1, t.at + {width} - greatest(t.at - {width}, 0) + 1)"
+    near = F.expr(f"""
+        filter(tries, t -> size(array_except(t.need, split(translate(array_join({around}, ' '), '{_UPPER}', '{_LOWER}'), ' '))) = 0)""")
+    return held.select("doc_id", "key", F.size(F.array_distinct(F.transform(near, lambda t: t["window"]))).cast("long").alias("n_near"))
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(found, windows, index, terms): per document the confirmed windows, the
+    windows of each item, the postings and the terms of the windows; all stored."""
     by_item = stored(item_windows(benchmark, width), "benchmark-items")
     phrases = stored(by_item.select("phrase").distinct().withColumn("window", F.monotonically_increasing_id()), "benchmark-phrases")
     windows = stored(by_item.join(phrases, "phrase").select("window", "item_id"), "benchmark-windows")
     terms = stored(phrase_terms(phrases), "benchmark-terms")
     index = build_index(docs, stored(terms.select("term", "term_id").distinct(), "benchmark-vocabulary"))
     seeds = stored(rarest_terms(index, terms), "benchmark-seeds")
-    return stored(exact_matches(docs, phrase_candidates(index, seeds), phrases), "phrase-matches"), windows
+    return stored(exact_matches(docs, phrase_candidates(index, seeds), phrases), "phrase-matches"), windows, index, terms
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
-    found, windows = matched(docs, benchmark, width)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near per document."""
+    found, windows, index, terms = matched(docs, benchmark, width)
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["len"] - 1)))))
     items = (found.where("size(found) > 0").select("doc_id", "key", F.explode(F.expr("array_distinct(found.window)")).alias("window"))
              .join(maybe_broadcast(windows.where("item_id is not null")), "window")
              .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("item_id").cast("string").alias("item")).distinct()
              .groupBy("_id", "_key").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    near = near_matches(docs, index, terms).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.max("n_near").alias("n_near"))
+    # one small table of what was found, joined to all documents once
+    extra = (items.unionByName(near, allowMissingColumns=True).groupBy("_id", "_key")
+             .agg(F.max("items").alias("items"), F.max("n_near").alias("n_near")))
     out = found.select("doc_id", "key", "n_words", F.coalesce(F.when(F.size("found") > 0, n_hit), F.lit(0)).cast("long").alias("n_hit"))
-    return out.join(items, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    return out.join(extra, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id", "n_words", "n_hit", F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents that hold no window of any item, as they are."""
-    found, _ = matched(docs, benchmark, width)
+    found = matched(docs, benchmark, width)[0]
     bad = stored(found.where("size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "contaminated")
     own = docs.withColumn("_row", document_key())
     return own.join(maybe_broadcast(bad), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
-
-
-def proximity_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
-    """(window, key, pos): the places of a phrase's rarest term with all its
-    other distinct terms within ``width`` words of it, in any order."""
-    distinct = terms.select("window", "term_id").distinct()
-    rare = rarest_terms(index, distinct.withColumn("offset", F.lit(0)), 1).select("window", "term_id")
-    near = index.join(maybe_broadcast(stored(distinct, "near-terms")), "term_id")
-    block = lambda at: F.floor(at / F.lit(2 * width + 1))
-    anchors = (index.join(maybe_broadcast(rare), "term_id").select("window", "key", F.col("pos").alias("at"))
-               .withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("at") - width), block(F.col("at") + width))))))
-    pairs = near.withColumn("block", block(F.col("pos"))).join(anchors, ["window", "key", "block"]).where(F.abs(F.col("pos") - F.col("at")) <= width)
-    need = distinct.groupBy("window").agg(F.count(F.lit(1)).alias("need"))
-    return (pairs.groupBy("window", "key", "at").agg(F.countDistinct("term_id").alias("n")).join(need, "window")
-            .where("n = need").select("window", "key", F.col("at").alias("pos")))

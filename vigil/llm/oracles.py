@@ -24,10 +24,27 @@ hits AS (SELECT p.doc_id, p.i, p.n, b.item_id FROM places p JOIN phrases b ON p.
 covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1),
+terms AS (
+  SELECT phrase, term, min(off) AS off FROM (
+    SELECT phrase, unnest(string_split(phrase, ' ')) AS term, unnest(range(n)) AS off FROM (SELECT DISTINCT phrase, n FROM phrases)) GROUP BY 1, 2),
+tokens AS (
+  SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d)
+  WHERE word IN (SELECT term FROM terms)),
+ranked AS (
+  SELECT phrase, t.term, row_number() OVER (PARTITION BY phrase ORDER BY c.n, off) AS place, count(*) OVER (PARTITION BY phrase) AS need,
+         count(c.n) OVER (PARTITION BY phrase) AS have
+  FROM terms t LEFT JOIN (SELECT word, count(*) AS n FROM tokens GROUP BY 1) c ON c.word = t.term),
+rare AS (SELECT phrase, term, need FROM ranked WHERE place = 1 AND need = have),
+around AS (
+  SELECT a.doc_id, r.phrase, a.pos FROM rare r JOIN tokens a ON a.word = r.term JOIN terms t ON t.phrase = r.phrase
+  JOIN tokens k ON k.doc_id = a.doc_id AND k.word = t.term AND abs(k.pos - a.pos) <= 20
+  GROUP BY 1, 2, 3, r.need HAVING count(DISTINCT t.term) = r.need),
+near AS (SELECT doc_id, count(DISTINCT phrase) AS n_near FROM around GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 SQL["op2_minhash_dedup"] = f"""
