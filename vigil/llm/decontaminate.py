@@ -125,25 +125,34 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) ->
 
 def near_candidates(index: DataFrame, terms: DataFrame, width: int = NEAR, n: int = RAREST) -> DataFrame:
     """(key, window, at): places of a phrase's rarest term with its ``n`` rarest
-    distinct terms within ``width`` words.  The list of the rarest is intersected
-    with those of the next ones by blocks of positions, so each step has at most
-    the rows of the one before."""
+    distinct terms within ``width`` words.
+
+    Overlapping windows share their rarest terms, so places are kept for each
+    distinct run of rarest terms (the first, the first two, ...), not for each
+    window: the list of the first is intersected by blocks of positions with
+    those of the next, and only what is left is given to the windows."""
     distinct = terms.groupBy("window", "term_id").agg(F.min("offset").alias("offset"))
-    seeds = stored(rarest_terms(index, distinct, n), "near-seeds")
+    ranked = rarest_terms(index, distinct, n)
+    runs = stored(ranked.groupBy("window").agg(*[F.max(F.when(F.col("rank") == r, F.col("term_id"))).alias(f"t{r}") for r in range(1, n + 1)],
+                                               F.least(F.first("size"), F.lit(n)).cast("int").alias("last")), "near-runs")
     block = lambda at: F.floor(at / F.lit(2 * width + 1))
-    first = maybe_broadcast(seeds.where("rank = 1").select("window", "term_id"))
-    now = stored(index.join(first, "term_id").select("key", "window", F.col("pos").alias("at")).distinct(), "near-places")
-    for rank in range(2, n + 1):
-        mine = seeds.where(F.col("rank") == rank)
-        wanted = stored(now.join(maybe_broadcast(mine.select("window", "term_id")), "window").withColumn(
-            "block", F.explode(F.array_distinct(F.array(block(F.col("at") - width), block(F.col("at") + width))))), "near-terms")
-        lists = (index.join(maybe_broadcast(mine.select("term_id").distinct()), "term_id", "left_semi")
-                 .withColumn("block", block(F.col("pos"))))
-        both = (lists.join(maybe_broadcast(wanted), ["term_id", "key", "block"]).where(F.abs(F.col("pos") - F.col("at")) <= width)
-                .select("key", "window", "at").distinct())
-        short = seeds.where(f"rank = 1 and size < {rank}").select("window")
-        now = stored(both.unionByName(now.join(maybe_broadcast(short), "window", "left_semi")), "near-places")
-    return now
+    first = maybe_broadcast(runs.select(F.col("t1").alias("term_id")).distinct())
+    now = index.join(first, "term_id", "left_semi").select("key", F.col("pos").alias("at"), F.col("term_id").alias("t1")).distinct()
+    found = None
+    for r in range(1, n + 1):
+        have = [f"t{k}" for k in range(1, r + 1)]
+        if r > 1:
+            asked = stored(runs.where(F.col("last") >= r).select(*have).distinct(), "near-asked")
+            wanted = now.join(maybe_broadcast(asked), have[:-1]).withColumn(
+                "block", F.explode(F.array_distinct(F.array(block(F.col("at") - width), block(F.col("at") + width)))))
+            lists = (index.join(maybe_broadcast(asked.select(F.col(have[-1]).alias("term_id")).distinct()), "term_id", "left_semi")
+                     .select(F.col("term_id").alias(have[-1]), "key", block(F.col("pos")).alias("block"), "pos"))
+            now = stored(lists.join(maybe_broadcast(stored(wanted, "near-wanted")), [have[-1], "key", "block"])
+                         .where(F.abs(F.col("pos") - F.col("at")) <= width).select("key", "at", *have).distinct(), "near-places")
+        ended = stored(runs.where(F.col("last") == r).select("window", *have), "near-ended")
+        mine = now.join(maybe_broadcast(ended), have).select("key", "window", "at")
+        found = mine if found is None else found.unionByName(mine)
+    return found
 
 
 def near_matches(docs: DataFrame, index: DataFrame, terms: DataFrame, width: int = NEAR) -> DataFrame:
