@@ -102,6 +102,13 @@ def load_payload(revisions: DataFrame, payload_col: str = "payload") -> DataFram
     return revisions.select("revision_id", F.size(w).alias("count"), F.inline_outer(w))
 
 
+def load_revision_rows(rows: DataFrame) -> DataFrame:
+    """H8 (scalable form): the rules of each stored revision with their count; the
+    counts are one row per revision, joined many to one."""
+    counts = rows.groupBy("revision_id").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    return rows.join(counts, "revision_id").select("revision_id", "count", *RULE_COLS)
+
+
 def publish_revision(revisions: DataFrame, revision_id: str, as_of: _dt.datetime) -> DataFrame:
     """H7: the revision table after publishing: the revision is inserted, or
     overwritten if its id is there, and is the only active one."""

@@ -612,6 +612,13 @@ def _e1(t):
 def _e2(t): return _chain(t).select("id", "tenant_id", "prev_hash", "event_hash")
 
 
+@register("e2_chain_by_day")
+def _e2d(t):
+    """A chain per tenant and day: as many tasks as there are days."""
+    a = au.with_hash_columns(_audit(t)).withColumn("day", F.col("created_at").cast("date"))
+    return au.build_chain(a, ("tenant_id", "day")).select("id", "tenant_id", "day", "prev_hash", "event_hash")
+
+
 @register("e2_append_to_stored")
 def _e2a(t):
     """Two batches, the second appended to the stored chains of the first."""
@@ -763,6 +770,14 @@ def _h8(t):
     return rg.load_payload(p)
 
 
+@register("h8_stored_rows")
+def _h8s(t):
+    """The revision as rows: published, stored and read back."""
+    path = _scratch(t, "revision")
+    sn.append(rg.publish_rows(_rules(t), "rev-20240131"), path)
+    return rg.load_revision_rows(t.spark.read.parquet(path))
+
+
 @register("h9_upsert_log_rows")
 def _h9(t):
     n = va.normalize_rule_upsert(si.rule_upserts(t.supplier, t.nation).withColumn(
