@@ -14,8 +14,9 @@ is streamed in order.  Texts are shuffled once.
 Edge cases: a null text is an empty one; texts without words have the empty
 fingerprint, and two of these have likeness 1; null ids come first; of equal
 ids the order is by text, repeated rows follow each other; a table of one
-document has itself as the next; an empty table gives no rows; other columns of
-the input are ignored.
+document has itself as the next; a very long text is hashed whole, in scratch
+memory of some 36 bytes a byte; an empty table gives no rows; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ whole.  Profiles are bounded by languages x ``PROFILE``.
 Edge cases: a null text or one without a letter is ``und`` with score 0;
 without any labelled text all are ``und``; of equally near languages the first
 by name is taken; ties of n-gram counts are broken by the n-gram; null or
-repeated ids and repeated rows are judged row by row; an empty table gives no
-rows; other columns of the input are ignored.
+repeated ids and repeated rows are judged row by row; a very long text is counted
+whole, in memory in proportion to it; an empty table gives no rows; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations

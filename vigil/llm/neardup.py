@@ -21,7 +21,8 @@ chance of 5e-6, one turned away by a signature with about 3e-6.
 Edge cases: a null or empty text and one without words have the empty set and
 are linked with nothing; a null id has no component and is kept (but see
 :func:`without_near_duplicates`); repeated ids are judged by their own texts;
-an empty table gives no rows; other columns of the input are ignored.
+a very long text is hashed whole, in scratch memory of some 36 bytes a byte; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

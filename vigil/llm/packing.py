@@ -13,8 +13,9 @@ rank among the pieces of its length; ranks come from per-part counts, so no
 length class is ever in one task.
 
 Edge cases: a null text is an empty one, which packs as the end mark alone; a
-null ``doc_id`` stays null; repeated rows are packed one by one; an empty table
-gives no rows; other columns of the input are ignored.
+null ``doc_id`` stays null; repeated rows are packed one by one; a very long text is
+encoded whole and cut; an empty table gives no rows; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations

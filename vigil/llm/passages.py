@@ -22,7 +22,8 @@ entries per part.
 
 Edge cases: a null or empty text has no words; a text shorter than a window
 keeps all words; null or repeated ids and repeated rows are separate documents
-(a repeated row has all its windows elsewhere); an empty table gives no rows;
+(a repeated row has all its windows elsewhere); a very long text is split into its
+words in one task; an empty table gives no rows;
 other columns of the input are ignored or, for :func:`without_repeats`, carried.
 """
 

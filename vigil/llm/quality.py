@@ -14,7 +14,8 @@ Edge cases: a null text is an empty one, and an empty text is one chunk of
 padding, scored as any other; without labelled texts of both labels every score
 is the share of label 1 (or 1.0 without any label); labels of repeated ids are
 taken once (the lowest); null or repeated ids and repeated rows are scored row
-by row; an empty table gives no rows; other columns are ignored.
+by row; a very long text is scored to its end, in memory in proportion to it; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

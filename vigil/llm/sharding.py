@@ -14,8 +14,8 @@ shards, not by the data.
 
 Edge cases: a null text has size 16 and shares the group of the empty text;
 null ids come first; repeated rows are kept; one group larger than its share
-gives a larger shard (groups are never split); an empty table gives no rows;
-other columns of the input are ignored.
+gives a larger shard (groups are never split); a very long text is only measured
+and summed up; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ expressions for the edges, the large-star/small-star rounds of
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no
 rule, takes part in no edge and is allowed; null or empty html has no edges;
-repeated pages each get a row; an empty table gives no rows; other columns of
-the input are ignored.
+repeated pages each get a row; a very long page is searched whole for its links;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
