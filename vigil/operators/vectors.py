@@ -346,8 +346,13 @@ def keyword_search(vectors: DataFrame, tenant_id: str | None, scope: str, term:
     return (vectors.where(cond).orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(k))
 
 
+#: Files over which the rows of one trigram are spread at most.
+TRIGRAM_PARTS = 16
+
+
 class TrigramIndex(NamedTuple):
-    """``postings``: tri, group columns, id, once per row and trigram, clustered by
+    """``postings``: tri, group columns and ids of rows that hold it (each row's id
+    once per trigram, a list per Arrow batch of rows), every file sorted by
     trigram; ``counts``: rows per trigram and group."""
 
     postings: DataFrame
@@ -358,30 +363,35 @@ class TrigramIndex(NamedTuple):
 def trigram_index(vectors: DataFrame, index_path: str, group_cols=("scope", "tenant_id"), id_col: str = "id",
                   text_col: str = "content") -> TrigramIndex:
     """D13 index: for every row the distinct runs of three code points of its
-    lower-cased text.  Written sorted by trigram, group and id, so that a look-up
-    reads the row groups of its trigrams only; a frequent trigram is split over
-    files.  Rows without text have no postings."""
+    lower-cased text.  Every file is sorted by trigram and group, so that a
+    look-up reads the row groups of its trigrams only.  Rows without text have no
+    postings."""
     spark, g = vectors.sparkSession, list(group_cols)
-    schema = T.StructType([T.StructField("tri", T.StringType()), *[vectors.schema[c] for c in (*g, id_col)]])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ids = T.StructField("ids", T.ArrayType(vectors.schema[id_col].dataType))
+    schema = T.StructType([T.StructField("tri", T.StringType()), *[vectors.schema[c] for c in g], ids])
+    arrow = to_arrow_schema(schema)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                some = b.slice(lo, 200)
-                row, tri = [], []
-                for i, text in enumerate(some.column(0).to_pylist()):
-                    found = {text[j: j + 3] for j in range(len(text) - 2)}
-                    tri.extend(found)
-                    row.extend([i] * len(found))
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(tri, pa.string()), *[some.column(i + 1).take(at) for i in range(len(g) + 1)]],
-                                                 names=[f.name for f in schema.fields])
-
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (vectors.where(F.col(text_col).isNotNull()).select(F.lower(text_col).alias("_text"), *g, id_col).mapInArrow(runs, schema)
-     .repartitionByRange(n_parts, "tri", *g, id_col).sortWithinPartitions("tri", *g, id_col).write.mode("overwrite").parquet(f"{index_path}/postings"))
+            lists: dict = defaultdict(list)
+            for text, *key, i in zip(*(c.to_pylist() for c in b.columns)):
+                key = tuple(key)
+                for tri in {text[j: j + 3] for j in range(len(text) - 2)}:
+                    lists[(tri, *key)].append(i)
+            keys = list(zip(*lists)) or [()] * (len(g) + 1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, f.type) for k, f in zip(keys, arrow)), pa.array(list(lists.values()), arrow.field("ids").type)],
+                                             names=schema.names)
+
+    # each text is cut once, in a task of its own part; a trigram's rows go to some
+    # files by hash of row, so that a frequent one is no single task
+    texts = vectors.where(F.col(text_col).isNotNull()).select(F.lower(text_col).alias("_text"), *g, id_col).repartition(id_col)
+    found = texts.mapInArrow(runs, schema)
+    (found.repartition("tri", F.pmod(F.xxhash64("ids"), F.lit(TRIGRAM_PARTS))).sortWithinPartitions("tri", *g)
+     .write.mode("overwrite").parquet(f"{index_path}/postings"))
     postings = spark.read.parquet(f"{index_path}/postings")
-    postings.groupBy("tri", *g).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{index_path}/counts")
+    postings.groupBy("tri", *g).agg(F.sum(F.size("ids").cast("long")).alias("n")).write.mode("overwrite").parquet(f"{index_path}/counts")
     return TrigramIndex(postings, spark.read.parquet(f"{index_path}/counts"), tuple(g))
 
 
@@ -404,7 +414,7 @@ def keyword_candidates(index: TrigramIndex, where: dict, term: str, most: int =
     counted = {r["tri"]: r["n"] for r in index.counts.where(F.col("tri").isin(tris) & mine).groupBy("tri").agg(F.sum("n").alias("n")).collect()}
     found = None
     for tri in sorted(tris, key=lambda x: (counted.get(x, 0), x))[:most]:
-        ids = index.postings.where((F.col("tri") == tri) & mine).select("id")
+        ids = index.postings.where((F.col("tri") == tri) & mine).select(F.explode("ids").alias("id"))
         found = ids if found is None else found.join(ids, "id", "left_semi")
     return found
 
