@@ -5,6 +5,9 @@ import random
 import zlib
 
 import brute
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,6 +455,29 @@ def test_repeated_passages_entries_per_part(spark):
     assert len({(r["bucket"], r["part"]) for r in got}) == len(got)
 
 
+def test_repeated_passages_confirmed_by_words():
+    """Phrases are confirmed by words: with every anchor taken for recurring, as
+    if all their hashes collided, only those that stand twice are stored, and
+    the automata built of them find the same words."""
+    from vigil.llm import passages as p
+    from vigil.llm import textops as X
+    rnd = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(50))
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(90)) for _ in range(12)]
+    texts = [f"{t} {shared}" if i % 4 == 0 else t for i, t in enumerate(texts)] + ["", " ", "one two"]
+    parts = [pa.table({"text": pa.array(texts[k::3])}) for k in range(3)]
+    every = [np.concatenate([X.run_hashes(words, p.ANCHOR) for *_, words in p._pieces(t["text"])]) for t in parts]
+    found = pa.concat_tables([p._emit_found(p.WIDTH, 1)([pa.scalar(k)], t, pa.table({"hashes": [h.tobytes()]})) for k, (t, h) in enumerate(zip(parts, every))])
+    confirmed = p._confirmed(found)
+    phrases = {x.decode() for line in confirmed["phrases"].to_pylist() if line for x in line.split(b"\n")}
+    assert phrases == {" ".join(f"s{i + j}" for j in range(p.ANCHOR)) for i in range(50 - p.ANCHOR + 1)}
+    _, kept = brute.kept_words(list(enumerate(texts)))
+    want = {hashlib.sha256(" ".join(k).encode()).hexdigest() for k in kept}
+    got = [p._remove(p.WIDTH, [], False, ["n_words", "n_removed", "kept_sha256"])(None, t, confirmed.filter(pc.equal(confirmed["part"], k))) for k, t in enumerate(parts)]
+    assert {h for t in got for h in t["kept_sha256"].to_pylist()} == want
+    assert sum(sum(t["n_removed"].to_pylist()) for t in got) == 3 * 50
+
+
 # ------------------------------------------------------------------ 8
 def test_fingerprints(spark, odd, odd_rows, empty):
     from vigil.llm import fingerprints as f

@@ -7,18 +7,19 @@ over it stands, with the same words, anywhere else too.
    words with the least hash inside it, so equal windows have equal anchors and
    about one word in fourteen starts one.  Each part keeps at most two of an
    anchor before they are counted.  Anchors that occur once are done.
-2. Confirmation.  Windows that hold a recurring anchor are counted over the
-   whole corpus; those seen once are noted.
-3. Location.  Each part of the documents (some MB of text) has its shard: the
-   recurring anchors it holds, compiled into Aho-Corasick automata of at most
-   ``SHARD_PHRASES`` phrases.  All its documents stream through them; the
-   windows around each occurrence go, but for those noted in step 2.
-
-Hashes travel as packed arrays, few rows for many hashes.  A bucket is
-chosen by a second, independent hash and has a fixed expected size, so that the
-chance of two different windows being taken for equal stays negligible at any
-corpus size.  An anchor or window in a third of all documents is at most two
-entries per part.
+2. Confirmation.  The words of recurring anchors are counted over the whole
+   corpus, not their hashes; phrases found at two places or more are stored with
+   the parts that hold them.  So are the windows around them seen once.
+3. Location.  Each part of the documents (some MB of text) has its shard of the
+   stored phrases, compiled into Aho-Corasick automata of at most
+   ``SHARD_PHRASES`` phrases.  All its documents stream through them, which alone
+   finds the places; the windows around each go, but for those seen once.
+
+Hashes and phrases travel packed, few rows for many of them.  Whole windows are
+told apart by 64 bits inside a bucket; a bucket is chosen by a second, independent
+hash and has a fixed expected size, so that the chance of two different windows
+being taken for equal stays negligible at any corpus size.  An anchor, phrase or
+window in a third of all documents is at most two entries per part.
 
 Edge cases: a null or empty text has no words; a text shorter than a window
 keeps all words; null or repeated ids and repeated rows are separate documents
@@ -30,8 +31,9 @@ other columns of the input are ignored or, for :func:`without_repeats`, carried.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ SHARD_PHRASES = 40_000
 
 _ANCHORS = "part int, hashes binary"
 _PACKED = "bucket int, part int, hashes binary"
+_FOUND = "bucket int, part int, hashes binary, phrases binary"
+_CONFIRMED = "part int, hashes binary, phrases binary"
 _POS = np.uint64((1 << 26) - 1)
 
 
@@ -139,30 +143,21 @@ def anchors_by_bucket(split: DataFrame, width: int, buckets: int) -> DataFrame:
     return found.groupBy("part").applyInArrow(_part_anchors(buckets), _PACKED)
 
 
-def _select(recurring: bool):
-    def pick(group: pa.Table) -> pa.Table:
-        value, row = _unpacked(group["hashes"])
-        part = group["part"].to_numpy()[row]
-        _, back, n = np.unique(value, return_inverse=True, return_counts=True)
-        keep = (n[back] > 1) == recurring
-        value, part = value[keep], part[keep]
-        out = _packed(part.astype(np.int64), np.zeros(len(part), np.int64), value)
-        return pa.Table.from_batches([out]).select(["part", "hashes"])
-    return pick
-
-
-class _Part:
-    """The words and hashes of the texts of one part, chunk by chunk."""
+def _recurring(group: pa.Table) -> pa.Table:
+    value, row = _unpacked(group["hashes"])
+    part = group["part"].to_numpy()[row]
+    _, back, n = np.unique(value, return_inverse=True, return_counts=True)
+    keep = n[back] > 1
+    part, value = part[keep].astype(np.int64), value[keep]
+    return pa.Table.from_batches([_packed(part, np.zeros(len(part), np.int64), value)]).select(["part", "hashes"])
 
-    def __init__(self, texts, width: int):
-        data, offs = X.text_buffer(texts)
-        self.chunks, self.width = X.chunks(data, offs), width
 
-    def __iter__(self):
-        for lo, hi, piece, at in self.chunks:
-            s, e, first = X.word_spans(piece, at)
-            words = X.word_hashes(piece, s, e)
-            yield lo, hi, piece, at, s, e, first, words, X.run_hashes(words, ANCHOR)
+def _pieces(texts):
+    """Chunks of texts: first and end text, bytes, offsets, words' spans, first
+    word of each text, word hashes."""
+    for lo, hi, piece, at in X.chunks(*X.text_buffer(texts)):
+        s, e, first = X.word_spans(piece, at)
+        yield lo, hi, piece, at, s, e, first, X.word_hashes(piece, s, e)
 
 
 def _holding(located: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -171,37 +166,63 @@ def _holding(located: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return starts[seen[starts + width - ANCHOR + 1] > seen[starts]]
 
 
-def _emit_windows(width: int, buckets: int):
+def _phrase_rows(part: int, phrases: dict[int, dict[bytes, int]], buckets: int) -> pa.RecordBatch:
+    """Rows of phrases by the bucket of their hash, one a line; a phrase that
+    the part holds more than once stands there twice."""
+    lines: dict[int, list[bytes]] = {}
+    for h, held in phrases.items():
+        line = lines.setdefault((h >> 32) % buckets, [])
+        for phrase, n in held.items():
+            line.extend([phrase] * min(n, 2))
+    n = len(lines)
+    return pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([b""] * n, pa.binary()),
+                                       pa.array([b"\n".join(v) for v in lines.values()], pa.binary())], names=["bucket", "part", "hashes", "phrases"])
+
+
+def _emit_found(width: int, buckets: int):
+    """The windows of a part that hold a recurring anchor, and the anchors' words."""
     def emit(key, docs: pa.Table, anchors: pa.Table) -> pa.Table:
+        part = key[0].as_py()
         recurring = np.unique(_unpacked(anchors["hashes"])[0])
-        value, bucket = [], []
-        for _, _, _, _, _, _, first, words, grams in _Part(docs["text"], width):
-            at = _holding(np.isin(grams, recurring), _window_starts(first, width), width)
+        value, bucket, phrases = [], [], {}
+        for _, _, piece, _, s, e, first, words in _pieces(docs["text"]):
+            starts, grams = _window_starts(first, width), X.run_hashes(words, ANCHOR)
+            hit = np.isin(grams, recurring)
+            at = _holding(hit, starts, width)
             value.append(X.run_hashes(words, width)[at])
             bucket.append((X.run_hashes(words, width, second=True)[at] % X.U64(buckets)).astype(np.int64))
+            place = np.flatnonzero(hit)
+            place = place[place + ANCHOR <= first[np.searchsorted(first, place, "right")]]
+            raw = piece.tobytes()
+            for h, a, b in zip(grams[place].tolist(), s[place].tolist(), e[place + ANCHOR - 1].tolist()):
+                held = phrases.setdefault(h, {})
+                phrase = b" ".join(raw[a:b].split())
+                held[phrase] = held.get(phrase, 0) + 1
         value = np.concatenate(value) if value else np.zeros(0, np.uint64)
         bucket = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
-        order = np.lexsort((value, bucket))
-        value, bucket = value[order], bucket[order]
-        third = np.zeros(len(value), bool)
-        third[2:] = (value[2:] == value[:-2]) & (bucket[2:] == bucket[:-2])
-        value, bucket = value[~third], bucket[~third]
-        return pa.Table.from_batches([_packed(np.full(len(value), key[0].as_py(), np.int64), bucket, value)])
+        bucket, value = _twice(bucket, value)
+        windows = _packed(np.full(len(value), part, np.int64), bucket, value)
+        windows = windows.append_column("phrases", pa.array([b""] * len(windows), pa.binary()))
+        return pa.Table.from_batches([windows, _phrase_rows(part, phrases, buckets)])
     return emit
 
 
-def _phrases(part: _Part, recurring: np.ndarray) -> list[bytes]:
-    """The text of each recurring anchor that the part holds."""
-    found: dict[int, bytes] = {}
-    for _, _, piece, _, s, e, first, _, grams in part:
-        at = np.flatnonzero(np.isin(grams, recurring))
-        last = np.searchsorted(first, at, "right")
-        at = at[at + ANCHOR <= first[last]]
-        value, where = np.unique(grams[at], return_index=True)
-        for h, p in zip(value.tolist(), at[where].tolist()):
-            if h not in found:
-                found[h] = b" " + b" ".join(piece[s[p]: e[p + ANCHOR - 1]].tobytes().split()) + b" "
-    return list(found.values())
+def _confirmed(group: pa.Table) -> pa.Table:
+    """For each part its windows seen once in all and its phrases that stand, by
+    their words, at two places or more."""
+    value, row = _unpacked(group["hashes"])
+    _, back, n = np.unique(value, return_inverse=True, return_counts=True)
+    once = n[back] == 1
+    part = group["part"].to_numpy()
+    single = _packed(part[row[once]].astype(np.int64), np.zeros(int(once.sum()), np.int64), value[once]).select(["part", "hashes"])
+    single = single.append_column("phrases", pa.array([b""] * len(single), pa.binary()))
+    lines = [(p, line.split(b"\n")) for p, line in zip(part.tolist(), group["phrases"].to_pylist()) if line]
+    places = Counter(chain.from_iterable(line for _, line in lines))
+    kept = [(p, b"\n".join({x for x in line if places[x] > 1})) for p, line in lines]
+    kept = [(p, line) for p, line in kept if line]
+    held = pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.int32()), pa.array([b""] * len(kept), pa.binary()),
+                                       pa.array([line for _, line in kept], pa.binary())], names=["part", "hashes", "phrases"])
+    return pa.Table.from_batches([single, held])
 
 
 def _automata(phrases: list[bytes]) -> list:
@@ -210,22 +231,19 @@ def _automata(phrases: list[bytes]) -> list:
     for k in range(0, len(phrases), SHARD_PHRASES):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in phrases[k: k + SHARD_PHRASES]:
-            automaton.add_word(p.decode("latin-1"), len(p))
-        if len(automaton):
-            automaton.make_automaton()
-            out.append(automaton)
+            automaton.add_word(f" {p.decode('latin-1')} ", len(p) + 2)
+        automaton.make_automaton()
+        out.append(automaton)
     return out
 
 
 def _remove(width: int, carried: list[str], with_text: bool, names: list[str]):
-    def remove(key, docs: pa.Table, hashes: pa.Table) -> pa.Table:
+    def remove(key, docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        is_anchor = hashes["single"].to_numpy() == 0
-        recurring = np.unique(_unpacked(hashes.filter(pa.array(is_anchor))["hashes"])[0])
-        single = np.unique(_unpacked(hashes.filter(pa.array(~is_anchor))["hashes"])[0])
-        automata = _automata(_phrases(_Part(docs["text"], width), recurring))
+        single = np.unique(_unpacked(confirmed["hashes"])[0])
+        automata = _automata(sorted({p for line in confirmed["phrases"].to_pylist() if line for p in line.split(b"\n")}))
         n_words, n_removed, digest, kept_text = [], [], [], []
-        for lo, hi, piece, at, s, e, first, words, grams in _Part(docs["text"], width):
+        for lo, hi, piece, at, s, e, first, words in _pieces(docs["text"]):
             raw = piece.tobytes()
             lines = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             # every text framed by blanks and a zero byte between texts, so that no phrase spans two
@@ -233,13 +251,12 @@ def _remove(width: int, carried: list[str], with_text: bool, names: list[str]):
             lens = e - s
             texts = np.repeat(np.arange(hi - lo), np.diff(first))
             begin = np.cumsum(lens + 1) - (lens + 1) + 2 * texts + 1 + _empty_before(first, texts)
-            located = np.zeros(max(len(grams), 1), bool)
-            if automata and len(grams):
+            located = np.zeros(len(words), bool)
+            if automata and len(words):
                 text = framed.decode("latin-1")
                 ends = [end + 1 - size for a in automata for end, size in a.iter(text)]
-                spots = np.searchsorted(begin, np.array(ends, np.int64) + 1)
-                located[spots[spots < len(grams)]] = True
-            windows = _holding(located[: len(grams)], _window_starts(first, width), width)
+                located[np.searchsorted(begin, np.array(ends, np.int64) + 1)] = True
+            windows = _holding(located, _window_starts(first, width), width)
             if len(windows):
                 windows = windows[~np.isin(X.run_hashes(words, width)[windows], single)]
             cover = np.zeros(len(words) + 1, np.int64)
@@ -283,13 +300,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     split = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(parts)).cast("int").alias("part"), "text",
                         *[F.col(c).alias(h) for c, h in zip(carried, held)])
     anchors = anchors_by_bucket(split, width, parts)
-    recurring = stored(anchors.groupBy("bucket").applyInArrow(_select(True), "part int, hashes binary"), "recurring-anchors")
-    windows = (split.select("part", "text").groupBy("part").cogroup(recurring.groupBy("part"))
-               .applyInArrow(_emit_windows(width, parts), _PACKED))
-    single = stored(windows.groupBy("bucket").applyInArrow(_select(False), "part int, hashes binary"), "single-windows")
-    hashes = recurring.withColumn("single", F.lit(0)).unionByName(single.withColumn("single", F.lit(1)))
+    recurring = stored(anchors.groupBy("bucket").applyInArrow(_recurring, "part int, hashes binary"), "recurring-anchors")
+    found = (split.select("part", "text").groupBy("part").cogroup(recurring.groupBy("part"))
+             .applyInArrow(_emit_found(width, parts), _FOUND))
+    confirmed = stored(found.groupBy("bucket").applyInArrow(_confirmed, _CONFIRMED), "confirmed-passages")
     schema = T.StructType([docs.schema[c] for c in carried] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         + ([T.StructField("kept_text", T.StringType())] if with_text else []))
-    return split.groupBy("part").cogroup(hashes.groupBy("part")).applyInArrow(
+    return split.groupBy("part").cogroup(confirmed.groupBy("part")).applyInArrow(
         _remove(width, held, with_text, [f.name for f in schema.fields]), schema)
