@@ -552,3 +552,23 @@ def test_language_id(spark, odd, odd_rows, empty):
     assert language_id(odd).count() == len(odd_rows) and language_id(empty).count() == 0
     nothing = language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+# ------------------------------------------------------------------ shared kernels
+def test_hashes_do_not_depend_on_segments(monkeypatch):
+    """A word's and a run's hash is the same however a text is cut, and the
+    tables of powers stay as long as a segment."""
+    from vigil.llm import textops as X
+    rnd = random.Random(4)
+    data = np.frombuffer("".join(rnd.choice("ab cé\n") for _ in range(20000)).encode(), np.uint8)
+    start, end, _ = X.word_spans(data, np.array([0, len(data)]))
+    words = X.word_hashes(data, start, end)
+    runs = {(w, second): X.run_hashes(words, w, second) for w in (5, 35) for second in (False, True)}
+    monkeypatch.setattr(X, "CHUNK", 64)
+    monkeypatch.setattr(X, "RUN_WORDS", 50)
+    monkeypatch.setattr(X, "_BYTES", X._Powers(X._BYTES.base))
+    assert (X.word_hashes(data, start, end) == words).all()
+    assert len(X._BYTES.up) <= 2 * 65
+    for (w, second), want in runs.items():
+        assert (X.run_hashes(words, w, second) == want).all()
+    assert len(X.run_hashes(words[:4], 5)) == 0 == len(X.word_hashes(data, start[:0], end[:0]))

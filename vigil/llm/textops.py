@@ -3,6 +3,8 @@
 A batch of UTF-8 texts is handled as one byte buffer; words, word hashes and
 hashes of runs of words come out of a handful of numpy passes, in chunks of
 ``CHUNK`` bytes so that the scratch arrays stay small however long a batch is.
+Of a text longer than a chunk, words and runs are hashed segment by segment, so
+that the tables of powers never outgrow a chunk (or the longest word).
 All hashes are deterministic 64-bit values (no per-process seed), so they can
 be shuffled and compared between executors.
 """
@@ -16,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+#: Words whose runs are hashed in one pass.
+RUN_WORDS = 1 << 18
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -121,32 +125,50 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    if len(start) == 0:
-        return np.zeros(0, np.uint64)
-    up, down = _BYTES.to(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
+    """Hash of the bytes of each word, in segments of whole words of about
+    ``CHUNK`` bytes."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK, "right")))
+        first, last = start[lo], end[hi - 1]
+        up, down = _BYTES.to(int(last - first) + 1)
+        total = np.empty(last - first + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(BYTE[data[first:last]] * up[: last - first], out=total[1:])
+        s, e = start[lo:hi] - first, end[lo:hi] - first
+        out[lo:hi] = _mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
+
+
+def _sums_of_runs(words: np.ndarray, width: int, powers: _Powers) -> np.ndarray:
+    n = len(words) - width + 1
+    up, down = powers.to(len(words) + 1)
+    total = np.empty(len(words) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return _mix(h + (end - start).astype(np.uint64))
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return (total[width:] - total[:n]) * down[:n]
 
 
 def run_hashes(words: np.ndarray, width: int, second: bool = False) -> np.ndarray:
     """Hash of each run of ``width`` consecutive words (texts not yet told apart:
     entry i covers words i .. i + width - 1)."""
-    n = len(words)
-    if n < width:
+    n = len(words) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = (_WORDS2 if second else _WORDS).to(n + 1)
+    powers = _WORDS2 if second else _WORDS
     if width <= 8:
-        h = words[: n - width + 1].copy()
+        up, _ = powers.to(width)
+        h = words[:n].copy()
         for t in range(1, width):
-            h += words[t: n - width + 1 + t] * up[t]
+            h += words[t: n + t] * up[t]
         return _mix(h)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * up[:n], out=total[1:])
-    return _mix((total[width:] - total[: n - width + 1]) * down[: n - width + 1])
+    h = np.empty(n, np.uint64)
+    for lo in range(0, n, RUN_WORDS):
+        hi = min(n, lo + RUN_WORDS)
+        h[lo:hi] = _sums_of_runs(words[lo: hi + width - 1], width, powers)
+    return _mix(h)
 
 
 def whole_hash(words: np.ndarray) -> int:
