@@ -455,6 +455,14 @@ def test_repeated_passages_entries_per_part(spark):
     assert len({(r["bucket"], r["part"]) for r in got}) == len(got)
 
 
+def test_repeated_passages_white_space():
+    from vigil.llm.passages import _framed
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab\u00e9 \t\n\v\f\r\u00a0\x1f") for _ in range(rnd.randrange(40))).encode() for _ in range(300)] + [b"", b" " * 9]
+    at = np.cumsum([0, *map(len, texts)])
+    assert _framed(b"".join(texts), at) == b"\0".join(b" " + " ".join(brute.SPACED.findall(t.decode())).encode() + b" " for t in texts)
+
+
 def test_repeated_passages_confirmed_by_words():
     """Phrases are confirmed by words: with every anchor taken for recurring, as
     if all their hashes collided, only those that stand twice are stored, and

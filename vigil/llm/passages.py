@@ -23,8 +23,8 @@ window in a third of all documents is at most two entries per part.
 
 Edge cases: a null or empty text has no words; a text shorter than a window
 keeps all words; null or repeated ids and repeated rows are separate documents
-(a repeated row has all its windows elsewhere); a very long text is split into its
-words in one task; an empty table gives no rows;
+(a repeated row has all its windows elsewhere); a very long text is read whole
+in one task; an empty table gives no rows;
 other columns of the input are ignored or, for :func:`without_repeats`, carried.
 """
 
@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,7 @@ _ANCHORS = "part int, hashes binary"
 _PACKED = "bucket int, part int, hashes binary"
 _FOUND = "bucket int, part int, hashes binary, phrases binary"
 _CONFIRMED = "part int, hashes binary, phrases binary"
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
 _POS = np.uint64((1 << 26) - 1)
 
 
@@ -237,6 +238,18 @@ def _automata(phrases: list[bytes]) -> list:
     return out
 
 
+def _framed(raw: bytes, at: np.ndarray) -> bytes:
+    """The texts with one blank between words, each framed by blanks and with a
+    zero byte between texts, so that no phrase spans two."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        text = raw[a:b].translate(_BLANKS).strip(b" ")
+        while b"  " in text:
+            text = text.replace(b"  ", b" ")
+        out.append(b" " + text + b" ")
+    return b"\0".join(out)
+
+
 def _remove(width: int, carried: list[str], with_text: bool, names: list[str]):
     def remove(key, docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
@@ -244,10 +257,7 @@ def _remove(width: int, carried: list[str], with_text: bool, names: list[str]):
         automata = _automata(sorted({p for line in confirmed["phrases"].to_pylist() if line for p in line.split(b"\n")}))
         n_words, n_removed, digest, kept_text = [], [], [], []
         for lo, hi, piece, at, s, e, first, words in _pieces(docs["text"]):
-            raw = piece.tobytes()
-            lines = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            # every text framed by blanks and a zero byte between texts, so that no phrase spans two
-            framed = b"\0".join([b" " + b" ".join(w) + b" " for w in lines])
+            framed = _framed(piece.tobytes(), at)
             lens = e - s
             texts = np.repeat(np.arange(hi - lo), np.diff(first))
             begin = np.cumsum(lens + 1) - (lens + 1) + 2 * texts + 1 + _empty_before(first, texts)
@@ -263,16 +273,16 @@ def _remove(width: int, carried: list[str], with_text: bool, names: list[str]):
             cover[windows] += 1
             cover[windows + width] -= 1
             keep = np.cumsum(cover[:-1]) == 0
-            for i, w in enumerate(lines):
-                a, b = int(first[i]), int(first[i + 1])
-                mask = keep[a:b]
-                left = w if mask.all() else list(compress(w, mask.tolist()))
-                text = b" ".join(left)
+            stop = begin + lens
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                gone = b - a - int(np.count_nonzero(keep[a:b]))
+                edge = np.flatnonzero(np.diff(keep[a:b].astype(np.int8), prepend=0, append=0)) + a
+                text = b" ".join([framed[x:y] for x, y in zip(begin[edge[::2]].tolist(), stop[edge[1::2] - 1].tolist())])
                 n_words.append(b - a)
-                n_removed.append(len(w) - len(left))
+                n_removed.append(gone)
                 digest.append(hashlib.sha256(text).hexdigest())
                 if with_text:
-                    kept_text.append(text.decode("utf-8", "replace") if len(left) < len(w) else None)
+                    kept_text.append(text.decode("utf-8", "replace") if gone else None)
         cols = [docs[c] for c in carried] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
         if with_text:
             # a text that loses nothing stays as it was
