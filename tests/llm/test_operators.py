@@ -502,6 +502,28 @@ def test_fingerprints(spark, odd, odd_rows, empty):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_ranges_of_ids(spark):
+    """Every row in the range of its id, each range's first id also ahead in the range before
+    it; the plan has the same size for any number of ranges."""
+    from vigil.llm import fingerprints as f
+    ids = [None, None, *range(3, 3000, 3), 9, 9]
+    sizes = []
+    for kind, held in (("long", ids), ("string", [None if i is None else f"{i:05d}" for i in ids])):
+        df = spark.createDataFrame([(i, "t") for i in held], f"doc_id {kind}, text string")
+        for parts in (1, 7, 60):
+            ranges = f.in_ranges(df, parts)
+            sizes.append(len(ranges._jdf.queryExecution().optimizedPlan().toString()))
+            here, ahead = {}, {}
+            for r in ranges.collect():
+                (ahead if r["ahead"] else here).setdefault(r["part"], []).append(r["doc_id"])
+            assert sorted(here) == sorted(ahead) == list(range(len(here))) and len(here) >= parts // 2
+            assert [i for p in sorted(here) for i in here[p]] == sorted(held, key=lambda i: (i is not None, i or 0))
+            for p in here:
+                following = here[(p + 1) % len(here)]
+                assert ahead[p] == [i for i in following if i == following[0]]
+    assert max(sizes) - min(sizes) < 200
+
+
 def test_sketches_merge_and_estimate():
     from vigil.llm import fingerprints as f
     import numpy as np

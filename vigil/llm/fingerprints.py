@@ -9,13 +9,14 @@ distinct shingles.
 with the next document.  "Next" is by ascending id over the whole table, so
 documents are dealt by ranges of ids; the first document of each range is sent
 to the range before it as well (and the very first to the last), and each range
-is streamed in order.  Texts are shuffled once.
+is streamed in order.  Texts are shuffled once.  One id for each range passes
+through the driver, as in any range partitioning.
 
 Edge cases: a null text is an empty one; texts without words have the empty
 fingerprint, and two of these have likeness 1; null ids come first; of equal
 ids the order is by text, repeated rows follow each other; a table of one
-document has itself as the next; a very long text is hashed whole, in scratch
-memory of some 36 bytes a byte; an empty table gives no rows; other columns of the
+document has itself as the next; rows of one id are one range, which is streamed;
+a very long text is held whole in one task and hashed by segments; an empty table gives no rows; other columns of the
 input are ignored.
 """
 
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import textops as X
@@ -91,30 +93,33 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def _range_of(spark: SparkSession, starts: list) -> Callable[[Column], Column]:
+    """For an id the range it falls in and whether it is the range's start.  The
+    starts (null first, if it is one) travel as a broadcast variable, so the plan
+    has the same size for any number of them."""
+    shared = spark.sparkContext.broadcast(starts)
+
+    @F.arrow_udf("part int, first boolean")
+    def place(ids: pa.Array) -> pa.Array:
+        held = shared.value
+        nulls = int(held[0] is None)
+        at = [0 if i is None else bisect_right(held, i, nulls) - 1 for i in ids.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array([i == held[k] for i, k in zip(ids.to_pylist(), at)], pa.bool_())], names=["part", "first"])
+    return place
+
+
 def in_ranges(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text, part, ahead): every document in the part of its id range,
     in order, and the first of the next part after them with ``ahead`` = 1."""
     ids = docs.select("doc_id")
-    firsts = [r["first"] for r in ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).groupBy(F.spark_partition_id().alias("p"))
-              .agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("none")).orderBy("p").collect()]
-    bounds = sorted({f for f in firsts if f is not None})
-    has_null = docs.where("doc_id is null").limit(1).count() > 0
-    starts = ([None] if has_null else []) + bounds
+    found = (ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).groupBy(F.spark_partition_id())
+             .agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
+    starts = ([None] if any(r["none"] for r in found) else []) + sorted({r["first"] for r in found if r["first"] is not None})
     n = max(1, len(starts))
-    kind = docs.schema["doc_id"].dataType
-    # the number of starts at or below the id, in two steps of about sqrt(n) comparisons
-    step = max(1, int(n**0.5))
-    every, coarse = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind.simpleString()}>"), F.array(*[F.lit(b) for b in bounds[::step]]).cast(f"array<{kind.simpleString()}>")
-    block = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id")))
-    within = F.size(F.filter(F.slice(every, (F.col("_block") - 1) * step + 1, step), lambda b: b <= F.col("doc_id")))
-    below = F.when(F.col("doc_id").isNull() | (F.col("_block") == 0), 0).otherwise((F.col("_block") - 1) * step + within)
-    part = (below - (0 if has_null else 1)).cast("int")
-    own = docs.select("doc_id", "text", F.coalesce(block, F.lit(0)).alias("_block")).select("doc_id", "text", F.greatest(part, F.lit(0)).alias("_part"))
-    all_starts = F.array(*[F.lit(b) for b in starts]).cast(f"array<{kind.simpleString()}>")
-    first = F.col("doc_id").eqNullSafe(F.get(all_starts, F.col("_part")))
-    here = F.struct(F.col("_part").alias("part"), F.lit(0).alias("ahead"))
-    before = F.struct(F.pmod(F.col("_part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(1).alias("ahead"))
-    dealt = own.select("doc_id", "text", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("to"))
+    own = docs.select("doc_id", "text", _range_of(docs.sparkSession, starts or [None])(F.col("doc_id")).alias("_at"))
+    here = F.struct(F.col("_at.part").alias("part"), F.lit(0).alias("ahead"))
+    before = F.struct(F.pmod(F.col("_at.part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(1).alias("ahead"))
+    dealt = own.select("doc_id", "text", F.explode(F.when(F.col("_at.first"), F.array(here, before)).otherwise(F.array(here))).alias("to"))
     return (dealt.select("doc_id", "text", "to.part", "to.ahead").repartition(n, "part")
             .sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))))
 
