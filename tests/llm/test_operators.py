@@ -303,6 +303,33 @@ def test_quality(spark, odd, empty, odd_rows):
     assert kept.columns == odd.columns and kept.count() == len(odd_rows)
 
 
+def test_quality_draws_any_chunk():
+    """One chunk of each stretch; over many texts each chunk is drawn about as often."""
+    from vigil.llm import quality as q
+    assert [q.drawn_chunks(n, 5) for n in (1, 3, q.TRAIN_CHUNKS)] == [list(range(n)) for n in (1, 3, q.TRAIN_CHUNKS)]
+    n, count = 61, [0] * 61
+    for seed in range(6000):
+        drawn = q.drawn_chunks(n, seed)
+        assert len(drawn) == q.TRAIN_CHUNKS and drawn == sorted(set(drawn))
+        for k in drawn:
+            count[k] += 1
+    assert min(count) > 400 and max(count) < 800
+
+
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A labelled id on many rows is one text of the sample."""
+    from vigil.llm import quality as q
+    rows = [(i, f"plain sentence number {i} of a clean text") if i % 2 else (i, "$$ buy now " * 3 + str(i)) for i in range(1, 60)]
+    rows += [(1, f"plain sentence, copy {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    seen = []
+    fit = q.fit_last
+    monkeypatch.setattr(q, "fit_last", lambda x, y, w: (seen.append(len(y)), fit(x, y, w))[1])
+    q.train(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 60))]
+
+
 def test_quality_scores_whole_texts():
     """Features of a text don't depend on its neighbours in the batch."""
     import numpy as np

@@ -6,14 +6,17 @@ overlap by half and cover the whole text.  The mean and the maximum of the
 pooled chunks go through a logistic layer into one probability of label 1.
 
 The network is fitted on at most ``PER_CLASS`` labelled texts of each label
-(a documented bound, chosen by hash of the id), of which the filters see at
-most ``TRAIN_CHUNKS`` chunks each and the last layer whole texts.  Scoring reads
-every text to its end.  Only the text is an input of a score.
+(a documented bound, chosen by hash of the id).  The filters see ``TRAIN_CHUNKS``
+chunks of a text that has more, one drawn by hash from each of as many equal
+stretches of it, so that any chunk of any text can be drawn; the last layer sees
+whole texts.  Scoring reads every text to its end.  Only the text is an input of
+a score.
 
 Edge cases: a null text is an empty one, and an empty text is one chunk of
 padding, scored as any other; without labelled texts of both labels every score
 is the share of label 1 (or 1.0 without any label); labels of repeated ids are
-taken once (the lowest); null or repeated ids and repeated rows are scored row
+taken once (the lowest), and so are their texts (the least), so that the bound
+holds however many rows have a labelled id; null or repeated ids and repeated rows are scored row
 by row; a very long text is scored to its end, in memory in proportion to it; an
 empty table gives no rows; other columns are ignored.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm import textops as X
-from vigil.llm.common import small_batches
+from vigil.llm.common import small_batches, stored
 from vigil.llm.langid import held_out
 
 PER_CLASS = 2500
@@ -86,17 +89,25 @@ class Network:
         return 1 / (1 + np.exp(-(features.astype(np.float64) @ self.last + self.offset)))
 
 
+def drawn_chunks(n: int, seed: int, most: int = TRAIN_CHUNKS) -> list[int]:
+    """Numbers of the chunks to train on, of ``n``: all, or one drawn from each
+    of ``most`` equal stretches."""
+    if n <= most:
+        return list(range(n))
+    edge = [k * n // most for k in range(most + 1)]
+    return np.random.default_rng(seed).integers(edge[:-1], edge[1:]).tolist()
+
+
 def _train_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = CHUNK + WIDTH - STEP
     for batch in batches:
         data, offs = X.text_buffer(batch.column(2))
         row, blob = [], []
-        for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+        for i, (a, b, h) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), batch.column(0).to_pylist())):
             starts = range(a, max(a + 1, b - _HALF), _HALF)
-            some = starts if len(starts) <= TRAIN_CHUNKS else [starts[round(k * (len(starts) - 1) / (TRAIN_CHUNKS - 1))] for k in range(TRAIN_CHUNKS)]
-            for s in some:
+            for k in drawn_chunks(len(starts), h % (1 << 64)):
                 row.append(i)
-                blob.append(data[s: min(b, s + size)].tobytes().ljust(size, b"\0"))
+                blob.append(data[starts[k]: min(b, starts[k] + size)].tobytes().ljust(size, b"\0"))
         take = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(blob, pa.binary())], names=["h", "quality", "chunk"])
 
@@ -177,8 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
     for q in (0, 1):
         one = fold.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class)
         chosen = one if chosen is None else chosen.unionByName(one)
-    sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-              .select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.col("quality").cast("int").alias("quality"), "text"))
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+                    .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.min("text").alias("text"))
+                    .select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "quality", "text"), "labelled-texts")
     rows = sorted(tuple(r) for r in sample.mapInArrow(_train_chunks, "h bigint, quality int, chunk binary").collect())
     if not rows:
         return counts[1] / total
