@@ -153,6 +153,18 @@ def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
     assert (r["rows_read"], r["matches"], r["group_rows"]) == (0, 0, 15)
 
 
+def test_trigrams_are_given_out_as_they_are_gathered():
+    import pyarrow as pa
+    schema = pa.schema([("tri", pa.string()), ("scope", pa.string()), ("ids", pa.list_(pa.int64()))])
+    texts = ["".join(chr(97 + (i * k) % 23) for k in range(1, 40)) for i in range(200)] + ["", "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([f"s{i % 2}" for i in range(len(texts))]), pa.array(range(len(texts)))], names=["_text", "scope", "id"])
+    given = list(vx.cut_trigrams(iter([batch, batch.slice(0, 0)]), schema, held=100))
+    assert max(sum(len(ids) for ids in b["ids"].to_pylist()) for b in given) < 100 + 37
+    got = sorted((tri, scope, i) for b in given for tri, scope, ids in zip(*(c.to_pylist() for c in b.columns)) for i in ids)
+    assert got == sorted((tri, f"s{i % 2}", i) for i, t in enumerate(texts) for tri in {t[j: j + 3] for j in range(len(t) - 2)})
+    assert list(vx.cut_trigrams(iter([batch.slice(200)]), schema)) == []
+
+
 def test_first_seen_cache_and_idempotent_insert(spark):
     b = spark.createDataFrame([(1, "t", "s", "h1", "x"), (2, "t", "s", "h1", "y"), (3, "t", "s", "h2", "z")],
                               "id long, tenant_id string, scope string, content_hash string, content string")

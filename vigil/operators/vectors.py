@@ -348,11 +348,14 @@ def keyword_search(vectors: DataFrame, tenant_id: str | None, scope: str, term:
 
 #: Files over which the rows of one trigram are spread at most.
 TRIGRAM_PARTS = 16
+#: Postings that a task holds at most (beside those of one text), and rows of a batch that it makes Python values of at once.
+HELD_POSTINGS = 1 << 19
+HELD_ROWS = 64
 
 
 class TrigramIndex(NamedTuple):
     """``postings``: tri, group columns and ids of rows that hold it (each row's id
-    once per trigram, a list per Arrow batch of rows), every file sorted by
+    once per trigram, in lists as a task gathered them), every file sorted by
     trigram; ``counts``: rows per trigram and group."""
 
     postings: DataFrame
@@ -360,6 +363,32 @@ class TrigramIndex(NamedTuple):
     group_cols: tuple[str, ...]
 
 
+def cut_trigrams(batches: Iterator[pa.RecordBatch], schema: pa.Schema, held: int = HELD_POSTINGS) -> Iterator[pa.RecordBatch]:
+    """Posting lists (``schema``: trigram, group columns, ids) of rows of text, group
+    columns and id.  Lists are given out once they hold ``held`` postings together,
+    so that a task's memory depends neither on the rows of a batch nor on the task."""
+    lists: dict = defaultdict(list)
+    n = 0
+
+    def gathered() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(k, f.type) for k, f in zip(zip(*lists), schema)), pa.array(list(lists.values()), schema.field("ids").type)],
+                                          names=schema.names)
+
+    for b in batches:
+        for lo in range(0, b.num_rows, HELD_ROWS):
+            for text, *key, i in zip(*(c.to_pylist() for c in b.slice(lo, HELD_ROWS).columns)):
+                tris = {text[j: j + 3] for j in range(len(text) - 2)}
+                for tri in tris:
+                    lists[(tri, *key)].append(i)
+                n += len(tris)
+                if n >= held:
+                    yield gathered()
+                    lists.clear()
+                    n = 0
+    if lists:
+        yield gathered()
+
+
 def trigram_index(vectors: DataFrame, index_path: str, group_cols=("scope", "tenant_id"), id_col: str = "id",
                   text_col: str = "content") -> TrigramIndex:
     """D13 index: for every row the distinct runs of three code points of its
@@ -374,15 +403,7 @@ def trigram_index(vectors: DataFrame, index_path: str, group_cols=("scope", "ten
     arrow = to_arrow_schema(schema)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists: dict = defaultdict(list)
-            for text, *key, i in zip(*(c.to_pylist() for c in b.columns)):
-                key = tuple(key)
-                for tri in {text[j: j + 3] for j in range(len(text) - 2)}:
-                    lists[(tri, *key)].append(i)
-            keys = list(zip(*lists)) or [()] * (len(g) + 1)
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, f.type) for k, f in zip(keys, arrow)), pa.array(list(lists.values()), arrow.field("ids").type)],
-                                             names=schema.names)
+        return cut_trigrams(batches, arrow)
 
     # each text is cut once, in a task of its own part; a trigram's rows go to some
     # files by hash of row, so that a frequent one is no single task
