@@ -1256,13 +1256,15 @@ from .memory_search import search_job  # noqa: E402
 
 
 def _ingest(t: Tables):
-    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    wide = F.col("embedding").cast("array<double>").alias("embedding")
     base = si.ingest_requests(t.documents)
-    # every 8th request is a write over 100 000 characters, which needs approval
+    # every 8th request is a write over 100 000 characters, which needs approval; texts
+    # grow and vectors widen behind the join, which shuffles both as they are stored
     long = F.when(F.col("doc_id") % 8 == 3, F.repeat(F.concat(F.col("text"), F.lit(" ")), F.floor(F.lit(100000) / (F.length("text") + 1)).cast("int") + 1)).otherwise(F.col("text"))
-    req = base.withColumn("text", long).join(e, "doc_id", "left").withColumn(
+    req = base.join(e, "doc_id", "left").withColumn("embedding", wide).withColumn("text", long).withColumn(
         "created_at", ts_ntz(AS_OF) - F.make_dt_interval(mins=F.col("doc_id")))
-    mean, model = vx.pca_fit(e.select("embedding"), 16)
+    mean, model = vx.pca_fit(e.select(wide), 16)
     stored = _vectors(t).where(F.col("id") % 2 == 0).select("id", "tenant_id", "scope", "content_hash")
     return ingest_job(req, stored, mean, model, 64)
 

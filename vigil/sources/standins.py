@@ -61,7 +61,8 @@ def memory_vectors(embeddings: DataFrame, documents: DataFrame,
     """``memory_vectors``: every document, with its embedding where there is
     one (the column is nullable, as in the reference)."""
     e = embeddings.select("vec_id", "embedding", "label")
-    d = documents.select("doc_id", "text", "lang", "source")
+    # hashed before the join: who asks for the hash alone doesn't shuffle the texts
+    d = documents.select("doc_id", "text", "lang", "source", F.sha2(F.col("text"), 256).alias("content_hash"))
     j = d.join(e, e.vec_id == d.doc_id, "left")
     return j.select(
         F.col("doc_id").alias("id"),
@@ -71,7 +72,7 @@ def memory_vectors(embeddings: DataFrame, documents: DataFrame,
         F.col("source"),
         F.array("lang", "source").alias("tags"),
         F.col("embedding").cast("array<double>").alias("embedding"),
-        F.sha2(F.col("text"), 256).alias("content_hash"),
+        "content_hash",
         (ts_ntz(as_of) - F.make_dt_interval(mins=F.col("doc_id"))).alias("created_at"),
     )
 
